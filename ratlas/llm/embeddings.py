@@ -99,7 +99,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.8, seed: int = 11) -> Dat
     spread = spread.withColumn("bucket", F.xxhash64("label", "table", "code", F.octet_length("unit"))).drop("code", "label")
     found = blocks(spread, "bucket", "id").mapInArrow(_compare(cosine), "id bigint, near bigint, root bigint")
     found = scratch.save(found.groupBy("id", "root").agg(F.sum("near").alias("near")), "found")
-    parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
+    parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     near = found.groupBy(F.col("id").alias("n_id")).agg(F.sum("near").alias("near"))
     result = classes.select("key", "id", "weight").join(near, F.col("id") == F.col("n_id"), "left").join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left")
     result = scratch.save(result.select("key", (F.coalesce("near", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "result")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ratlas.llm.common import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (id, component): the smallest id reachable, for every id that occurs in an edge to another.
 
     Every step replaces edges by edges to smaller ids and keeps what is connected; it ends when nothing changes, as
@@ -16,6 +16,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     one row an id on one side, so the centre of a star that holds a third of all ids is split like any skewed join.
     Each step is a table in the shared folder. Loops and repeated edges are ignored; no edges give no rows.
     """
+    scratch = Scratch(edges.sparkSession, "components")
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     e = scratch.save(e, "edges-0")
     mark, step = None, 0

@@ -178,7 +178,7 @@ def near_texts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sets = scratch.save(texts.mapInArrow(_sets(words), f"id {kind}, shingles array<bigint>"), "sets")
     stars = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     links = scratch.save(_linked(stars, sets, percent), "links-1")
-    parts = scratch.save(connected_components(links, scratch), "parts-1")
+    parts = scratch.save(connected_components(links), "parts-1")
     # buckets in which components still meet
     placed = members.join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
     mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
@@ -187,7 +187,7 @@ def near_texts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = scratch.save(_linked(tried, sets, percent), "links-2")
     if not more.isEmpty():
-        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), scratch)
+        parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.select("key", "id").join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").select("key", F.coalesce("component", "id").alias("component_id"))
     named = scratch.save(named, "named")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
