@@ -6,6 +6,7 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,8 +97,6 @@ def pair_vectors(dense: DataFrame, sparse: DataFrame, key: str = "id") -> DataFr
 
 def hashing_embedder(size: int = 64):
     """A stand-in for a model: a pandas function from texts to vectors of unit length, the same everywhere."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         import zlib

@@ -26,7 +26,7 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def raw_files(spark: SparkSession, root: str) -> DataFrame:
     """folder, name, text of the marker files below root, for folders of the form date-committee-id."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(MARKERS) + "}").format("binaryFile").load(root)
-    df = files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", F.lit("utf-8")).alias("text"))
+    df = files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "utf-8").alias("text"))
     return df.where(F.rlike(F.element_at(F.split("folder", "/"), -1), F.lit(text.FOLDER)))
 
 
