@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 CHUNK = 1024
 
 
-def blocks(members: DataFrame, bucket: str, by: str, chunk: int = CHUNK) -> DataFrame:
-    """members of buckets with two members at least, with block, side_a and side_b, sorted by block in each partition.
+def blocks(members: DataFrame, bucket: str, by: str, payload: DataFrame, chunk: int | None = None) -> DataFrame:
+    """members of buckets with two members at least, with block, side_a and side_b and the columns of payload (one row
+    for each `by`), sorted by block in each partition. members should be narrow: only their way to the blocks, the last
+    shuffle, carries the payload.
 
     A bucket of up to chunk members is one block. A larger one is dealt into chunks by a hash of `by`; every pair of
     chunks, and every chunk with itself, is a block of its own, so that any pair of members meets in exactly one block
     and no task holds more than two chunks. side_a != side_b marks a pair of chunks; side tells which one a row is in.
     """
+    chunk = chunk or CHUNK
     sizes = members.groupBy(bucket).agg(F.count("*").alias("__n")).where("__n > 1")
     df = members.join(sizes, bucket)
     parts = F.ceil(F.col("__n") / chunk).cast("int")
@@ -27,7 +30,7 @@ def blocks(members: DataFrame, bucket: str, by: str, chunk: int = CHUNK) -> Data
     df = df.withColumn("__other", F.explode(F.expr("sequence(0, __parts - 1)")))
     df = df.withColumn("side_a", F.least("side", "__other")).withColumn("side_b", F.greatest("side", "__other"))
     df = df.withColumn("block", F.xxhash64(bucket, "side_a", "side_b")).drop("__n", "__parts", "__other")
-    return df.repartition("block").sortWithinPartitions("block", bucket, "side_a", "side_b", "side", by)
+    return df.join(payload, by).repartition("block").sortWithinPartitions("block", bucket, "side_a", "side_b", "side", by)
 
 
 def each_block(batches: Iterator[pa.RecordBatch], bucket: str) -> Iterator[pa.Table]:

@@ -26,7 +26,7 @@ def plan_tables(rows: int, cosine: float, recall: float = 0.998, least_bits: int
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def _codes(bits: int, tables: int, seed: int):
+def _codes(bits: int, tables: int, seed: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -37,24 +37,30 @@ def _codes(bits: int, tables: int, seed: int):
                 if not len(v) or not np.isfinite(v).all() or not v.any():
                     out.append((None, None))
                     continue
-                v = v / np.abs(v).max()  # so that no square overflows or vanishes
-                v = v / np.sqrt(v @ v)
+                raw, v = v.astype(kind), _unit(v[None])[0]
                 if len(v) not in planes:
                     planes[len(v)] = np.random.default_rng([seed, len(v)]).standard_normal((len(v), bits * tables))
                 signs = (v @ planes[len(v)] > 0).reshape(tables, bits)
-                out.append((v.astype("<f8").tobytes(), (signs @ (1 << np.arange(bits))).astype("<u4").tobytes()))
+                out.append((raw.tobytes(), (signs @ (1 << np.arange(bits))).astype("<u4").tobytes()))
             cols = [pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), *cols], names=["vec_id", "label", "unit", "codes"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), *cols], names=["vec_id", "label", "raw", "codes"])
 
     return run
 
 
-def _compare(cosine: float):
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows at length one, in double precision."""
+    v = v.astype("f8")
+    v = v / np.abs(v).max(1, keepdims=True)  # so that no square overflows or vanishes
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
+
+
+def _compare(cosine: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in each_block(batches, "bucket"):
             ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
             weight, table = t.column("weight").to_numpy(), int(t.column("table")[0].as_py())
-            unit, codes = matrix(t.column("unit"), "<f8"), matrix(t.column("codes"), "<u4")
+            unit, codes = _unit(matrix(t.column("raw"), kind)), matrix(t.column("codes"), "<u4")
             linked = unit @ unit.T >= cosine
             np.fill_diagonal(linked, False)
             if t.column("side_a")[0].as_py() != t.column("side_b")[0].as_py():
@@ -79,7 +85,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.8, seed: int = 11) -> Dat
     are null, empty, zero, or hold null or non-finite components link with nothing; n_links is then 0 and component_id
     is vec_id. Vectors of different lengths never link. kept: vec_id = component_id.
 
-    Equal directions are first joined to classes, so copies cost one row. Classes meet in buckets of several tables;
+    Equal vectors are first joined to classes, so copies cost one row. Classes meet in buckets of several tables;
     each bucket is compared in blocks of bounded size whose links are counted, not emitted: a pair counts in the first
     table in which its codes agree. What leaves a block is one row a vector, with its count and its component there.
     Rows that share a vec_id count as links of each other if their vectors are equal.
@@ -89,15 +95,18 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.8, seed: int = 11) -> Dat
     largest = rows.where("label IS NOT NULL").groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = plan_tables(largest, cosine)
     kind = dict(rows.dtypes)
-    coded = scratch.save(rows.mapInArrow(_codes(bits, tables, seed), f"vec_id {kind['vec_id']}, label {kind['label']}, unit binary, codes binary"), "coded")
-    # a class: the same direction under one label; its id is the smallest vec_id
-    usable = F.col("unit").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
-    key = F.when(usable, F.sha2(F.concat(F.col("unit"), F.lit("|").cast("binary"), F.col("label").cast("string").cast("binary")), 256))
+    number = "<f4" if kind["embedding"] == "array<float>" else "<f8"
+    coded = scratch.save(rows.mapInArrow(_codes(bits, tables, seed, number), f"vec_id {kind['vec_id']}, label {kind['label']}, raw binary, codes binary"), "coded")
+    # a class: the same vector under one label; its id is the smallest vec_id
+    usable = F.col("raw").isNotNull() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    key = F.when(usable, F.sha2(F.concat(F.col("raw"), F.lit("|").cast("binary"), F.col("label").cast("string").cast("binary")), 256))
     real = coded.withColumn("key", key).where("key IS NOT NULL")
-    classes = scratch.save(real.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("unit").alias("unit"), F.first("codes").alias("codes")), "classes")
-    spread = classes.select("id", "weight", "unit", "codes", "label", F.posexplode(F.expr(f"transform(sequence(0, {tables - 1}), i -> substring(codes, i * 4 + 1, 4))")).alias("table", "code"))
-    spread = spread.withColumn("bucket", F.xxhash64("label", "table", "code", F.octet_length("unit"))).drop("code", "label")
-    found = blocks(spread, "bucket", "id").mapInArrow(_compare(cosine), "id bigint, near bigint, root bigint")
+    classes = scratch.save(real.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("raw").alias("raw"), F.first("codes").alias("codes")), "classes")
+    codes = F.expr(f"transform(sequence(0, {tables - 1}), i -> substring(codes, i * 4 + 1, 4))")
+    spread = classes.select("id", "label", F.octet_length("raw").alias("size"), F.posexplode(codes).alias("table", "code"))
+    spread = spread.select("id", "table", F.xxhash64("label", "table", "code", "size").alias("bucket"))
+    met = blocks(spread, "bucket", "id", classes.select("id", "weight", "raw", "codes"))
+    found = met.mapInArrow(_compare(cosine, number), "id bigint, near bigint, root bigint")
     found = scratch.save(found.groupBy("id", "root").agg(F.sum("near").alias("near")), "found")
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     near = found.groupBy(F.col("id").alias("n_id")).agg(F.sum("near").alias("near"))

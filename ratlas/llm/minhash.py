@@ -182,8 +182,8 @@ def near_texts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # buckets in which components still meet
     placed = members.join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
     mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-    open_ = placed.join(mixed, "bucket").join(classes.select("id", "sig"), "id")
-    pairs = blocks(open_.select("bucket", "id", "part", "sig"), "bucket", "id").mapInArrow(_screen, "a bigint, b bigint")
+    open_ = placed.join(mixed, "bucket").select("bucket", "id", "part")
+    pairs = blocks(open_, "bucket", "id", classes.select("id", "sig")).mapInArrow(_screen, "a bigint, b bigint")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = scratch.save(_linked(tried, sets, percent), "links-2")
     if not more.isEmpty():

@@ -181,7 +181,7 @@ def test_ppm_without_training(spark):
 
 def test_block_pairs_meet_once(spark):
     df = spark.range(50).selectExpr("id", "cast(id % 2 as bigint) as bucket")
-    rows = blocks.blocks(df, "bucket", "id", 8).collect()
+    rows = blocks.blocks(df, "bucket", "id", df.select("id"), 8).collect()
     seen = Counter()
     groups = {}
     for r in rows:
