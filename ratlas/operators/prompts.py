@@ -9,8 +9,10 @@ from ratlas import schemas
 from ratlas.functions import jsonx, text
 from ratlas.functions.text import as_text
 
-#: Names that a template may use.
-ALLOWED = ("session_title", "session_date", "committee", "document_title", "document_text", "source_list", "analysis_result")
+#: Names that a template may use, its scopes and visibilities.
+ALLOWED = ("session_title", "session_date", "committee", "agenda_item", "document_text", "source_list", "analysis_goal")
+SCOPES = ("session", "tops", "document")
+VISIBILITIES = ("private", "shared")
 
 
 def read_templates(files: DataFrame) -> DataFrame:
@@ -32,15 +34,46 @@ def unknown_placeholders(template: Column) -> Column:
     return F.array_except(text.placeholders(template), F.array(*[F.lit(a) for a in ALLOWED]))
 
 
+def problems() -> Column:
+    """What is wrong with a template, as an array of text; empty if nothing is."""
+    blank = lambda c: F.btrim(as_text(F.col(c))) == ""
+    names = F.sort_array(unknown_placeholders(as_text(F.col("prompt_text"))))
+    bad_scope = (F.size("scopes") == 0) | (F.size(F.array_except("scopes", F.array(*[F.lit(s) for s in SCOPES]))) > 0)
+    tests = [
+        (blank("id"), F.lit("id is required")), (blank("label"), F.lit("label is required")), (F.coalesce(bad_scope, F.lit(True)), F.lit(f"scope must be one of {', '.join(sorted(SCOPES))}")),
+        (blank("prompt_text"), F.lit("prompt_text is required")), (~F.coalesce(F.col("visibility"), F.lit("private")).isin(*VISIBILITIES), F.lit(f"visibility must be one of {', '.join(sorted(VISIBILITIES))}")),
+        (F.col("revision") < 1, F.lit("revision must be >= 1")), (F.size(names) > 0, F.concat(F.lit("unknown placeholders: "), F.array_join(names, ", "))),
+    ]
+    return F.filter(F.array(*[F.when(t, m) for t, m in tests]), lambda x: x.isNotNull())
+
+
 def save(templates: DataFrame, changed: DataFrame) -> DataFrame:
-    """Templates with changed ones in their place, one revision higher than before; names that aren't allowed raise."""
-    if not changed.where(F.size(unknown_placeholders(F.col("prompt_text"))) > 0).isEmpty():
-        raise ValueError("a template uses a name that isn't allowed")
+    """Templates with changed ones in their place, one revision higher than before and with the names they use;
+    ValueError tells of the first template that has problems."""
+    bad = changed.select("id", F.array_join(problems(), "; ").alias("p")).where("p <> ''").orderBy("id").first()
+    if bad:
+        raise ValueError(f"{bad.id}: {bad.p}")
     old = templates.select("id", F.col("revision").alias("__old"))
     new = changed.join(old, "id", "left").withColumn("revision", F.coalesce(F.col("__old") + 1, F.col("revision"), F.lit(1))).drop("__old")
+    new = new.withColumn("variables", F.sort_array(text.placeholders(F.col("prompt_text"))))
     return templates.join(changed.select("id"), "id", "left_anti").unionByName(schemas.conform(new, schemas.PROMPT))
 
 
+def deactivated(templates: DataFrame, template_id: str) -> DataFrame:
+    """Templates with one switched off; nothing is deleted."""
+    return templates.withColumn("is_active", F.col("is_active") & (F.col("id") != template_id))
+
+
+def context(sessions: DataFrame, agenda: DataFrame, tops: tuple[str, ...] = (), goal: str = "") -> DataFrame:
+    """session_id and the values of a template's names: the sources are the agenda items, of a choice those chosen."""
+    items = agenda.where(F.col("number").isin(*tops)) if tops else agenda
+    line = F.btrim(F.concat(F.lit("- "), as_text(F.col("number")), F.lit(" "), as_text(F.col("title"))))
+    lists = items.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("id", line.alias("line")))).alias("l")).select("session_id", F.array_join("l.line", "\n").alias("source_list"))
+    df = sessions.join(lists, "session_id", "left")
+    title = F.coalesce(text.filled(F.col("meeting_name")), text.filled(F.col("committee")), F.col("session_id"))
+    return df.select("session_id", title.alias("session_title"), F.col("date").alias("session_date"), as_text(F.col("committee")).alias("committee"), F.lit(", ".join(tops)).alias("agenda_item"), F.lit("").alias("document_text"), as_text(F.col("source_list")).alias("source_list"), F.lit(goal).alias("analysis_goal"))
+
+
 def choice_error(requests: DataFrame, templates: DataFrame) -> DataFrame:
     """requests (request_id, template_id, scope) with error: none, missing, inactive, wrong_scope or null."""
     t = templates.select(F.col("id").alias("__id"), "scopes", "is_active")

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratlas.functions import dates, jsonx, text, urls
-from ratlas.operators import index, jobs, sessions, vectors
+from ratlas.functions import dates, jsonx, paths, text, urls
+from ratlas.operators import analysis, index, jobs, prompts, sessions, vectors
 from ratlas.plans import tables as t
 from ratlas.plans.tables import AGENDA_SQL, DOCUMENTS_SQL, SESSIONS_SQL, load
-from ratlas.sources import html_tables
+from ratlas.sources import html_tables, pdf_text, sinks
 
 TODAY = "1998-10-03"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -372,3 +372,44 @@ def tolerant_values(spark, sf_dir):
     e = F.col("event_type")
     word = F.when(e == "view", " True ").when(e == "click", "aktiv").when(e == "signup", "off").when(e == "purchase", "0").otherwise("vielleicht")
     return load(spark, sf_dir, "events").select("event_id", jsonx.tolerant_bool(word).alias("active"), jsonx.tolerant_int(F.get_json_object("props", "$.k")).alias("revision"))
+
+
+@query(f"WITH {SESSIONS_SQL} SELECT session_id, CASE WHEN year % 3 = 2 THEN '' ELSE session_path || '/a/' || session_id || '.pdf' END AS paths, CASE WHEN year % 2 = 0 THEN strftime(date::DATE, '%Y/%m/') || split_part(session_path, '/', -1) ELSE strftime(date::DATE, '%Y/%m/%Y-%m-%d-') || session_id END AS folder FROM sessions")
+def path_resolution(spark, sf_dir):
+    s, m = t.sessions(spark, sf_dir), F.col("year") % 3
+    local = F.when(m == 0, F.concat(F.lit("a\\"), F.col("session_id"), F.lit(".pdf"))).when(m == 1, F.concat(F.lit("./b/../a//"), F.col("session_id"), F.lit(".pdf"))).otherwise("../../../../../x.pdf")
+    folder = paths.output_folder(F.when(F.col("year") % 2 == 0, F.col("session_path")), F.col("date"), F.lit(""), F.col("session_id"))
+    return s.select("session_id", F.array_join(paths.candidates(F.col("session_path"), local), "|").alias("paths"), folder.alias("folder"))
+
+
+@query("SELECT o_orderkey::VARCHAR AS session_id, length('- Ö 1: Haushalt') + length(o_orderpriority) * 2 AS n, o_orderdate < TIMESTAMP '1998-10-03' AS past FROM orders")
+def analysis_context(spark, sf_dir):
+    s = t.sessions(spark, sf_dir)
+    agenda = F.array(F.struct(F.lit("Ö 1").alias("number"), F.lit("Haushalt").alias("title"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("string").alias("decision")))
+    none = F.expr("cast(array() as array<struct<agenda_item:string,document_type:string,title:string,source_available:boolean,transfer_mode:string,resolved_path:string,url:string,excerpt:string>>)")
+    text_ = analysis.context_markdown(F.struct("date", "committee", "meeting_name"), agenda, none, "session", [], F.lit(""), TODAY)
+    df = s.select("session_id", "committee", text_.alias("x"))
+    item, twice = F.regexp_extract("x", "(?m)^(- Ö 1: .*)$", 1), F.length("x") - F.length(F.replace("x", F.col("committee"), F.lit("")))
+    return df.select("session_id", (F.length(item) + twice).cast("long").alias("n"), F.contains("x", F.lit("vergangene Sitzung")).alias("past"))
+
+
+@query(f"WITH {SESSIONS_SQL}, {AGENDA_SQL} SELECT session_id, count(a.id)::BIGINT AS items, (count(*) FILTER (status = 'beschlossen'))::BIGINT AS accepted, (count(*) FILTER (status = 'vertagt'))::BIGINT AS rejected FROM sessions LEFT JOIN agenda a USING (session_id) GROUP BY session_id")
+def agenda_summaries(spark, sf_dir):
+    agenda = t.agenda(spark, sf_dir).withColumns({"reporter": F.lit(None).cast("string"), "documents_present": F.lit(1)})
+    out = sinks.agenda_summaries(t.sessions(spark, sf_dir), agenda, "t").withColumn("i", F.from_json("value", "agenda_items array<struct<decision:string>>"))
+    count = lambda d: F.size(F.filter("i.agenda_items", lambda x: x["decision"] == d)).cast("long")
+    return out.select("session_id", F.size("i.agenda_items").cast("long").alias("items"), count("accepted").alias("accepted"), count("rejected").alias("rejected"))
+
+
+@query(f"WITH {SESSIONS_SQL}, {AGENDA_SQL} SELECT session_id, meeting_name AS session_title, coalesce(string_agg('- ' || number || ' ' || title, chr(10) ORDER BY a.id), '') AS source_list FROM sessions LEFT JOIN agenda a USING (session_id) GROUP BY session_id, meeting_name")
+def prompt_context(spark, sf_dir):
+    return prompts.context(t.sessions(spark, sf_dir), t.agenda(spark, sf_dir)).select("session_id", "session_title", "source_list")
+
+
+@query("SELECT doc_id, 'ok' AS status, regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '', 'g') || ' eins zwei', ' +', ' ', 'g') || repeat(' lang', 20) AS text FROM documents")
+def pdf_extraction(spark, sf_dir):
+    stream = F.concat(F.lit("BT ("), F.col("source"), F.lit(" eins) Tj ET BT (zwei"), F.lit(" lang" * 20), F.lit(") Tj ET"))
+    raw = F.concat(F.lit("1 0 obj << /Type /Page /Contents 2 0 R >> endobj 2 0 obj << >> stream\n"), stream, F.lit("\nendstream endobj"))
+    files = load(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), raw.cast("binary").alias("content"), F.lit("application/pdf").alias("content_type"), F.length(raw).cast("long").alias("length"))
+    out = pdf_text.extract_files(files)
+    return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "extraction.status", "extraction.text")

@@ -93,8 +93,11 @@ def test_prompts(spark):
     assert [(r.id, r.scopes, r.is_active, r.revision) for r in prompts.listed(t).collect()] == [("a", ["tops", "session"], False, 1), ("b", ["tops"], True, 1)]
     saved = prompts.save(t, t.where("id = 'b'"))
     assert rows(saved, "id", "revision") == [("a", 1), ("b", 2)]
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match="unknown placeholders: fremd"):
         prompts.save(t, t.withColumn("prompt_text", F.lit("{{fremd}}")))
+    with pytest.raises(ValueError, match="prompt_text is required"):
+        prompts.save(t, t)
+    assert rows(prompts.deactivated(t, "b"), "id", "is_active") == [("a", False), ("b", False)]
     q = spark.createDataFrame([(1, "", "tops"), (2, "z", "tops"), (3, "a", "tops"), (4, "b", "x"), (5, "b", "tops")], "request_id int, template_id string, scope string")
     assert rows(prompts.choice_error(q, t), "request_id", "error") == [(1, "none"), (2, "missing"), (3, "inactive"), (4, "wrong_scope"), (5, None)]
 
