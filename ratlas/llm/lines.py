@@ -8,6 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ratlas.llm.common import SPACE, Scratch, slices
 
@@ -51,8 +52,9 @@ def _drop(least_chars: int, names: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
-    """docs with text freed of shared lines, and n_lines (before) and n_dropped (long).
+def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with text freed of shared lines, and the number of its lines before and of those dropped (long), under the
+    names in counts; columns of docs with these names are replaced.
 
     A text is split at line feeds (null or empty: one empty line). A line's key is the line without white space at its
     ends, A-Z in lower case. Keys of at least least_chars code points that at least least_docs different doc_ids hold
@@ -69,7 +71,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     shared = keys.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("holder")).where(F.col("n") >= least_docs)
     losing = keys.join(shared.select("key", "holder"), "key").where(~F.col("doc_id").eqNullSafe(F.col("holder")))
     bad = losing.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("key").alias("__bad"))
-    names = docs.columns
-    rows = docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(*names, "__bad")
-    schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
-    return rows.mapInArrow(_drop(least_chars, names), schema)
+    names = [c for c in docs.columns if c not in counts]
+    plain = [c if c == "text" else f"c{i}" for i, c in enumerate(names)]  # Arrow functions take no dotted names
+    rows = docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select(*[F.col(f"`{c}`").alias(p) for c, p in zip(names, plain, strict=True)], "__bad")
+    schema = StructType(rows.schema.fields[:-1]).add("n_lines", "long").add("n_dropped", "long")
+    return rows.mapInArrow(_drop(least_chars, plain), schema).toDF(*names, *counts)

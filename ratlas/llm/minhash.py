@@ -198,4 +198,4 @@ def near_texts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 def drop_near_texts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without near copies: of each component the document with the smallest doc_id stays."""
     gone = near_texts(docs, words, percent).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

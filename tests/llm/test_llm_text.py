@@ -108,7 +108,7 @@ def brute_lines(rows, chars=40, docs=5):
 def test_line_dedup(spark):
     a, b, c = "Ä" * 39, "Diese Zeile steht in VIELEN Texten und ist lang", "Eine weitere lange Zeile, die nur in vieren steht"
     rows = [(i, f"{a}\n  {b.upper() if i % 2 else b}\t\n{c if i < 4 else i}\n{b}\r") for i in range(8)] + [(8, None), (9, ""), (10, b + " "), (11, "\n\n"), (12, "\n".join([b] * 3000))]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_lines", F.lit("clash")).drop("n_lines")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n_lines", F.lit("clash")).withColumn("a.b", F.lit(1))
     got = {r.doc_id: (r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in lines.dedup_lines(df).collect()}
     assert got == brute_lines(rows)
     assert lines.dedup_lines(df.limit(0)).count() == 0
