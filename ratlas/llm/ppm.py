@@ -1,7 +1,10 @@
 """Prediction by partial matching over bytes: a context trie counted over the corpus, and code lengths of texts.
 
-A text is the code of its class (its language, where documents have one), its lower-cased words, each followed by a
-blank, and an end sign. A byte is predicted from up to ORDER bytes before it, back to the start of its word, which
+A text is a start sign, its lower-cased words, each followed by a blank, and an end sign. score_running predicts a byte
+from up to ORDER bytes before it, over blanks and the words before, back to the start of the text.
+
+score_texts is the cheaper model whose contexts end with the word: there a text starts with the code of its class (its
+language, where documents have one), and a byte is predicted from up to ORDER bytes before it, back to the start of its word, which
 stands as the code of the class: contexts that reach it know the language, shorter ones are shared. Contexts, counts and escapes are those of method C with symbol
 exclusion: in a context that was followed n times, by d different symbols, a symbol seen c times has c / (n + d) and
 the escape d / (n + d); after an escape, symbols of the longer context are excluded from the shorter one.
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +30,12 @@ ORDER = 6
 FREQUENT = 65_536
 #: Words of a block that shares the scores of its contexts.
 BLOCK_BITS = 14
+#: Bytes of running text whose distinct events are counted, and get their scores, together.
+CHUNK_BYTES = 32 << 20
+#: Bytes of running text that are turned into events at once: an event takes many times the memory of its byte.
+PIECE_BYTES = 1 << 20
+#: Events that wait until they are summed up.
+WAITING = 1 << 20
 END = "\n"
 #: Codes that stand for the start of a word: the most frequent classes have one each, all others share the first.
 CLASSES = (1, 2, 3, 4, 5, 6, 7, 8)
@@ -265,3 +275,201 @@ def score_texts(docs: DataFrame, held_percent: int = 10, by: str = "lang") -> Da
         F.sum(F.coalesce("score", F.col("times") * F.col("m_score"))).alias("score"),
     )
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _running(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The events of whole texts, coded as by _events, and how many each has."""
+    words, n = split_words(pc.ascii_lower(strings(text)))
+    n = np.asarray(n, np.int64)
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int64()), words)
+    ends = pa.array(["\n", " \n"], pa.large_string()).take(pa.array((n > 0).astype(np.int64)))
+    data = pc.binary_join_element_wise(pa.scalar(chr(CLASSES[0]), pa.large_string()), pc.binary_join(lists, pa.scalar(" ", pa.large_string())), ends, pa.scalar("", pa.large_string()))
+    offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    flat = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
+    start, size = offsets[:-1] - offsets[0], np.diff(offsets)
+    key = flat | (ORDER << 56)
+    for d in range(1, ORDER + 1):
+        key[d:] |= flat[:-d] << 8 * d
+    for place in range(1, ORDER):  # contexts that end at the start of the text
+        at = start[size > place] + place
+        key[at] = key[at] & _bits(place + 1) | place << 56
+    real = np.ones(len(key), bool)
+    real[start] = False
+    return key[real], size - 1
+
+
+def _sum_up(events: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    event, at = np.unique(np.concatenate(events), return_inverse=True)
+    return event, np.bincount(at, np.concatenate(counts), len(event)).astype(np.int64)
+
+
+def _group_of(event: np.ndarray, groups: int) -> np.ndarray:
+    return (event.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(groups)
+
+
+def _by_group(event: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of events by group, the groups that occur, and where each starts and ends in that order."""
+    group = _group_of(event, groups)
+    order = np.argsort(group, kind="stable")
+    found, first = np.unique(group[order], return_index=True)
+    return order, found.astype(np.int64), np.append(first, len(event))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Numbers by planes of bytes, compressed, after how many they are."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    n, wide = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * wide, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(wide, n).T).view(kind).ravel()
+
+
+def _chunks(groups: int, chunk_bytes: int, kind: pa.DataType):
+    """Rows as they are, with a number and that of their chunk; and for each chunk and group a row of its distinct events
+    with their counts in texts to learn from."""
+    names = ["chunk", "row", "doc_id", "held_out", "train", "code", "text", "part", "events", "counts"]
+    kinds = [pa.int64(), pa.int64(), kind, pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+
+    def close(chunk: int, events: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        event, c = _sum_up(events, counts)
+        order, found, bounds = _by_group(event, groups)
+        event, c = event[order], c[order]
+        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
+        packs = [[_pack(np.diff(event[a:b], prepend=0)) for a, b in spans], [_pack(c[a:b]) for a, b in spans]]
+        own = [pa.array(np.full(len(found), chunk)), *[pa.nulls(len(found), k) for k in kinds[1:7]], pa.array(found)]
+        return pa.RecordBatch.from_arrays([*own, *[pa.array(x, pa.binary()) for x in packs]], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 33
+        chunk, row, held, events, counts = first, first, 0, [], []
+        for batch in slices(batches, "text", PIECE_BYTES):
+            key, n = _running(batch.column("text"))
+            if held and held + len(key) > chunk_bytes:
+                yield close(chunk, events, counts)
+                chunk, held, events, counts = chunk + 1, 0, [], []
+            held += len(key)
+            train = np.repeat(batch.column("train").to_numpy(zero_copy_only=False), n)
+            learnt, c = np.unique(key[train], return_counts=True)
+            rest = np.unique(key[~train])
+            events += [learnt, rest]
+            counts += [c, np.zeros(len(rest), np.int64)]
+            if sum(map(len, events[1:])) > WAITING:
+                event, c = _sum_up(events, counts)
+                events, counts = [event], [c]
+            columns = [batch.column(x).cast(k) for x, k in zip(names[2:7], kinds[2:7], strict=True)]
+            ids = [pa.array(np.full(len(n), chunk)), pa.array(np.arange(row, row + len(n)))]
+            row += len(n)
+            yield pa.RecordBatch.from_arrays([*ids, *columns, *[pa.nulls(len(n), k) for k in kinds[7:]]], names=names)
+        if held:
+            yield close(chunk, events, counts)
+
+    return run
+
+
+def _merge_group(t: pa.Table) -> pa.Table:
+    """The counts of a group's events, over all chunks."""
+    events = [np.cumsum(_unpack(x, "i8")) for x in t.column("events").to_pylist()]
+    counts = [_unpack(x, "i8") for x in t.column("counts").to_pylist()]
+    event, n = _sum_up(events, counts)
+    return pa.table({"event": event, "c": n})
+
+
+def _scores_of_group(chunks: pa.Table, scored: pa.Table) -> pa.Table:
+    """For each chunk the scores of its events in the group, in their order."""
+    event = scored.column("event").to_numpy()
+    order = np.argsort(event)
+    event, score = event[order], scored.column("score").to_numpy()[order]
+    packs = [_pack(score[np.searchsorted(event, np.cumsum(_unpack(e, "i8")))]) for e in chunks.column("events").to_pylist()]
+    return pa.table({"chunk": chunks.column("chunk"), "part": chunks.column("part"), "scores": pa.array(packs, pa.binary())})
+
+
+def _sum_texts(groups: int):
+    def run(texts: pa.Table, scores: pa.Table) -> pa.Table:
+        batches = texts.select(["row", "text"]).to_batches()
+        own = [np.zeros(0, np.int64)]
+        for batch in slices(iter(batches), "text", PIECE_BYTES):
+            own.append(np.unique(_running(batch.column("text"))[0]))
+            if sum(map(len, own[1:])) > WAITING:
+                own = [np.unique(np.concatenate(own))]
+        event = np.unique(np.concatenate(own))
+        del own
+        packs = dict(zip(scores.column("part").to_pylist(), scores.column("scores").to_pylist(), strict=True))
+        order, found, _ = _by_group(event, groups)
+        score = np.zeros(len(event), np.float32)
+        score[order] = np.concatenate([_unpack(packs[g], "f4") for g in found.tolist()])
+        rows, sums = [], []
+        for batch in slices(iter(batches), "text", PIECE_BYTES):  # again: to remember each byte's event takes more memory
+            key, n = _running(batch.column("text"))
+            here, at = np.unique(key, return_inverse=True)
+            each = score[np.searchsorted(event, here)].astype(np.float64)[at]
+            rows.append(batch.column("row").to_numpy())
+            sums.append(np.add.reduceat(each, np.cumsum(n) - n))
+        return pa.table({"row": np.concatenate(rows), "score": np.concatenate(sums)})
+
+    return run
+
+
+def score_running(docs: DataFrame, held_percent: int = 10, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    As score_texts, but contexts run over the whole text, across words, and no class of the text is known.
+
+    Texts are dealt into chunks; a chunk's distinct events travel, packed, to the group of their hash, where counts of all
+    chunks are summed. Contexts are then scored by their last two bytes, and each chunk gets the scores of its events back
+    from the groups. Groups grow in number with the texts, so a group is about as large as a chunk.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "ppm")
+    kind, arrow = dict(docs.dtypes)["doc_id"], to_arrow_type(docs.schema["doc_id"].dataType)
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 < held_percent // 10
+    rows = docs.select("doc_id", "text", held.alias("held_out"), (~held).alias("train"), F.lit(CLASSES[0]).alias("code"))
+    n_train, size = rows.agg(F.count_if("train"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    groups = max(32, size // CHUNK_BYTES)
+    schema = f"chunk bigint, row bigint, doc_id {kind}, held_out boolean, train boolean, code int, text string, part bigint, events binary, counts binary"
+    both = scratch.save(rows.mapInArrow(_chunks(groups, chunk_bytes, arrow), schema), "chunks", compression="zstd")
+    texts = both.where("part is null").select("chunk", "row", "doc_id", "held_out", "train", "code", "text")
+    chunks = both.where("part is not null").select("chunk", "part", "events", "counts")
+
+    events = scratch.save(chunks.groupBy("part").applyInArrow(_merge_group, "event bigint, c bigint"), "events")
+    # counts of a symbol after one byte: at most 256 times 256 rows
+    first = np.zeros((256, 256), np.int64)
+    for r in events.groupBy(F.expr("cast(event & 65535 as int)").alias("pair")).agg(F.sum("c").alias("c")).collect():
+        first[r["pair"] >> 8, r["pair"] & 255] = r["c"]
+
+    def score_group(t: pa.Table) -> pa.Table:
+        event = t.column("event").to_numpy()
+        score = score_events(event, t.column("c").to_numpy(), first)
+        return pa.table({"part": _group_of(event, groups).astype(np.int64), "event": event, "score": score.astype(np.float32)})
+
+    scored = events.groupBy(F.expr("cast((event >> 8) & 65535 as int)").alias("last")).applyInArrow(score_group, "part bigint, event bigint, score float")
+    scored = scratch.save(scored, "scored")
+    scores = chunks.select("chunk", "part", "events").groupBy("part").cogroup(scored.groupBy("part")).applyInArrow(_scores_of_group, "chunk bigint, part bigint, scores binary")
+    sums = texts.select("chunk", "row", "text").groupBy("chunk").cogroup(scores.groupBy("chunk")).applyInArrow(_sum_texts(groups), "row bigint, score double")
+    sums = scratch.save(sums, "sums")
+
+    words = texts.select("text", "train", "code").mapInArrow(_count_words, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    words = scratch.save(words, "words")
+    seen, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    total, distinct = seen + n_train, distinct + (n_train > 0)
+    words = words.withColumn("base", F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1))))
+    top = words.orderBy(F.col("c").desc(), "word").limit(FREQUENT).select("word", "base", F.lit(0.0).alias("score"), (F.col("c") > 0).alias("known")).toArrow()
+    top = top.cast(pa.schema([("word", pa.string()), ("base", pa.float64()), ("score", pa.float64()), ("known", pa.bool_())]))
+    look = _look_up(top, {CLASSES[0]: (math.log10((n_train + 0.1) / (total + 0.1 * (distinct + 1))), 0.0)}, n_train > 0, arrow)
+    schema = f"row bigint, word string, times bigint, doc_id {kind}, held_out boolean, n_tokens bigint, base double, score double, known bigint"
+    parts = texts.select("row", "doc_id", "text", "held_out", "code").mapInArrow(look, schema).drop("score")
+    m = words.select(F.col("word").alias("m_word"), F.col("base").alias("m_base"), F.col("c").alias("m_c"))
+    joined = parts.join(m, F.col("word") == F.col("m_word"), "left").drop("word", "m_word").unionByName(sums, allowMissingColumns=True)
+    out = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("held_out").alias("held_out"),
+        F.max("n_tokens").alias("n_tokens"),
+        F.sum(F.coalesce("known", F.when(F.col("m_c") > 0, F.col("times")), F.lit(0))).alias("n_known"),
+        F.sum(F.coalesce("base", F.col("times") * F.col("m_base"))).alias("base_score"),
+        F.sum("score").alias("score"),
+    )
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -58,7 +58,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score_texts(_table(spark, sf_dir, "documents"))
+    return ppm.score_running(_table(spark, sf_dir, "documents"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
