@@ -28,10 +28,11 @@ STOP_WORDS = frozenset(
     donde quien desde todo durante""".split()
 )
 #: Elements by their role.
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "object", "select", "option", "button", "canvas", "audio", "video", "noframes", "xmp")
+RAW = frozenset("script style title textarea iframe noframes xmp".split())
+DROPPED = frozenset("noscript template svg math object select option button canvas audio video".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("nav footer aside form menu dialog head fieldset".split())
+BOILERPLATE = frozenset("nav footer aside form menu dialog head fieldset datalist".split())
 CONTENT = frozenset(("article", "main"))
 #: Words in class, id or role that name what isn't the article.
 MARKS = frozenset(
@@ -41,7 +42,8 @@ MARKS = frozenset(
     contentinfo complementary toolbar widget masthead pagination pager skip""".split()
 )
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
+_ENDS = {x: re.compile(rf"</{x}(?![\w:-])[^>]*>", re.I) for x in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD_ENDS = ".,;:!?\"'()«»„“”…"
@@ -97,7 +99,7 @@ class _Page:
         if self.link:
             self.linked.append(text)
 
-    def open(self, tag: str, rest: str) -> None:
+    def open(self, tag: str, rest: str, spared: bool = False) -> None:
         self.flush()
         self.link = False
         if tag in VOID:
@@ -109,8 +111,7 @@ class _Page:
                 self.stack.pop()
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and self.stack and self.stack[-1][0] == tag:
             self.stack.pop()
-        names = {w for m in _NAMES.finditer(rest) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-        bad = tag in BOILERPLATE or tag not in ("html", "body") and (bool(names & MARKS) or bool(_HIDDEN.search(rest)))
+        bad = tag in BOILERPLATE or tag not in ("html", "body") and (not spared and _marked(rest) or bool(_HIDDEN.search(rest)))
         section = self.stack[-1][2] if self.stack else 0
         if tag in CONTENT and not bad:
             self.sections += 1
@@ -126,29 +127,98 @@ class _Page:
                 return
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The blocks of text of a page, in order. Works on any string; unclosed elements end with their parent."""
-    state, at = _Page(), 0
-    for m in _TOKEN.finditer(page):
+def _marked(rest: str) -> bool:
+    """A class, id or role is a mark as a whole, or made of marks alone: has-sidebar isn't one, cookie-notice is."""
+    names = {w for m in _NAMES.finditer(rest) for w in (m[1] or m[2] or m[3] or "").lower().split()}
+    return any((words := set(re.split(r"[^a-z]+", w)) - {""}) and words <= MARKS for w in names)
+
+
+def _tokens(page: str) -> list[tuple[str, str, bool, str]]:
+    """Texts (with an empty tag) and tags: text, tag, whether it ends an element, attributes. Raw elements are left out; a
+    script or style without end goes on to the end of the page, any other is a tag like all others."""
+    out, at, endless = [], 0, set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
-            state.say(page[at : m.start()])
+            out.append((page[at : m.start()], "", False, ""))
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
-        if tag == "a":
-            state.link = not m["end"] and "href" in m["rest"].lower()
+        if tag in RAW and not m["end"] and tag not in endless and (tag in ("script", "style") or not m["rest"].endswith("/")):
+            if end := _ENDS[tag].search(page, at):
+                at = end.end()
+                continue
+            endless.add(tag)
+            if tag in ("script", "style"):
+                return out
+        out.append(("", tag, bool(m["end"]), m["rest"]))
+    if at < len(page):
+        out.append((page[at:], "", False, ""))
+    return out
+
+
+def _structure(tokens: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int], set[int], set[int]]:
+    """The end of each dropped element that has one; and the elements that hold a main or an article without marks."""
+    ends, mains, articles = {}, set(), set()
+    stack: list[int] = []
+    count: dict[str, int] = {}
+    for i, (_, tag, end, rest) in enumerate(tokens):
+        if not tag or tag in INLINE or tag in VOID:
+            continue
+        if end:
+            while count.get(tag):
+                k = stack.pop()
+                count[tokens[k][1]] -= 1
+                if tokens[k][1] == tag:
+                    if tag in DROPPED:
+                        ends[k] = i
+                    break
+        elif not (tag in DROPPED | RAW and rest.endswith("/")):
+            if tag in CONTENT and not _marked(rest) and not _HIDDEN.search(rest):
+                holders = mains if tag == "main" else articles
+                for k in reversed(stack):
+                    if k in holders:
+                        break
+                    holders.add(k)
+            stack.append(i)
+            count[tag] = count.get(tag, 0) + 1
+    return ends, mains, articles
+
+
+def _read(tokens: list[tuple[str, str, bool, str]], ends: dict[int, int], spared: set[int]) -> list[Block]:
+    state, i, silent = _Page(), -1, False
+    while (i := i + 1) < len(tokens):
+        text, tag, end, rest = tokens[i]
+        if not tag:
+            if not silent:
+                state.say(text)
+        elif tag == "a":
+            state.link = not end and "href" in rest.lower()
+        elif tag in DROPPED or tag in RAW:
+            # one without end is over at the next tag of another block; so is a raw one
+            silent = not end and i not in ends and not rest.endswith("/")
+            i = ends.get(i, i)
         elif tag not in INLINE:
-            if m["end"]:
+            silent = False
+            if end:
                 state.close(tag)
             else:
-                state.open(tag, m["rest"])
-    if at < len(page):
-        state.say(page[at:])
+                state.open(tag, rest, i in spared)
     state.flush()
     return state.blocks
 
 
+def blocks_of(page: str) -> list[Block]:
+    """The blocks of text of a page, in order. Works on any string; unclosed elements end with their parent. Marks don't
+    count on what holds the page's main, nor, where no article is left otherwise, on what holds an article."""
+    tokens = _tokens(page)
+    ends, mains, articles = _structure(tokens)
+    blocks = _read(tokens, ends, mains)
+    if articles and not any(b.section and not b.bad_place for b in blocks):
+        blocks = _read(tokens, ends, mains | articles)
+    return blocks
+
+
 def first_pass(blocks: list[Block], rules: Rules) -> None:
     """Label blocks good, bad or open (to be decided by their neighbours)."""
     sections = any(b.section and not b.bad_place for b in blocks)

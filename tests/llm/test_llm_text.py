@@ -127,6 +127,26 @@ def test_html_article():
     assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<nav><a href=x>y</a></nav>") == ""
 
 
+@pytest.mark.parametrize("tag", ["<svg viewBox='0 0 1 1'/>", "<button>Teilen", "<datalist id=d><option>A<option>B</datalist>", "<video-player src=x></video-player>", "<button-group>", "<svg><path d=M0>", "<iframe src=x />", "<textarea>", "<video src=x>", "<select><option>A<option>B", "<object data=x></object>", "<select><option>A</select>"])
+def test_html_goes_on_after_unclosed_elements(tag):
+    assert html_text.main_text(f"<article><p>Eins.</p><div>{tag}</div><p>Zwei.</p>{tag}<p>Drei.</p></article><p>Aus</p>") == "Eins. Zwei. Drei."
+    assert html_text.main_text(f"<article><p>Eins <svg><g><text>x</text></g></svg>mal<button>Teilen</button> zwei.</p></article>") == "Eins mal zwei."
+
+
+def test_html_script_without_end():
+    assert html_text.main_text("<article><p>Eins.</p><script>if (a < b) <p>x</p>") == "Eins."
+    assert html_text.main_text("<article><p>Eins.</p><script-x></script-x><p>Zwei.</p></article>") == "Eins. Zwei."
+
+
+@pytest.mark.parametrize("page", ["<div class='content has-sidebar'><article>{}</article></div>", "<main class='with-sidebar'>{}</main>", "<article class='post no-comments'>{}</article>", "<div class='overlay'><main>{}</main></div>", "<div id=search><article>{}</article></div>"])
+def test_html_marks_are_whole_names(page):
+    text = "<p>Der Rat hat die Vorlage beschlossen.</p>"
+    assert html_text.main_text(page.format(text + "<div class='cookie-notice'>Kekse</div><div class='ad ad-2'>Kauf</div>")) == "Der Rat hat die Vorlage beschlossen."
+    after = "<section id=comments><article><p>Ein Kommentar.</p></article></section>"
+    if "overlay" not in page and "search" not in page:
+        assert html_text.main_text(page.format(text) + after) == "Der Rat hat die Vorlage beschlossen."
+
+
 def test_html_without_article():
     body = "The cat and the dog are in the house of the man who was with them for a long time, and it is what they want to do there. "
     page = f"<div><a href=1>Home</a> <a href=2>News</a></div><h2>Title</h2><p>{body * 3}</p><p>Yes.</p><p>{body * 2}</p><div><a href=3>One</a><a href=4>Two</a></div><p>(c)</p>"
