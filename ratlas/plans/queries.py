@@ -118,6 +118,11 @@ def missing_left_anti(spark, sf_dir):
     return index.missing(load(spark, sf_dir, "documents").select("doc_id", "lang"), load(spark, sf_dir, "labels"), "doc_id", 50)
 
 
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def missing_left_anti_all(spark, sf_dir):
+    return index.missing(load(spark, sf_dir, "documents").select("doc_id", "lang"), load(spark, sf_dir, "labels"), "doc_id")
+
+
 @query("SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'en')")
 def orphans(spark, sf_dir):
     return index.orphans(load(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id"), load(spark, sf_dir, "labels"), "doc_id")
