@@ -230,6 +230,16 @@ def labelled_sections(spark, sf_dir):
     return df.select("doc_id", "c.status", "c.quality", F.array_join("c.sections", ",").alias("sections"), F.try_element_at("c.fields", F.lit("begruendung")).alias("begruendung"))
 
 
+@query()
+def labelled_sections_whole(spark, sf_dir):
+    body = F.concat(F.lit("Beschlussvorschlag: "), text.as_text(F.col("text")), F.lit("\nBegruendung: "), text.as_text(F.col("text")))
+    c = text.parse_content(F.when(F.col("doc_id") % 3 == 0, "Beschlussvorlage").when(F.col("doc_id") % 3 == 1, "protokoll").otherwise("brief"), body, F.col("source"))
+    df = load(spark, sf_dir, "documents").select("doc_id", c.alias("c"))
+    field = lambda x: F.try_element_at("c.fields", F.lit(x))
+    own = [y for x in ("beschlusstext", "begruendung") for y in (F.length(field(x)).alias(f"{x}_chars"), F.sha2(field(x), 256).alias(f"{x}_sha256"))]
+    return df.select("doc_id", "c.status", "c.quality", F.array_join("c.sections", ",").alias("sections"), *own)
+
+
 @query("SELECT doc_id, 3 AS headings, 'Beschlussvorschlag|Begruendung|Anlagen' AS names FROM documents")
 def section_headings(spark, sf_dir):
     body = F.concat(F.lit("Beschlussvorschlag: a. Begruendung : "), F.regexp_replace("text", ":", ""), F.lit(" Anlagen: keine"))
