@@ -195,12 +195,20 @@ def german_dates(spark, sf_dir):
 
 @query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN '2026' || strftime(o_orderdate, '-%m-%d') WHEN 3 THEN CASE WHEN day(o_orderdate) <= 28 THEN '2026-02-' || strftime(o_orderdate, '%d') END END AS day FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'")
 def day_value_parse(spark, sf_dir):
+    return _day_values(load(spark, sf_dir, "orders").where(F.date_format("o_orderdate", "MM-dd") != "02-29"))
+
+
+def _day_values(df: DataFrame) -> DataFrame:
     d, m = F.col("o_orderdate"), F.col("o_orderkey") % 5
     raw = F.when(m == 0, F.concat(F.lit("Mi, "), F.date_format(d, "dd.MM.yyyy"))).when(m == 1, F.concat(F.date_format(d, "d.M."), F.date_format(d, "yyyy"))).when(m == 2, F.concat(F.lit("Fr.,  "), F.date_format(d, "dd.MM."))).when(m == 3, F.date_format(d, "d.")).otherwise("31.02.2026")
-    df = load(spark, sf_dir, "orders").where(F.date_format(d, "MM-dd") != "02-29")
     return df.select("o_orderkey", dates.day_value(raw, F.lit(2026), F.lit(2)).cast("string").alias("day"))
 
 
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN CASE WHEN strftime(o_orderdate, '%m-%d') <> '02-29' THEN '2026' || strftime(o_orderdate, '-%m-%d') END WHEN 3 THEN CASE WHEN day(o_orderdate) <= 28 THEN '2026-02-' || strftime(o_orderdate, '%d') END END AS day FROM orders")
+def day_value_parse_all(spark, sf_dir):
+    return _day_values(load(spark, sf_dir, "orders"))
+
+
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'k' || page_id WHEN page_id % 3 = 1 THEN page_id::VARCHAR ELSE url END AS session_id FROM pages")
 def url_session_id(spark, sf_dir):
     p = F.col("page_id")

@@ -1,5 +1,6 @@
 """Queries that leave out no row and no part of a text, on small tables of their own."""
 
+import datetime
 import hashlib
 import re
 
@@ -18,6 +19,13 @@ def test_missing_has_no_limit(spark, tmp_path):
     assert sorted(r.doc_id for r in QUERIES["missing_left_anti_all"](spark, folder).collect()) == list(range(5, 75))
 
 
+def test_leap_days_are_null(spark, tmp_path):
+    leap = datetime.datetime(1996, 2, 29)
+    folder = written(spark, tmp_path, "orders", [(i, leap) for i in range(5)] + [(7, datetime.datetime(1996, 3, 1))], "o_orderkey bigint, o_orderdate timestamp")
+    got = {r.o_orderkey: r.day for r in QUERIES["day_value_parse_all"](spark, folder).collect()}
+    assert got == {0: "1996-02-29", 1: "1996-02-29", 2: None, 3: None, 4: None, 7: "2026-03-01"}
+
+
 def brute_section(body, labels, stops):
     """What follows the first label up to the first stop label behind it, by looking at every place."""
     word = lambda s, i: 0 <= i < len(s) and bool(re.match(r"\w", s[i]))
