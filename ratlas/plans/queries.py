@@ -226,6 +226,12 @@ def text_quality(spark, sf_dir):
     return q.select("doc_id", F.col("q.chars").cast("long").alias("chars"), "q.status", "q.quality")
 
 
+@query(f"WITH b AS (SELECT doc_id, length({_BODY}) AS n FROM documents) SELECT doc_id, n::BIGINT AS chars, CASE WHEN n = 0 THEN 'empty_text' WHEN n < 80 THEN 'partial' ELSE 'ok' END AS status, CASE WHEN n = 0 THEN 'failed' WHEN n < 80 THEN 'low' WHEN n < 500 THEN 'medium' ELSE 'high' END AS quality FROM b")
+def text_quality_whole(spark, sf_dir):
+    q = load(spark, sf_dir, "documents").select("doc_id", text.text_quality(F.col("text"), 2**31 - 1, F.lit(False)).alias("q"))
+    return q.select("doc_id", F.col("q.chars").cast("long").alias("chars"), "q.status", "q.quality")
+
+
 def _council_text() -> F.Column:
     line = F.substring(F.regexp_replace("text", r"[^a-z ]+", " "), 1, 60)
     return F.concat(F.lit("Beschlussvorschlag: "), line, F.lit("\nBegründung: nein\nBegruendung: weil\n\n "), F.col("source"), F.lit("\nFinanzielle  Auswirkungen: keine"))

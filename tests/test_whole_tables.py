@@ -26,6 +26,14 @@ def test_leap_days_are_null(spark, tmp_path):
     assert got == {0: "1996-02-29", 1: "1996-02-29", 2: None, 3: None, 4: None, 7: "2026-03-01"}
 
 
+def test_chars_of_whole_texts(spark, tmp_path):
+    folder = written(spark, tmp_path, "documents", [(1, "ab " * 30_000), (2, None), (3, "x" * 40_001)], "doc_id bigint, text string")
+    got = {r.doc_id: (r.chars, r.status, r.quality) for r in QUERIES["text_quality_whole"](spark, folder).collect()}
+    assert got == {1: (89_999, "ok", "high"), 2: (0, "empty_text", "failed"), 3: (40_001, "ok", "high")}
+    cut = text.text_quality(text.F.col("text"), 40_000, text.F.lit(False))
+    assert {r.n for r in spark.createDataFrame([("ab " * 30_000,)], "text string").select(cut["chars"].alias("n")).collect()} == {40_000}
+
+
 def brute_section(body, labels, stops):
     """What follows the first label up to the first stop label behind it, by looking at every place."""
     word = lambda s, i: 0 <= i < len(s) and bool(re.match(r"\w", s[i]))
