@@ -74,3 +74,9 @@ def test_running_without_training(spark):
     assert ppm.score_running(df.limit(0)).count() == 0
     nulls = spark.createDataFrame([(None, "a b"), (None, None), (1, "a"), (1, "a")], "doc_id bigint, text string")
     assert ppm.score_running(nulls).count() == 4
+
+
+def test_no_language_shares_anothers_words(spark):
+    texts = [(10 * k + j, f"wort{j} und satz {k}") for k in range(12) for j in range(3)]
+    score = lambda lang: {r.doc_id: r.score for r in ppm.score_running(spark.createDataFrame([(i, t, lang(i)) for i, t in texts], "doc_id bigint, text string, lang string")).collect()}
+    assert score(lambda i: f"l{i // 10}") == pytest.approx(score(lambda i: None))
