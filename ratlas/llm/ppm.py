@@ -13,7 +13,7 @@ the escape d / (n + d); after an escape, symbols of the longer context are exclu
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -303,6 +303,28 @@ def _sum_up(events: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return event, np.bincount(at, np.concatenate(counts), len(event)).astype(np.int64)
 
 
+def _union(events: Iterable[np.ndarray]) -> np.ndarray:
+    """The distinct ones of sorted events, never many more than WAITING besides them at once."""
+    out, wait = np.zeros(0, np.int64), []
+    for e in events:
+        wait.append(e)
+        if sum(map(len, wait)) > WAITING:
+            out, wait = np.unique(np.concatenate([out, *wait])), []
+    return np.unique(np.concatenate([out, *wait])) if wait else out
+
+
+def _scores_at(event: np.ndarray, score: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The score of each key, all of which are among the sorted events. Keys are sorted together with their places, by as
+    many of their first bits as fit beside those; runs of equal keys are looked up once."""
+    bits = len(key).bit_length()
+    order = np.sort(key >> max(0, bits - 4) << bits | np.arange(len(key))) & ((1 << bits) - 1)
+    key = key[order]
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    out = np.empty(len(key))
+    out[order] = np.repeat(score[np.searchsorted(event, key[new])], np.diff(np.append(new, len(key))))
+    return out
+
+
 def _group_of(event: np.ndarray, groups: int) -> np.ndarray:
     return (event.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(groups)
 
@@ -334,7 +356,10 @@ def _chunks(groups: int, chunk_bytes: int, kind: pa.DataType):
     kinds = [pa.int64(), pa.int64(), kind, pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
 
     def close(chunk: int, events: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        event, c = _sum_up(events, counts)
+        event = _union(events)
+        c = np.zeros(len(event), np.int64)
+        for e, n in zip(events, counts, strict=True):
+            c[np.searchsorted(event, e)] += n  # no event is twice in a piece
         order, found, bounds = _by_group(event, groups)
         event, c = event[order], c[order]
         spans = list(zip(bounds[:-1], bounds[1:], strict=True))
@@ -355,10 +380,7 @@ def _chunks(groups: int, chunk_bytes: int, kind: pa.DataType):
             learnt, c = np.unique(key[train], return_counts=True)
             rest = np.unique(key[~train])
             events += [learnt, rest]
-            counts += [c, np.zeros(len(rest), np.int64)]
-            if sum(map(len, events[1:])) > WAITING:
-                event, c = _sum_up(events, counts)
-                events, counts = [event], [c]
+            counts += [c.astype(np.int32), np.zeros(len(rest), np.int32)]
             columns = [batch.column(x).cast(k) for x, k in zip(names[2:7], kinds[2:7], strict=True)]
             ids = [pa.array(np.full(len(n), chunk)), pa.array(np.arange(row, row + len(n)))]
             row += len(n)
@@ -389,13 +411,7 @@ def _scores_of_group(chunks: pa.Table, scored: pa.Table) -> pa.Table:
 def _sum_texts(groups: int):
     def run(texts: pa.Table, scores: pa.Table) -> pa.Table:
         batches = texts.select(["row", "text"]).to_batches()
-        own = [np.zeros(0, np.int64)]
-        for batch in slices(iter(batches), "text", PIECE_BYTES):
-            own.append(np.unique(_running(batch.column("text"))[0]))
-            if sum(map(len, own[1:])) > WAITING:
-                own = [np.unique(np.concatenate(own))]
-        event = np.unique(np.concatenate(own))
-        del own
+        event = _union(np.unique(_running(b.column("text"))[0]) for b in slices(iter(batches), "text", PIECE_BYTES))
         packs = dict(zip(scores.column("part").to_pylist(), scores.column("scores").to_pylist(), strict=True))
         order, found, _ = _by_group(event, groups)
         score = np.zeros(len(event), np.float32)
@@ -403,10 +419,8 @@ def _sum_texts(groups: int):
         rows, sums = [], []
         for batch in slices(iter(batches), "text", PIECE_BYTES):  # again: to remember each byte's event takes more memory
             key, n = _running(batch.column("text"))
-            here, at = np.unique(key, return_inverse=True)
-            each = score[np.searchsorted(event, here)].astype(np.float64)[at]
             rows.append(batch.column("row").to_numpy())
-            sums.append(np.add.reduceat(each, np.cumsum(n) - n))
+            sums.append(np.add.reduceat(_scores_at(event, score, key), np.cumsum(n) - n))
         return pa.table({"row": np.concatenate(rows), "score": np.concatenate(sums)})
 
     return run
