@@ -1,4 +1,4 @@
-"""An analysis from its request to its artifacts; the model is a function that is passed in."""
+"""An analysis from its request to its article; the model is a function that is passed in."""
 
 from __future__ import annotations
 

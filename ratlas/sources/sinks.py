@@ -1,4 +1,4 @@
-"""Files for people and other programs: manifests, summaries, exports and artifacts."""
+"""Files for people and other programs: manifests, summaries, exports and given texts."""
 
 from __future__ import annotations
 
