@@ -13,29 +13,57 @@ from pyspark.sql import functions as F
 
 from ratlas.llm.common import Scratch, slices, split_words, strings
 
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+#: Pieces, and code points of pieces, whose ids a worker remembers; beyond that it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 32 << 20
+#: What the shortcut for words knows. Normalisers that never act across white space, and patterns that drop
+#: white space and always cut between a letter or digit and a mark of WordTokenizer.CUT.
+NORMALIZERS = ({"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"})
+PATTERNS = ("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",)
 _memories: dict[str, WordTokenizer] = {}
 
 
+def splits_at_space(spec: dict) -> bool:
+    """Whether a tokenizer file's own definitions prove that a text's ids are those of its words in a row."""
+    normal = (spec.get("normalizer") or {}).get("normalizers")
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    cut, rest = steps[0], steps[1:]
+    return (
+        normal == list(NORMALIZERS)
+        and cut.get("type") == "Split"
+        and cut.get("pattern", {}).get("Regex") in PATTERNS
+        and (cut.get("behavior"), cut.get("invert")) == ("Removed", True)
+        and all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in rest)
+        and not any(spec.get(k) for k in ("truncation", "padding", "post_processor"))
+        and spec["model"].get("type") == "BPE"
+        and not spec["model"].get("dropout")
+        and not any(x.get("normalized") or x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec.get("added_tokens", []))
+    )
+
+
 class WordTokenizer:
-    """A tokenizer file of the library whose text splits at white space into words that are encoded alone.
+    """A tokenizer file of the library; each distinct piece of text is encoded once and then remembered.
 
-    That holds for files that drop white space and cut at every change between letters and the marks in CUT; such a
-    text's ids are those of its words in a row. Each distinct word is encoded once and then remembered. Texts that
-    spell a special token go to the library whole.
+    The pieces are words between white space if the file proves that they can be encoded alone (splits_at_space): no
+    normalisation reaches across a blank and no token holds one. Words of code points below U+0300, without U+0130, are
+    also lower-cased (A-Z) and cut before marks that follow a letter or digit: nothing in them is composed or taken
+    apart, so the file's own normaliser and pattern come to the same. All other words reach the library as they are.
+    Texts that spell a special token, and all texts of any other file, go to the library whole.
     """
 
     #: Between a letter or digit and one of these marks the file's own pattern always cuts.
     CUT = r"([\pL\pN])([.,;:!?%&$#*|]+)"
+    #: Code points that normalisation leaves alone and whose lower case is one letter.
+    PLAIN = r"^[\x00-\x{12F}\x{131}-\x{2FF}]*$"
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
+        self.by_word = splits_at_space(json.loads(self.tool.to_str()))
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         self.known: dict[str, int] = {}
         self._forget()
@@ -50,41 +78,56 @@ class WordTokenizer:
     def _forget(self) -> None:
         self.known.clear()
         self.ids = np.zeros(1 << 16, np.int32)
-        self.ends = np.zeros(1 << 16, np.int64)  # of word i's ids; they start at ends[i - 1]
-        self.n = 0
+        self.ends = np.zeros(1 << 16, np.int64)  # of piece i's ids; they start at ends[i - 1]
+        self.n = self.chars = 0
 
-    def _learn(self, words: list[str]) -> None:
-        found = [x.ids for x in self.tool.encode_batch_fast(words, add_special_tokens=False)]
+    def _learn(self, pieces: list[str]) -> None:
+        found = [x.ids for x in self.tool.encode_batch_fast(pieces, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         start = self.ends[self.n - 1] if self.n else 0
         ends = start + np.cumsum(sizes)
         while len(self.ids) < ends[-1]:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while len(self.ends) < self.n + len(words):
+        while len(self.ends) < self.n + len(pieces):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
         self.ids[start : ends[-1]] = np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
-        self.ends[self.n : self.n + len(words)] = ends
-        self.known.update(zip(words, range(self.n, self.n + len(words)), strict=True))
-        self.n += len(words)
+        self.ends[self.n : self.n + len(pieces)] = ends
+        self.known.update(zip(pieces, range(self.n, self.n + len(pieces)), strict=True))
+        self.n += len(pieces)
+        self.chars += sum(map(len, pieces))
+
+    def _place(self, pieces: list[str]) -> np.ndarray:
+        """The number of each of the distinct pieces, which are learnt if they are new."""
+        if self.n + len(pieces) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self._forget()
+        if new := [w for w in pieces if w not in self.known]:
+            self._learn(new)
+        return np.fromiter((self.known[w] for w in pieces), np.int64, len(pieces))
 
     def encode(self, text: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row (int32), each text's followed by end, and the number of ids of each text."""
         text = strings(text)
-        whole = np.zeros(len(text), bool)
+        whole = np.full(len(text), not self.by_word)
         for t in self.special:
             whole |= pc.match_substring(text, t).to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(whole), "", text) if whole.any() else text
-        flat, n_words = split_words(pc.replace_substring_regex(pc.ascii_lower(plain), self.CUT, r"\1 \2"))
-        coded = flat.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if self.n + len(words) > REMEMBERED:
-            self._forget()
-        if new := [w for w in words if w not in self.known]:
-            self._learn(new)
-        at = np.fromiter((self.known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()] if words else np.zeros(0, np.int64)
-        begin = np.where(at > 0, self.ends[at - 1], 0)
-        size = self.ends[at] - begin if self.n else at
-        ids = self.ids[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        words, n_words = split_words(plain)
+        words = words.dictionary_encode()
+        distinct = words.dictionary
+        simple = pc.match_substring_regex(distinct, self.PLAIN)
+        cut = pc.replace_substring_regex(pc.ascii_lower(distinct), self.CUT, r"\1 \2")
+        pieces, n_pieces = split_words(pc.if_else(simple, cut, distinct))
+        pieces = pieces.dictionary_encode()
+        at = self._place(pieces.dictionary.to_pylist())
+        at = at[pieces.indices.to_numpy()] if len(at) else at
+        # pieces of a distinct word lie in a row, so its ids are gathered once, then those of every occurrence
+        ids, size = self._gather(at)
+        total = np.concatenate([[0], np.cumsum(size)])
+        stop = np.cumsum(n_pieces)
+        first, last = total[stop - n_pieces], total[stop]
+        which = words.indices.to_numpy()
+        begin, size = (first[which], (last - first)[which]) if len(which) else (which, which)
+        ids = ids[_ranges(begin, size)]
         total = np.concatenate([[0], np.cumsum(size)])
         ends = np.cumsum(n_words)
         counts = total[ends] - total[ends - n_words]
@@ -99,6 +142,17 @@ class WordTokenizer:
             counts = counts + 1
         return ids, counts
 
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces in a row, and how many each has."""
+        begin = np.where(at > 0, self.ends[at - 1], 0)
+        size = self.ends[at] - begin
+        return self.ids[_ranges(begin, size)], size
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1 ... (size[0] of them), begin[1] ... as indices."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
 
 def _encode(path: str, end: int | None, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Token files, packing and archives: exact round trips."""
 
 import io
+import random
 import zlib
 from collections import defaultdict
 
@@ -40,6 +41,33 @@ def test_encoding_of_odd_texts(tool, texts):
     assert counts.sum() == len(ids)
 
 
+def test_encoding_over_all_of_unicode(tool):
+    rnd = random.Random(3)
+    odd = [0x95F, 0x9DF, 0x95C, 0x958, 0x9DC, 0xA33, 0xFB1D, 0x2ADC, 0x1D15E, 0x212B, 0x130, 0x131, 0x1E9E, 0x345, 0x3A3, 0x3C2, 0xAC00, 0x1100, 0x1161, 0x85, 0xA0, 0x2028, 0x3000, 0x1C, 0x200B]
+    marks = [0x300, 0x301, 0x308, 0x30C, 0x331, 0x327, 0x307, 0x323, 0x93C, 0x9BC, 0x5BC, 0x3099]
+
+    def char():
+        kind = rnd.choice("aaasmolu")
+        if kind == "u":
+            return chr(rnd.choice([rnd.randrange(0xD800), rnd.randrange(0xE000, 0x110000)]))
+        return chr({"a": rnd.randrange(33, 127), "s": ord(rnd.choice(" \t\n\r\x0b\x0c")), "m": rnd.choice(marks), "o": rnd.choice(odd), "l": rnd.randrange(0xA1, 0x300)}[kind])
+
+    texts = ["".join(char() for _ in range(rnd.randrange(25))) for _ in range(20_000)] + ["H\u0331ello T\u0308 J\u030c", "\u095f, \u09df. \u095c."]
+    ids, counts = tool.encode(pa.array(texts))
+    assert tool.by_word
+    for text, got in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert got.tolist() == tool.tool.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_other_files_get_whole_texts():
+    import public_tokenizers
+
+    tool = tokens.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not tool.by_word
+    ids, _ = tool.encode(pa.array(TEXTS, pa.string()), 2)
+    assert ids.tolist() == [i for t in TEXTS for i in whole(tool, t, 2)]
+
+
 def test_memory_is_bounded(tool, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     fresh = tokens.WordTokenizer(tokenizer_path())
@@ -87,6 +115,53 @@ def test_packing_of_sizes(sizes):
     assert len(bins) <= -(-total // 60) + 2  # gaps below the least cut stay
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 64), max_size=60))
+def test_rests_are_first_fit_decreasing(sizes):
+    bins = []
+    for size, d in sorted(((n, d) for d, n in enumerate(sizes) if 0 < n < 64), key=lambda x: -x[0]):
+        at = next((b for b in bins if sum(n for n, _ in b) + size <= 64), None)
+        if at is None:
+            bins.append(at := [])
+        at.append((size, d))
+    got = packing.pack_sizes(sizes, 64, least_cut=65)
+    assert [[(d, 0, 64)] for d, n in enumerate(sizes) if n == 64] + [[(d, 0, n) for n, d in b] for b in bins] == got
+
+
+def test_equal_rows_spread_over_groups(spark):
+    rows = spark.createDataFrame([(None, "wort " * 400)] * 200, "doc_id bigint, text string").withColumn("__tie", F.lit(1)).withColumn("length", F.lit("clash"))
+    got = packing.pack(rows, tokenizer_path(), group_bytes=20_000)
+    assert got.agg(F.sum("length")).first()[0] == 200 * 401 and got.select(F.shiftright("sequence_id", 32)).distinct().count() > 10
+
+
+def test_repeated_ids_keep_their_places(spark, tool, tmp_path):
+    rows = [(i % 3, TEXTS[i % len(TEXTS)]) for i in range(30)]
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id bigint, text string"), f"file://{tmp_path}/t", tokenizer_path())
+    at = 0
+    for r in tokens.token_digests(spark, f"file://{tmp_path}/t").orderBy("start").collect():
+        assert r.start == at
+        at += r.n_tokens
+    assert at == sum(len(whole(tool, t, 2)) for _, t in rows)
+
+
+def test_files_have_the_encodings_and_pages_they_claim(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id"), F.lit("wort und satz " * 5)).alias("text")).coalesce(1)
+    tokens.write_tokens(df, f"file://{tmp_path}/t", tokenizer_path(), row_group_bytes=64 << 10, page_bytes=4 << 10)
+    files = sorted(tmp_path.glob("t/*.parquet"))
+    meta = [pq.ParquetFile(f).metadata for f in files]
+    assert sum(m.num_row_groups for m in meta) > 1
+    columns = {c.path_in_schema: c for c in (meta[0].row_group(0).column(i) for i in range(meta[0].num_columns))}
+    ids = next(c for p, c in columns.items() if p.startswith("tokens"))
+    assert any("DICTIONARY" in e for e in ids.encodings) and "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
+    assert all(c.has_offset_index and c.has_column_index for p, c in columns.items() if not p.startswith("tokens")) and ids.has_offset_index
+    plan = tokens.read_tokens(spark, f"file://{tmp_path}/t", tokens=False)._jdf.queryExecution().executedPlan().toString()
+    assert "tokens:" not in plan.split("ReadSchema:")[1].replace("n_tokens:", "")
+    few = tokens.read_tokens(spark, f"file://{tmp_path}/t").where("doc_id between 700 and 702")
+    assert "GreaterThanOrEqual(doc_id,700)" in few._jdf.queryExecution().executedPlan().toString() and few.count() == 3
+
+
 def test_first_fit_takes_the_first_bin():
     tree = packing.FirstFit(4, 10)
     assert [tree.put(n) for n in (6, 5, 4, 5, 3)] == [0, 1, 0, 1, 2]
