@@ -91,7 +91,7 @@ def pack_sizes(sizes: list[int], capacity: int, least_cut: int = 32) -> list[lis
 def _pack(tokenizer: str, end: int, capacity: int, kind: pa.DataType):
     def run(group: pa.Table) -> pa.Table:
         tool = WordTokenizer.of(tokenizer)
-        group = group.combine_chunks()
+        group = group.sort_by([("doc_id", "ascending"), ("__tie", "ascending")]).combine_chunks()  # a group that is run again packs alike
         ids, counts = tool.encode(group.column("text").combine_chunks(), end)
         base = np.cumsum(counts) - counts
         doc_ids, number = group.column("doc_id").combine_chunks(), group.column("__group")[0].as_py()
@@ -109,18 +109,20 @@ def _pack(tokenizer: str, end: int, capacity: int, kind: pa.DataType):
 def pack(docs: DataFrame, tokenizer: str, end: int = 1, capacity: int = 2048, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
-    A document is the ids of its whole text (null: empty) and one end id. Groups of documents are drawn by hash and
-    hold group_bytes of text on average; each is packed alone, so a group's task is bounded and the only shuffle deals
-    the texts by group. Repeated rows are packed as often as they occur. A document longer than a group is a row like
-    any other and is cut into sequences. At most one sequence a group stays partly filled, besides gaps too small to
-    cut for. An empty table gives no rows.
+    A document is the ids of its whole text (null: empty) and one end id. Groups are drawn by a hash of doc_id and of the
+    row's place in its partition, so repeated rows and null doc_ids spread like all others; docs should be a table, whose
+    rows keep their places if a task is run again. A group holds group_bytes of text on average; each is packed alone, so
+    a group's task is bounded and the only shuffle deals the texts by group. Inside a group rows stand by doc_id (null
+    last) and a hash of the text. Repeated rows are packed as often as they occur. A document longer than a group is a
+    row like any other and is cut into sequences. At most one sequence a group stays partly filled, besides gaps too
+    small to cut for. Columns other than doc_id and text are not read. An empty table gives no rows.
     """
     held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-held // group_bytes))
-    place = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(groups))
+    place = F.pmod(F.xxhash64(F.lit(17), "doc_id", F.monotonically_increasing_id()), F.lit(groups))
     kind = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = docs.select("doc_id", "text", place.alias("__group"))
+    rows = docs.select("doc_id", "text", place.alias("__group"), F.xxhash64("text").alias("__tie"))
     schema = f"doc_id {kind.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
     return rows.groupBy("__group").applyInArrow(_pack(tokenizer, end, capacity, to_arrow_type(kind)), schema)
