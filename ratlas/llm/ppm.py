@@ -1,340 +1,118 @@
 """Prediction by partial matching over bytes: a context trie counted over the corpus, and code lengths of texts.
 
-A text is a start sign, its lower-cased words, each followed by a blank, and an end sign. score_running predicts a byte
-from up to ORDER bytes before it, over blanks and the words before, back to the start of the text.
-
-score_texts is the cheaper model whose contexts end with the word: there a text starts with the code of its class (its
-language, where documents have one), and a byte is predicted from up to ORDER bytes before it, back to the start of its word, which
-stands as the code of the class: contexts that reach it know the language, shorter ones are shared. Contexts, counts and escapes are those of method C with symbol
-exclusion: in a context that was followed n times, by d different symbols, a symbol seen c times has c / (n + d) and
-the escape d / (n + d); after an escape, symbols of the longer context are excluded from the shorter one.
+A text is a start sign, its lower-cased words, each followed by a blank, and an end sign. A byte is predicted from up to
+ORDER bytes before it, over blanks and the words before, back to the start of the text. Escapes are those of method C with
+symbol exclusion: in a context that was followed n times, by d different symbols, a symbol seen c times has c / (n + d)
+and the escape d / (n + d); after an escape, symbols of the longer context are excluded from the shorter one.
+
+An event is a context with the symbol after it; a trie is a table of events and counts. Texts are dealt into chunks whose
+distinct events (and words, for the word model beside it) travel, packed, to the part of their context's hash, which sums
+their counts and knows every longest context whole. There all events that the corpus holds get their scores. Those that it
+doesn't hold escape from order to order, by joins with tables of contexts. The scores go back to the chunks.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratlas.llm.common import Scratch, slices, split_words, strings
 
 #: Bytes of context at most; a context, its length and a symbol fit into one long.
 ORDER = 6
-#: Words whose scores travel to every task; all others are joined.
-FREQUENT = 65_536
-#: Words of a block that shares the scores of its contexts.
-BLOCK_BITS = 14
 #: Bytes of running text whose distinct events are counted, and get their scores, together.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 24 << 20
 #: Bytes of running text that are turned into events at once: an event takes many times the memory of its byte.
-PIECE_BYTES = 1 << 20
-#: Events that wait until they are summed up.
-WAITING = 1 << 20
-END = "\n"
-#: Codes that stand for the start of a word: the most frequent classes have one each, all others share the first.
-CLASSES = (1, 2, 3, 4, 5, 6, 7, 8)
-
-
-def _events(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The events of words (class code and word) and how many each has: a long with symbol, context bytes and context
-    length. A blank ends each word; its code is context only."""
-    data = words.cast(pa.large_binary())
-    offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-    raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]] if len(data) else np.zeros(0, np.uint8)
-    size = np.diff(offsets)
-    ends = np.cumsum(size + 1)
-    flat = np.full(int(ends[-1]) if len(ends) else 0, 32, np.uint8)
-    inside = np.ones(len(flat), bool)
-    inside[ends - 1] = False
-    flat[inside] = raw
-    place = np.arange(len(flat)) - np.repeat(ends - size - 1, size + 1)
-    at = np.flatnonzero(place)
-    length = np.minimum(place[at], ORDER)
-    key = flat[at].astype(np.int64) | (length << 56)
-    for d in range(1, ORDER + 1):
-        key |= np.where(d <= length, flat[np.maximum(at - d, 0)].astype(np.int64) << (8 * d), 0)
-    return key, size
-
-
-def end_event(code: int) -> int:
-    """The end sign where a word would start."""
-    return ord(END) | code << 8 | 1 << 56
-
-
-def _distinct(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct words of a batch with their class codes in front; for each word of its texts the index of its
-    distinct word and its document; and the number of words of each document."""
-    flat, n = split_words(pc.ascii_lower(strings(batch.column("text"))))
-    coded = flat.dictionary_encode()
-    doc = np.repeat(np.arange(len(n)), n)
-    code = batch.column("code").to_numpy(zero_copy_only=False).astype(np.int64)[doc]
-    pair, at = np.unique(code << 32 | coded.indices.to_numpy(), return_inverse=True)
-    signs = pa.array([chr(c) for c in range(max(CLASSES) + 1)], pa.large_string()).take(pa.array(pair >> 32))
-    words = pc.binary_join_element_wise(signs, coded.dictionary.take(pa.array(pair & 0xFFFFFFFF)), pa.scalar("", pa.large_string()))
-    return words.cast(pa.string()), at, doc, n
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
-        words, at, doc, _ = _distinct(batch)
-        train = batch.column("train").to_numpy(zero_copy_only=False)[doc]
-        yield pa.RecordBatch.from_arrays([words, pa.array(np.bincount(at[train], minlength=len(words)), pa.int64())], names=["word", "c"])
-
-
-def _count_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key, n = _events(batch.column("word"))
-        event, at = np.unique(key, return_inverse=True)
-        c = np.bincount(at, np.repeat(batch.column("c").to_numpy(), n), len(event)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(event), pa.array(c)], names=["event", "c"])
-
-
-def _block_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        block = batch.column("id").to_numpy() >> BLOCK_BITS
-        for b in np.unique(block):
-            key = np.unique(_events(batch.column("word").filter(pa.array(block == b)))[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), b)), pa.array(key)], names=["block", "event"])
+WINDOW_BYTES = 1 << 20
+#: Most parts into which events are dealt. They grow with the texts up to here: distinct events grow far less than texts.
+PARTS = 4096
+START, BLANK, END = "\x01", " ", "\n"
+#: Kinds of packs.
+EVENTS, WORDS = 0, 1
+_HELD = 1 << 62
 
 
 def _bits(n: int) -> np.int64:
     return np.int64((1 << 8 * n) - 1)
 
 
-def score_events(event: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """log10 of the probability of each event. All events of the contexts' last two bytes must be here; first holds the
-    counts of symbols after single bytes (256 x 256), from which orders 1 and 0 follow."""
-    n1, d1 = first.sum(1), (first > 0).sum(1)
-    zero = first.sum(0)
-    n0, d0 = zero.sum(), (zero > 0).sum()
-    length, symbol, last = event >> 56, event & 255, event >> 8 & 255
-    score, left = np.zeros(len(event)), np.ones(len(event), bool)
-    out_n, out_d = np.zeros(len(event)), np.zeros(len(event))  # mass and number of the excluded symbols
-
-    def visit(at: np.ndarray, known: np.ndarray, c: np.ndarray, n: np.ndarray, d: np.ndarray) -> np.ndarray:
-        """Score the events in a context that is known, or escape from it."""
-        here = at[known]
-        n, d, c = n[known] - out_n[here], d[known] - out_d[here], c[known]
-        hit = c > 0
-        score[here[hit]] += np.log10(c[hit] / (n[hit] + d[hit]))
-        miss = ~hit & (d > 0)
-        score[here[miss]] += np.log10(d[miss] / (n[miss] + d[miss]))
-        left[here[hit]] = False
-        return here
-
-    seen = count > 0
-    tables = {}
-    for k in range(2, ORDER + 1):  # counts of (context of k bytes, symbol), from all events with as long a context
-        use = seen & (length >= k)
-        pair, at = np.unique(event[use] & _bits(k + 1), return_inverse=True)
-        tables[k] = pair, np.bincount(at, count[use], len(pair))
-    for k in range(ORDER, 1, -1):
-        pair, c = tables[k]
-        at = np.flatnonzero(left & (length >= k))
-        if not len(pair) or not len(at):
-            continue
-        node, of = np.unique(pair >> 8, return_inverse=True)
-        n, d = np.bincount(of, c, len(node)), np.bincount(of, minlength=len(node))
-        if k > 2:
-            shorter, c2 = tables[k - 1]
-            below = c2[np.searchsorted(shorter, pair & _bits(k))]
-        else:
-            below = first[pair >> 8 & 255, pair & 255]
-        mass = np.bincount(of, below, len(node))
-        want = event[at] & _bits(k + 1)
-        i = np.minimum(np.searchsorted(node, want >> 8), len(node) - 1)
-        known = node[i] == want >> 8
-        j = np.minimum(np.searchsorted(pair, want), len(pair) - 1)
-        visit(at, known, np.where(pair[j] == want, c[j], 0), n[i], d[i])
-        out_n[at[known]], out_d[at[known]] = mass[i[known]], d[i[known]]
-    at = np.flatnonzero(left)
-    known = n1[last[at]] > 0
-    visit(at, known, first[last[at], symbol[at]], n1[last[at]], d1[last[at]])
-    mass1 = (first > 0) @ zero
-    out_n[at[known]], out_d[at[known]] = mass1[last[at[known]]], d1[last[at[known]]]
-    at = np.flatnonzero(left)
-    if n0 and len(at):
-        visit(at, np.ones(len(at), bool), zero[symbol[at]], np.full(len(at), n0), np.full(len(at), d0))
-    at = np.flatnonzero(left)
-    score[at] -= math.log10(max(1, 256 - d0))
-    return score
-
-
-def _score_words(words: pa.Table, events: pa.Table) -> pa.Table:
-    key, n = _events(words.column("word").combine_chunks())
-    event, score = events.column("event").to_numpy(), events.column("score").to_numpy()
-    order = np.argsort(event)
-    each = score[order][np.searchsorted(event[order], key)]
-    total = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n))
-    return pa.table({"word": words.column("word"), "c": words.column("c"), "total": words.column("total"), "score": total})
-
-
-def _look_up(frequent: pa.Table, ends: dict[int, tuple[float, float]], end_known: bool, kind: pa.DataType):
-    names = ["row", "word", "times", "doc_id", "held_out", "n_tokens", "base", "score", "known"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, score, known = (frequent.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("base", "score", "known"))
-        for batch in slices(batches, "text"):
-            words, at, doc, n = _distinct(batch)
-            i = pc.fill_null(pc.index_in(words, value_set=frequent.column("word").combine_chunks()), -1).to_numpy(zero_copy_only=False)[at]
-            often = i >= 0
-            add = lambda x, doc=doc, i=i, often=often, n=n: np.bincount(doc[often], x[i[often]], len(n)) if len(x) else np.zeros(len(n))
-            rows = batch.column("row")
-            end = np.array([ends[c] for c in batch.column("code").to_pylist()]).reshape(-1, 2)
-            sums = [add(base) + end[:, 0], add(score) + end[:, 1], (add(known.astype("f8")) + end_known).astype("i8")]
-            # a document's own row joins with nothing: its word holds a blank
-            own = pa.array([f" {r}" for r in rows.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([rows, own, pa.nulls(len(n), pa.int64()), batch.column("doc_id").cast(kind), batch.column("held_out"), pa.array(n + 1, pa.int64()), *map(pa.array, sums)], names=names)
-            pair, times = np.unique(doc[~often] << 32 | at[~often], return_counts=True)
-            if len(pair):
-                gone = [pa.nulls(len(pair), t) for t in (kind, pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-                yield pa.RecordBatch.from_arrays([rows.take(pa.array(pair >> 32)), words.take(pa.array(pair & 0xFFFFFFFF)), pa.array(times, pa.int64()), *gone], names=names)
-
-    return run
-
-
-def score_texts(docs: DataFrame, held_percent: int = 10, by: str = "lang") -> DataFrame:
-    """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
-
-    Documents whose crc32 of doc_id as text (null: empty) falls below held_percent / 10 modulo 10 are held out; the
-    model learns from all others, whole. score is log10 of the probability that the trie gives to the text (null:
-    empty, so the end sign alone) and, where docs has the column `by`, to its class; base_score is that of a smoothed
-    word count. The classes are the values of `by` (null is one) that are most frequent among documents to learn from;
-    all rarer ones share a code. With no document to learn from, bytes are equally likely, train_tokens is 0 and no
-    token is known.
-
-    Words are counted over all documents, their contexts over all words. Contexts are scored in groups by their last
-    two bytes, each group apart; only counts of single bytes (at most 65,536) come to the driver. Each distinct word is
-    then scored once. The FREQUENT words go to every task, all others are joined by word, so neither a word that is in
-    every text nor the size of the vocabulary matters to a single task.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ppm")
-    kind = dict(docs.dtypes)["doc_id"]
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 < held_percent // 10
-    rows = docs.select("doc_id", "text", held.alias("held_out"), (~held).alias("train"), (F.col(by) if by in docs.columns else F.lit(None)).cast("string").alias("by"))
-    seen = rows.where("train").groupBy("by").agg(F.count("*").alias("n"))
-    n_train = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    kinds = seen.orderBy(F.col("n").desc(), "by").limit(len(CLASSES) - 1).collect()
-    code, size = F.lit(CLASSES[0]), {CLASSES[0]: n_train - sum(r["n"] for r in kinds)}
-    for c, r in zip(CLASSES[1:], kinds, strict=False):
-        code, size[c] = F.when(F.col("by").eqNullSafe(r["by"]), c).otherwise(code), r["n"]
-    rows = rows.withColumn("code", code).drop("by")
-    counted = rows.select("text", "train", "code").mapInArrow(_count_words, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-    # a word has a row for each class in which it occurs
-    counted = counted.withColumn("total", F.sum("c").over(Window.partitionBy(F.substring("word", 2, 1 << 30))))
-    vocabulary = scratch.save(counted, "counted").repartitionByRange("word").sortWithinPartitions("word")
-    words = scratch.save(vocabulary.withColumn("id", F.monotonically_increasing_id()), "words")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0] + n_train
-    distinct = words.where("c > 0").select(F.substring("word", 2, 1 << 30)).distinct().count() + (n_train > 0)
-    end = spark.createDataFrame([(end_event(c), size.get(c, 0)) for c in CLASSES], "event bigint, c bigint")
-    events = words.select("word", "c").mapInArrow(_count_events, "event bigint, c bigint").union(end)
-    events = scratch.save(events.groupBy("event").agg(F.sum("c").alias("c")), "events")
-    # counts of a symbol after one byte: at most 256 times 256 rows
-    single = events.groupBy(F.expr("cast(event & 65535 as int)").alias("pair")).agg(F.sum("c").alias("c")).collect()
-    first = np.zeros((256, 256), np.int64)
-    for r in single:
-        first[r["pair"] >> 8, r["pair"] & 255] = r["c"]
-
-    def score_group(t: pa.Table) -> pa.Table:
-        event = t.column("event").to_numpy()
-        return pa.table({"event": event, "score": score_events(event, t.column("c").to_numpy(), first)})
-
-    scored = events.groupBy(F.expr("cast((event >> 8) & 65535 as int)").alias("last")).applyInArrow(score_group, "event bigint, score double")
-    scored = scratch.save(scored, "scored")
-    needed = words.select("id", "word").mapInArrow(_block_events, "block bigint, event bigint").join(scored, "event")
-    block = F.expr(f"id >> {BLOCK_BITS}").alias("block")
-    model = words.groupBy(block).cogroup(needed.groupBy("block")).applyInArrow(_score_words, "word string, c bigint, total bigint, score double")
-    base = F.log10((F.col("total") + 0.1) / F.lit(total + 0.1 * (distinct + 1)))
-    model = scratch.save(model.withColumn("base", base), "model")
-    top = model.orderBy(F.col("c").desc(), "word").limit(FREQUENT).select("word", "base", "score", (F.col("total") > 0).alias("known")).toArrow()
-    top = top.cast(pa.schema([("word", pa.string()), ("base", pa.float64()), ("score", pa.float64()), ("known", pa.bool_())]))
-    end_scores = {r["event"]: r["score"] for r in scored.where(F.col("event").isin(*[end_event(c) for c in CLASSES])).collect()}
-    end_base = math.log10((n_train + 0.1) / (total + 0.1 * (distinct + 1)))
-    prior = {c: math.log10((size.get(c, 0) + 1) / (n_train + len(CLASSES))) if by in docs.columns else 0.0 for c in CLASSES}
-    ends = {c: (end_base, end_scores[end_event(c)] + prior[c]) for c in CLASSES}
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    look = _look_up(top, ends, n_train > 0, to_arrow_type(docs.schema["doc_id"].dataType))
-    schema = f"row bigint, word string, times bigint, doc_id {kind}, held_out boolean, n_tokens bigint, base double, score double, known bigint"
-    parts = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out", "code").mapInArrow(look, schema)
-    m = model.select(F.col("word").alias("m_word"), F.col("base").alias("m_base"), F.col("score").alias("m_score"), F.col("total").alias("m_c"))
-    joined = parts.join(m, F.col("word") == F.col("m_word"), "left")
-    out = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("known", F.when(F.col("m_c") > 0, F.col("times")), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce("base", F.col("times") * F.col("m_base"))).alias("base_score"),
-        F.sum(F.coalesce("score", F.col("times") * F.col("m_score"))).alias("score"),
-    )
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def _running(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The events of whole texts, coded as by _events, and how many each has."""
-    words, n = split_words(pc.ascii_lower(strings(text)))
-    n = np.asarray(n, np.int64)
-    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int64()), words)
-    ends = pa.array(["\n", " \n"], pa.large_string()).take(pa.array((n > 0).astype(np.int64)))
-    data = pc.binary_join_element_wise(pa.scalar(chr(CLASSES[0]), pa.large_string()), pc.binary_join(lists, pa.scalar(" ", pa.large_string())), ends, pa.scalar("", pa.large_string()))
-    offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-    flat = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.int64)
-    start, size = offsets[:-1] - offsets[0], np.diff(offsets)
-    key = flat | (ORDER << 56)
-    for d in range(1, ORDER + 1):
-        key[d:] |= flat[:-d] << 8 * d
-    for place in range(1, ORDER):  # contexts that end at the start of the text
-        at = start[size > place] + place
-        key[at] = key[at] & _bits(place + 1) | place << 56
-    real = np.ones(len(key), bool)
-    real[start] = False
-    return key[real], size - 1
-
-
-def _sum_up(events: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    event, at = np.unique(np.concatenate(events), return_inverse=True)
-    return event, np.bincount(at, np.concatenate(counts), len(event)).astype(np.int64)
-
-
-def _union(events: Iterable[np.ndarray]) -> np.ndarray:
-    """The distinct ones of sorted events, never many more than WAITING besides them at once."""
-    out, wait = np.zeros(0, np.int64), []
-    for e in events:
-        wait.append(e)
-        if sum(map(len, wait)) > WAITING:
-            out, wait = np.unique(np.concatenate([out, *wait])), []
-    return np.unique(np.concatenate([out, *wait])) if wait else out
-
-
-def _scores_at(event: np.ndarray, score: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The score of each key, all of which are among the sorted events. Keys are sorted together with their places, by as
-    many of their first bits as fit beside those; runs of equal keys are looked up once."""
-    bits = len(key).bit_length()
-    order = np.sort(key >> max(0, bits - 4) << bits | np.arange(len(key))) & ((1 << bits) - 1)
-    key = key[order]
+class Stream:
+    """The running bytes of texts, one after the other, and their words."""
+
+    def __init__(self, text: pa.Array):
+        words, n = split_words(pc.ascii_lower(strings(text)))
+        self.n_words = np.asarray(n, np.int64)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(self.n_words)]), pa.int64()), words)
+        ends = pa.array([END, BLANK + END], pa.large_string()).take(pa.array((self.n_words > 0).astype(np.int64)))
+        data = pc.binary_join_element_wise(pa.scalar(START, pa.large_string()), pc.binary_join(lists, pa.scalar(BLANK, pa.large_string())), ends, pa.scalar("", pa.large_string()))
+        offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        self.flat = np.frombuffer(data.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if len(data) else np.zeros(0, np.uint8)
+        self.start = offsets[:-1] - offsets[0]
+        self.size = np.diff(offsets)
+        coded = words.dictionary_encode()
+        #: hashes of the distinct words (64 bits: among a billion words no two are expected to share one), and each word's place
+        self.words = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False).view(np.int64) if len(words) else np.zeros(0, np.int64)
+        self.places = coded.indices.to_numpy()
+
+    def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Events of all texts, in order and window by window, with the text of each: symbol, context, context length."""
+        for a in range(0, len(self.flat), WINDOW_BYTES):
+            b, low = min(a + WINDOW_BYTES, len(self.flat)), max(0, a - ORDER)
+            flat = self.flat[low:b].astype(np.int64)
+            key = flat | (ORDER << 56)
+            for d in range(1, ORDER + 1):
+                key[d:] |= flat[:-d] << 8 * d
+            first, last = np.searchsorted(self.start, (low, b))  # texts that start in the window
+            start, size = self.start[first:last] - low, self.size[first:last]
+            for place in range(1, ORDER):  # contexts that end at the start of the text
+                at = start[size > place] + place
+                at = at[at < len(key)]
+                key[at] = key[at] & _bits(place + 1) | place << 56
+            real = np.ones(len(key), bool)
+            real[: a - low] = False
+            real[start] = False
+            inner = self.start[np.searchsorted(self.start, a, side="right") : last]
+            bounds = np.concatenate([[a], inner, [b]])
+            doc = np.repeat(last - len(inner) - 1 + np.arange(len(bounds) - 1), np.diff(bounds))
+            yield key[real], doc[real[a - low :]]
+
+
+def _sum_up(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sums of their counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    out = np.empty(len(key))
-    out[order] = np.repeat(score[np.searchsorted(event, key[new])], np.diff(np.append(new, len(key))))
-    return out
+    return key[new], np.add.reduceat(count, new) if len(new) else count
+
 
+class Tally:
+    """Distinct keys with counts, summed up whenever as many wait as are held."""
 
-def _group_of(event: np.ndarray, groups: int) -> np.ndarray:
-    return (event.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(groups)
+    def __init__(self):
+        self.keys, self.counts, self.waiting, self.held = [], [], 0, 0
 
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > max(1 << 20, self.held):
+            self.sums()
 
-def _by_group(event: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of events by group, the groups that occur, and where each starts and ends in that order."""
-    group = _group_of(event, groups)
-    order = np.argsort(group, kind="stable")
-    found, first = np.unique(group[order], return_index=True)
-    return order, found.astype(np.int64), np.append(first, len(event))
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, count = _sum_up(self.keys, self.counts)
+        self.keys, self.counts, self.waiting, self.held = [key], [count], 0, len(key)
+        return key, count
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -346,82 +124,238 @@ def _pack(values: np.ndarray) -> bytes:
 def _unpack(data: bytes, kind: str) -> np.ndarray:
     n, wide = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(data[8:], n * wide, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(wide, n).T).view(kind).ravel()
+    return planes.reshape(wide, n).T.copy().view(kind).ravel()
+
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=0))
 
-def _chunks(groups: int, chunk_bytes: int, kind: pa.DataType):
-    """Rows as they are, with a number and that of their chunk; and for each chunk and group a row of its distinct events
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data, "i8"))
+
+
+def _part_of(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
+    """The part of words, and of events by their context, so that a part holds longest contexts whole."""
+    node = (keys >> 8 if kind == EVENTS else keys).astype(np.uint64)
+    return ((node * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _chunks(parts: int, chunk_bytes: int, kind: pa.DataType):
+    """Rows as they are, with a number and that of their chunk; and for each chunk and part its distinct events, or words,
     with their counts in texts to learn from."""
-    names = ["chunk", "row", "doc_id", "held_out", "train", "code", "text", "part", "events", "counts"]
-    kinds = [pa.int64(), pa.int64(), kind, pa.bool_(), pa.bool_(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
-
-    def close(chunk: int, events: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        event = _union(events)
-        c = np.zeros(len(event), np.int64)
-        for e, n in zip(events, counts, strict=True):
-            c[np.searchsorted(event, e)] += n  # no event is twice in a piece
-        order, found, bounds = _by_group(event, groups)
-        event, c = event[order], c[order]
-        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
-        packs = [[_pack(np.diff(event[a:b], prepend=0)) for a, b in spans], [_pack(c[a:b]) for a, b in spans]]
-        own = [pa.array(np.full(len(found), chunk)), *[pa.nulls(len(found), k) for k in kinds[1:7]], pa.array(found)]
-        return pa.RecordBatch.from_arrays([*own, *[pa.array(x, pa.binary()) for x in packs]], names=names)
+    names = ["chunk", "row", "doc_id", "held_out", "text", "kind", "part", "keys", "counts"]
+    kinds = [pa.int64(), pa.int64(), kind, pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+
+    def packs(chunk: int, what: int, tally: Tally) -> pa.RecordBatch:
+        key, count = tally.sums()
+        part = _part_of(key, what, parts)
+        order = np.argsort(part, kind="stable")
+        found, first = np.unique(part[order], return_index=True)
+        key, count, spans = key[order], count[order], list(zip(first, [*first[1:], len(key)], strict=False))
+        own = [pa.array(np.full(len(found), chunk)), *[pa.nulls(len(found), k) for k in kinds[1:5]], pa.array(np.full(len(found), what, np.int32)), pa.array(found)]
+        return pa.RecordBatch.from_arrays([*own, pa.array([_pack_keys(key[a:b]) for a, b in spans], pa.binary()), pa.array([_pack(count[a:b]) for a, b in spans], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
-        chunk, row, held, events, counts = first, first, 0, [], []
-        for batch in slices(batches, "text", PIECE_BYTES):
-            key, n = _running(batch.column("text"))
-            if held and held + len(key) > chunk_bytes:
-                yield close(chunk, events, counts)
-                chunk, held, events, counts = chunk + 1, 0, [], []
-            held += len(key)
-            train = np.repeat(batch.column("train").to_numpy(zero_copy_only=False), n)
-            learnt, c = np.unique(key[train], return_counts=True)
-            rest = np.unique(key[~train])
-            events += [learnt, rest]
-            counts += [c.astype(np.int32), np.zeros(len(rest), np.int32)]
-            columns = [batch.column(x).cast(k) for x, k in zip(names[2:7], kinds[2:7], strict=True)]
-            ids = [pa.array(np.full(len(n), chunk)), pa.array(np.arange(row, row + len(n)))]
-            row += len(n)
-            yield pa.RecordBatch.from_arrays([*ids, *columns, *[pa.nulls(len(n), k) for k in kinds[7:]]], names=names)
+        chunk, row, held, tallies = first, first, 0, (Tally(), Tally())
+        for batch in slices(batches, "text", WINDOW_BYTES):
+            stream, out = Stream(batch.column("text")), batch.column("held_out").to_numpy(zero_copy_only=False)
+            if held and held + len(stream.flat) > chunk_bytes:
+                yield packs(chunk, EVENTS, tallies[EVENTS])
+                yield packs(chunk, WORDS, tallies[WORDS])
+                chunk, held, tallies = chunk + 1, 0, (Tally(), Tally())
+            held += len(stream.flat)
+            for key, doc in stream.windows():
+                if out.any():
+                    key = key | np.where(out, _HELD, 0)[doc]
+                key = np.sort(key)
+                new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                count, key = np.diff(np.append(new, len(key))), key[new]
+                count[key >= _HELD] = 0
+                tallies[EVENTS].add(key & ~_HELD, count)
+            learnt = np.bincount(stream.places[np.repeat(~out, stream.n_words)], minlength=len(stream.words))
+            tallies[WORDS].add(stream.words, learnt)
+            n = batch.num_rows
+            columns = [batch.column(x).cast(k) for x, k in zip(names[2:5], kinds[2:5], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(row, row + n)), *columns, *[pa.nulls(n, k) for k in kinds[5:]]], names=names)
+            row += n
         if held:
-            yield close(chunk, events, counts)
+            yield packs(chunk, EVENTS, tallies[EVENTS])
+            yield packs(chunk, WORDS, tallies[WORDS])
 
     return run
 
 
-def _merge_group(t: pa.Table) -> pa.Table:
-    """The counts of a group's events, over all chunks."""
-    events = [np.cumsum(_unpack(x, "i8")) for x in t.column("events").to_pylist()]
-    counts = [_unpack(x, "i8") for x in t.column("counts").to_pylist()]
-    event, n = _sum_up(events, counts)
-    return pa.table({"event": event, "c": n})
-
-
-def _scores_of_group(chunks: pa.Table, scored: pa.Table) -> pa.Table:
-    """For each chunk the scores of its events in the group, in their order."""
-    event = scored.column("event").to_numpy()
-    order = np.argsort(event)
-    event, score = event[order], scored.column("score").to_numpy()[order]
-    packs = [_pack(score[np.searchsorted(event, np.cumsum(_unpack(e, "i8")))]) for e in chunks.column("events").to_pylist()]
-    return pa.table({"chunk": chunks.column("chunk"), "part": chunks.column("part"), "scores": pa.array(packs, pa.binary())})
-
-
-def _sum_texts(groups: int):
-    def run(texts: pa.Table, scores: pa.Table) -> pa.Table:
-        batches = texts.select(["row", "text"]).to_batches()
-        event = _union(np.unique(_running(b.column("text"))[0]) for b in slices(iter(batches), "text", PIECE_BYTES))
-        packs = dict(zip(scores.column("part").to_pylist(), scores.column("scores").to_pylist(), strict=True))
-        order, found, _ = _by_group(event, groups)
-        score = np.zeros(len(event), np.float32)
-        score[order] = np.concatenate([_unpack(packs[g], "f4") for g in found.tolist()])
-        rows, sums = [], []
-        for batch in slices(iter(batches), "text", PIECE_BYTES):  # again: to remember each byte's event takes more memory
-            key, n = _running(batch.column("text"))
-            rows.append(batch.column("row").to_numpy())
-            sums.append(np.add.reduceat(_scores_at(event, score, key), np.cumsum(n) - n))
-        return pa.table({"row": np.concatenate(rows), "score": np.concatenate(sums)})
+MERGED = "kind int, part bigint, keys binary, scores binary, n bigint, v bigint, event bigint, sofar double, seen binary, level int, context bigint, symbol int, c bigint"
+_MERGED = {"kind": pa.int32(), "part": pa.int64(), "keys": pa.binary(), "scores": pa.binary(), "n": pa.int64(), "v": pa.int64(), "event": pa.int64(), "sofar": pa.float64(), "seen": pa.binary(), "level": pa.int32(), "context": pa.int64(), "symbol": pa.int32(), "c": pa.int64()}
+
+
+def _rows(n_rows: int, **columns) -> pa.RecordBatch:
+    """Rows of MERGED with these columns; a single value stands for all rows."""
+    full = lambda v, t: v if isinstance(v, pa.Array) else pa.array(v, t) if isinstance(v, (np.ndarray, list)) else pa.array([v] * n_rows, t)
+    return pa.RecordBatch.from_arrays([full(columns[k], t) if k in columns else pa.nulls(n_rows, t) for k, t in _MERGED.items()], names=list(_MERGED))
+
+
+def _score_longest(part: int, event: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All events of a part: scores of those that the corpus holds after ORDER bytes (NaN: still open); the open ones, with
+    what their escape costs and the symbols it excludes; and the counts that shorter contexts take over."""
+    length, symbol = (event >> 56).astype(np.int32), (event & 255).astype(np.int32)
+    full, seen = length == ORDER, count > 0
+    node, at = np.unique(event >> 8, return_inverse=True)
+    n, d = np.bincount(at, count, len(node)), np.bincount(at, seen, len(node))
+    score = np.full(len(event), np.nan, np.float32)
+    hit = full & seen
+    score[hit] = np.log10(count[hit] / (n + d)[at[hit]])
+    yield _rows(1, kind=EVENTS, part=part, keys=[_pack_keys(event)], scores=[_pack(score)])
+    rest = np.flatnonzero(~hit)
+    sofar = np.zeros(len(rest))
+    known = full[rest] & (d[at[rest]] > 0)
+    inner = at[rest[known]]
+    sofar[known] = np.log10(d[inner] / (n + d)[inner])
+    excluded = [b""] * len(rest)
+    order = np.flatnonzero(hit)  # sorted by context, so a context's symbols lie in a row
+    first, data = np.searchsorted(at[order], inner), symbol[order].astype(np.uint8).tobytes()
+    last = np.searchsorted(at[order], inner, side="right")
+    for i, a, b in zip(np.flatnonzero(known).tolist(), first.tolist(), last.tolist(), strict=True):
+        excluded[i] = data[a:b]
+    level = np.where(full[rest], ORDER - 1, length[rest])
+    yield _rows(len(rest), kind=EVENTS, part=part, event=event[rest], sofar=sofar, seen=excluded, level=level)
+    for k in range(1, ORDER):  # ORDER - 1: those that end at the start of a text, and what longer contexts hand down
+        use = seen & (length == k)
+        if k == ORDER - 1:
+            use |= hit
+        key, c = _sum_up([event[use] & _bits(k + 1)], [count[use]])
+        yield _rows(len(key), kind=EVENTS, level=k, context=key >> 8, symbol=key & 255, c=c)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs, sorted by part and kind -> MERGED."""
+    here, tally = None, Tally()
+
+    def close() -> Iterator[pa.RecordBatch]:
+        key, count = tally.sums()
+        if here[1] == EVENTS:
+            yield from _score_longest(here[0], key, count)
+        else:
+            yield _rows(1, kind=WORDS, part=here[0], keys=[_pack_keys(key)], scores=[_pack(count)], n=int(count.sum()), v=int((count > 0).sum()))
+
+    for batch in batches:
+        for part, kind, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "keys", "counts")), strict=True):
+            if here != (part, kind):
+                if here:
+                    yield from close()
+                here, tally = (part, kind), Tally()
+            tally.add(_unpack_keys(keys), _unpack(counts, "i8"))
+    if here:
+        yield from close()
+
+
+def _flags(column: pa.Array) -> np.ndarray:
+    """A row of 256 for each value: whether the value, as bytes, holds the symbol (null: none)."""
+    data = column.to_pylist()
+    out = np.zeros((len(data), 256), bool)
+    out[np.repeat(np.arange(len(data)), [len(x or b"") for x in data]), np.frombuffer(b"".join(x or b"" for x in data), np.uint8)] = True
+    return out
+
+
+def _escape(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open events beside the symbols and counts of their context of this order -> scored, or open for the next order."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 4096):
+            rows = batch.slice(at, 4096)
+            nodes = pc.list_value_length(rows.column("node")).fill_null(0).to_numpy(zero_copy_only=False)
+            flat = rows.column("node").flatten()
+            table = np.zeros((rows.num_rows, 256), np.int64)
+            table[np.repeat(np.arange(rows.num_rows), nodes), flat.field("symbol").to_numpy()] = flat.field("c").to_numpy()
+            score, done = _step(rows.column("sofar").to_numpy(), table, _flags(rows.column("seen")), rows.column("event").to_numpy() & 255)
+            data, ends = flat.field("symbol").to_numpy().astype(np.uint8).tobytes(), np.cumsum(nodes).tolist()
+            seen = [data[e - n : e] if n else g for e, n, g in zip(ends, nodes.tolist(), rows.column("seen").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("event"), pa.array(score), pa.array(seen, pa.binary()), pa.array(done)], names=["part", "event", "sofar", "seen", "done"])
+
+
+def _step(sofar: np.ndarray, table: np.ndarray, out: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores after one order, and which events are done: those whose symbol the context holds."""
+    left = np.where(out, 0, table)
+    n, d, c = left.sum(1), (left > 0).sum(1), left[np.arange(len(left)), symbol]
+    done, miss = c > 0, d > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        here = np.where(done, np.log10(c / (n + d)), np.where(miss, np.log10(d / (n + d)), 0.0))
+    return sofar + here, done
+
+
+def _shortest(first: np.ndarray):
+    """Open events at order 1, by the counts of symbols after single bytes -> scored, all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zero = first.sum(0)
+        for batch in batches:
+            for part in range(0, batch.num_rows, 4096):
+                rows = batch.slice(part, 4096)
+                event = rows.column("event").to_numpy()
+                out = _flags(rows.column("seen"))
+                score, done = rows.column("sofar").to_numpy(), np.zeros(len(event), bool)
+                for table in (first[event >> 8 & 255], np.broadcast_to(zero, (len(event), 256))):
+                    new, hit = _step(score, table, out, event & 255)
+                    score, out, done = np.where(done, score, new), out | (table > 0), done | hit
+                score = score - np.where(done, 0, np.log10(np.maximum(1, 256 - out.sum(1))))
+                yield pa.RecordBatch.from_arrays([rows.column("part"), rows.column("event"), pa.array(score)], names=["part", "event", "sofar"])
+
+    return run
+
+
+def _give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By part and kind first its keys with scores, then those of its open events, then packs of chunks -> the packs with
+    scores (events) or counts (words) in place of counts."""
+    names, key, value = ["chunk", "kind", "keys", "values"], np.zeros(0, np.int64), np.zeros(0)
+    for batch in batches:
+        out: list[tuple] = []
+        for i, row in enumerate(batch.select(["step", "kind", "chunk", "keys", "scores"]).to_pylist()):
+            if row["step"] == 0:
+                key, value = _unpack_keys(row["keys"]), _unpack(row["scores"], "f4" if row["kind"] == EVENTS else "i8")
+            elif row["step"] == 1:
+                value[np.searchsorted(key, batch.column("events")[i].values.to_numpy())] = batch.column("late")[i].values.to_numpy()
+            else:
+                out.append((row["chunk"], row["kind"], row["keys"], _pack(value[np.searchsorted(key, _unpack_keys(row["keys"]))])))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
+
+
+def _values_at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, all of which are among the sorted keys. They are sorted together with their places, by
+    as many of their first bits as fit beside those; runs of equal ones are looked up once."""
+    bits = len(wanted).bit_length()
+    order = np.sort(wanted >> max(0, bits - 4) << bits | np.arange(len(wanted))) & ((1 << bits) - 1)
+    wanted = wanted[order]
+    new = np.flatnonzero(np.append(True, wanted[1:] != wanted[:-1])[: len(wanted)])
+    out = np.empty(len(wanted), values.dtype)
+    out[order] = np.repeat(values[np.searchsorted(keys, wanted[new])], np.diff(np.append(new, len(wanted))))
+    return out
+
+
+def _sum_texts(end_count: int, total: int, distinct: int):
+    def run(texts: pa.Table, back: pa.Table) -> pa.Table:
+        tables = []
+        for kind, number in ((EVENTS, "f4"), (WORDS, "i8")):
+            mine = back.filter(pc.equal(back.column("kind"), kind))
+            keys = [np.zeros(0, np.int64), *map(_unpack_keys, mine.column("keys").to_pylist())]
+            key, value = np.concatenate(keys), np.concatenate([np.zeros(0, number), *[_unpack(x, number) for x in mine.column("values").to_pylist()]])
+            order = np.argsort(key)
+            tables.append((key[order], value[order]))
+        scale = math.log10(total + 0.1 * (distinct + 1))
+        out = []
+        for batch in slices(iter(texts.to_batches()), "text", WINDOW_BYTES):
+            stream, n = Stream(batch.column("text")), batch.num_rows
+            score = np.zeros(n)
+            for key, doc in stream.windows():
+                score += np.bincount(doc, _values_at(*tables[EVENTS], key), n)
+            count = tables[WORDS][1][np.searchsorted(tables[WORDS][0], stream.words)][stream.places]
+            doc = np.repeat(np.arange(n), stream.n_words)
+            base = np.bincount(doc, np.log10(count + 0.1) - scale, n) + math.log10(end_count + 0.1) - scale
+            known = np.bincount(doc, count > 0, n).astype(np.int64) + (end_count > 0)
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(stream.n_words + 1), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score)]
+            out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -429,11 +363,16 @@ def _sum_texts(groups: int):
 def score_running(docs: DataFrame, held_percent: int = 10, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    As score_texts, but contexts run over the whole text, across words, and no class of the text is known.
-
-    Texts are dealt into chunks; a chunk's distinct events travel, packed, to the group of their hash, where counts of all
-    chunks are summed. Contexts are then scored by their last two bytes, and each chunk gets the scores of its events back
-    from the groups. Groups grow in number with the texts, so a group is about as large as a chunk.
+    Documents whose crc32 of doc_id as text (null: empty) falls below held_percent / 10 modulo 10 are held out; the
+    model learns from all others, whole. score is log10 of the probability that the trie gives to the text (null:
+    empty, so the end sign alone); base_score is that of a smoothed word count. Equal texts have equal scores; repeated
+    rows are learnt, and returned, as often as they occur. With no document to learn from, bytes are equally likely,
+    train_tokens is 0 and no token is known. Other columns of docs are not read; an empty table gives no rows.
+
+    What leaves a chunk is a pack for each part; a part's packs are summed one after the other, so a task holds the
+    distinct events of a part or of a chunk, never all that chunks sent. No context, however frequent, meets in one task
+    with more than its 256 symbols: open events are joined with their contexts, which Spark can split. Only counts of
+    byte pairs (at most 65,536) and a row count come to the driver.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -441,49 +380,49 @@ def score_running(docs: DataFrame, held_percent: int = 10, chunk_bytes: int = CH
     scratch = Scratch(spark, "ppm")
     kind, arrow = dict(docs.dtypes)["doc_id"], to_arrow_type(docs.schema["doc_id"].dataType)
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 < held_percent // 10
-    rows = docs.select("doc_id", "text", held.alias("held_out"), (~held).alias("train"), F.lit(CLASSES[0]).alias("code"))
-    n_train, size = rows.agg(F.count_if("train"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    groups = max(32, size // CHUNK_BYTES)
-    schema = f"chunk bigint, row bigint, doc_id {kind}, held_out boolean, train boolean, code int, text string, part bigint, events binary, counts binary"
-    both = scratch.save(rows.mapInArrow(_chunks(groups, chunk_bytes, arrow), schema), "chunks", compression="zstd")
-    texts = both.where("part is null").select("chunk", "row", "doc_id", "held_out", "train", "code", "text")
-    chunks = both.where("part is not null").select("chunk", "part", "events", "counts")
-
-    events = scratch.save(chunks.groupBy("part").applyInArrow(_merge_group, "event bigint, c bigint"), "events")
-    # counts of a symbol after one byte: at most 256 times 256 rows
+    rows = docs.select("doc_id", "text", held.alias("held_out"))
+    n_train, size = rows.agg(F.count_if(~F.col("held_out")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = min(PARTS, max(32, size // CHUNK_BYTES))
+    schema = f"chunk bigint, row bigint, doc_id {kind}, held_out boolean, text string, kind int, part bigint, keys binary, counts binary"
+    both = scratch.save(rows.mapInArrow(_chunks(parts, chunk_bytes, arrow), schema), "chunks", compression="zstd")
+    packs = both.where("part IS NOT NULL").select("part", "kind", "chunk", "keys", "counts")
+    merged = scratch.save(packs.repartition("part", "kind").sortWithinPartitions("part", "kind").mapInArrow(_merge, MERGED), "merged")
+
+    opened = merged.where("event IS NOT NULL").select("part", "event", "sofar", "seen", "level")
+    handed, now, done = merged.where("c IS NOT NULL"), None, []
+    longer = handed.where("false").select("context", "symbol", "c")
+    for k in range(ORDER - 1, 1, -1):
+        own = handed.where(F.col("level") == k).select("context", "symbol", "c")
+        counts = own.union(longer).repartition("context").groupBy("context", "symbol").agg(F.sum("c").alias("c"))
+        counts = scratch.save(counts, f"counts-{k}")
+        longer = counts.select(F.col("context").bitwiseAND(F.lit(int(_bits(k - 1)))).alias("context"), "symbol", "c")
+        mine = opened.where(F.col("level") == k).drop("level")
+        mine = (mine if now is None else mine.union(now)).withColumn("context", F.expr(f"(event >> 8) & {int(_bits(k))}L"))
+        mine = scratch.save(mine, f"open-{k}")
+        nodes = counts.join(mine.select("context").distinct(), "context", "left_semi")
+        nodes = nodes.groupBy("context").agg(F.collect_list(F.struct("symbol", "c")).alias("node"))  # at most 256
+        step = mine.join(nodes, "context", "left").select("part", "event", "sofar", "seen", "node")
+        step = scratch.save(step.mapInArrow(_escape, "part bigint, event bigint, sofar double, seen binary, done boolean"), f"step-{k}")
+        done.append(step.where("done").select("part", "event", "sofar"))
+        now = step.where("NOT done").select("part", "event", "sofar", "seen")
+    single = handed.where("level = 1").select("context", "symbol", "c").union(longer).groupBy("context", "symbol").agg(F.sum("c").alias("c"))
     first = np.zeros((256, 256), np.int64)
-    for r in events.groupBy(F.expr("cast(event & 65535 as int)").alias("pair")).agg(F.sum("c").alias("c")).collect():
-        first[r["pair"] >> 8, r["pair"] & 255] = r["c"]
-
-    def score_group(t: pa.Table) -> pa.Table:
-        event = t.column("event").to_numpy()
-        score = score_events(event, t.column("c").to_numpy(), first)
-        return pa.table({"part": _group_of(event, groups).astype(np.int64), "event": event, "score": score.astype(np.float32)})
-
-    scored = events.groupBy(F.expr("cast((event >> 8) & 65535 as int)").alias("last")).applyInArrow(score_group, "part bigint, event bigint, score float")
-    scored = scratch.save(scored, "scored")
-    scores = chunks.select("chunk", "part", "events").groupBy("part").cogroup(scored.groupBy("part")).applyInArrow(_scores_of_group, "chunk bigint, part bigint, scores binary")
-    sums = texts.select("chunk", "row", "text").groupBy("chunk").cogroup(scores.groupBy("chunk")).applyInArrow(_sum_texts(groups), "row bigint, score double")
-    sums = scratch.save(sums, "sums")
-
-    words = texts.select("text", "train", "code").mapInArrow(_count_words, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-    words = scratch.save(words, "words")
-    seen, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    total, distinct = seen + n_train, distinct + (n_train > 0)
-    words = words.withColumn("base", F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (distinct + 1))))
-    top = words.orderBy(F.col("c").desc(), "word").limit(FREQUENT).select("word", "base", F.lit(0.0).alias("score"), (F.col("c") > 0).alias("known")).toArrow()
-    top = top.cast(pa.schema([("word", pa.string()), ("base", pa.float64()), ("score", pa.float64()), ("known", pa.bool_())]))
-    look = _look_up(top, {CLASSES[0]: (math.log10((n_train + 0.1) / (total + 0.1 * (distinct + 1))), 0.0)}, n_train > 0, arrow)
-    schema = f"row bigint, word string, times bigint, doc_id {kind}, held_out boolean, n_tokens bigint, base double, score double, known bigint"
-    parts = texts.select("row", "doc_id", "text", "held_out", "code").mapInArrow(look, schema).drop("score")
-    m = words.select(F.col("word").alias("m_word"), F.col("base").alias("m_base"), F.col("c").alias("m_c"))
-    joined = parts.join(m, F.col("word") == F.col("m_word"), "left").drop("word", "m_word").unionByName(sums, allowMissingColumns=True)
-    out = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.coalesce("known", F.when(F.col("m_c") > 0, F.col("times")), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce("base", F.col("times") * F.col("m_base"))).alias("base_score"),
-        F.sum("score").alias("score"),
-    )
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    for r in single.collect():  # at most 256 times 256 rows
+        first[r["context"] & 255, r["symbol"]] = r["c"]
+    last = opened.where("level = 1").drop("level").union(now)
+    done.append(last.mapInArrow(_shortest(first), "part bigint, event bigint, sofar double"))
+
+    late = done[0]
+    for d in done[1:]:
+        late = late.union(d)
+    late = late.groupBy("part").agg(F.collect_list(F.struct("event", "sofar")).alias("x")).select("part", F.lit(EVENTS).alias("kind"), F.lit(1).alias("step"), F.col("x.event").alias("events"), F.col("x.sofar").alias("late"))
+    table = merged.where("keys IS NOT NULL").select("part", "kind", F.lit(0).alias("step"), "keys", "scores")
+    asked = packs.select("part", "kind", F.lit(2).alias("step"), "chunk", "keys")
+    flow = asked.unionByName(table, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
+    back = flow.repartition("part", "kind").sortWithinPartitions("part", "kind", "step").mapInArrow(_give_back, "chunk bigint, kind int, keys binary, values binary")
+
+    n_words, n_distinct = merged.where("v IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    total, distinct = n_words + n_train, n_distinct + (n_train > 0)
+    texts = both.where("part IS NULL").select("chunk", "row", "doc_id", "held_out", "text")
+    out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_sum_texts(n_train, total, distinct), out)

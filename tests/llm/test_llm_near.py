@@ -106,79 +106,6 @@ def test_near_vectors(spark, monkeypatch):
     assert embeddings.near_vectors(df.limit(0), 0.93).count() == 0
 
 
-def brute_ppm(train, words):
-    """log10 probability of each word's bytes by method C with exclusion, walking a plain dictionary. Words are pairs of
-    a class code and bytes."""
-    counts = {}
-    text = lambda w: bytes([w[0]]) + w[1] + (b" " if w[1] != b"\n" else b"")
-    for w, c in train.items():
-        s = text(w)
-        for i in range(1, len(s)):
-            for k in range(min(i, ppm.ORDER) + 1):
-                counts.setdefault(s[i - k : i], Counter())[s[i]] += c
-    out = {}
-    for w in words:
-        s, total = text(w), 0.0
-        for i in range(1, len(s)):
-            gone = set()
-            for k in range(min(i, ppm.ORDER), -1, -1):
-                node = counts.get(s[i - k : i])
-                if not node:
-                    continue
-                left = {x: c for x, c in node.items() if x not in gone}
-                n, d = sum(left.values()), len(left)
-                if s[i] in left:
-                    total += math.log10(left[s[i]] / (n + d))
-                    break
-                total += math.log10(d / (n + d)) if d else 0
-                gone |= set(node)
-            else:
-                total -= math.log10(256 - len(gone))
-        out[w] = total
-    return out
-
-
-@pytest.mark.parametrize("langs", [1, 3, 12])
-def test_ppm_scores(spark, monkeypatch, langs):
-    monkeypatch.setattr(ppm, "FREQUENT", 20)
-    rnd = random.Random(4)
-    syllables = ["ba", "ko", "lü", "tre", "n", "é", "Zu", ".", "mi", "ro", "sch", "x"]
-    rows = []
-    for i in range(150):
-        own = syllables[i % langs :][:6]
-        rows.append((i, " ".join("".join(rnd.choices(own, k=rnd.randrange(1, 6))) for _ in range(rnd.randrange(0, 60))), f"l{i % langs}" if i % langs else None))
-    rows += [(200, None, None), (201, "", "neu"), (202, "  \n", None), (203, "nie gesehen xyz", "l1"), (205, "ba ko BA", None)]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("word", F.lit("clash"))
-    df = df if langs > 1 else df.drop("lang")
-    got = {r.doc_id: r for r in ppm.score_texts(df).collect()}
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in rows}
-    seen = Counter(x for i, _, x in rows if not held[i])
-    ranked = sorted(seen, key=lambda x: (-seen[x], x is not None, x or ""))[:7] if langs > 1 else [None]
-    code = lambda x: ranked.index(x) + 2 if x in ranked else 1
-    words = {i: [(code(x if langs > 1 else None), w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))] + [(code(x if langs > 1 else None), b"\n")] for i, t, x in rows}
-    train = Counter(w for i in words if not held[i] for w in words[i])
-    plain = Counter(w for i in words if not held[i] for _, w in words[i])
-    n, v, docs = sum(plain.values()), len(plain), sum(not h for h in held.values())
-    score = brute_ppm(train, {w for ws in words.values() for w in ws})
-    assert len(got) == len(rows)
-    for i, ws in words.items():
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws), sum(plain[w] > 0 for _, w in ws), n)
-        assert r.base_score == pytest.approx(sum(math.log10((plain[w] + 0.1) / (n + 0.1 * (v + 1))) for _, w in ws))
-        prior = math.log10((train[(ws[0][0], b"\n")] + 1) / (docs + 8)) if langs > 1 else 0
-        assert r.score == pytest.approx(prior + sum(score[w] for w in ws))
-
-
-def test_ppm_without_training(spark):
-    only_held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
-    df = spark.createDataFrame([(only_held, "ab")], "doc_id bigint, text string")
-    r = ppm.score_texts(df).first()
-    assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 2, 0, 0) and r.score == pytest.approx(-4 * math.log10(256))
-    assert ppm.score_texts(df.limit(0)).count() == 0
-    nulls = spark.createDataFrame([(None, "a b"), (None, None), (1, "a"), (1, "a")], "doc_id bigint, text string")
-    assert ppm.score_texts(nulls).count() == 4
-
-
 def test_block_pairs_meet_once(spark):
     df = spark.range(50).selectExpr("id", "cast(id % 2 as bigint) as bucket")
     rows = blocks.blocks(df, "bucket", "id", df.select("id"), 8).collect()

@@ -6,6 +6,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from ratlas.llm import ppm
@@ -45,8 +47,7 @@ def brute_scores(train, texts):
 
 
 @pytest.mark.parametrize("chunk_bytes", [1, ppm.CHUNK_BYTES])
-def test_contexts_run_across_words(spark, monkeypatch, chunk_bytes):
-    monkeypatch.setattr(ppm, "FREQUENT", 20)
+def test_contexts_run_across_words(spark, chunk_bytes):
     rnd = random.Random(4)
     syllables = ["ba", "ko", "lü", "tre", "n", "é", "Zu", ".", "mi", "ro", "sch", "x"]
     rows = [(i, " ".join("".join(rnd.choices(syllables, k=rnd.randrange(1, 4))) for _ in range(rnd.randrange(0, 60)))) for i in range(150)]
@@ -66,6 +67,18 @@ def test_contexts_run_across_words(spark, monkeypatch, chunk_bytes):
     assert got[204].score == got[206].score != pytest.approx(got[205].score)
 
 
+@pytest.mark.parametrize("window", [1, 3, 7, 50])
+def test_windows_change_nothing(monkeypatch, window):
+    texts = pa.array(["ab cd Ef", "", None, "x", "a lange r text über alles", "ab"])
+    want = list(ppm.Stream(texts).windows())[0]
+    monkeypatch.setattr(ppm, "WINDOW_BYTES", window)
+    got = list(ppm.Stream(texts).windows())
+    assert len(got) > 1
+    for k in (0, 1):
+        assert np.concatenate([g[k] for g in got]).tolist() == want[k].tolist()
+    assert len(want[0]) == sum(len(stream(t)[1]) - 1 for t in texts.to_pylist())
+
+
 def test_running_without_training(spark):
     only_held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
     df = spark.createDataFrame([(only_held, "ab")], "doc_id bigint, text string")
