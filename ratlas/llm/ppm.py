@@ -141,11 +141,23 @@ def _part_of(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
     return ((node * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
+def _pack_rows(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack_rows(data: bytes) -> pa.RecordBatch:
+    with pa.ipc.open_stream(data) as source:
+        return source.read_next_batch()
+
+
 def _chunks(parts: int, chunk_bytes: int, kind: pa.DataType):
-    """Rows as they are, with a number and that of their chunk; and for each chunk and part its distinct events, or words,
+    """Packs of rows as they are, with the number of their chunk; and for each chunk and part its distinct events, or words,
     with their counts in texts to learn from."""
-    names = ["chunk", "row", "doc_id", "held_out", "text", "kind", "part", "keys", "counts"]
-    kinds = [pa.int64(), pa.int64(), kind, pa.bool_(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    names = ["chunk", "rows", "kind", "part", "keys", "counts"]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
     def packs(chunk: int, what: int, tally: Tally) -> pa.RecordBatch:
         key, count = tally.sums()
@@ -153,12 +165,12 @@ def _chunks(parts: int, chunk_bytes: int, kind: pa.DataType):
         order = np.argsort(part, kind="stable")
         found, first = np.unique(part[order], return_index=True)
         key, count, spans = key[order], count[order], list(zip(first, [*first[1:], len(key)], strict=False))
-        own = [pa.array(np.full(len(found), chunk)), *[pa.nulls(len(found), k) for k in kinds[1:5]], pa.array(np.full(len(found), what, np.int32)), pa.array(found)]
+        own = [pa.array(np.full(len(found), chunk)), pa.nulls(len(found), pa.binary()), pa.array(np.full(len(found), what, np.int32)), pa.array(found)]
         return pa.RecordBatch.from_arrays([*own, pa.array([_pack_keys(key[a:b]) for a, b in spans], pa.binary()), pa.array([_pack(count[a:b]) for a, b in spans], pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
-        chunk, row, held, tallies = first, first, 0, (Tally(), Tally())
+        chunk, held, tallies = first, 0, (Tally(), Tally())
         for batch in slices(batches, "text", WINDOW_BYTES):
             stream, out = Stream(batch.column("text")), batch.column("held_out").to_numpy(zero_copy_only=False)
             if held and held + len(stream.flat) > chunk_bytes:
@@ -176,10 +188,8 @@ def _chunks(parts: int, chunk_bytes: int, kind: pa.DataType):
                 tallies[EVENTS].add(key & ~_HELD, count)
             learnt = np.bincount(stream.places[np.repeat(~out, stream.n_words)], minlength=len(stream.words))
             tallies[WORDS].add(stream.words, learnt)
-            n = batch.num_rows
-            columns = [batch.column(x).cast(k) for x, k in zip(names[2:5], kinds[2:5], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(row, row + n)), *columns, *[pa.nulls(n, k) for k in kinds[5:]]], names=names)
-            row += n
+            rows = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(kind), batch.column("held_out"), batch.column("text").cast(pa.string())], names=["doc_id", "held_out", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((chunk, _pack_rows(rows), None, None, None, None), kinds, strict=True)], names=names)
         if held:
             yield packs(chunk, EVENTS, tallies[EVENTS])
             yield packs(chunk, WORDS, tallies[WORDS])
@@ -306,18 +316,18 @@ def _shortest(first: np.ndarray):
 
 def _give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """By part and kind first its keys with scores, then those of its open events, then packs of chunks -> the packs with
-    scores (events) or counts (words) in place of counts."""
-    names, key, value = ["chunk", "kind", "keys", "values"], np.zeros(0, np.int64), np.zeros(0)
+    scores (events) or counts (words, whose keys stay behind: the chunk finds them again) in place of counts."""
+    names, key, value = ["chunk", "kind", "part", "keys", "values"], np.zeros(0, np.int64), np.zeros(0)
     for batch in batches:
         out: list[tuple] = []
-        for i, row in enumerate(batch.select(["step", "kind", "chunk", "keys", "scores"]).to_pylist()):
+        for i, row in enumerate(batch.select(["step", "kind", "part", "chunk", "keys", "scores"]).to_pylist()):
             if row["step"] == 0:
                 key, value = _unpack_keys(row["keys"]), _unpack(row["scores"], "f4" if row["kind"] == EVENTS else "i8")
             elif row["step"] == 1:
                 value[np.searchsorted(key, batch.column("events")[i].values.to_numpy())] = batch.column("late")[i].values.to_numpy()
             else:
-                out.append((row["chunk"], row["kind"], row["keys"], _pack(value[np.searchsorted(key, _unpack_keys(row["keys"]))])))
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                out.append((row["chunk"], row["kind"], row["part"], row["keys"] if row["kind"] == EVENTS else None, _pack(value[np.searchsorted(key, _unpack_keys(row["keys"]))])))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
 
@@ -333,29 +343,36 @@ def _values_at(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.n
     return out
 
 
-def _sum_texts(end_count: int, total: int, distinct: int):
+def _sum_texts(parts: int, end_count: int, total: int, distinct: int):
     def run(texts: pa.Table, back: pa.Table) -> pa.Table:
-        tables = []
-        for kind, number in ((EVENTS, "f4"), (WORDS, "i8")):
-            mine = back.filter(pc.equal(back.column("kind"), kind))
-            keys = [np.zeros(0, np.int64), *map(_unpack_keys, mine.column("keys").to_pylist())]
-            key, value = np.concatenate(keys), np.concatenate([np.zeros(0, number), *[_unpack(x, number) for x in mine.column("values").to_pylist()]])
-            order = np.argsort(key)
-            tables.append((key[order], value[order]))
-        scale = math.log10(total + 0.1 * (distinct + 1))
-        out = []
-        for batch in slices(iter(texts.to_batches()), "text", WINDOW_BYTES):
+        mine = back.filter(pc.equal(back.column("kind"), EVENTS))
+        event = np.concatenate([_unpack_keys(x) for x in mine.column("keys").to_pylist()])
+        score = np.concatenate([_unpack(x, "f4") for x in mine.column("values").to_pylist()])
+        order = np.argsort(event)
+        event, score = event[order], score[order]
+        out, words = [], []
+        for data in texts.column("rows").to_pylist():
+            batch = _unpack_rows(data)
             stream, n = Stream(batch.column("text")), batch.num_rows
-            score = np.zeros(n)
+            sums = np.zeros(n)
             for key, doc in stream.windows():
-                score += np.bincount(doc, _values_at(*tables[EVENTS], key), n)
-            count = tables[WORDS][1][np.searchsorted(tables[WORDS][0], stream.words)][stream.places]
-            doc = np.repeat(np.arange(n), stream.n_words)
-            base = np.bincount(doc, np.log10(count + 0.1) - scale, n) + math.log10(end_count + 0.1) - scale
-            known = np.bincount(doc, count > 0, n).astype(np.int64) + (end_count > 0)
-            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(stream.n_words + 1), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(score)]
-            out.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
-        return pa.Table.from_batches(out)
+                sums += np.bincount(doc, _values_at(event, score, key), n)
+            out.append((batch.column("doc_id"), batch.column("held_out"), stream.n_words, sums))
+            words.append((stream.words, stream.places))
+        mine = back.filter(pc.equal(back.column("kind"), WORDS)).sort_by("part")
+        word = np.unique(np.concatenate([w for w, _ in words]))
+        count = np.zeros(len(word), np.int64)
+        count[np.argsort(_part_of(word, WORDS, parts), kind="stable")] = np.concatenate([np.zeros(0, np.int64), *[_unpack(x, "i8") for x in mine.column("values").to_pylist()]])
+        scale = math.log10(total + 0.1 * (distinct + 1))
+        tables = []
+        for (ids, held, n_words, sums), (keys, places) in zip(out, words, strict=True):
+            n, c = len(sums), count[np.searchsorted(word, keys)][places]
+            doc = np.repeat(np.arange(n), n_words)
+            base = np.bincount(doc, np.log10(c + 0.1) - scale, n) + math.log10(end_count + 0.1) - scale
+            known = np.bincount(doc, c > 0, n).astype(np.int64) + (end_count > 0)
+            columns = [ids, held, pa.array(n_words + 1), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(sums)]
+            tables.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        return pa.Table.from_batches(tables)
 
     return run
 
@@ -383,8 +400,8 @@ def score_running(docs: DataFrame, held_percent: int = 10, chunk_bytes: int = CH
     rows = docs.select("doc_id", "text", held.alias("held_out"))
     n_train, size = rows.agg(F.count_if(~F.col("held_out")), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = min(PARTS, max(32, size // CHUNK_BYTES))
-    schema = f"chunk bigint, row bigint, doc_id {kind}, held_out boolean, text string, kind int, part bigint, keys binary, counts binary"
-    both = scratch.save(rows.mapInArrow(_chunks(parts, chunk_bytes, arrow), schema), "chunks", compression="zstd")
+    schema = "chunk bigint, rows binary, kind int, part bigint, keys binary, counts binary"
+    both = scratch.save(rows.mapInArrow(_chunks(parts, chunk_bytes, arrow), schema), "chunks")
     packs = both.where("part IS NOT NULL").select("part", "kind", "chunk", "keys", "counts")
     merged = scratch.save(packs.repartition("part", "kind").sortWithinPartitions("part", "kind").mapInArrow(_merge, MERGED), "merged")
 
@@ -419,10 +436,10 @@ def score_running(docs: DataFrame, held_percent: int = 10, chunk_bytes: int = CH
     table = merged.where("keys IS NOT NULL").select("part", "kind", F.lit(0).alias("step"), "keys", "scores")
     asked = packs.select("part", "kind", F.lit(2).alias("step"), "chunk", "keys")
     flow = asked.unionByName(table, allowMissingColumns=True).unionByName(late, allowMissingColumns=True)
-    back = flow.repartition("part", "kind").sortWithinPartitions("part", "kind", "step").mapInArrow(_give_back, "chunk bigint, kind int, keys binary, values binary")
+    back = flow.repartition("part", "kind").sortWithinPartitions("part", "kind", "step").mapInArrow(_give_back, "chunk bigint, kind int, part bigint, keys binary, values binary")
 
     n_words, n_distinct = merged.where("v IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     total, distinct = n_words + n_train, n_distinct + (n_train > 0)
-    texts = both.where("part IS NULL").select("chunk", "row", "doc_id", "held_out", "text")
+    texts = both.where("part IS NULL").select("chunk", "rows")
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_sum_texts(n_train, total, distinct), out)
+    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_sum_texts(parts, n_train, total, distinct), out)
