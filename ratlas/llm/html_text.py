@@ -1,7 +1,9 @@
 """Main text of web pages by two passes over blocks.
 
-The first pass decides a block by its place in the page's structure and by length, stop-word density and link density.
-Short blocks that these leave open take the label of their nearest decided neighbours in the second pass.
+The first pass decides a block by its stop-word density, length and link density. The page's structure is a feature beside
+them: what stands in menus, footers, forms, adverts, notices or comments is out whatever its densities say, and so is what
+stands outside of the article where a page has one. Blocks that are left open (short ones, headings, articles in other
+languages, paragraphs that are one link) take the label of their nearest decided neighbours in the second pass.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,24 +31,27 @@ STOP_WORDS = frozenset(
 )
 #: Elements by their role.
 RAW = frozenset("script style title textarea iframe noframes xmp".split())
-DROPPED = frozenset("noscript template svg math object select option button canvas audio video".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+DROPPED = frozenset("noscript template svg object select option button canvas audio video".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog head fieldset datalist".split())
 CONTENT = frozenset(("article", "main"))
-#: Words in class, id or role that name what isn't the article.
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Words in class, id or role that name what isn't the article, and those that also name parts of articles.
 MARKS = frozenset(
-    """ad ads advert adverts advertisement banner sponsor sponsored promo promotion sidebar side nav navbar navigation menu footer foot
+    """ad ads advert adverts advertisement banner sponsor sponsored promo promotion sidebar nav navbar navigation menu footer foot
     topbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notification alert popup modal overlay comment comments commentlist
-    respond reply replies disqus social share sharing related recommended recommendations newsletter subscribe subscription signup login search
+    disqus related recommended recommendations newsletter subscribe subscription signup login
     contentinfo complementary toolbar widget masthead pagination pager skip""".split()
 )
+WEAK = frozenset("side share sharing social reply replies respond search".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<!\[CDATA\[.*?\]\]>", re.S | re.I)
-_ENDS = {x: re.compile(rf"</{x}(?![\w:-])[^>]*>", re.I) for x in RAW}
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-_WORD_ENDS = ".,;:!?\"'()«»„“”…"
+_STOP = re.compile(r">|=\s*[\"']")
+_NAME = re.compile(r"[a-z][a-z0-9:-]*", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ENDS = {x: re.compile(rf"</{x}(?![\w:-])", re.I) for x in RAW}
+_LETTERS = re.compile(r"[^\W\d_]+")
+Token = tuple[str, str, bool, str]  # text, tag, whether it ends an element, attributes
 
 
 @dataclass
@@ -66,31 +71,117 @@ class Block:
     link_chars: int
     #: 0 outside of any article, else the number of the article that holds the block
     section: int
+    #: in a menu, footer, form, advert, notice, comment ...; weak_place: in something whose name may also be an article's
     bad_place: bool
+    weak_place: bool
     heading: bool
+    listed: bool
     label: str = "open"
+    #: what decided: links, stop words, length, place, outside, neighbours
+    rule: str = ""
+
+
+def _words(names: str) -> list[set[str]]:
+    return [words for w in names.lower().split() if (words := set(re.split(r"[^a-z]+", w)) - {""})]
+
+
+def _place(rest: str) -> tuple[bool, bool]:
+    """Whether an element's attributes hide it or mark it as no part of the article, and whether they may. A class, id or
+    role is a mark as a whole, or made of marks alone: has-sidebar isn't one, cookie-notice is."""
+    bad = weak = False
+    for name, *values in _ATTRIBUTE.findall(rest):
+        name, value = name.lower(), next(filter(None, values), "")
+        if name in ("class", "id", "role"):
+            for words in _words(value):
+                bad |= words <= MARKS
+                weak |= words <= MARKS | WEAK
+            bad |= name == "role" and value.lower() == "search"
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            bad = True
+    return bad, weak
+
+
+class _Scanner:
+    """Texts and tags of a page in one forward pass: nothing is read twice, whatever is left open or broken."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, {'"': True, "'": True}
+
+    def _close(self, i: int) -> int:
+        """The place of the > that ends a tag, behind quoted values; a quote without end is a character like others."""
+        while m := _STOP.search(self.page, i):
+            if m[0] == ">":
+                return m.start()
+            quote, i = m[0][-1], m.end()
+            if self.quotes[quote]:
+                end = self.page.find(quote, i)
+                if end < 0:
+                    self.quotes[quote] = False
+                else:
+                    i = end + 1
+        return -1
+
+    def tokens(self) -> list[Token]:
+        """Raw elements are left out; a script or style without end goes on to the end of the page, any other is a tag like
+        all others."""
+        page, out, at, low, endless = self.page, [], 0, 0, set()
+        while (low := page.find("<", low)) >= 0:
+            ahead, end = page[low + 1 : low + 2], page.startswith("/", low + 1)
+            name = _NAME.match(page, low + 1 + end)
+            if name:
+                stop = self._close(name.end())
+            elif page.startswith("<!--", low):
+                stop = page.find("-->", low + 2)
+                stop = stop + 2 if stop >= 0 else len(page)
+            elif ahead in ("!", "?") or end:
+                stop = page.find(">", low)
+            else:  # a sign of its own
+                low += 1
+                continue
+            if stop < 0:
+                break  # no tag ends any more
+            if low > at:
+                out.append((page[at:low], "", False, ""))
+            rest = page[name.end() : stop] if name else ""
+            at = low = min(stop + 1, len(page))
+            tag = name[0].lower() if name else ""
+            if not tag:
+                continue
+            if tag in RAW and not end and tag not in endless and (tag in ("script", "style") or not rest.endswith("/")):
+                if over := _ENDS[tag].search(page, at):
+                    stop = page.find(">", over.end())
+                    at = low = stop + 1 if stop >= 0 else len(page)
+                    continue
+                endless.add(tag)
+                if tag in ("script", "style"):
+                    return out
+            out.append(("", tag, end, rest))
+        if at < len(page):
+            out.append((page[at:], "", False, ""))
+        return out
 
 
-@dataclass
 class _Page:
-    blocks: list[Block] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: list[str] = field(default_factory=list)
-    #: open elements: (tag, boilerplate, number of the article)
-    stack: list[tuple[str, bool, int]] = field(default_factory=list)
-    sections: int = 0
-    link: bool = False
-
-    def flush(self, heading: bool = False) -> None:
+    """Blocks from tokens. The open elements are counted by what they mean, so a block asks no ancestor."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.parts: list[str] = []
+        self.linked: list[str] = []
+        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, bad, weak, number of the article
+        self.open_tags: dict[str, int] = {}
+        self.bad = self.weak = self.sections = 0
+        self.weak_outside = {0: 0}  # weak elements around an article don't count in it
+        self.link = False
+
+    def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
-            bad = any(x[1] for x in self.stack)
-            section = self.stack[-1][2] if self.stack else 0
-            in_head = any(x[0] == "header" for x in self.stack)
-            heading = heading or any(re.fullmatch("h[1-6]", x[0]) for x in self.stack)
-            bad = bad or in_head and not (section and heading)
+            section = self.stack[-1][3] if self.stack else 0
+            heading = any(self.open_tags.get(h) for h in HEADINGS)
+            bad = self.bad > 0 or self.open_tags.get("header", 0) > 0 and not (section and heading)
             links = len(" ".join(html.unescape("".join(self.linked)).split()))
-            self.blocks.append(Block(text, links, section, bad, heading))
+            self.blocks.append(Block(text, links, section, bad, self.weak > self.weak_outside[section], heading, self.open_tags.get("li", 0) > 0))
         self.parts.clear()
         self.linked.clear()
 
@@ -99,65 +190,47 @@ class _Page:
         if self.link:
             self.linked.append(text)
 
-    def open(self, tag: str, rest: str, spared: bool = False) -> None:
+    def _pop(self) -> str:
+        tag, bad, weak, _ = self.stack.pop()
+        self.open_tags[tag] -= 1
+        self.bad -= bad
+        self.weak -= weak
+        return tag
+
+    def open(self, tag: str, rest: str, spared: bool) -> None:
         self.flush()
         self.link = False
         if tag in VOID:
             return
         if tag == "body":
-            self.stack = [x for x in self.stack if x[0] == "html"]
+            while self.stack and self.stack[-1][0] != "html":
+                self._pop()
         if tag in CONTENT:  # no menu holds an article: one that is still open was never closed
             while self.stack and self.stack[-1][0] in ("nav", "footer", "header", "menu", "ul", "ol", "li", "p", "head"):
-                self.stack.pop()
+                self._pop()
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
-        bad = tag in BOILERPLATE or tag not in ("html", "body") and (not spared and _marked(rest) or bool(_HIDDEN.search(rest)))
-        section = self.stack[-1][2] if self.stack else 0
+            self._pop()
+        bad, weak = (False, False) if spared or tag in ("html", "body") else _place(rest)
+        bad = bad or tag in BOILERPLATE
+        section = self.stack[-1][3] if self.stack else 0
         if tag in CONTENT and not bad:
             self.sections += 1
             section = self.sections
-        self.stack.append((tag, bad, section))
+            self.weak_outside[section] = self.weak + weak
+        self.stack.append((tag, bad, weak, section))
+        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+        self.bad += bad
+        self.weak += weak
 
     def close(self, tag: str) -> None:
-        self.flush(bool(re.fullmatch("h[1-6]", tag)))
+        self.flush()
         self.link = False
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                del self.stack[k:]
-                return
-
-
-def _marked(rest: str) -> bool:
-    """A class, id or role is a mark as a whole, or made of marks alone: has-sidebar isn't one, cookie-notice is."""
-    names = {w for m in _NAMES.finditer(rest) for w in (m[1] or m[2] or m[3] or "").lower().split()}
-    return any((words := set(re.split(r"[^a-z]+", w)) - {""}) and words <= MARKS for w in names)
-
-
-def _tokens(page: str) -> list[tuple[str, str, bool, str]]:
-    """Texts (with an empty tag) and tags: text, tag, whether it ends an element, attributes. Raw elements are left out; a
-    script or style without end goes on to the end of the page, any other is a tag like all others."""
-    out, at, endless = [], 0, set()
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            out.append((page[at : m.start()], "", False, ""))
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
-        if tag in RAW and not m["end"] and tag not in endless and (tag in ("script", "style") or not m["rest"].endswith("/")):
-            if end := _ENDS[tag].search(page, at):
-                at = end.end()
-                continue
-            endless.add(tag)
-            if tag in ("script", "style"):
-                return out
-        out.append(("", tag, bool(m["end"]), m["rest"]))
-    if at < len(page):
-        out.append((page[at:], "", False, ""))
-    return out
+        if self.open_tags.get(tag):
+            while self._pop() != tag:
+                pass
 
 
-def _structure(tokens: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int], set[int], set[int]]:
+def _structure(tokens: list[Token]) -> tuple[dict[int, int], set[int], set[int]]:
     """The end of each dropped element that has one; and the elements that hold a main or an article without marks."""
     ends, mains, articles = {}, set(), set()
     stack: list[int] = []
@@ -174,7 +247,7 @@ def _structure(tokens: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int]
                         ends[k] = i
                     break
         elif not (tag in DROPPED | RAW and rest.endswith("/")):
-            if tag in CONTENT and not _marked(rest) and not _HIDDEN.search(rest):
+            if tag in CONTENT and not _place(rest)[0]:
                 holders = mains if tag == "main" else articles
                 for k in reversed(stack):
                     if k in holders:
@@ -185,7 +258,7 @@ def _structure(tokens: list[tuple[str, str, bool, str]]) -> tuple[dict[int, int]
     return ends, mains, articles
 
 
-def _read(tokens: list[tuple[str, str, bool, str]], ends: dict[int, int], spared: set[int]) -> list[Block]:
+def _read(tokens: list[Token], ends: dict[int, int], spared: set[int]) -> list[Block]:
     state, i, silent = _Page(), -1, False
     while (i := i + 1) < len(tokens):
         text, tag, end, rest = tokens[i]
@@ -209,9 +282,10 @@ def _read(tokens: list[tuple[str, str, bool, str]], ends: dict[int, int], spared
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The blocks of text of a page, in order. Works on any string; unclosed elements end with their parent. Marks don't
-    count on what holds the page's main, nor, where no article is left otherwise, on what holds an article."""
-    tokens = _tokens(page)
+    """The blocks of text of a page, in order. Works on any string, in time that grows with its length; unclosed elements
+    end with their parent. Marks don't count on what holds the page's main, nor, where no article is left otherwise, on
+    what holds an article."""
+    tokens = _Scanner(page).tokens()
     ends, mains, articles = _structure(tokens)
     blocks = _read(tokens, ends, mains)
     if articles and not any(b.section and not b.bad_place for b in blocks):
@@ -219,29 +293,46 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
+def _density(b: Block, rules: Rules) -> tuple[str, str]:
+    """Label and rule by links, stop words and length alone; an article leaves open what other places would lose."""
+    n = len(b.text)
+    if b.link_chars > rules.link_high * n:
+        return ("open", "") if b.section and not b.listed else ("bad", "links")
+    if n < rules.short or b.heading:
+        return "open", ""
+    words = _LETTERS.findall(b.text.lower())
+    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if stop >= rules.stop_high:
+        return "good", "stop words"
+    if stop >= rules.stop_low:
+        return ("good", "length") if n >= rules.long else ("open", "")
+    return ("open", "") if b.section else ("bad", "stop words")
+
+
 def first_pass(blocks: list[Block], rules: Rules) -> None:
-    """Label blocks good, bad or open (to be decided by their neighbours)."""
+    """Label blocks good, bad or open (to be decided by their neighbours).
+
+    Where a page has no article and no block is good by stop words (another language), length and links decide alone.
+    """
     sections = any(b.section and not b.bad_place for b in blocks)
     for b in blocks:
-        n = len(b.text)
-        words = b.text.lower().split()
-        stop = sum(w.strip(_WORD_ENDS) in STOP_WORDS for w in words) / max(1, len(words))
-        if b.bad_place or sections and not b.section:
-            b.label = "bad"
-        elif b.link_chars > rules.link_high * n:
-            b.label = "bad"
-        elif n < rules.short or b.heading:
-            b.label = "open"
-        elif b.section or stop >= rules.stop_high or n >= rules.long and stop >= rules.stop_low:
-            b.label = "good"
-        else:
-            b.label = "open" if stop >= rules.stop_low else "bad"
+        b.label, b.rule = _density(b, rules)
+        if b.label != "bad":
+            if b.bad_place or b.weak_place and b.rule == "":
+                b.label, b.rule = "bad", "place"
+            elif sections and not b.section:
+                b.label, b.rule = "bad", "outside"
+    if not sections and not any(b.label == "good" for b in blocks):
+        for b in blocks:
+            if len(b.text) >= rules.long and b.rule == "stop words" and not b.bad_place:
+                b.label, b.rule = "good", "length"
 
 
 def second_pass(blocks: list[Block]) -> None:
     """Open blocks take the label of the nearest decided block before and after them, inside their own article if they
     have one: both good or both bad decides; if they differ, the nearer one, at equal distance good. An article without
-    any decided block is good as a whole; outside of articles a page without one gives nothing."""
+    any decided block is good as a whole; outside of articles a page without one gives nothing. Headings outside of
+    articles go with what follows them."""
     before: list[tuple[int, str] | None] = []
     after: list[tuple[int, str] | None] = [None] * len(blocks)
 
@@ -249,10 +340,9 @@ def second_pass(blocks: list[Block]) -> None:
         last: dict[int, tuple[int, str]] = {}
         for i in order:
             b = blocks[i]
-            key = b.section
-            put(i, last.get(key))
-            if b.label != "open" and not (b.section and b.bad_place):
-                last[key] = (i, b.label)
+            put(i, last.get(b.section))
+            if b.label != "open" and not (b.section and b.rule == "place"):
+                last[b.section] = (i, b.label)
 
     nearest(range(len(blocks)), lambda i, x: before.append(x))
     nearest(range(len(blocks) - 1, -1, -1), lambda i, x: after.__setitem__(i, x))
@@ -265,19 +355,26 @@ def second_pass(blocks: list[Block]) -> None:
         if b.heading and not b.section:  # a heading belongs to what follows it
             new[i] = after[i][1] if after[i] else new[i]
     for i, label in new.items():
-        blocks[i].label = label
+        blocks[i].label, blocks[i].rule = label, "neighbours"
 
 
-def main_text(page: str | None, rules: Rules | None = None) -> str:
-    """The article of a page as one line; null, empty or without an article: the empty string."""
+def labelled(page: str | None, rules: Rules | None = None) -> list[Block]:
+    """The blocks of a page with their labels, and the rules that decided them."""
     blocks = blocks_of(page or "")
     first_pass(blocks, rules or Rules())
     second_pass(blocks)
-    return " ".join(b.text for b in blocks if b.label == "good")
+    return blocks
+
+
+def main_text(page: str | None, rules: Rules | None = None) -> str:
+    """The article of a page as one line; null, empty or without an article: the empty string."""
+    return " ".join(b.text for b in labelled(page, rules) if b.label == "good")
 
 
 def extract(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """page_id, url, text of every row of pages, from the whole html. Rows are independent: nothing is shuffled."""
+    """page_id, url, text of every row of pages, from the whole html. Rows are independent: nothing is shuffled. Null and
+    empty pages, and pages without an article, give an empty text; repeated rows stay; null ids and urls stay null;
+    other columns are left out; an empty table gives no rows."""
     limits = rules or Rules()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

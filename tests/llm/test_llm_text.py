@@ -1,7 +1,9 @@
 """Quality rules, mixing, line dedup and HTML against brute force."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -159,7 +161,74 @@ def test_html_never_fails(x):
     assert isinstance(html_text.main_text("<article>" + x), str)
 
 
+PROSE = ["The council of the town has met and it was long.", "Der Rat hat die Vorlage für das neue Haus beschlossen, und sie ist gut.", "Le conseil de la ville est pour le projet et il a voté.", "Zażółć gęślą jaźń w każdym razie, powiedziała wczoraj rzeczniczka urzędu miasta na spotkaniu."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article data-topic='hidden gems'><p>{}</p></article>",
+        "<article><p title='the hidden valley'>{}</p></article>",
+        "<article><p>{}</p><datalist><option value=a></datalist></article>",
+        "<article><svg/><p>{}</p></article>",
+        "<article><iframe/><p>{}</p></article>",
+        "<article><p class='share-price'>{}</p></article>",
+        "<article><div class='side-by-side'><p>{}</p></div></article>",
+        "<article><div id='search-for-truth'><p>{}</p></div></article>",
+        "<article><p class='reply'>{}</p></article>",
+        "<article><p><a href=x>{}</a></p></article>",
+        "<article><p><math><mtext>{}</mtext></math></p></article>",
+        "<article><p title=it's>{}</p></article>",
+        "<article><p title='a > b'>{}</p><aside>x</aside></article>",
+    ],
+)
+def test_html_loses_no_article_text(page):
+    body = " ".join(PROSE[:2] * 3)
+    assert html_text.main_text(page.format(body)) == body
+
+
+def test_html_without_article_in_another_language():
+    body = " ".join(PROSE[3:] * 4)
+    menu = "".join(f"<li><a href=/{i}>Strona {i}</a></li>" for i in range(9))
+    assert html_text.main_text(f"<ul>{menu}</ul><h1>Tytuł</h1><div><p>{body}</p><p>{body}</p></div><p>Kontakt</p>") == f"Tytuł {body} {body} Kontakt"
+
+
+def test_html_density_decides_generated_pages():
+    rnd = random.Random(8)
+    rules = Counter()
+    noise = [
+        lambda: "<nav><ul>" + "".join(f"<li><a href='/{i}'>Seite {i}</a></li>" for i in range(rnd.randrange(1, 9))) + "</ul></nav>",
+        lambda: f"<div class='{rnd.choice(['ad', 'advert banner', 'cookie-notice', 'sidebar', 'newsletter'])}'><p>{rnd.choice(PROSE)}</p></div>",
+        lambda: "<script>var a = '<p>nicht</p>';</script><style>p { margin: 0 }</style><!-- <p>nie</p> -->",
+        lambda: f"<form><label>Name</label><input name=q><button>Senden</button><p>{rnd.choice(PROSE)}</p></form>",
+        lambda: f"<ol class=comments><li>{' '.join(rnd.choices(PROSE, k=3))}</li></ol>",
+        lambda: f"<footer>&copy; 2026 {rnd.choice(PROSE)}</footer>",
+    ]
+    for _ in range(300):
+        want, inner = [], ""
+        for k in range(rnd.randrange(1, 9)):
+            text = rnd.choice(["Kurz.", "Ja & nein.", f"Teil {k}"]) if k and rnd.random() < 0.3 else " ".join(rnd.choices(PROSE[:3], k=rnd.randrange(2, 7)))
+            tag = rnd.choice(["p", "div", "blockquote", "h2" if len(text) < 60 else "p"])
+            want.append(text)
+            inner += f"<{tag}>{text.replace('&', '&amp;')}" + (f"</{tag}>" if tag != "p" or rnd.random() < 0.8 else "")
+            if rnd.random() < 0.2:
+                inner += rnd.choice(noise[1:4])()
+        outer = lambda: "".join(f() for f in rnd.sample(noise, rnd.randrange(4)))
+        page = f"<!DOCTYPE html><html><head><title>Titel</title></head><body>{outer()}<{'article'}>{inner}</article>{outer()}</body></html>"
+        assert html_text.main_text(page) == " ".join(want), page
+        rules.update(b.rule for b in html_text.labelled(page))
+    assert rules["links"] + rules["stop words"] + rules["length"] > rules["place"] + rules["outside"]
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 160_000, "<p " * 330_000, '<a "' * 250_000, '<a b="' * 160_000 + ">", "<div>" * 100_000 + "</p>" * 100_000, "<!--" * 250_000, "<" * 1_000_000, "<ul><li>x" * 110_000, "<body><div>" * 90_000, "<textarea>" * 100_000])
+def test_html_takes_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (1, "u", PAGE)], "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.extract(pages).collect()
     assert sorted((r.page_id, len(r.text)) for r in got) == [(1, 57), (1, 57), (2, 0)]
+    assert html_text.extract(pages.limit(0)).count() == 0
