@@ -33,20 +33,43 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run below the shared folder. They cut lineage: a lost executor costs only the tasks that it ran."""
+    """Tables of one run below the shared folder. They cut lineage: a lost executor costs only the tasks that it ran.
+
+    Operators drop a table as soon as later ones are written. What their results still read goes with release(), or else
+    when the driver ends, as the file system is told at the start.
+    """
+
+    _open: dict[str, Scratch] = {}
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{scratch_root(spark)}/ratlas/{name}-{uuid.uuid4().hex}"
+        fs, path = self._at("")
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        Scratch._open[self.path] = self
+
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         df.write.options(**options).parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str = "") -> None:
-        """Delete one table, or all of this run."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Delete tables, or all of this run."""
+        for name in names or ("",):
+            fs, path = self._at(name)
+            fs.delete(path, True)
+        if not names:
+            Scratch._open.pop(self.path, None)
+
+
+def release() -> None:
+    """Delete the scratch tables of all runs of this session. DataFrames that operators returned can't be read after."""
+    for scratch in list(Scratch._open.values()):
+        scratch.drop()
 
 
 def trimmed(text: Column) -> Column:

@@ -32,6 +32,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(small, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = scratch.save(hung.union(small.select("u", F.col("m").alias("v"))).distinct(), f"edges-{step}")
-        scratch.drop(f"edges-{step - 1}")
-        scratch.drop(f"large-{step}")
+        scratch.drop(f"edges-{step - 1}", f"large-{step}")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -18,7 +18,7 @@ from ratlas.llm.common import SPACE_CLASS, Scratch, count_words, trimmed
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 #: Rows that one range of keys holds on average.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 4096
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share_percent: int = 150, most: int = 2) -> DataFrame:
@@ -60,9 +60,9 @@ def cuts(sized: DataFrame, scratch: Scratch, weights: Sequence[int] = WEIGHTS, s
     """
     units = scratch.save(sized.groupBy("source", "key").agg(F.sum("size").alias("unit")), "units")
     n, ranges = units.count(), 1
-    while ranges * RANGE_ROWS < n and ranges < 65536:
+    while ranges * RANGE_ROWS < n and ranges < 1 << 30:
         ranges *= 2
-    place = F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * ranges / 65536).cast("int")
+    place = F.shiftright(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges, 32).cast("int")
     units = units.withColumn("range", place)
     sums = units.groupBy("source", "range").agg(F.sum("unit").alias("sum"))
     goals = targets(sums.groupBy("source").agg(F.sum("sum").alias("source_size")), weights, share_percent, most)
@@ -78,7 +78,9 @@ def cuts(sized: DataFrame, scratch: Scratch, weights: Sequence[int] = WEIGHTS, s
     last = last.withColumn("held", F.coalesce(F.sum("unit").over(inside), F.lit(0))).where("held < e_rest AND e_rest <= held + unit")
     last = last.select(F.col("source").alias("l_source"), "key", (F.col("e_rest") - F.col("held")).alias("amount"), "unit")
     out = goals.join(last, F.expr("source <=> l_source"), "left").drop("l_source", "rest", "weight")
-    return scratch.save(out, "cuts")
+    out = scratch.save(out, "cuts")
+    scratch.drop("units")
+    return out
 
 
 def taken(size: Column, key: Column) -> Column:

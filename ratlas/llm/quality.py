@@ -57,9 +57,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Null, empty and blank texts have no words and zeros everywhere. Columns of docs with these names are replaced.
 
-    Repeated windows are found inside the row: each 3-word window becomes one long (its hash above, its position in the
-    low bits), a primitive sort brings equal windows together, and the positions that have an equal neighbour are
-    merged. No row is exploded, so nothing is shuffled and a long text costs its length times its logarithm.
+    Repeated windows are found inside the row: each 3-word window becomes one long (as much of its hash as fits above its
+    position in the low bits), and a primitive sort brings equal windows together. Windows with an equal neighbour are
+    candidates; their words are then sorted and compared, so a chance agreement of hashes counts for nothing however
+    long the text. No row is exploded, so nothing is shuffled and a text costs its length times its logarithm.
     """
     keep = [c for c in docs.columns if c not in {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"}]
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -78,12 +79,14 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         ),
     )
     df = df.withColumn(
-        "__p",
+        "__c",
         F.expr(
-            "sort_array(transform(filter(__k, (x, j) -> shiftright(x, __b) = shiftright(get(__k, j - 1), __b) "
-            "OR shiftright(x, __b) = shiftright(get(__k, j + 1), __b)), x -> x & (shiftleft(1L, __b) - 1)))"
+            "transform(filter(__k, (x, j) -> shiftright(x, __b) = shiftright(get(__k, j - 1), __b) "
+            "OR shiftright(x, __b) = shiftright(get(__k, j + 1), __b)), x -> x & (shiftleft(1L, __b) - 1))"
         ),
     )
+    df = df.withColumn("__s", F.expr("sort_array(transform(__c, i -> struct(concat_ws(' ', get(__w, cast(i as int)), get(__w, cast(i as int) + 1), get(__w, cast(i as int) + 2)) as s, i as i)))"))
+    df = df.withColumn("__p", F.expr("sort_array(transform(filter(__s, (x, j) -> x.s = get(__s, j - 1).s OR x.s = get(__s, j + 1).s), x -> x.i))"))
     covered = F.expr("CASE WHEN size(__p) = 0 THEN 0L ELSE aggregate(sequence(0, size(__p) - 1), 0L, (s, j) -> s + least(3L, coalesce(get(__p, j + 1) - get(__p, j), 3L))) END")
     return df.select(
         *keep,
@@ -132,8 +135,9 @@ def ablation(book: DataFrame, policy: Policy = POLICY, rules: tuple[Rule, ...] =
 def keep_good(docs: DataFrame, policy: Policy = POLICY, text: str = "text") -> DataFrame:
     """The rows of docs that pass a policy, with the columns of docs.
 
-    The partition's number keeps the optimizer from moving the condition below the measurements, which would write
-    them out again for every rule that uses them.
+    The condition reads the ledger through a generator of one row, below which the optimizer doesn't move it: moved, it
+    would take the measurements anew for every rule that uses them.
     """
-    book = ledger(docs.select("*", F.struct("*").alias("__row")), text=text).withColumn("__at", F.spark_partition_id())
-    return book.where(passes(policy) & (F.col("__at") >= 0)).select("__row.*")
+    book = ledger(docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text")), text="__text")
+    book = book.select("__row", F.explode(F.array("fail_bits")).alias("fail_bits"))
+    return book.where(passes(policy)).select("__row.*")

@@ -118,6 +118,22 @@ def test_line_dedup(spark):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_dropped) for r in lines.dedup_lines(nulls).collect()) == [(-1, 1), (-1, 1), (0, 1), (1, 1), (2, 1), (3, 1), (4, 0)]
 
 
+def test_line_dedup_with_more_shared_lines_than_travel(spark):
+    a, b = "Diese Zeile steht in VIELEN Texten und ist lang", "Eine weitere lange Zeile, die in allen Texten steht"
+    rows = [(i, f"{a}\n{b}\n{i}") for i in range(9)] + [(9, None), (10, b), (10, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("__bad", F.lit("clash"))
+    take = lambda **more: sorted((r.doc_id, r.n_lines, r.n_dropped, r.text, r["__bad"]) for r in lines.dedup_lines(df, **more).collect())
+    assert take() == take(most_shared=0)
+    nulls = spark.createDataFrame([(None, a), (None, b), (None, "x")] + [(i, a) for i in range(5)], "doc_id bigint, text string")
+    assert sorted((r.text, r.n_dropped) for r in lines.dedup_lines(nulls, most_shared=0).where("doc_id IS NULL").collect()) == [("", 1), (b, 0), ("x", 0)]
+
+
+def test_repeated_windows_are_compared_by_their_words(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    got = quality.measures(frame(spark, [" ".join(words), " ".join([*words, *words[:4]])])).orderBy("doc_id").collect()
+    assert [r.n_repeat_words for r in got] == [0, 8]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var t="</p>";</script></head><body><div class="cookie-notice"><p>Wir verwenden Cookies und mehr davon.</p></div>
 <header><h1>Zeitung</h1></header><nav><ul><li><a href=/a>Start</a></ul></nav><!-- ad --><div class="ad">Kauf das und die und der und das.</div>
 <article><h1>Kopf &amp; Fuß</h1><p>Der <b>erste</b> Ab\n  satz &lt;x&gt;.<br>Ende<p>Kurz.<aside>Am Rand</aside><div class=related><a href=x>mehr</a></div><form><input><label>Name</label></form><p>Zweiter&nbsp;Teil</p>
