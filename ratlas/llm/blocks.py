@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 CHUNK = 1024
 
 
-def blocks(members: DataFrame, bucket: str, by: str, payload: DataFrame, chunk: int | None = None) -> DataFrame:
+def blocks(members: DataFrame, bucket: str, by: str, payload: DataFrame, chunk: int | None = None, within: tuple[str, ...] = ()) -> DataFrame:
     """members of buckets with two members at least, with block, side_a and side_b and the columns of payload (one row
     for each `by`), sorted by block in each partition. members should be narrow: only their way to the blocks, the last
     shuffle, carries the payload.
@@ -21,6 +22,8 @@ def blocks(members: DataFrame, bucket: str, by: str, payload: DataFrame, chunk:
     A bucket of up to chunk members is one block. A larger one is dealt into chunks by a hash of `by`; every pair of
     chunks, and every chunk with itself, is a block of its own, so that any pair of members meets in exactly one block
     and no task holds more than two chunks. side_a != side_b marks a pair of chunks; side tells which one a row is in.
+    A bucket may be a hash: the columns `within` part the members of different buckets that share one. All pairs of a
+    bucket of n need each member beside n / chunk chunks, so its payload travels as often; buckets are to be small.
     """
     chunk = chunk or CHUNK
     sizes = members.groupBy(bucket).agg(F.count("*").alias("__n")).where("__n > 1")
@@ -30,24 +33,25 @@ def blocks(members: DataFrame, bucket: str, by: str, payload: DataFrame, chunk:
     df = df.withColumn("__other", F.explode(F.expr("sequence(0, __parts - 1)")))
     df = df.withColumn("side_a", F.least("side", "__other")).withColumn("side_b", F.greatest("side", "__other"))
     df = df.withColumn("block", F.xxhash64(bucket, "side_a", "side_b")).drop("__n", "__parts", "__other")
-    return df.join(payload, by).repartition("block").sortWithinPartitions("block", bucket, "side_a", "side_b", "side", by)
+    return df.join(payload, by).repartition("block").sortWithinPartitions("block", bucket, *within, "side_a", "side_b", "side", by)
 
 
-def each_block(batches: Iterator[pa.RecordBatch], bucket: str) -> Iterator[pa.Table]:
+def each_block(batches: Iterator[pa.RecordBatch], bucket: str, within: tuple[str, ...] = ()) -> Iterator[pa.Table]:
     """The blocks that a sorted partition holds, one after the other."""
     held: list[pa.RecordBatch] = []
+    keys = (bucket, *within, "side_a", "side_b")
 
     def key(b: pa.RecordBatch, i: int) -> tuple:
-        return tuple(b.column(c)[i].as_py() for c in (bucket, "side_a", "side_b"))
+        return tuple(b.column(c)[i].as_py() for c in keys)
 
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         new = np.zeros(batch.num_rows, bool)
-        for c in (bucket, "side_a", "side_b"):
-            x = batch.column(c).to_numpy(zero_copy_only=False)
-            new[1:] |= x[1:] != x[:-1]
+        for c in keys:
+            x = batch.column(c)
+            new[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
         cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
         if held and key(batch, 0) != last:
             yield pa.Table.from_batches(held)

@@ -11,15 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratlas.llm.blocks import blocks, each_block, matrix
+from ratlas.llm.blocks import CHUNK, blocks, each_block
 from ratlas.llm.common import Scratch, slices, split_words, strings
 from ratlas.llm.graph import connected_components
 
 #: Bands and coordinates of a band: two texts of similarity 0.8 miss each other in every band once in 16,000 times.
 BANDS, ROWS = 32, 6
-#: Share of coordinates in which the signatures of two texts must agree before their sets are compared: more than four
-#: standard errors below 0.8, which a pair at 0.8 falls short of once in 50,000 times.
-SCREEN = 0.68
 #: Shingles that are permuted at once, so that they stay in the processor's cache.
 _SPAN = 1 << 15
 
@@ -107,9 +104,8 @@ def _sign(words: int):
             index = pa.array(at, mask=~real)
             bands = pa.FixedSizeListArray.from_arrays(pa.array(_mix64(acc).view(np.int64).reshape(-1)), BANDS).cast(pa.list_(pa.int64()))
             keys = pa.array([x.tobytes() for x in key], pa.binary())
-            sigs = pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), keys.take(index), bands.take(index), sigs.take(index)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "bands", "sig"])
+            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), keys.take(index), bands.take(index)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "bands"])
 
     return run
 
@@ -125,20 +121,59 @@ def _sets(words: int):
     return run
 
 
+#: Hashes below this are looked at first: a quarter of a set.
+_QUARTER = np.uint64(1 << 62)
+
+
+class Sets:
+    """Shingle sets, ascending, in a row; which of them are similar enough to one of them."""
+
+    def __init__(self, lists: pa.Array, percent: int):
+        self.percent = percent
+        self.start = lists.offsets.to_numpy().astype(np.int64)
+        self.all = lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
+        self.size = np.diff(self.start)
+        low = np.concatenate([[0], np.cumsum(self.all < _QUARTER)])
+        self.first = low[self.start[1:] - self.start[0]] - low[self.start[:-1] - self.start[0]]
+
+    def _shared(self, mine: np.ndarray, rest: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """How many of the first so many shingles of each of rest are among mine."""
+        if not len(mine):
+            return np.zeros(len(rest), np.int64)
+        at = np.repeat(self.start[rest] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        wanted = self.all[at]
+        same = mine[np.minimum(np.searchsorted(mine, wanted), len(mine) - 1)] == wanted
+        total = np.concatenate([[0], np.cumsum(same)])
+        ends = np.cumsum(count)
+        return total[ends] - total[ends - count]
+
+    def similar(self, mine: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Those of rest whose sets overlap with mine by percent / 100 of the union. What is left out early can't reach
+        that: sets of too different sizes, and sets whose first quarters share so little that all else would not do."""
+        n, size = len(mine), self.size[rest]
+        rest = rest[100 * np.minimum(n, size) >= self.percent * np.maximum(n, size)]
+        first = int(np.searchsorted(mine, _QUARTER))
+        size, count = self.size[rest], self.first[rest]
+        most = self._shared(mine[:first], rest, count) + np.minimum(n - first, size - count)
+        rest = rest[100 * most >= self.percent * (n + size - most)]
+        same = self._shared(mine, rest, self.size[rest])
+        return rest[100 * same >= self.percent * (n + self.size[rest] - same)]
+
+    def of(self, i: int) -> np.ndarray:
+        return self.all[self.start[i] : self.start[i + 1]]
+
+
 def _compare(percent: int):
-    """Links of a block that join its components. Signatures that don't agree enough are skipped, as is a pair that has
-    met in an earlier band or that links found before have joined; the others are compared on their full sets."""
+    """Links of a block that join its components. A pair that has met in an earlier band or that links found before have
+    joined is skipped; all others are compared on their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in each_block(batches, "bucket"):
             ids, part, side = (t.column(c).to_numpy() for c in ("id", "part", "side"))
-            sig, across = matrix(t.column("sig"), np.uint8), t.column("side_a")[0].as_py() != t.column("side_b")[0].as_py()
+            across = t.column("side_a")[0].as_py() != t.column("side_b")[0].as_py()
             bands = np.array(t.column("bands").to_pylist(), np.int64).reshape(len(ids), -1)
             here = int(np.argmax(bands[0] == t.column("bucket")[0].as_py()))
-            lists = t.column("shingles").combine_chunks()
-            starts, shingles = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-            sets = [shingles[x:y] for x, y in zip(starts[:-1], starts[1:], strict=True)]
-            size, found = np.diff(starts), []
+            sets, found = Sets(t.column("shingles").combine_chunks(), percent), []
             for i in range(len(ids) - 1):
                 open_ = part[i + 1 :] != part[i]
                 if across:
@@ -146,14 +181,9 @@ def _compare(percent: int):
                 rest = i + 1 + np.flatnonzero(open_)
                 if len(rest) and here:
                     rest = rest[~(bands[rest, :here] == bands[i, :here]).any(1)]
-                if len(rest):
-                    rest = rest[(sig[rest] == sig[i]).mean(1) >= SCREEN]
                 if not len(rest):
                     continue
-                all_ = np.concatenate([sets[j] for j in rest])
-                at = np.minimum(np.searchsorted(sets[i], all_), size[i] - 1)
-                same = np.add.reduceat((sets[i][at] == all_).astype(np.int64), np.cumsum(size[rest]) - size[rest])
-                for j in rest[100 * same >= percent * (size[i] + size[rest] - same)]:
+                for j in sets.similar(sets.of(i), rest):
                     if part[j] != part[i]:
                         found.append((ids[i], ids[j]))
                         part = np.where(part == part[j], part[i], part)
@@ -163,12 +193,36 @@ def _compare(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough, on the full sets."""
-    one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("same", F.size(F.array_intersect("x", "y")))
-    return both.where(100 * F.col("same") >= percent * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b")
+def _stars(percent: int):
+    """Sorted by star and chunk, its centre before its members: the members that are similar enough to the centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, centre = None, None
+        for batch in batches:
+            sets = Sets(batch.column("shingles"), percent)
+            a, b, chunk = (batch.column(c).to_numpy() for c in ("a", "b", "chunk"))
+            cuts = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (chunk[1:] != chunk[:-1]))[: len(a)]).tolist()
+            links: list[tuple[int, int]] = []
+            for low, high in zip(cuts, [*cuts[1:], len(a)], strict=True):
+                if here != (a[low], chunk[low]):
+                    here, centre = (a[low], chunk[low]), sets.of(low).copy()
+                rest = np.arange(low, high)
+                links += [(a[j], b[j]) for j in sets.similar(centre, rest[b[low:high] != a[low]])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, chunk: int = CHUNK) -> DataFrame:
+    """The pairs (centre a, member b) whose sets are similar enough, on the full sets. A centre's members are dealt into
+    chunks, and its set goes to each chunk once, not to each member."""
+    sizes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    dealt = F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / chunk)).cast("int").alias("chunk")
+    members = pairs.join(sizes, "a").select("a", dealt, "b")
+    centres = sizes.select("a", F.explode(F.expr(f"sequence(0, cast(ceil(n / {chunk}) as int) - 1)")).alias("chunk"), F.col("a").alias("b"))
+    rows = members.union(centres).join(sets.withColumnRenamed("id", "b"), "b").select("a", "chunk", "b", "shingles")
+    rows = rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b") != F.col("a"))
+    return rows.mapInArrow(_stars(percent), "a bigint, b bigint")
 
 
 def near_texts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -181,16 +235,16 @@ def near_texts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Documents with equal sets form a class and count once. Classes meet in buckets, one for each band. First every
     member of a bucket is compared with the bucket's smallest; what that links is joined to components. Then, in
-    buckets that still hold several components, all pairs across components whose signatures suggest enough
-    similarity are compared, in blocks of bounded size that give out no pairs but the links that join components. So a
-    group of thousands of copies costs little more than a comparison each, and no link between components is left
-    out. Only classes in shared buckets have their sets computed again.
+    buckets that still hold several components, all pairs across components are compared, in blocks of bounded size that
+    give out no pairs but the links that join components. So a group of thousands of copies costs little more than a
+    comparison each, and no link between components that share a bucket is left out. Only classes in shared buckets have
+    their sets computed again. An empty table gives no rows; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "minhash")
     kind = dict(docs.dtypes)["doc_id"]
-    signed = scratch.save(docs.select("doc_id", "text").mapInArrow(_sign(words), f"doc_id {kind}, n_shingles bigint, key binary, bands array<bigint>, sig binary"), "signed")
+    signed = scratch.save(docs.select("doc_id", "text").mapInArrow(_sign(words), f"doc_id {kind}, n_shingles bigint, key binary, bands array<bigint>"), "signed")
     real = signed.where("key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = real.groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by(F.struct("bands", "sig"), "doc_id").alias("s")).select("key", "id", "s.bands", "s.sig")
+    classes = real.groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
     classes = scratch.save(classes, "classes")
     spread = classes.select("id", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
@@ -204,12 +258,13 @@ def near_texts(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     # buckets in which components still meet
     placed = members.join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").select("bucket", "id", F.coalesce("component", "id").alias("part"))
     mixed = placed.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("bucket")
-    payload = classes.select("id", "sig", "bands").join(sets, "id")
+    payload = classes.select("id", "bands").join(sets, "id")
     more = scratch.save(blocks(placed.join(mixed, "bucket"), "bucket", "id", payload).mapInArrow(_compare(percent), "a bigint, b bigint"), "links-2")
     if not more.isEmpty():
         parts = connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.select("key", "id").join(parts.withColumnRenamed("id", "p_id"), F.col("id") == F.col("p_id"), "left").select("key", F.coalesce("component", "id").alias("component_id"))
     named = scratch.save(named, "named")
+    scratch.drop("classes", "members", "sets", "stars", "links-1", "parts-1", "links-2")
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("key")).alias("key")).join(named, "key", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

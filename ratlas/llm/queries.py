@@ -22,50 +22,66 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, base verdict and verdict of the current policy of every document. Null or blank: no words, so failed. Repeated
+    rows each have a row."""
     book = quality.ledger(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     failed = ~quality.passes(quality.BASE)
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & quality.passes(quality.POLICY)).alias("kept"), "fail_bits")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every vector at a cosine of 0.93. Unusable vectors and null labels: alone, kept. Ties: the
+    smallest vec_id names the component."""
     return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and components of every document at four words and 80 percent. Texts without words: empty set, alone, kept."""
     return minhash.near_texts(_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, read back. Null text: the end id alone. Rows that share a doc_id stand in a row, in any
+    order; null doc_ids first."""
     return tokens.token_table(_table(spark, sf_dir, "documents"), tokenizer_path(), end=2)
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null, empty or without an article: the empty string, 0 characters."""
     return html_text.extract(_table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. Null text: size 0, taken 0. Null source: a source of its own, the last. Rows
+    that share a doc_id share what it is given by size."""
     return mixing.mix_plan(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 ids. Null text: the end id alone. Equal sizes stand by doc_id."""
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), end=1, capacity=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document and how many go. Null or empty: one empty line. Null doc_id: no holder, loses shared lines."""
     out = lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), least_chars=40, least_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op9_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the trie and by counts of words. Null: the end sign alone. Null doc_id: its text is empty."""
     return ppm.score_running(_table(spark, sf_dir, "documents"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every page, read back from the archives. Null html: 0 bytes. Null page_id: a response. Ties: the largest
+    page_id is the response."""
     return warc.archive_table(_table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

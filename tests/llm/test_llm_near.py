@@ -80,6 +80,42 @@ def test_near_texts_edges(spark):
     assert sorted(r.doc_id or 0 for r in minhash.drop_near_texts(twins).collect()) == [0, 1, 1]
 
 
+def test_early_bounds_lose_nothing():
+    rng = np.random.default_rng(6)
+    pool = np.unique(rng.integers(0, 2**64, 4000, np.uint64))
+    sets = [pool[:0], pool[:1]]
+    for _ in range(120):
+        base = rng.choice(pool, rng.integers(1, 400), replace=False)
+        for keep in (1.0, 0.95, 0.9, 0.85, 0.5):
+            mine = rng.choice(base, max(1, int(len(base) * keep)), replace=False)
+            sets.append(np.unique(np.concatenate([mine, rng.choice(pool, rng.integers(0, 30))])))
+    import pyarrow as pa
+
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in sets])]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+    found, want, held = minhash.Sets(lists, 80), 0, [set(x.tolist()) for x in sets]
+    for i in range(len(sets)):
+        rest = np.arange(i + 1, len(sets))
+        exact = [j for j in rest if len(held[i] & held[j]) * 100 >= 80 * len(held[i] | held[j]) and held[i]]
+        assert found.similar(found.of(i), rest).tolist() == exact
+        want += len(exact)
+    assert want > 100
+
+
+def test_star_members_are_dealt(spark):
+    sets = spark.createDataFrame([(i, list(range(100 + i % 60))) for i in range(300)], "id bigint, shingles array<bigint>")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 300)] + [(5, 7), (7, 5)], "a bigint, b bigint")
+    got = {(r.a, r.b) for r in minhash._linked(pairs, sets, 80, chunk=16).collect()}
+    assert got == {(0, i) for i in range(1, 300) if 100 * 100 >= 80 * (100 + i % 60)} | {(5, 7), (7, 5)}
+
+
+def test_vectors_of_one_bucket_but_other_kinds_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(embeddings.F, "xxhash64", lambda *c: F.lit(1).cast("long"))  # all hashes collide
+    rows = [(i, [1.0, 0.001 * i] if i % 3 else [1.0, 0.001 * i, 0.0], i % 2) for i in range(24)] + [(0, [1.0, 0.0], 1)]
+    got = {(r.vec_id, r.n_links) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), 0.93).collect()}
+    kinds = Counter((x[2], len(x[1])) for x in rows)
+    assert got == {(i, kinds[(label, len(v))] - 1) for i, v, label in rows}
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 2**63, 1000, np.uint64)
