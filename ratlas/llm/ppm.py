@@ -13,13 +13,15 @@ doesn't hold escape from order to order, by joins with tables of contexts. The s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +33,7 @@ ORDER = 6
 #: Bytes of running text whose distinct events are counted, and get their scores, together.
 CHUNK_BYTES = 24 << 20
 #: Bytes of running text that are turned into events at once: an event takes many times the memory of its byte.
-WINDOW_BYTES = 1 << 20
+WINDOW_BYTES = 1 << 19
 #: Most parts into which events are dealt. They grow with the texts up to here: distinct events grow far less than texts.
 PARTS = 4096
 START, BLANK, END = "\x01", " ", "\n"
@@ -59,7 +61,7 @@ class Stream:
         self.size = np.diff(offsets)
         coded = words.dictionary_encode()
         #: hashes of the distinct words (64 bits: among a billion words no two are expected to share one), and each word's place
-        self.words = pd.util.hash_array(coded.dictionary.to_numpy(zero_copy_only=False), categorize=False).view(np.int64) if len(words) else np.zeros(0, np.int64)
+        self.words = np.array([xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()], np.uint64).view(np.int64)
         self.places = coded.indices.to_numpy()
 
     def windows(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -104,7 +106,7 @@ class Tally:
         self.keys.append(keys)
         self.counts.append(counts)
         self.waiting += len(keys)
-        if self.waiting > max(1 << 20, self.held):
+        if self.waiting > max(1 << 19, self.held // 2):
             self.sums()
 
     def sums(self) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +129,25 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return planes.reshape(wide, n).T.copy().view(kind).ravel()
 
 
+def _pack_scores(values: np.ndarray) -> bytes:
+    """Few scores are different: the distinct ones, and the number of each."""
+    distinct, at = np.unique(values, return_inverse=True)
+    first = _pack(distinct)
+    return len(first).to_bytes(8, "little") + first + _pack(at.astype("<u4"))
+
+
+def _unpack_scores(data: bytes) -> np.ndarray:
+    end = 8 + int.from_bytes(data[:8], "little")
+    return _unpack(data[8:end], "f4")[_unpack(data[end:], "u4")]
+
+
+def _let_go() -> None:
+    """Give freed memory back to the system: a worker lives on and runs other tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _pack_keys(keys: np.ndarray) -> bytes:
     return _pack(np.diff(keys, prepend=0))
 
@@ -143,7 +164,7 @@ def _part_of(keys: np.ndarray, kind: int, parts: int) -> np.ndarray:
 
 def _pack_rows(rows: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=4))) as out:
         out.write_batch(rows)
     return sink.getvalue().to_pybytes()
 
@@ -176,6 +197,7 @@ def _chunks(parts: int, chunk_bytes: int, kind: pa.DataType):
             if held and held + len(stream.flat) > chunk_bytes:
                 yield packs(chunk, EVENTS, tallies[EVENTS])
                 yield packs(chunk, WORDS, tallies[WORDS])
+                _let_go()
                 chunk, held, tallies = chunk + 1, 0, (Tally(), Tally())
             held += len(stream.flat)
             for key, doc in stream.windows():
@@ -193,6 +215,8 @@ def _chunks(parts: int, chunk_bytes: int, kind: pa.DataType):
         if held:
             yield packs(chunk, EVENTS, tallies[EVENTS])
             yield packs(chunk, WORDS, tallies[WORDS])
+        del tallies
+        _let_go()
 
     return run
 
@@ -217,7 +241,7 @@ def _score_longest(part: int, event: np.ndarray, count: np.ndarray) -> Iterator[
     score = np.full(len(event), np.nan, np.float32)
     hit = full & seen
     score[hit] = np.log10(count[hit] / (n + d)[at[hit]])
-    yield _rows(1, kind=EVENTS, part=part, keys=[_pack_keys(event)], scores=[_pack(score)])
+    yield _rows(1, kind=EVENTS, part=part, keys=[_pack_keys(event)], scores=[_pack_scores(score)])
     rest = np.flatnonzero(~hit)
     sofar = np.zeros(len(rest))
     known = full[rest] & (d[at[rest]] > 0)
@@ -322,11 +346,12 @@ def _give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for i, row in enumerate(batch.select(["step", "kind", "part", "chunk", "keys", "scores"]).to_pylist()):
             if row["step"] == 0:
-                key, value = _unpack_keys(row["keys"]), _unpack(row["scores"], "f4" if row["kind"] == EVENTS else "i8")
+                key, value = _unpack_keys(row["keys"]), _unpack_scores(row["scores"]) if row["kind"] == EVENTS else _unpack(row["scores"], "i8")
             elif row["step"] == 1:
                 value[np.searchsorted(key, batch.column("events")[i].values.to_numpy())] = batch.column("late")[i].values.to_numpy()
             else:
-                out.append((row["chunk"], row["kind"], row["part"], row["keys"] if row["kind"] == EVENTS else None, _pack(value[np.searchsorted(key, _unpack_keys(row["keys"]))])))
+                found = value[np.searchsorted(key, _unpack_keys(row["keys"]))]
+                out.append((row["chunk"], row["kind"], row["part"], *((row["keys"], _pack_scores(found)) if row["kind"] == EVENTS else (None, _pack(found)))))
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=names)
 
@@ -347,9 +372,10 @@ def _sum_texts(parts: int, end_count: int, total: int, distinct: int):
     def run(texts: pa.Table, back: pa.Table) -> pa.Table:
         mine = back.filter(pc.equal(back.column("kind"), EVENTS))
         event = np.concatenate([_unpack_keys(x) for x in mine.column("keys").to_pylist()])
-        score = np.concatenate([_unpack(x, "f4") for x in mine.column("values").to_pylist()])
+        score = np.concatenate([_unpack_scores(x) for x in mine.column("values").to_pylist()])
         order = np.argsort(event)
-        event, score = event[order], score[order]
+        event = event[order]
+        score = score[order]
         out, words = [], []
         for data in texts.column("rows").to_pylist():
             batch = _unpack_rows(data)
@@ -372,6 +398,8 @@ def _sum_texts(parts: int, end_count: int, total: int, distinct: int):
             known = np.bincount(doc, c > 0, n).astype(np.int64) + (end_count > 0)
             columns = [ids, held, pa.array(n_words + 1), pa.array(known), pa.array(np.full(n, total, np.int64)), pa.array(base), pa.array(sums)]
             tables.append(pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+        del event, score, order, out, words
+        _let_go()
         return pa.Table.from_batches(tables)
 
     return run
@@ -422,6 +450,7 @@ def score_running(docs: DataFrame, held_percent: int = 10, chunk_bytes: int = CH
         step = scratch.save(step.mapInArrow(_escape, "part bigint, event bigint, sofar double, seen binary, done boolean"), f"step-{k}")
         done.append(step.where("done").select("part", "event", "sofar"))
         now = step.where("NOT done").select("part", "event", "sofar", "seen")
+        scratch.drop(f"open-{k}", f"counts-{k + 1}")
     single = handed.where("level = 1").select("context", "symbol", "c").union(longer).groupBy("context", "symbol").agg(F.sum("c").alias("c"))
     first = np.zeros((256, 256), np.int64)
     for r in single.collect():  # at most 256 times 256 rows
