@@ -87,3 +87,16 @@ def member_list(json: Column, key: str, schema: str) -> Column:
 def normalize_output(df, version: str = "schema_version"):
     """Records of version 2 as they are, older ones marked as legacy: adds output_generation."""
     return df.withColumn("output_generation", F.when(F.startswith(as_text(F.col(version)), F.lit("2")), "v2").otherwise("legacy"))
+
+
+def text_list(json: Column) -> Column:
+    """A JSON value as an array of texts: a list's members, a single value as one; null, empty, false and 0 as none."""
+    j = F.btrim(as_text(json))
+    members = F.from_json(j, "array<string>")
+    one = F.when(j.isin("", "null", "false", "0", '""', "[]", "{}"), F.expr("cast(array() as array<string>)")).otherwise(F.array(j))
+    return F.when(F.startswith(j, F.lit("[")) & members.isNotNull(), members).otherwise(one)
+
+
+def tops_json(tops: Column) -> Column:
+    """Chosen agenda items as a JSON list; none or null: []."""
+    return F.coalesce(F.to_json(tops), F.lit("[]"))

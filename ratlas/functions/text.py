@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 from functools import reduce
@@ -218,10 +219,24 @@ def text_quality(text: Column, most: int, is_pdf: Column) -> Column:
 
 
 def render_template(template: Column, values: dict[str, Column]) -> Column:
-    """{{name}} replaced by its value (null: empty); names that aren't given stay as they are."""
-    for name, value in values.items():
-        template = F.replace(F.regexp_replace(template, r"\{\{\s*" + name + r"\s*\}\}", "\u0001"), F.lit("\u0001"), as_text(value.cast("string")))
-    return template
+    """{{name}} replaced by its value (null: empty), once: what a value holds is not expanded. Names that aren't given
+    stay as they are."""
+    if not values:
+        return template
+    pattern = r"\{\{\s*(" + "|".join(sorted(map(re.escape, values), key=len, reverse=True)) + r")\s*\}\}"
+    given = F.create_map(*[x for name, v in values.items() for x in (F.lit(name), as_text(v.cast("string")))])
+    names = F.regexp_extract_all(template, F.lit(pattern), F.lit(1))
+    return F.array_join(F.transform(F.split(template, pattern, -1), lambda x, i: F.concat(x, F.coalesce(F.try_element_at(given, F.get(names, i)), F.lit("")))), "")
+
+
+def score_text(score: Column) -> Column:
+    """A fused score with four decimals."""
+    return F.format_string("%.4f", score)
+
+
+def megabytes(size: Column) -> Column:
+    """Bytes as MB of 1024 * 1024 bytes, in one decimal."""
+    return F.round(size / (1 << 20), 1)
 
 
 def placeholders(template: Column) -> Column:

@@ -25,10 +25,14 @@ def to_refresh(new: DataFrame, sessions: DataFrame, documents: DataFrame, refres
 
 
 def upsert(base: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """base with the rows of new in place of those with their key; of several new ones the last by order."""
-    if order:
-        rest = [c for c in new.columns if c not in (key, order)]
-        new = new.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("__r")).select(key, "__r.*")
+    """base with the rows of new in place of those with their key; of several new ones the last by order (null: before
+    all others), ties by the other columns, so that reruns agree."""
+    first = [order] if order else []
+    rest = [c for c in new.columns if c not in (key, order)]
+    if first or rest:
+        new = new.groupBy(key).agg(F.max(F.struct(*first, *rest)).alias("__r")).select(key, "__r.*")
+    else:
+        new = new.distinct()
     return base.join(new.select(key), key, "left_anti").unionByName(new.select(*[c for c in base.columns if c in new.columns]), allowMissingColumns=True)
 
 

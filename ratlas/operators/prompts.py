@@ -64,6 +64,17 @@ def deactivated(templates: DataFrame, template_id: str) -> DataFrame:
     return templates.withColumn("is_active", F.col("is_active") & (F.col("id") != template_id))
 
 
+def duplicated(templates: DataFrame, template_id: str, new_id: str) -> DataFrame:
+    """Templates with a copy of one under a new id: revision 1, private, active, its label marked as a copy. A new id
+    that is taken, or an unknown one to copy, raises ValueError."""
+    found = {r["id"] for r in templates.where(F.col("id").isin(template_id, new_id)).select("id").collect()}
+    if template_id not in found or new_id in found:
+        raise ValueError(f"{template_id} can't be copied to {new_id}")
+    copy = templates.where(F.col("id") == template_id)
+    new = {"id": F.lit(new_id), "label": F.concat("label", F.lit(" (Kopie)")), "revision": F.lit(1), "visibility": F.lit("private"), "is_active": F.lit(True)}
+    return templates.unionByName(copy.withColumns({k: v.cast(dict(templates.dtypes)[k]) for k, v in new.items()}))
+
+
 def context(sessions: DataFrame, agenda: DataFrame, tops: tuple[str, ...] = (), goal: str = "") -> DataFrame:
     """session_id and the values of a template's names: the sources are the agenda items, of a choice those chosen."""
     items = agenda.where(F.col("number").isin(*tops)) if tops else agenda

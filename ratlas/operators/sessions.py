@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratlas.functions import dates, text
@@ -150,6 +150,73 @@ def export_json(batch: DataFrame, **filters: object) -> DataFrame:
     return batch.select(F.to_json(F.struct(F.lit(json.dumps(filters, sort_keys=True)).alias("filters"), *batch.columns)).alias("value"))
 
 
+#: Canned filters of an export, each with the date preset 'Dieses Jahr', and canned choices of types.
+PROFILES = {
+    "Standardbatch (empfohlen)": {"names": (), "types": ("vorlage", "beschlussvorlage", "protokoll"), "require_path": True},
+    "Rat (nur Quellenpaket)": {"names": ("Rat",), "types": ("vorlage", "beschlussvorlage", "protokoll"), "require_path": True},
+    "Nur Protokolle": {"names": (), "types": ("protokoll",), "require_path": True},
+    "Roh-Export": {"names": (), "types": (), "require_path": False},
+}
+TYPE_PROFILES = {
+    "Priorisierte Dokumente": ("vorlage", "beschlussvorlage", "protokoll"),
+    "Nur Protokolle": ("protokoll",),
+    "Vorlagen und Beschluesse": ("vorlage", "beschlussvorlage"),
+    "Alle Dokumenttypen": (),
+}
+
+
+def export_profile(name: str, documents: DataFrame, sessions: DataFrame, agenda: DataFrame, today: dt.date) -> DataFrame:
+    """The export of a canned set of filters, for the current year."""
+    first, last = dates.preset("Dieses Jahr", today)
+    return export_batch(documents, sessions, agenda, date_from=first, date_to=last, **PROFILES[name])
+
+
+def export_head(batch: DataFrame, generated_at: str, source_db: str, **filters: object) -> DataFrame:
+    """One row that stands before an export's documents: generated_at, source_db, the filters as JSON (lists sorted,
+    without repeats) and the number of documents."""
+    import json
+
+    plain = {k: sorted(set(v)) if isinstance(v, (list, tuple, set)) else v for k, v in filters.items()}
+    n = batch.agg(F.count("*").alias("documents"))
+    return n.select(F.lit(generated_at).alias("generated_at"), F.lit(source_db).alias("source_db"), F.lit(json.dumps(plain, sort_keys=True, ensure_ascii=False)).alias("filters"), "documents")
+
+
+def export_preview(batch: DataFrame, rows: int = 3) -> DataFrame:
+    """The first documents of an export, beside the number of all."""
+    n = batch.agg(F.count("*").alias("document_count"))
+    order = [F.col("date"), F.col("session_id"), as_text(F.col("agenda_item")), F.col("title").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("id")]
+    return batch.orderBy(*order).limit(rows).join(F.broadcast(n))
+
+
+def recent(sessions: DataFrame, rows: int = 5) -> DataFrame:
+    """The latest sessions, ties by committee and id."""
+    return sessions.orderBy(F.col("date").desc_nulls_last(), F.col("committee").asc_nulls_first(), "session_id").limit(rows)
+
+
+def first_seen(rows: DataFrame, *order: str) -> DataFrame:
+    """Sessions of several months' pages: of each session_id the row that comes first; rows without one are left out."""
+    rest = [c for c in rows.columns if c != "session_id"]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("__r")
+    return rows.where("session_id IS NOT NULL AND session_id <> ''").groupBy("session_id").agg(first).select("session_id", "__r.*")
+
+
+def _is_pdf(content_type: Column, path: Column) -> Column:
+    return F.contains(F.lower(as_text(content_type)), F.lit("pdf")) | F.endswith(F.lower(as_text(path)), F.lit(".pdf"))
+
+
+def pdf_documents(documents: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
+    """id, session_id, title, path of PDF documents of known sessions whose file the listing (path) has."""
+    df = source_availability(documents, sessions, files).where("source_available AND session_path IS NOT NULL").where(_is_pdf(F.col("content_type"), F.col("local_path")))
+    title = F.coalesce(filled(F.col("title")), F.concat(F.lit("document-"), F.col("id").cast("string"), F.lit(".pdf")))
+    return df.select("id", "session_id", title.alias("title"), F.concat_ws("/", F.rtrim("session_path", F.lit("/")), "local_path").alias("path"))
+
+
+def pdf_paths(documents: Column) -> Column:
+    """The paths of available PDF files among structs (source_available, resolved_path), in order."""
+    there = F.filter(documents, lambda d: F.coalesce(d["source_available"], F.lit(False)) & F.endswith(F.lower(as_text(d["resolved_path"])), F.lit(".pdf")))
+    return F.transform(there, lambda d: d["resolved_path"])
+
+
 def display(sessions: DataFrame) -> DataFrame:
     """Sessions with display_date, display_committee and display_name.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Parameters of the term weights and of the fusion; the usual ones, stated in the README.
 K1, B, MEAN_LENGTH, FUSION = 1.2, 0.75, 256, 60
+INSTRUCTION = "Find council documents that answer the question"
 
 
 def top(scored: DataFrame, k: int, key: str = "id") -> DataFrame:
@@ -21,39 +23,59 @@ def top(scored: DataFrame, k: int, key: str = "id") -> DataFrame:
 
 
 def cosine(vectors: DataFrame, query: Sequence[float], key: str = "id", dense: str = "dense") -> DataFrame:
-    """key, score of every vector of the query's length that isn't null or zero; only ids and vectors are read."""
+    """key, score of every vector of the query's length that isn't null or zero and whose components are finite; only
+    ids and vectors are read. A query that is zero or not finite scores nothing."""
     q = np.array(query, "f8")
-    q = q / np.linalg.norm(q)
+    usable = len(q) > 0 and bool(np.isfinite(q).all()) and bool(q.any())
+    q = q / np.linalg.norm(q) if usable else q
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             size = np.diff(lists.offsets.to_numpy())
-            use = lists.is_valid().to_numpy(zero_copy_only=False) & (size == len(q))
+            use = lists.is_valid().to_numpy(zero_copy_only=False) & (size == len(q)) & usable
             keep = batch.filter(pa.array(use))
-            m = keep.column(1).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, len(q))
-            norm = np.sqrt((m * m).sum(1))
-            ok = norm > 0
-            yield pa.RecordBatch.from_arrays([keep.column(0).filter(pa.array(ok)), pa.array(m[ok] @ q / norm[ok])], names=[key, "score"])
+            m = keep.column(1).flatten().to_numpy(zero_copy_only=False).astype("f8").reshape(-1, max(1, len(q)))
+            ok = np.isfinite(m).all(1) & m.any(1)
+            m = m[ok]
+            m = m / np.abs(m).max(1, keepdims=True) if len(m) else m  # so that no square overflows
+            score = m @ q / np.sqrt((m * m).sum(1)) if len(m) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([keep.column(0).filter(pa.array(ok)) if usable else keep.column(0), pa.array(score)], names=[key, "score"])
 
     return vectors.select(key, dense).mapInArrow(run, f"{key} {dict(vectors.dtypes)[key]}, score double")
 
 
+def query_text(text: str, instruction: str = INSTRUCTION) -> str:
+    """A question as embedding models of this kind take it: with an instruction before it."""
+    return f"Instruct: {instruction}\nQuery: {text}"
+
+
+def sparse_query(query: Sequence[str]) -> dict[str, float]:
+    """The weights of a question's terms: each distinct one counts 1."""
+    return dict.fromkeys((w.lower() for w in query), 1.0)
+
+
 def tokens(text: Column) -> Column:
     """Words of two letters or digits at least, in lower case."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)([\p{L}\p{N}]{2,})"), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]{2,})"), F.lit(1))
 
 
 def term_scores(docs: DataFrame, query: Sequence[str], key: str = "id", text: str = "text") -> DataFrame:
     """key, score: the sum of saturated frequencies of the query's distinct terms, for texts that hold one.
 
-    Without document frequencies, as the index sets none, a text's score needs no other text: nothing is shuffled.
+    Without document frequencies, as the index sets none, a text's score needs no other text: nothing is shuffled. Texts
+    without any of the terms' letters are left out before they are taken apart; the others are taken apart once, as the
+    score stands behind a generator of one row, below which no condition moves.
     """
-    df = docs.select(key, tokens(F.col(text)).alias("t"))
+    terms = list(sparse_query(query))
+    if not terms:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    held = F.lower(F.col(text)).rlike("|".join(map(re.escape, terms)))
+    df = docs.where(held).select(key, tokens(F.col(text)).alias("t"))
     rest = K1 * (1 - B + B * F.size("t") / MEAN_LENGTH)
     weight = lambda q: (lambda tf: tf * (K1 + 1) / (tf + rest))(F.size(F.filter("t", lambda x: x == q)))
-    parts = [weight(q) for q in dict.fromkeys(w.lower() for w in query)]
-    return df.select(key, sum(parts[1:], parts[0]).alias("score")).where("score > 0") if parts else df.select(key, F.lit(0.0).alias("score")).limit(0)
+    parts = [weight(q) for q in terms]
+    return df.select(key, F.explode(F.array(sum(parts[1:], parts[0]))).alias("score")).where("score > 0")
 
 
 def sparse_vectors(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:

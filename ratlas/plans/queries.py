@@ -113,9 +113,9 @@ def incomplete_not_in_null(spark, sf_dir):
     return index.incomplete(t.sessions(spark, sf_dir).select("session_id"), d)
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 50")
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_left_anti(spark, sf_dir):
-    return index.missing(load(spark, sf_dir, "documents").select("doc_id", "lang"), load(spark, sf_dir, "labels"), "doc_id", 50)
+    return index.missing(load(spark, sf_dir, "documents").select("doc_id", "lang"), load(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -442,3 +442,6 @@ def pdf_extraction(spark, sf_dir):
     files = load(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), raw.cast("binary").alias("content"), F.lit("application/pdf").alias("content_type"), F.length(raw).cast("long").alias("length"))
     out = pdf_text.extract_files(files)
     return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "extraction.status", "extraction.text")
+
+
+from ratlas.plans import more_queries  # noqa: E402, F401  (registers its queries)

@@ -11,12 +11,16 @@ from ratlas.sources.folders import read_or_empty
 
 def upsert_batch(target: str, schema: str, key: str, order: str):
     """A function for foreachBatch: target/<batch> becomes the index with that batch. The number of the last batch that
-    was written is the name of its folder, so a batch that runs again after a failure finds the state before it."""
+    was written is the name of its folder, so a batch that runs again after a failure finds the state before it. States
+    before that one are deleted: two are kept at most."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         base = read_or_empty(spark, f"{target}/{number - 1}", schema) if number else read_or_empty(spark, f"{target}/none", schema)
         upsert(base, batch, key, order).write.mode("overwrite").parquet(f"{target}/{number}")
+        if number > 1:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return run
 

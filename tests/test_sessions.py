@@ -15,7 +15,7 @@ def council(spark):
     sessions = spark.createDataFrame(rows, "session_id string, date string, committee string, meeting_name string").withColumn("session_path", s.F.lit(""))
     agenda = spark.createDataFrame([(1, "1", "Ö 1", None), (2, "1", "Ö 1", "Zweiter"), (3, "2", "Ö 1", "b"), (4, "3", "Ö 1", "c"), (5, "3", "Ö 2", "d")], "id bigint, session_id string, number string, title string")
     docs = spark.createDataFrame(
-        [(1, "1", "Windkraft in Riemsloh", "BV", "beschlussvorlage", "Ö 1", "u1", " "), (2, "1", "Haushalt", None, None, None, "u2", "a.pdf"), (3, "9", "Windkraft 100%", None, "protokoll", "Ö 1", "u3", "b.pdf")],
+        [(1, "1", "Brunnen am Kornmarkt", "BV", "beschlussvorlage", "Ö 1", "u1", " "), (2, "1", "Haushalt", None, None, None, "u2", "a.pdf"), (3, "9", "Brunnen 100%", None, "protokoll", "Ö 1", "u3", "b.pdf")],
         "id bigint, session_id string, title string, category string, document_type string, agenda_item string, url string, local_path string",
     ).withColumn("content_type", s.F.lit("application/pdf"))
     return sessions, agenda, docs
@@ -47,7 +47,7 @@ def test_overview_counts_children_apart(council):
 
 def test_search(council):
     sessions, _, docs = council
-    found = s.search(docs, sessions, "windkraft  rat").collect()
+    found = s.search(docs, sessions, "brunnen  rat").collect()
     assert [(r.id, r.display_date, r.display_type) for r in found] == [(1, "20.02.2026", "beschlussvorlage")]
     assert ids(s.search(docs, sessions, "100%"), "id") == [3]
     assert s.search(docs, sessions, "  ").count() == 0
@@ -82,9 +82,9 @@ def test_documents_by_agenda(council):
 
 
 def test_display(spark):
-    rows = [("a", "Ausschuss-für-Bildung", "", ""), ("b", "", "", "data/raw/2026/03/2026-03-01-Ortsrat-Oldendorf-7"), ("c", None, None, "data/raw/2026/03/2026-03-01_Ortsrat_Gesmold_8"), ("d", "Rat-der-Stadt", "Sondersitzung", "")]
+    rows = [("a", "Ausschuss-für-Bildung", "", ""), ("b", "", "", "data/raw/2026/03/2026-03-01-Beirat-Hafenviertel-7"), ("c", None, None, "data/raw/2026/03/2026-03-01_Beirat_Nordufer_8"), ("d", "Rat-der-Stadt", "Sondersitzung", "")]
     df = spark.createDataFrame(rows, "session_id string, committee string, meeting_name string, session_path string").withColumn("date", s.F.lit("2026-03-11"))
-    assert [r.display_name for r in s.display(df).orderBy("session_id").collect()] == ["Ausschuss für Bildung", "Ortsrat Oldendorf", "Ortsrat Gesmold", "Sondersitzung"]
+    assert [r.display_name for r in s.display(df).orderBy("session_id").collect()] == ["Ausschuss für Bildung", "Beirat Hafenviertel", "Beirat Nordufer", "Sondersitzung"]
 
 
 def test_schemas_conform(spark):
