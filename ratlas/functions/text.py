@@ -252,3 +252,9 @@ def variables(c: Column) -> Column:
 def without_hint(markdown: Column) -> Column:
     """Markdown without its closing section of hints for the prompt."""
     return F.regexp_replace(markdown, r"(?s)\n## Prompt-Hinweis\n.*$", "")
+
+
+def pages_in_order(names: Column) -> Column:
+    """Names of page images in the order of their numbers; names without one come last, by name."""
+    place = lambda n: F.coalesce(F.regexp_extract(n, r"page-(\d+)\.png$", 1).try_cast("long"), F.lit(10**9))
+    return F.transform(F.array_sort(F.transform(names, lambda n: F.struct(place(n).alias("place"), n.alias("name")))), lambda x: x["name"])

@@ -16,6 +16,7 @@ from ratlas.operators.jobs import publications, transfer_mode
 SCOPES = ("session", "tops")
 PURPOSES = ("content_analysis", "fact_extraction", "session_preparation", "journalistic_publication")
 PROVIDERS = ("none", "claude", "codex", "ollama")
+PURPOSE_LABELS = ("Inhaltsanalyse", "Strukturierte Faktenerfassung", "Sitzungsvorbereitung", "Journalistischer Publikationsentwurf")
 EXCERPT = 12_000
 CONTEXT = {"claude": 180_000, "codex": 100_000, "ollama": 24_000}
 

@@ -91,10 +91,10 @@ def latest_dates(sessions: DataFrame, documents: DataFrame) -> DataFrame:
     return s.join(with_docs.agg(F.max("date").alias("latest_document")))
 
 
-def match_manifest(documents: DataFrame, entries: DataFrame) -> DataFrame:
+def match_manifest(documents: DataFrame, entries: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Documents with the stored entry (path, etag, ...) of the same address, item, title and category, nulls equal;
-    of several entries the first by `place`."""
-    keys = ["url", "agenda_item", "title", "category"]
+    of several entries the first by `place`. by: further keys, as session_id where entries of several manifests meet."""
+    keys = [*by, "url", "agenda_item", "title", "category"]
     rest = [c for c in entries.columns if c not in keys]
     first = entries.groupBy(*keys).agg(F.min_by(F.struct(*rest), "place").alias("entry")).select(*[F.col(k).alias(f"__{k}") for k in keys], "entry")
     same = F.expr(" AND ".join(f"{k} <=> __{k}" for k in keys))

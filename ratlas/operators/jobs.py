@@ -100,3 +100,26 @@ def transfer_mode(path: Column) -> Column:
     p = F.lower(as_text(path))
     text = reduce(lambda a, b: a | b, [F.endswith(p, F.lit(s)) for s in (".txt", ".md", ".markdown", ".html", ".htm")])
     return F.when(F.endswith(p, F.lit(".pdf")), "pdf_attachment").when(text, "text_excerpt").otherwise("metadata_only")
+
+
+def active(jobs: DataFrame) -> DataFrame:
+    """Jobs that wait or run."""
+    return jobs.where(F.col("status").isin("queued", "running"))
+
+
+def latest(jobs: DataFrame, order: str, most: int = 20) -> DataFrame:
+    """The newest jobs, the newest first."""
+    return jobs.orderBy(F.col(order).desc_nulls_last(), "job_id").limit(most)
+
+
+def document_outputs(answers: DataFrame) -> DataFrame:
+    """Answers on single documents (job_id, title, agenda_item, document_type, quality, chars, model_name, response) as
+    stored outputs: job_id, place, output_format, content. The answer alone is a second output unless it is empty."""
+    t = lambda c: as_text(F.col(c).cast("string"))
+    # fixed text: the form of the report on a document
+    report = F.concat(
+        F.lit("# Dokument-Analyse: "), t("title"), F.lit("\n\n- TOP: "), t("agenda_item"), F.lit("\n- Typ: "), t("document_type"), F.lit("\n- Extraktionsqualitaet: "), t("quality"), F.lit(" ("), t("chars"), F.lit(" Zeichen)\n- Modell: "), t("model_name"),
+        F.lit("\n\n## KI-Antwort\n\n"), t("response"),
+    )
+    both = F.array(F.struct(F.lit("markdown").alias("output_format"), report.alias("content")), F.struct(F.lit("ki_response").alias("output_format"), t("response").alias("content")))
+    return answers.select("job_id", F.posexplode(F.filter(both, lambda x: (x["output_format"] == "markdown") | (x["content"] != ""))).alias("place", "o")).select("job_id", "place", "o.*")

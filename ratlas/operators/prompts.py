@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratlas import schemas
 from ratlas.functions import jsonx, text
 from ratlas.functions.text import as_text
+from ratlas.sources import sinks
 
 #: Names that a template may use, its scopes and visibilities.
 ALLOWED = ("session_title", "session_date", "committee", "agenda_item", "document_text", "source_list", "analysis_goal")
@@ -85,8 +88,39 @@ def context(sessions: DataFrame, agenda: DataFrame, tops: tuple[str, ...] = (),
     return df.select("session_id", title.alias("session_title"), F.col("date").alias("session_date"), as_text(F.col("committee")).alias("committee"), F.lit(", ".join(tops)).alias("agenda_item"), F.lit("").alias("document_text"), as_text(F.col("source_list")).alias("source_list"), F.lit(goal).alias("analysis_goal"))
 
 
-def choice_error(requests: DataFrame, templates: DataFrame) -> DataFrame:
-    """requests (request_id, template_id, scope) with error: none, missing, inactive, wrong_scope or null."""
+def load(spark: SparkSession, path: str, example: str | None = None) -> DataFrame:
+    """The templates of a JSON file. A missing file is made first, as a copy of an example or without templates; a file
+    that holds no list of templates raises ValueError."""
+    for place in (path, example):
+        where = spark._jvm.org.apache.hadoop.fs.Path(place) if place else None
+        if where and where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            break
+    else:
+        place = None
+    body = spark.read.text(place, wholetext=True) if place else spark.createDataFrame([('{"templates": []}\n',)], "value string")
+    value = "".join(r["value"] for r in body.collect())  # an empty file gives no row
+    try:
+        data = json.loads(value)
+    except ValueError:
+        data = None
+    if not isinstance(data.get("templates") if isinstance(data, dict) else data, list):
+        raise ValueError(f"no list of templates in {place or path}")
+    if place != path:
+        sinks.replace_text(spark, path, value)
+    return read_templates(spark.createDataFrame([(value,)], "value string"))
+
+
+def store(templates: DataFrame, path: str) -> None:
+    """Write templates as one JSON file in place of the stored one. A store is written by people, so it is small."""
+    rows = [json.loads(r[0]) for r in templates.orderBy("id").select(F.to_json(F.struct("*"))).toLocalIterator()]
+    sinks.replace_text(templates.sparkSession, path, json.dumps({"templates": rows}, indent=2, ensure_ascii=False) + "\n")
+
+
+def choice_error(requests: DataFrame, templates: DataFrame | None) -> DataFrame:
+    """requests (request_id, template_id, scope) with error: none, unreadable (templates is None), missing, inactive,
+    wrong_scope or null."""
+    if templates is None:
+        return requests.select("request_id", "template_id", "scope", F.when(as_text(F.col("template_id")) == "", "none").otherwise("unreadable").alias("error"))
     t = templates.select(F.col("id").alias("__id"), "scopes", "is_active")
     df = requests.join(t, F.col("template_id") == F.col("__id"), "left")
     error = F.when(as_text(F.col("template_id")) == "", "none").when(F.col("__id").isNull(), "missing").when(~F.col("is_active"), "inactive").when(~F.array_contains("scopes", F.col("scope")), "wrong_scope")

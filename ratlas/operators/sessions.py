@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ratlas import schemas
 from ratlas.functions import dates, text
 from ratlas.functions.text import as_text, filled
 
@@ -241,3 +242,30 @@ def source_availability(documents: DataFrame, sessions: DataFrame, files: DataFr
     tried = df.select("id", F.explode(F.array_distinct(F.array(F.replace(own, F.lit("\\"), F.lit("/")), F.replace(below, F.lit("\\"), F.lit("/"))))).alias("path"))
     there = tried.where("path <> ''").join(files.select("path").distinct(), "path", "left_semi").select("id").distinct().withColumn("source_available", F.lit(True))
     return df.join(there, "id", "left").fillna(False, ["source_available"])
+
+
+def availability_counts(documents: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
+    """session_id, document_count, available_count, missing_count of every session, those without documents too."""
+    there = F.col("source_available").cast("long")
+    n = source_availability(documents, sessions, files).groupBy("session_id").agg(F.count("*").alias("document_count"), F.sum(there).alias("available_count"))
+    df = sessions.select("session_id").join(n, "session_id", "left").fillna(0, ["document_count", "available_count"])
+    return df.withColumn("missing_count", F.col("document_count") - F.col("available_count"))
+
+
+def session_document(documents: DataFrame, session_id: str, document_id: int) -> DataFrame:
+    """The document of a session with an id; none if it is another session's."""
+    return documents.where((F.col("session_id") == session_id) & (F.col("id") == document_id))
+
+
+def online_rows(found: DataFrame, known: DataFrame, refresh_existing: bool = False, only_refresh: bool = False) -> DataFrame:
+    """Sessions of month pages (year, month, place and the columns of a session) as rows of the index: the first of each
+    id by month and place, new ones, with refresh_existing known ones too, with only_refresh those alone. They have no
+    folder yet, and their year and month are those of their date."""
+    first = first_seen(found, "year", "month", "place")
+    old = known.select("session_id").distinct()
+    if only_refresh:
+        first = first.join(old, "session_id", "left_semi")
+    elif not refresh_existing:
+        first = first.join(old, "session_id", "left_anti")
+    year, month = dates.year_month(F.col("date"))
+    return schemas.conform(first.withColumns({"year": year, "month": month, "session_path": F.lit(None).cast("string")}), schemas.SESSIONS)

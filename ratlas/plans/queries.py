@@ -444,4 +444,4 @@ def pdf_extraction(spark, sf_dir):
     return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "extraction.status", "extraction.text")
 
 
-from ratlas.plans import more_queries  # noqa: E402, F401  (registers its queries)
+from ratlas.plans import more_queries, source_queries  # noqa: E402, F401  (they register their queries)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ratlas.functions.jsonx import member_list
 
 #: Files that make a folder a session's.
 MARKERS = ("manifest.json", "agenda_summary.json", "session_detail.html")
+MARKER_FOLDERS = ("agenda", "session-documents")
 _DOC = "title string, category string, agenda_item string, url string, path string, sha1 string, content_type string, content_disposition string, content_length bigint, etag string, last_modified string, retrieved_at string"
 _ITEM = "number string, title string, reporter string, status string, decision string, documents_present boolean"
 
@@ -71,3 +74,16 @@ def numbered(children: DataFrame, schema: str, *order: str) -> DataFrame:
 def inventory(files: DataFrame) -> DataFrame:
     """Files, folders and bytes of a listing (path, length) in one row."""
     return files.agg(F.count("*").alias("files"), F.countDistinct(F.regexp_extract("path", r"^(.*)/[^/]+$", 1)).alias("folders"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def session_folder_count(files: DataFrame, root: str) -> DataFrame:
+    """One row with the number of session folders in a listing (path): folders two or three levels below root that hold
+    a marker file or folder; below a session's own folder none is looked for."""
+    names, folders = "|".join(re.escape(n) for n in MARKERS), "|".join(re.escape(n) for n in MARKER_FOLDERS)
+    mark = f"(?:(?:{names})$|(?:{folders})/)"
+    rest = files.where(F.startswith("path", F.lit(root + "/"))).select(F.substring("path", len(root) + 2, 2**30).alias("p"))
+    found = lambda depth: F.regexp_extract("p", rf"^((?:[^/]+/){{{depth}}}){mark}", 1)
+    near = rest.select(found(2).alias("f")).where("f <> ''").distinct()
+    far = rest.select(found(3).alias("f")).where("f <> ''").distinct()
+    inside = far.withColumn("up", F.regexp_extract("f", "^((?:[^/]+/){2})", 1)).join(near.select(F.col("f").alias("up")), "up", "left_anti").select("f")
+    return near.union(inside).agg(F.count("*").alias("session_folders"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,20 @@ def write_text(spark: SparkSession, path: str, content: str) -> str:
     return name
 
 
+def replace_text(spark: SparkSession, path: str, content: str) -> None:
+    """Write a text file in place of one: readers see the old or the new content, as the new file is renamed over it."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    where = hadoop.Path(path)
+    new = hadoop.Path(f"{path}.{uuid.uuid4().hex}.new")
+    out = where.getFileSystem(conf).create(new, False)
+    out.write(bytearray(content.encode()))
+    out.close()
+    context = hadoop.FileContext.getFileContext(where.getFileSystem(conf).getUri(), conf)
+    over = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(new), context.makeQualified(where), over)
+
+
 def write_values(df: DataFrame, path: str) -> None:
     """One JSON text a line, in as many files as there are partitions."""
     df.select("value").write.text(path)
