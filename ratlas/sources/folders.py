@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,10 +63,25 @@ def local_index(folders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return sessions, agenda, documents
 
 
+def _pinned(df: DataFrame) -> DataFrame:
+    """A checkpoint of df in the folder that the cluster names; a local session without one makes its own."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder")
+        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="ratlas-"))
+    return df.checkpoint()
+
+
 def numbered(children: DataFrame, schema: str, *order: str) -> DataFrame:
-    """Children with an id by their order, in the columns of a schema. Ids come from one sort by range, not one task."""
+    """Children with an id by their order, in the columns of a schema; equal rows in any order.
+
+    Ids come from one sort by range, not one task. The ranges are pinned by a checkpoint before they are counted and
+    read again: planned anew, each reading would cut them, or coalesce them, in its own way.
+    """
     place = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = children.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    parts = _pinned(children.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
     sums = parts.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(place), F.lit(0)))
     return schemas.conform(parts.withColumn("__i", inside).join(sums.select("__p", "__before"), "__p").withColumn("id", F.col("__before") + F.col("__i")), schema)

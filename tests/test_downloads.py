@@ -103,3 +103,18 @@ def test_document_report_without_answer(spark):
     schema = "job_id int, title string, agenda_item string, document_type string, quality string, chars int, model_name string, response string"
     got = jobs.document_outputs(spark.createDataFrame([(1, None, None, None, None, None, None, None)], schema)).collect()
     assert [(r.output_format, r.content) for r in got] == [("markdown", "# Dokument-Analyse: \n\n- TOP: \n- Typ: \n- Extraktionsqualitaet:  ( Zeichen)\n- Modell: \n\n## KI-Antwort\n\n")]
+
+
+def test_ids_over_many_ranges(spark):
+    """No row is lost or numbered twice where ranges are cut and coalesced anew."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")}
+    try:
+        for k, v in zip(kept, ("16", "40KB", "false"), strict=True):
+            spark.conf.set(k, v)
+        rows = spark.range(20_000).selectExpr("cast(id % 4001 as string) AS session_id", "id AS place", "repeat('x', 50) AS title")
+        got = folders.numbered(rows, "id bigint, session_id string, title string, place bigint", "session_id", "place").orderBy("id").collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert [r.id for r in got] == list(range(1, 20_001))
+    assert [(r.session_id, r.place) for r in got] == sorted((r.session_id, r.place) for r in got)
