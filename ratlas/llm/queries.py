@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+import sentencepiece  # noqa: F401  (asked for here, so that no query is offered that lacks its library)
+import tokenizers  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratlas.llm import embeddings, html_text, lines, minhash, mixing, packing, ppm, quality, tokens, warc
+from ratlas.llm import crosstok, embeddings, html_text, licenses, lines, minhash, mixing, packing, ppm, quality, resample, tokens, warc
 
 
 def tokenizer_path() -> str:
     """The vocabulary file of the queries; operators take any path."""
-    import public_tokenizers
-
     return public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -80,6 +81,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_table(_table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and ranks of every document towards the benchmark texts. Null or empty: no features, weight 0. Null
+    doc_id: hashed as empty. Ties: the smaller doc_id."""
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned tokens of every document. Null, empty, or not given back by the pieces: zeros and the empty string. Ties of
+    counts all count as best."""
+    return crosstok.align_corpus(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document. Null or empty: no words, no labels, score 0. Repeated rows each have a
+    row."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline over all documents."""
     import corpus_pipeline
@@ -184,10 +203,61 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NULL OR page
        CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM k
 """
 
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOW}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP11_SQL = f"""
+WITH tab AS (SELECT list(c ORDER BY b) AS t FROM (
+  SELECT b, list_reduce(list_prepend(b::BIGINT, generate_series(1, 8)), lambda c, _: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS c FROM range(256) r(b))),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id, 0 AS target, {_WORDS} AS w FROM documents
+  UNION ALL SELECT NULL, NULL, 1, {_WORDS} FROM benchmark),
+e AS (SELECT r, target, unnest(list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]), list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM d),
+n AS (SELECT r, target, f, count(*) AS n FROM e GROUP BY ALL),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM n)),
+b AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(generate_series(1, len(h) - 1, 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS b FROM u, tab),
+c AS (SELECT b, coalesce(sum(n) FILTER (target = 0), 0)::BIGINT AS s, coalesce(sum(n) FILTER (target = 1), 0)::BIGINT AS t FROM n JOIN b USING (f) GROUP BY b),
+a AS (SELECT sum(s)::BIGINT AS ss, sum(t)::BIGINT AS tt FROM c),
+g AS (SELECT b, floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000) / ((s + 1)::DOUBLE * (tt + 10000))))::BIGINT AS gain FROM c, a),
+x AS (SELECT r, sum(n.n)::BIGINT AS n_features, sum(n.n * gain)::BIGINT AS weight FROM n JOIN b USING (f) JOIN g USING (b) WHERE target = 0 GROUP BY r),
+y AS (
+  SELECT d.r, doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN x ON x.r = d.r WHERE target = 0),
+z AS (SELECT *, row_number() OVER (ORDER BY able DESC, score DESC, doc_id NULLS FIRST) AS k, (count(*) FILTER (able) OVER ()) * 5 // 100 AS m FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND k <= m THEN k END AS rank FROM z
+"""
+
+
+def _op13_sql(k: int = licenses.RUN) -> str:
+    known = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    phrases = " UNION ALL ".join(f"SELECT '{label}' AS label, {p.split()!r} AS p" for p, label in licenses.PHRASES)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+p AS ({phrases}),
+i AS (SELECT r, doc_id, w, unnest(generate_series(0, len(w) - 1)) AS pos FROM d),
+o AS (SELECT r, pos, label FROM i JOIN p ON w[pos + 1] = p[1] AND w[pos + 1:pos + len(p)] = p),
+ob AS (SELECT r, count(*)::BIGINT AS n_base, min(pos)::BIGINT AS first_word, max(pos)::BIGINT AS last_word, list(DISTINCT label) AS own FROM o GROUP BY r),
+k(template, label, w) AS (VALUES {known}),
+kr AS (SELECT template, label, len(w) AS size, tat, array_to_string(w[tat + 1:tat + {k}], ' ') AS run FROM (SELECT *, unnest(generate_series(0, len(w) - {k})) AS tat FROM k)),
+h AS (SELECT r, template, label, size, tat, pos, pos - tat AS diagonal FROM i JOIN kr ON array_to_string(w[pos + 1:pos + {k}], ' ') = run),
+v AS (SELECT r, template, label, size, diagonal, min(pos) AS a, max(pos) + {k - 1} AS z, list_distinct(flatten(list(generate_series(tat, tat + {k - 1})))) AS held FROM h GROUP BY ALL),
+s AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) <= {licenses.GAP} THEN 0 ELSE 1 END AS apart FROM v),
+t AS (SELECT *, sum(apart) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM s),
+m AS (SELECT r, label, size, max(z) - min(a) AS wide, len(list_distinct(flatten(list(held)))) / size::DOUBLE AS cover, max(len(held)) / size::DOUBLE AS best FROM t GROUP BY r, template, label, size, span),
+q AS (SELECT r, max(cover) AS cover, list(DISTINCT label) FILTER (best >= {licenses.COVER} OR (cover >= {licenses.COVER} AND wide < 2 * size)) AS more FROM m GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(own), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(cover, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN ob USING (r) LEFT JOIN q USING (r)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_minhash_dedup, op4_token_output, op5_html_text, op6_mixing, op7_packing, op8_line_dedup, op9_ppm_score, op10_warc, pipeline)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_embedding_dedup, op3_minhash_dedup, op4_token_output, op5_html_text, op6_mixing, op7_packing, op8_line_dedup, op9_ppm_score, op10_warc, op11_importance_resampling, op12_tokenizer_alignment, op13_license_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op3_minhash_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_warc": OP10_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op3_minhash_dedup": OP3_SQL, "op6_mixing": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_warc": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op13_license_scan": _op13_sql()}
