@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -38,6 +38,11 @@ HEADINGS = ("Beschlussvorschlag", "Beschluss", "Begruendung", "Sachverhalt", "Fi
 ANCHOR_CHARS = 180
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def as_text(c: Column) -> Column:
     """Null as the empty string."""
     return F.coalesce(c, F.lit(""))
@@ -173,40 +178,55 @@ def labelled_section(text: Column, labels: Sequence[str], stops: Sequence[str])
     return filled(normalize_lines(F.regexp_extract(text, pattern, 1)))
 
 
+def section_list(text: Column, kind: str) -> Column:
+    """The sections that a document of this type has, as an array of (name, value) without those that are missing."""
+    found = F.array(*[F.struct(F.lit(name).alias("name"), labelled_section(text, labels, stops).alias("value")) for name, (labels, stops) in SECTIONS[kind].items()])
+    return F.filter(found, lambda x: x["value"].isNotNull())
+
+
 def section_fields(text: Column, kind: str) -> Column:
     """A map of the fields that a document of this type has."""
-    pairs = [x for name, (labels, stops) in SECTIONS[kind].items() for x in (F.lit(name), labelled_section(text, labels, stops))]
-    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
+    return let(section_list(text, kind), F.map_from_entries)
 
 
 def parse_content(kind: Column, text: Column, title: Column) -> Column:
     """A struct of status, quality, fields (map) and sections (their names, sorted) for any document.
 
-    Only three types have sections. The title is a field too, and makes a parse succeed, but says nothing of quality.
+    Only three types have sections. The title is a field too, and makes a parse succeed, but says nothing of quality. The
+    text is put in order once and each of its sections is taken out once; all else is read off the list of sections.
     """
-    kind, body, name = F.lower(F.btrim(as_text(kind))), normalize_lines(as_text(text)), F.btrim(as_text(title))
-    none = F.expr("cast(map() as map<string,string>)")
-    own = none
-    for k in SECTIONS:
-        own = F.when(kind == k, section_fields(body, k)).otherwise(own)
-    supported = kind.isin(*SECTIONS)
-    usable = supported & (body != "")
-    found = F.when(usable, own).otherwise(none)
-    fields = F.when(usable & (name != ""), F.map_concat(found, F.create_map(F.lit("titel"), name))).otherwise(found)
-    hits = F.size(F.map_keys(found))
-    status = F.when(~supported, "unsupported_document_type").when(body == "", "empty_text").when(F.size(F.map_keys(fields)) > 0, "ok").otherwise("no_structured_fields")
-    quality = F.when(~usable, "failed").when(hits >= 3, "high").when(hits >= 2, "medium").when((F.size(F.map_keys(fields)) > 0) | (F.length(body) >= 120), "low").otherwise("failed")
-    return F.struct(status.alias("status"), quality.alias("quality"), fields.alias("fields"), F.sort_array(F.map_keys(found)).alias("sections"))
+    kind, name = F.lower(F.btrim(as_text(kind))), F.btrim(as_text(title))
+    none = F.expr("cast(array() as array<struct<name:string,value:string>>)")
+
+    def sections(body: Column) -> Column:
+        out = none
+        for layout in (VORLAGE_SECTIONS, PROTOKOLL_SECTIONS):  # types that share a layout share its extraction
+            kinds = [k for k, v in SECTIONS.items() if v is layout]
+            out = F.when(kind.isin(*kinds), section_list(body, kinds[0])).otherwise(out)
+        return F.struct(F.length(body).alias("n"), F.when(body != "", out).otherwise(none).alias("found"))
+
+    def result(x: Column) -> Column:
+        n, found, supported = x["n"], x["found"], kind.isin(*SECTIONS)
+        usable, hits, titled = supported & (n > 0), F.size(x["found"]), name != ""
+        fields = F.map_from_entries(F.when(usable & titled, F.concat(found, F.array(F.struct(F.lit("titel").alias("name"), name.alias("value"))))).otherwise(found))
+        some = (hits > 0) | (usable & titled)
+        status = F.when(~supported, "unsupported_document_type").when(n == 0, "empty_text").when(some, "ok").otherwise("no_structured_fields")
+        quality = F.when(~usable, "failed").when(hits >= 3, "high").when(hits >= 2, "medium").when(some | (n >= 120), "low").otherwise("failed")
+        return F.struct(status.alias("status"), quality.alias("quality"), fields.alias("fields"), F.sort_array(found["name"]).alias("sections"))
+
+    return let(let(normalize_lines(as_text(text)), sections), result)
 
 
 def section_headings(text: Column) -> Column:
-    """array<struct<heading, anchor_text>>: every heading with a colon, and the 180 characters from it on."""
-    names = "|".join(HEADINGS)
-    # the text behind each heading is what the split leaves; the anchor is found by the length of all before it
-    hits = F.regexp_extract_all(text, F.lit(rf"(?is)((?:{names})\s*:)"), F.lit(1))
-    gaps = F.split(text, rf"(?is)(?:{names})\s*:")
-    place = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(1), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(hits, F.lit(1), i), F.lit(0), lambda s, x: s + F.length(x))
-    return F.transform(hits, lambda h, i: F.struct(F.btrim(F.regexp_replace(h, r"\s*:$", "")).alias("heading"), collapse(F.substr(text, place(i), F.lit(ANCHOR_CHARS))).alias("anchor_text")))
+    """array<struct<heading, anchor_text>>: every heading with a colon, and the 180 characters from it on.
+
+    What follows a heading is matched without being passed over, so that near headings have it too; a text is searched
+    twice, however many headings it has.
+    """
+    pattern = F.lit(rf"(?is)((?:{'|'.join(HEADINGS)})\s*:)(?=(.{{0,{ANCHOR_CHARS}}}))")
+    hits = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("head"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("tail"))
+    anchor = lambda x: collapse(F.substring(F.concat(x["head"], x["tail"]), 1, ANCHOR_CHARS))
+    return F.transform(hits, lambda x: F.struct(F.btrim(F.regexp_replace(x["head"], r"\s*:$", "")).alias("heading"), anchor(x).alias("anchor_text")))
 
 
 def text_quality(text: Column, most: int, is_pdf: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ratlas.functions import dates, jsonx, text
 from ratlas.functions.text import as_text, filled
-from ratlas.operators.jobs import publications, transfer_mode
+from ratlas.operators.jobs import transfer_mode, with_publication
 
 #: Scopes, purposes and providers of a request; most characters of an excerpt and of a model's context.
 SCOPES = ("session", "tops")
@@ -113,11 +113,14 @@ def answered(contexts: DataFrame, provider: Callable[[str, str], str] | None, na
     return df.withColumns({"response": F.col("__a.response"), "model_name": F.lit(model or name), "status": F.when(failed, "error").otherwise("done"), "error_message": as_text(F.col("__a.error"))}).drop("__a", "__body")
 
 
-def articles(jobs: DataFrame) -> DataFrame:
-    """jobs (job_id, markdown, response, purpose, scope, meeting_name, committee) -> job_id, article: the publication if
-    the answer has a body, else the context with the answer under it; a document's context holds it already."""
-    p = publications(jobs).select("job_id", F.col("body").alias("__body"), F.col("markdown").alias("__article"))
-    df = jobs.join(p, "job_id")
-    published = (F.col("purpose") == "journalistic_publication") & (jsonx.response_object(F.col("response")) != "{}")
+def article() -> Column:
+    """The article of a row that with_publication has seen: the publication if the answer has a body, else the context with
+    the answer under it; a document's context holds it already."""
+    published = (F.col("purpose") == "journalistic_publication") & (F.col("__obj") != "{}")
     plain = F.when((as_text(F.col("response")) != "") & (F.col("scope") != "document"), F.concat("markdown", F.lit("\n\n## KI-Analyse\n\n"), "response", F.lit("\n"))).otherwise(F.col("markdown"))
-    return df.select("job_id", F.when(published & (F.col("__body") != ""), F.col("__article")).when(published, F.col("markdown")).otherwise(plain).alias("article"))
+    return F.when(published & (F.col("__pub.body") != ""), F.col("__pub.markdown")).when(published, F.col("markdown")).otherwise(plain)
+
+
+def articles(jobs: DataFrame) -> DataFrame:
+    """jobs (job_id, markdown, response, purpose, scope, meeting_name, committee) -> job_id, article."""
+    return with_publication(jobs).select("job_id", article().alias("article"))

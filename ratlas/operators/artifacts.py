@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratlas.functions import jsonx
-from ratlas.functions.text import as_text, ascii_slug, filled, strip
+from ratlas.functions.text import as_text, ascii_slug, filled, let, strip
 from ratlas.operators import analysis
-from ratlas.operators.jobs import job_stem, publications
+from ratlas.operators.jobs import job_stem, with_publication
 
 #: The form of a job's file name; the keys that a JSON artifact lays over its job; folders that stay private.
 JOB = r"(?i)job[_-]([\w.-]+)"
@@ -62,59 +62,69 @@ def scan(files: DataFrame, prompt_root: str = "data/private/analysis_prompts") -
 
 
 def output_rows(outputs: DataFrame) -> DataFrame:
-    """Stored outputs of either layout: content inline, or a path; neither gives no rows. In the order of id, else of
-    created_at."""
+    """Stored outputs of either layout: content inline, or a path; neither gives no rows."""
     kinds = {"job_id": "string", "output_format": "string", "content": "string", "output_type": "string", "output_path": "string"}
     if not {"content", "output_path"} & set(outputs.columns):
         return outputs.sparkSession.createDataFrame([], ", ".join(f"{k} {v}" for k, v in kinds.items()))
-    place = next((c for c in ("id", "created_at") if c in outputs.columns), None)
-    df = outputs.orderBy(place) if place else outputs
-    return df.select(*[(F.col(c) if c in outputs.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    return outputs.select(*[(F.col(c) if c in outputs.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+
+
+def _with_raw(jobs: DataFrame, documents: DataFrame) -> DataFrame:
+    text = [as_text(F.col(c)).alias(c) for c in ("title", "document_type", "agenda_item", "url", "local_path")]
+    per = documents.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("id", *text, F.coalesce("source_available", F.lit(False)).alias("source_available")))).alias("__d"))
+    names = ("title", "document_type", "agenda_item", "url", "local_path", "source_available")
+    docs = F.transform(F.coalesce("__d", F.expr("array()")), lambda x: F.struct(*[x[c].alias(c) for c in names]))
+    raw = F.to_json(F.struct("job_id", "session_id", "scope", F.col("tops").alias("top_numbers"), docs.alias("documents"), "source_db", "session_path", "created_at"))
+    return jobs.join(per, "job_id", "left").withColumn("__raw", raw).drop("__d")
 
 
 def raw_outputs(jobs: DataFrame, documents: DataFrame) -> DataFrame:
     """job_id and the raw analysis as JSON: what the job asked for and its documents (with job_id, id and
     source_available) in the order of their ids."""
-    text = [as_text(F.col(c)).alias(c) for c in ("title", "document_type", "agenda_item", "url", "local_path")]
-    per = documents.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("id", *text, F.coalesce("source_available", F.lit(False)).alias("source_available")))).alias("d"))
-    names = ("title", "document_type", "agenda_item", "url", "local_path", "source_available")
-    docs = F.transform(F.coalesce("d", F.expr("array()")), lambda x: F.struct(*[x[c].alias(c) for c in names]))
-    df = jobs.join(per, "job_id", "left")
-    return df.select("job_id", F.to_json(F.struct("job_id", "session_id", "scope", F.col("tops").alias("top_numbers"), docs.alias("documents"), "source_db", "session_path", "created_at")).alias("value"))
+    return _with_raw(jobs, documents).select("job_id", F.col("__raw").alias("value"))
 
 
-def structured_outputs(jobs: DataFrame) -> DataFrame:
-    """job_id, topic, open_questions, risks: from the answer's JSON, the job's error among the risks."""
-    obj = jsonx.response_object(F.col("response"))
-    first = lambda *names: F.coalesce(*[F.when(F.size(jsonx.text_list(F.get_json_object(obj, f"$.{n}"))) > 0, jsonx.text_list(F.get_json_object(obj, f"$.{n}"))) for n in names], F.expr("cast(array() as array<string>)"))
+def structure() -> list[Column]:
+    """topic, open_questions and risks of a row that with_publication has seen: from the answer's JSON, the job's error
+    among the risks."""
+    obj = F.col("__obj")
+    none = F.expr("cast(array() as array<string>)")
+    first = lambda *names: F.coalesce(*[let(jsonx.text_list(F.get_json_object(obj, f"$.{n}")), lambda x: F.when(F.size(x) > 0, x)) for n in names], none)
     topic = F.coalesce(jsonx.at(obj, "$.title"), jsonx.at(obj, "$.topic"), filled(F.col("meeting_name")), filled(F.col("committee")), F.lit(""))
-    risks = first("source_notes", "contradictions")
-    risks = F.when(as_text(F.col("error_message")) != "", F.concat(risks, F.array("error_message"))).otherwise(risks)
-    return jobs.select("job_id", topic.alias("topic"), first("open_questions", "missing_information").alias("open_questions"), risks.alias("risks"))
+    error = F.when(as_text(F.col("error_message")) != "", F.array("error_message")).otherwise(none)
+    return [topic.alias("topic"), first("open_questions", "missing_information").alias("open_questions"), F.concat(first("source_notes", "contradictions"), error).alias("risks")]
 
 
-def slugs(jobs: DataFrame) -> DataFrame:
-    """job_id and the slug of its publication: the session's date, or the job's, and the title."""
-    title = publications(jobs).select("job_id", "title")
+def structured_outputs(jobs: DataFrame) -> DataFrame:
+    """job_id, topic, open_questions, risks."""
+    return with_publication(jobs).select("job_id", *structure())
+
+
+def slug() -> Column:
+    """The slug of a publication of a row that with_publication has seen: the session's date, or the job's, and the title."""
     day = F.btrim(F.coalesce(filled(F.col("session_date")), F.substring("created_at", 1, 10)))
-    slug = F.lower(ascii_slug(F.concat(day, F.lit("-"), F.coalesce(filled(F.col("title")), F.col("session_id")))))
-    return jobs.join(title, "job_id").select("job_id", slug.alias("slug"))
+    return F.lower(ascii_slug(F.concat(day, F.lit("-"), F.coalesce(filled(F.col("__pub.title")), F.col("session_id")))))
+
+
+def slugs(jobs: DataFrame) -> DataFrame:
+    """job_id and the slug of its publication."""
+    return with_publication(jobs).select("job_id", slug().alias("slug"))
 
 
 def fan_out(jobs: DataFrame, documents: DataFrame) -> DataFrame:
     """job_id, name, content: a done or failed job's files. Article, raw and structured analysis always, the answer if
-    there is one, a publication for journalistic purposes, the prompt and the article's copy as the latest."""
-    stem = job_stem(F.col("job_id"), F.col("scope"), F.col("tops"), F.col("model_name"))
-    article = analysis.articles(jobs).select("job_id", "article")
-    raw = raw_outputs(jobs, documents).select("job_id", F.col("value").alias("raw"))
-    formed = structured_outputs(jobs).select("job_id", F.to_json(F.struct("job_id", F.struct(F.col("topic").alias("title")).alias("topic"), "open_questions", F.col("risks").alias("risks_or_uncertainties"))).alias("structured"))
-    draft = publications(jobs).join(slugs(jobs), "job_id").select("job_id", F.to_json(F.struct("job_id", "title", "summary_short", "summary_long", F.col("markdown").alias("body_markdown"), "slug")).alias("draft"))
-    df = jobs.select("job_id", "response", "prompt", "purpose", "status", stem.alias("stem")).join(article, "job_id").join(raw, "job_id").join(formed, "job_id").join(draft, "job_id")
+    there is one, a publication for journalistic purposes, the prompt and the article's copy as the latest. All of it
+    comes from the job's own row, which meets its documents in one join."""
+    df = with_publication(_with_raw(jobs, documents)).withColumn("__stem", job_stem(F.col("job_id"), F.col("scope"), F.col("tops"), F.col("model_name"))).withColumn("__slug", slug())
+    topic, questions, risks = structure()
+    formed = F.to_json(F.struct("job_id", F.struct(topic.alias("title")).alias("topic"), questions, risks.alias("risks_or_uncertainties")))
+    pub = [F.col(f"__pub.{c}") for c in ("title", "summary_short", "summary_long")]
+    draft = F.to_json(F.struct("job_id", *pub, F.col("__pub.markdown").alias("body_markdown"), F.col("__slug").alias("slug")))
     answer = F.when(as_text(F.col("response")) != "", F.to_json(F.struct("job_id", "response")))
-    public = F.when((F.col("purpose") == "journalistic_publication") & (F.col("status") == "done"), F.col("draft"))
-    parts = [(".article.md", F.col("article")), (".raw.json", F.col("raw")), (".structured.json", F.col("structured")), (".ki_response.json", answer), (".publication.json", public), (".prompt.txt", filled(F.col("prompt")))]
-    files = [F.struct(F.concat(F.col("stem"), F.lit(end)).alias("name"), c.alias("content")) for end, c in parts]
-    files.append(F.struct(F.lit("latest.md").alias("name"), F.col("article").alias("content")))
+    public = F.when((F.col("purpose") == "journalistic_publication") & (F.col("status") == "done"), draft)
+    parts = [(".article.md", analysis.article()), (".raw.json", F.col("__raw")), (".structured.json", formed), (".ki_response.json", answer), (".publication.json", public), (".prompt.txt", filled(F.col("prompt")))]
+    files = [F.struct(F.concat(F.col("__stem"), F.lit(end)).alias("name"), c.alias("content")) for end, c in parts]
+    files.append(F.struct(F.lit("latest.md").alias("name"), analysis.article().alias("content")))
     return df.select("job_id", F.explode(F.filter(F.array(*files), lambda x: x["content"].isNotNull())).alias("f")).select("job_id", "f.*")
 
 

@@ -10,9 +10,17 @@ from ratlas.functions.text import as_text
 
 
 def incomplete(sessions: DataFrame, documents: DataFrame) -> DataFrame:
-    """Ids of sessions without documents, with the meaning of NOT IN: a null among the documents' ids leaves none."""
-    spark = sessions.sparkSession
-    return spark.sql("SELECT session_id FROM {s} WHERE session_id NOT IN (SELECT session_id FROM {d})", s=sessions, d=documents)
+    """Ids of sessions without documents, with the meaning of NOT IN: a null among the documents' ids leaves none, a null
+    session is in only if there are no documents.
+
+    Whether there are documents, and nulls among them, is one row that a scalar subquery reads; the ids then meet in a
+    plain anti join, which Spark shuffles or broadcasts by their size. NOT IN itself would broadcast all of them.
+    """
+    key = F.col("session_id")
+    ids = documents.select("session_id")
+    known = ids.agg(F.struct(F.count("*").alias("rows"), F.count_if(key.isNull()).alias("nulls")).alias("n")).scalar()
+    left = sessions.select("session_id").join(ids.where(key.isNotNull()), "session_id", "left_anti").withColumn("__n", known)
+    return left.where((F.col("__n.rows") == 0) | ((F.col("__n.nulls") == 0) & key.isNotNull())).select("session_id")
 
 
 def to_refresh(new: DataFrame, sessions: DataFrame, documents: DataFrame, refresh_existing: bool = False, only_refresh: bool = False) -> DataFrame:

@@ -71,13 +71,21 @@ def retained(jobs: DataFrame, ended: Column, order: str, most: int = RETAINED) -
     return jobs.where(~ended).unionByName(last)
 
 
+def with_publication(responses: DataFrame) -> DataFrame:
+    """responses (response, meeting_name, committee) with __obj, the answer's JSON, and __pub, a struct of title, subtitle,
+    intro, body, markdown and summaries. Both are worked out once, whatever reads them."""
+    obj = F.explode(F.array(jsonx.response_object(F.col("response")))).alias("__obj")  # no condition moves below a generator
+    df = responses.select("*", obj).withColumn("__p", jsonx.publication_parts(F.col("__obj"), F.col("meeting_name"), F.col("committee")))
+    p = F.col("__p")
+    short = F.coalesce(filled(p["subtitle"]), F.substring(p["intro"], 1, 240))
+    long = F.coalesce(filled(p["intro"]), F.substring(p["body"], 1, 1000))
+    pub = F.struct(*[p[c].alias(c) for c in ("title", "subtitle", "intro", "body")], jsonx.publication_markdown(p, jsonx.publication_sources(F.col("__obj"))).alias("markdown"), short.alias("summary_short"), long.alias("summary_long"))
+    return df.withColumn("__pub", pub).drop("__p")
+
+
 def publications(responses: DataFrame) -> DataFrame:
     """responses (job_id, response, meeting_name, committee) -> title, subtitle, intro, body, markdown, and summaries."""
-    df = responses.withColumn("obj", jsonx.response_object(F.col("response")))
-    df = df.withColumn("p", jsonx.publication_parts(F.col("obj"), F.col("meeting_name"), F.col("committee"))).withColumn("s", jsonx.publication_sources(F.col("obj")))
-    short = F.coalesce(filled(F.col("p.subtitle")), F.substring("p.intro", 1, 240))
-    long = F.coalesce(filled(F.col("p.intro")), F.substring("p.body", 1, 1000))
-    return df.select("job_id", "p.title", "p.subtitle", "p.intro", "p.body", jsonx.publication_markdown(F.col("p"), F.col("s")).alias("markdown"), short.alias("summary_short"), long.alias("summary_long"))
+    return with_publication(responses).select("job_id", "__pub.*")
 
 
 def workflow_outputs(jobs: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ PAYLOAD = ("session_id", "title", "document_type", "agenda_item", "url", "local_
 
 
 def documents_for_index(documents: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Documents with date and committee of their session, where it is known, in the order of their ids."""
+    """Documents with date and committee of their session, where it is known."""
     own = documents.drop("date", "committee", "session_path")
-    return own.join(sessions.select("session_id", "date", "committee", "session_path"), "session_id", "left").orderBy("id")
+    return own.join(sessions.select("session_id", "date", "committee", "session_path"), "session_id", "left")
 
 
 def payloads(documents: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
@@ -33,11 +33,15 @@ def build(documents: DataFrame, vectors: DataFrame, vectorize, limit: int | None
     """The vectors (key and others) after a build: what lacks a vector gets one by vectorize(DataFrame) -> DataFrame.
 
     With a limit only the first so many by key are taken and nothing is deleted; a full build drops the vectors whose
-    documents are gone. vectorize runs where the rows are, in Arrow batches of the session's size.
+    documents are gone. Of documents that share a key the last by their other columns counts. vectorize runs where the
+    rows are, in Arrow batches of the session's size, and sees each new document once: what it gives has keys that the
+    kept vectors lack, so it is only added to them.
     """
-    new = vectorize(index.missing(documents, vectors, key, limit))
+    rest = [c for c in documents.columns if c != key]
+    one = documents.groupBy(key).agg(F.max(F.struct(*rest)).alias("__r")).select(key, "__r.*").select(*documents.columns) if rest else documents.distinct()
+    new = vectorize(index.missing(one, vectors, key, limit))
     kept = vectors if limit is not None else vectors.join(documents.select(key), key, "left_semi")
-    return index.upsert(kept, new, key)
+    return kept.unionByName(new.select(*[c for c in vectors.columns if c in new.columns]), allowMissingColumns=True)
 
 
 def delete(vectors: DataFrame, keys: DataFrame, key: str = "id") -> DataFrame:

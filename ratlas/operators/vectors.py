@@ -83,7 +83,7 @@ def sparse_vectors(docs: DataFrame, key: str = "id", text: str = "text") -> Data
     df = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("n", F.size("t"))
     terms = df.select(key, "n", F.explode("t").alias("term")).groupBy(key, "n", "term").count()
     w = F.col("count") * (K1 + 1) / (F.col("count") + K1 * (1 - B + B * F.col("n") / MEAN_LENGTH))
-    pairs = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("i"), w.cast("float").alias("v"))))
+    pairs = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("i"), w.alias("v"))))
     return terms.groupBy(key).agg(pairs.alias("p")).select(key, F.struct(F.col("p.i").alias("indices"), F.col("p.v").alias("values")).alias("sparse"))
 
 

@@ -171,10 +171,22 @@ def publication_slugs(spark, sf_dir):
     return artifacts.slugs(_jobs(spark, sf_dir))
 
 
-@query("""SELECT o_orderkey::VARCHAR AS job_id, (CASE WHEN o_orderkey % 3 = 0 THEN 6 ELSE 7 END)::BIGINT AS files, 'job_' || o_orderkey || '-tops-Oe-1-Oe-2-modell.article.md' AS first, 'latest.md' AS last FROM orders""")
+@query("""WITH o AS (SELECT *, o_orderkey % 4 AS m, coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') END, '1998-01-02') AS day,
+  CASE WHEN o_orderkey % 3 = 0 THEN '["Fehler"]' END AS err FROM orders),
+a AS (SELECT *, CASE m WHEN 0 THEN 'no json' WHEN 1 THEN '{"topic": "T' || o_orderkey || '", "open_questions": ["a", "b"], "contradictions": "c"}' WHEN 2 THEN '```json' || chr(10) || '{"title": "Titel", "missing_information": "m", "source_notes": []}' || chr(10) || '```' ELSE '{"open_questions": null, "source_notes": ["x"]}' END AS answer,
+  list_filter([CASE m WHEN 1 THEN 'c' WHEN 3 THEN 'x' END, CASE WHEN o_orderkey % 3 = 0 THEN 'Fehler' END], lambda z: z IS NOT NULL) AS risks FROM o)
+SELECT o_orderkey::VARCHAR AS job_id, (CASE WHEN o_orderkey % 3 = 0 THEN 6 ELSE 7 END)::BIGINT AS files, 'job_' || o_orderkey || '-tops-Oe-1-Oe-2-modell.article.md' AS first, 'latest.md' AS last,
+  '# Kontext' || CASE WHEN m = 0 THEN chr(10) || chr(10) || '## KI-Analyse' || chr(10) || chr(10) || 'no json' || chr(10) ELSE '' END AS article, true AS same_latest, answer, 'Frage' AS prompt,
+  '{"job_id":"' || o_orderkey || '","topic":{"title":"' || CASE m WHEN 1 THEN 'T' || o_orderkey WHEN 2 THEN 'Titel' ELSE o_orderpriority END || '"},"open_questions":' || CASE m WHEN 1 THEN '["a","b"]' WHEN 2 THEN '["m"]' ELSE '[]' END || ',"risks_or_uncertainties":[' || coalesce(array_to_string(list_transform(risks, lambda z: '"' || z || '"'), ','), '') || ']}' AS structured,
+  CASE WHEN o_orderkey % 3 <> 0 THEN substr(day || '-' || CASE WHEN m = 2 THEN 'titel' ELSE trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '-') END, 1, 30) END AS slug FROM a""")
 def artifact_files(spark, sf_dir):
     docs = t.documents(spark, sf_dir).withColumn("job_id", F.col("session_id")).withColumn("source_available", F.col("local_path") != "")
-    return artifacts.fan_out(_jobs(spark, sf_dir), docs).groupBy("job_id").agg(F.count("*").alias("files"), F.min("name").alias("first"), F.max("name").alias("last"))
+    of = lambda end: F.max(F.when(F.endswith("name", F.lit(end)), F.col("content")))
+    df = artifacts.fan_out(_jobs(spark, sf_dir), docs).groupBy("job_id").agg(
+        F.count("*").alias("files"), F.min("name").alias("first"), F.max("name").alias("last"), of(".article.md").alias("article"), (of("latest.md") == of(".article.md")).alias("same_latest"),
+        F.get_json_object(of(".ki_response.json"), "$.response").alias("answer"), of(".prompt.txt").alias("prompt"), of(".structured.json").alias("structured"), F.get_json_object(of(".publication.json"), "$.slug").alias("slug"),
+    )
+    return df
 
 
 @query("SELECT l_orderkey AS job_id, l_linenumber::INT AS at, max(l_returnflag) AS status FROM lineitem JOIN (SELECT l_orderkey, max(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1) USING (l_orderkey, l_linenumber) GROUP BY 1, 2")

@@ -118,11 +118,6 @@ def missing_left_anti(spark, sf_dir):
     return index.missing(load(spark, sf_dir, "documents").select("doc_id", "lang"), load(spark, sf_dir, "labels"), "doc_id")
 
 
-@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def missing_left_anti_all(spark, sf_dir):
-    return index.missing(load(spark, sf_dir, "documents").select("doc_id", "lang"), load(spark, sf_dir, "labels"), "doc_id")
-
-
 @query("SELECT DISTINCT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang <> 'en')")
 def orphans(spark, sf_dir):
     return index.orphans(load(spark, sf_dir, "documents").where("lang <> 'en'").select("doc_id"), load(spark, sf_dir, "labels"), "doc_id")
@@ -193,11 +188,6 @@ def german_dates(spark, sf_dir):
     return load(spark, sf_dir, "orders").select("o_orderkey", dates.german(raw).alias("shown"))
 
 
-@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN '2026' || strftime(o_orderdate, '-%m-%d') WHEN 3 THEN CASE WHEN day(o_orderdate) <= 28 THEN '2026-02-' || strftime(o_orderdate, '%d') END END AS day FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'")
-def day_value_parse(spark, sf_dir):
-    return _day_values(load(spark, sf_dir, "orders").where(F.date_format("o_orderdate", "MM-dd") != "02-29"))
-
-
 def _day_values(df: DataFrame) -> DataFrame:
     d, m = F.col("o_orderdate"), F.col("o_orderkey") % 5
     raw = F.when(m == 0, F.concat(F.lit("Mi, "), F.date_format(d, "dd.MM.yyyy"))).when(m == 1, F.concat(F.date_format(d, "d.M."), F.date_format(d, "yyyy"))).when(m == 2, F.concat(F.lit("Fr.,  "), F.date_format(d, "dd.MM."))).when(m == 3, F.date_format(d, "d.")).otherwise("31.02.2026")
@@ -205,7 +195,7 @@ def _day_values(df: DataFrame) -> DataFrame:
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN CASE WHEN strftime(o_orderdate, '%m-%d') <> '02-29' THEN '2026' || strftime(o_orderdate, '-%m-%d') END WHEN 3 THEN CASE WHEN day(o_orderdate) <= 28 THEN '2026-02-' || strftime(o_orderdate, '%d') END END AS day FROM orders")
-def day_value_parse_all(spark, sf_dir):
+def day_value_parse(spark, sf_dir):
     return _day_values(load(spark, sf_dir, "orders"))
 
 
@@ -220,32 +210,14 @@ def url_session_id(spark, sf_dir):
 _BODY = "regexp_replace(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}]+', ' ', 'g'), '^ | $', '', 'g')"
 
 
-@query(f"WITH b AS (SELECT doc_id, length(substr({_BODY}, 1, 40000)) AS n FROM documents) SELECT doc_id, n::BIGINT AS chars, CASE WHEN n = 0 THEN 'empty_text' WHEN n < 80 THEN 'partial' ELSE 'ok' END AS status, CASE WHEN n = 0 THEN 'failed' WHEN n < 80 THEN 'low' WHEN n < 500 THEN 'medium' ELSE 'high' END AS quality FROM b")
-def text_quality(spark, sf_dir):
-    q = load(spark, sf_dir, "documents").select("doc_id", text.text_quality(F.col("text"), 40_000, F.lit(False)).alias("q"))
-    return q.select("doc_id", F.col("q.chars").cast("long").alias("chars"), "q.status", "q.quality")
-
-
 @query(f"WITH b AS (SELECT doc_id, length({_BODY}) AS n FROM documents) SELECT doc_id, n::BIGINT AS chars, CASE WHEN n = 0 THEN 'empty_text' WHEN n < 80 THEN 'partial' ELSE 'ok' END AS status, CASE WHEN n = 0 THEN 'failed' WHEN n < 80 THEN 'low' WHEN n < 500 THEN 'medium' ELSE 'high' END AS quality FROM b")
-def text_quality_whole(spark, sf_dir):
+def text_quality(spark, sf_dir):
     q = load(spark, sf_dir, "documents").select("doc_id", text.text_quality(F.col("text"), 2**31 - 1, F.lit(False)).alias("q"))
     return q.select("doc_id", F.col("q.chars").cast("long").alias("chars"), "q.status", "q.quality")
 
 
-def _council_text() -> F.Column:
-    line = F.substring(F.regexp_replace("text", r"[^a-z ]+", " "), 1, 60)
-    return F.concat(F.lit("Beschlussvorschlag: "), line, F.lit("\nBegründung: nein\nBegruendung: weil\n\n "), F.col("source"), F.lit("\nFinanzielle  Auswirkungen: keine"))
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'ok' ELSE 'unsupported_document_type' END AS status, ['high', 'medium', 'failed'][doc_id % 3 + 1] AS quality, ['begruendung,beschlusstext,finanzbezug', 'begruendung,beschlusstext', ''][doc_id % 3 + 1] AS sections, CASE doc_id % 3 WHEN 0 THEN 'weil' || chr(10) || ' ' || source WHEN 1 THEN 'weil' || chr(10) || ' ' || source || chr(10) || 'Finanzielle Auswirkungen: keine' END AS begruendung FROM documents")
-def labelled_sections(spark, sf_dir):
-    c = text.parse_content(F.when(F.col("doc_id") % 3 == 0, "Beschlussvorlage").when(F.col("doc_id") % 3 == 1, "protokoll").otherwise("brief"), _council_text(), F.col("source"))
-    df = load(spark, sf_dir, "documents").select("doc_id", c.alias("c"))
-    return df.select("doc_id", "c.status", "c.quality", F.array_join("c.sections", ",").alias("sections"), F.try_element_at("c.fields", F.lit("begruendung")).alias("begruendung"))
-
-
 @query()
-def labelled_sections_whole(spark, sf_dir):
+def labelled_sections(spark, sf_dir):
     body = F.concat(F.lit("Beschlussvorschlag: "), text.as_text(F.col("text")), F.lit("\nBegruendung: "), text.as_text(F.col("text")))
     c = text.parse_content(F.when(F.col("doc_id") % 3 == 0, "Beschlussvorlage").when(F.col("doc_id") % 3 == 1, "protokoll").otherwise("brief"), body, F.col("source"))
     df = load(spark, sf_dir, "documents").select("doc_id", c.alias("c"))
@@ -254,11 +226,21 @@ def labelled_sections_whole(spark, sf_dir):
     return df.select("doc_id", "c.status", "c.quality", F.array_join("c.sections", ",").alias("sections"), *own)
 
 
-@query("SELECT doc_id, 3 AS headings, 'Beschlussvorschlag|Begruendung|Anlagen' AS names FROM documents")
+_HEADED = "'Beschlussvorschlag: ' || {x} || ' BEGRUENDUNG : ' || {x} || ' Anlagen: keine'"
+_HEADS = f"'(?is)(?:{'|'.join(text.HEADINGS)})\\s*:'"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {_HEADED.format(x="coalesce(text, '')")} AS t FROM documents),
+s AS (SELECT doc_id, t, regexp_extract_all(t, {_HEADS}) AS h, regexp_split_to_array(t, {_HEADS}) AS g FROM d),
+e AS (SELECT doc_id, t, h, unnest(generate_series(1, len(h))) AS i, g FROM s),
+p AS (SELECT doc_id, i, h[i] AS head, substr(t, list_sum(list_transform(g[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(h[:i - 1], lambda x: length(x))), 0)::BIGINT + 1, {text.ANCHOR_CHARS}) AS a FROM e),
+q AS (SELECT doc_id, i, trim(regexp_replace(head, '\\s*:$', '')) AS heading, regexp_replace(regexp_replace(a, '[\\s\\p{{Z}}]+', ' ', 'g'), '^ | $', '', 'g') AS anchor FROM p)
+SELECT doc_id, count(*)::BIGINT AS headings, string_agg(heading, '|' ORDER BY i) AS names, sha256(string_agg(anchor, '|' ORDER BY i)) AS anchors_sha256 FROM q GROUP BY doc_id""")
 def section_headings(spark, sf_dir):
-    body = F.concat(F.lit("Beschlussvorschlag: a. Begruendung : "), F.regexp_replace("text", ":", ""), F.lit(" Anlagen: keine"))
+    x = text.as_text(F.col("text"))
+    body = F.concat(F.lit("Beschlussvorschlag: "), x, F.lit(" BEGRUENDUNG : "), x, F.lit(" Anlagen: keine"))
     df = load(spark, sf_dir, "documents").select("doc_id", text.section_headings(body).alias("h"))
-    return df.select("doc_id", F.size("h").alias("headings"), F.array_join("h.heading", "|").alias("names"))
+    return df.select("doc_id", F.size("h").cast("long").alias("headings"), F.array_join("h.heading", "|").alias("names"), F.sha2(F.array_join("h.anchor_text", "|"), 256).alias("anchors_sha256"))
 
 
 @query("WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\">[^<]*</a>', 1)) AS href FROM pages) SELECT page_id, replace(href, '&amp;', '&') AS href, count(*) AS links FROM l GROUP BY ALL")
@@ -444,4 +426,4 @@ def pdf_extraction(spark, sf_dir):
     return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "extraction.status", "extraction.text")
 
 
-from ratlas.plans import more_queries, source_queries  # noqa: E402, F401  (they register their queries)
+from ratlas.plans import index_queries, more_queries, source_queries  # noqa: E402, F401  (they register their queries)

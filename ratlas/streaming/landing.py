@@ -1,31 +1,26 @@
-"""The index as a stream over a landing table: each micro-batch is upserted once."""
+"""The index as a stream over a landing table: each micro-batch is one commit of a keyed table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ratlas.operators.index import upsert
-from ratlas.sources.folders import read_or_empty
+from ratlas.sources.keyed import KeyedTable
 
 
-def upsert_batch(target: str, schema: str, key: str, order: str):
-    """A function for foreachBatch: target/<batch> becomes the index with that batch. The number of the last batch that
-    was written is the name of its folder, so a batch that runs again after a failure finds the state before it. States
-    before that one are deleted: two are kept at most."""
+def upsert_batch(table: KeyedTable, order: str, writer: str = "stream"):
+    """A function for foreachBatch: the last row of each key by order is committed. The batch's number is committed with
+    it, so a batch that runs again after a failure counts once; what is written follows the batch, not the index."""
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        base = read_or_empty(spark, f"{target}/{number - 1}", schema) if number else read_or_empty(spark, f"{target}/none", schema)
-        upsert(base, batch, key, order).write.mode("overwrite").parquet(f"{target}/{number}")
-        if number > 1:
-            old = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{number - 2}")
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        if not batch.isEmpty():
+            KeyedTable(batch.sparkSession, table.path, table.schema, table.key).upsert(batch, order, writer=writer, batch=number)
 
     return run
 
 
 def index_stream(spark: SparkSession, landing: str, schema: str, target: str, checkpoint: str, key: str = "session_id", order: str = "retrieved_at") -> StreamingQuery:
-    """Take what the landing folder holds and stop; schema must have key and order."""
+    """Take what the landing folder holds into the table at target, and stop; schema must have key and order."""
     rows = spark.readStream.schema(schema).parquet(landing)
-    return rows.writeStream.foreachBatch(upsert_batch(target, schema, key, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    put = upsert_batch(KeyedTable(spark, target, schema, key), order, checkpoint)
+    return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

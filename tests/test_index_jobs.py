@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratlas.operators import index, jobs, prompts, vectors
+from ratlas.sources.keyed import KeyedTable
 from ratlas.streaming import landing
 
 
@@ -108,4 +109,4 @@ def test_stream(spark, tmp_path):
     for batch in ([("1", "a", "t1"), ("2", "b", "t1")], [("2", "c", "t2")]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(land)
         landing.index_stream(spark, land, schema, target, check).awaitTermination()
-    assert rows(spark.read.parquet(f"{target}/1"), "session_id", "date") == [("1", "a"), ("2", "c")]
+    assert rows(KeyedTable(spark, target, schema, "session_id").read(), "session_id", "date") == [("1", "a"), ("2", "c")]

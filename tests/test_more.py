@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ratlas.functions import jsonx, text
 from ratlas.operators import artifacts, index, prompts, sessions, status, vector_index, vectors
 from ratlas.sources import pdf_text
-from ratlas.streaming import landing
 
 
 def one(spark, c):
@@ -45,14 +44,6 @@ def test_upsert_keeps_rows_without_order(spark):
     assert index.upsert(base, new, "id").count() == 3
 
 
-def test_stream_keeps_two_states(spark, tmp_path):
-    put = landing.upsert_batch(f"file://{tmp_path}/t", "id string, v string, at string", "id", "at")
-    for n in range(4):
-        put(spark.createDataFrame([(str(n % 2), f"v{n}", str(n))], "id string, v string, at string"), n)
-    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["2", "3"]
-    assert sorted((r.id, r.v) for r in spark.read.parquet(f"file://{tmp_path}/t/3").collect()) == [("0", "v2"), ("1", "v3")]
-
-
 def test_build_deletes_only_without_limit(spark):
     docs, old = spark.createDataFrame([(1,), (2,), (3,)], "id int"), spark.createDataFrame([(1, "old"), (9, "old")], "id int, made string")
     make = lambda df: df.withColumn("made", F.lit("new"))

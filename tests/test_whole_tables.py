@@ -16,19 +16,19 @@ def written(spark, folder, name, rows, schema):
 def test_missing_has_no_limit(spark, tmp_path):
     written(spark, tmp_path, "labels", [(i, 1, 0) for i in range(5)], "doc_id bigint, quality int, toxic int")
     folder = written(spark, tmp_path, "documents", [(i, "en") for i in range(75)], "doc_id bigint, lang string")
-    assert sorted(r.doc_id for r in QUERIES["missing_left_anti_all"](spark, folder).collect()) == list(range(5, 75))
+    assert sorted(r.doc_id for r in QUERIES["missing_left_anti"](spark, folder).collect()) == list(range(5, 75))
 
 
 def test_leap_days_are_null(spark, tmp_path):
     leap = datetime.datetime(1996, 2, 29)
     folder = written(spark, tmp_path, "orders", [(i, leap) for i in range(5)] + [(7, datetime.datetime(1996, 3, 1))], "o_orderkey bigint, o_orderdate timestamp")
-    got = {r.o_orderkey: r.day for r in QUERIES["day_value_parse_all"](spark, folder).collect()}
+    got = {r.o_orderkey: r.day for r in QUERIES["day_value_parse"](spark, folder).collect()}
     assert got == {0: "1996-02-29", 1: "1996-02-29", 2: None, 3: None, 4: None, 7: "2026-03-01"}
 
 
 def test_chars_of_whole_texts(spark, tmp_path):
     folder = written(spark, tmp_path, "documents", [(1, "ab " * 30_000), (2, None), (3, "x" * 40_001)], "doc_id bigint, text string")
-    got = {r.doc_id: (r.chars, r.status, r.quality) for r in QUERIES["text_quality_whole"](spark, folder).collect()}
+    got = {r.doc_id: (r.chars, r.status, r.quality) for r in QUERIES["text_quality"](spark, folder).collect()}
     assert got == {1: (89_999, "ok", "high"), 2: (0, "empty_text", "failed"), 3: (40_001, "ok", "high")}
     cut = text.text_quality(text.F.col("text"), 40_000, text.F.lit(False))
     assert {r.n for r in spark.createDataFrame([("ab " * 30_000,)], "text string").select(cut["chars"].alias("n")).collect()} == {40_000}
@@ -52,7 +52,7 @@ def test_sections_of_whole_texts(spark, tmp_path):
     texts = [long, long + "Anlagen: drei. " + long, "kurz", None, "", long + "ABSTIMMUNG - einstimmig " + long, "É Sachverhalt: " + long + " Zustaendigkeit: x", long.upper()]
     rows = [(3 * i + k, t, "s") for i, t in enumerate(texts) for k in range(3)]
     folder = written(spark, tmp_path, "documents", rows, "doc_id bigint, text string, source string")
-    got = {r.doc_id: r for r in QUERIES["labelled_sections_whole"](spark, folder).collect()}
+    got = {r.doc_id: r for r in QUERIES["labelled_sections"](spark, folder).collect()}
     assert len(got) == len(rows)
     for i, t, _ in rows:
         r, names = got[i], text.SECTIONS.get(("vorlage", "protokoll", None)[i % 3], {})
