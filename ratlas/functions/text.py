@@ -53,9 +53,13 @@ def filled(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+#: Fixed value: the characters that Unicode counts as white space.
+WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def collapse(c: Column) -> Column:
@@ -65,8 +69,14 @@ def collapse(c: Column) -> Column:
 
 def normalize_lines(c: Column) -> Column:
     """Line ends as LF, blanks and tabs as one blank, empty lines gone, stripped."""
-    c = F.regexp_replace(c, r"\r\n?", "\n")
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), r"\n{2,}", "\n"))
+    for signs, pattern, to in ((("\r",), r"\r\n?", "\n"), (("  ", "\t"), r"[ \t]+", " "), (("\n\n",), r"\n{2,}", "\n")):
+        c = let(c, _replaced(signs, pattern, to))
+    return strip(c)
+
+
+def _replaced(signs: Sequence[str], pattern: str, to: str) -> Callable[[Column], Column]:
+    """Replaces a pattern where a text holds one of the signs without which it can't match; most texts hold none."""
+    return lambda x: F.when(contains_any(x, signs), F.regexp_replace(x, pattern, to)).otherwise(x)
 
 
 def write_out_umlauts(c: Column) -> Column:
@@ -172,21 +182,33 @@ def document_type(title: Column, category: Column, content_type: Column, url: Co
     return out.otherwise(OTHER_TYPE)
 
 
+def any_of(names: Sequence[str]) -> str:
+    """A pattern of names as whole words. Their first letters are asked for before anything else: most places have none."""
+    first = {x for n in names for x in (n[0].upper(), n[0].lower())}
+    first |= {y for x, y in (("s", "\u017f"), ("k", "\u212a")) if x in first}  # what else folds to these letters
+    return rf"(?-iu:(?=[{''.join(sorted(first))}]))\b(?:{'|'.join(names)})\b"
+
+
+def _between(text: Column, labels: Sequence[str], stops: Sequence[str]) -> Column:
+    rest = F.regexp_extract(text, rf"(?isu){any_of(labels)}\s*[:\-]?\s*(.*)", 1)
+    return F.get(F.split(rest, f"(?iu){any_of(stops)}", 2), F.lit(0))
+
+
 def labelled_section(text: Column, labels: Sequence[str], stops: Sequence[str]) -> Column:
     """What follows the first label, up to the first label that ends it; null if there is no label or nothing follows."""
-    pattern = rf"(?isu)\b(?:{'|'.join(labels)})\b\s*[:\-]?\s*(.*?)(?=(?:\b(?:{'|'.join(stops)})\b\s*[:\-]?)|$)"
-    return filled(normalize_lines(F.regexp_extract(text, pattern, 1)))
+    return filled(normalize_lines(_between(text, labels, stops)))
 
 
 def section_list(text: Column, kind: str) -> Column:
-    """The sections that a document of this type has, as an array of (name, value) without those that are missing."""
-    found = F.array(*[F.struct(F.lit(name).alias("name"), labelled_section(text, labels, stops).alias("value")) for name, (labels, stops) in SECTIONS[kind].items()])
-    return F.filter(found, lambda x: x["value"].isNotNull())
+    """The sections that a document of this type has, as an array of (name, value) without those that are missing; the
+    text's lines are in order already."""
+    found = F.array(*[F.struct(F.lit(name).alias("name"), strip(_between(text, labels, stops)).alias("value")) for name, (labels, stops) in SECTIONS[kind].items()])
+    return F.filter(found, lambda x: x["value"] != "")  # nullif would take each section out twice
 
 
 def section_fields(text: Column, kind: str) -> Column:
     """A map of the fields that a document of this type has."""
-    return let(section_list(text, kind), F.map_from_entries)
+    return let(section_list(normalize_lines(text), kind), F.map_from_entries)
 
 
 def parse_content(kind: Column, text: Column, title: Column) -> Column:
@@ -223,7 +245,7 @@ def section_headings(text: Column) -> Column:
     What follows a heading is matched without being passed over, so that near headings have it too; a text is searched
     twice, however many headings it has.
     """
-    pattern = F.lit(rf"(?is)((?:{'|'.join(HEADINGS)})\s*:)(?=(.{{0,{ANCHOR_CHARS}}}))")
+    pattern = F.lit(rf"(?is)(?=[{''.join(sorted({h[0] for h in HEADINGS}))}])((?:{'|'.join(HEADINGS)})\s*:)(?=(.{{0,{ANCHOR_CHARS}}}))")
     hits = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("head"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("tail"))
     anchor = lambda x: collapse(F.substring(F.concat(x["head"], x["tail"]), 1, ANCHOR_CHARS))
     return F.transform(hits, lambda x: F.struct(F.btrim(F.regexp_replace(x["head"], r"\s*:$", "")).alias("heading"), anchor(x).alias("anchor_text")))

@@ -1,13 +1,15 @@
-"""Substring search through postings of trigrams: candidates by intersection, then the exact condition.
+"""Substring search through postings of trigrams over distinct values: candidates by intersection, then the exact condition.
 
-A text that holds a term holds all runs of three letters of the term. The postings of the rarest runs are intersected, and
-only documents that are left are looked at. Terms of fewer than three letters have no runs and bound nothing.
+Many rows share few values, so runs of three letters are indexed for values, and values for the rows that hold them. A value
+that holds a term holds all runs of the term: the postings of the rarest runs are intersected, and the values that are left
+are looked at. Terms of fewer than three letters have no runs; all values, but no rows, are looked at for them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,11 +21,11 @@ from ratlas.operators import sessions as listing
 from ratlas.sources.shared import read_dealt, write_dealt
 
 #: Folders of a table, ids of a block, and runs of a term that are intersected.
-BUCKETS, BLOCK, MOST_RUNS = 64, 1024, 4
+BUCKETS, BLOCK, MOST_RUNS = 32, 1024, 4
 
 
-def bucket_of(gram: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(buckets)).cast("int")
+def bucket_of(name: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int")
 
 
 def grams(texts: Column) -> Column:
@@ -43,54 +45,78 @@ def literals(pattern: str) -> list[str]:
 
 def _blocks(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # a run's ids may start a new block with each batch
-            gram = batch.column("gram").to_numpy(zero_copy_only=False)
-            if not len(gram):
+        for batch in batches:  # a name's ids may start a new block with each batch
+            if not batch.num_rows:
                 continue
-            new = np.concatenate([[True], gram[1:] != gram[:-1]])
-            first = np.flatnonzero(new)
-            inside = np.arange(len(gram)) - np.repeat(first, np.diff(np.concatenate([first, [len(gram)]])))
+            name = batch.column("name").to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            inside = np.arange(len(name)) - np.repeat(first, np.diff(np.concatenate([first, [len(name)]])))
             start = np.flatnonzero(inside % size == 0)
-            offsets = np.concatenate([start, [len(gram)]]).astype(np.int32)
-            ids = batch.column("id").take(pa.array(np.arange(len(gram))))
-            yield pa.RecordBatch.from_arrays([pa.array(gram[start], pa.string()), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["gram", "n", "ids"])
+            offsets = np.concatenate([start, [len(name)]]).astype(np.int32)
+            ids = batch.column("id").take(pa.array(np.arange(len(name))))
+            yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(start)), pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets), ids)], names=["name", "n", "ids"])
 
     return run
 
 
-def build(rows: DataFrame, columns: Sequence[str], path: str, key: str = "id", buckets: int = BUCKETS, block: int = BLOCK, mode: str = "error") -> None:
-    """Postings of rows over columns as a table of blocks: bucket (a folder each), gram, n, ids. They are dealt by range of
-    gram and key, so a frequent run spreads over many tasks. Mode 'append' adds further rows."""
-    kind = dict(rows.dtypes)[key]
-    each = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(grams(F.array(*[F.col(c).cast("string") for c in columns]))).alias("gram"))
-    each = each.withColumn("bucket", bucket_of(F.col("gram"), buckets))
-    dealt = each.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram", "id")
-    blocks = dealt.select("gram", "id").mapInArrow(_blocks(block), f"gram string, n int, ids array<{kind}>")
-    write_dealt(blocks.withColumn("bucket", bucket_of(F.col("gram"), buckets)), path, "bucket", mode)
-
-
-def candidates(spark: SparkSession, path: str, terms: Sequence[str], buckets: int = BUCKETS, most_runs: int = MOST_RUNS) -> DataFrame | None:
-    """id of the rows that hold all runs that are asked for, or None if no term has any.
-
-    How frequent runs are is read from the blocks' numbers alone; of each term the rarest most_runs are intersected. What
-    comes to the driver is one number a run of the question.
-    """
-    per = [r for t in dict.fromkeys(t.lower() for t in terms) if (r := runs_of(t))]
+def _post(pairs: DataFrame, path: str, buckets: int, block: int, mode: str) -> None:
+    """Pairs (name, id) as a table of blocks: bucket (a folder each), name, n, ids. They are dealt by range of both, so the
+    ids of a frequent name spread over many tasks."""
+    kinds = dict(pairs.dtypes)
+    pairs = pairs.withColumn("bucket", bucket_of(F.col("name"), buckets))
+    dealt = pairs.repartitionByRange("bucket", "name", "id").sortWithinPartitions("bucket", "name", "id").select("name", "id")
+    blocks = dealt.mapInArrow(_blocks(block), f"name {kinds['name']}, n int, ids array<{kinds['id']}>")
+    write_dealt(blocks.withColumn("bucket", bucket_of(F.col("name"), buckets)), path, "bucket", mode)
+
+
+def _of(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
+    """The blocks of names (name), by a join that the buckets are part of, so that only their folders are read."""
+    return read_dealt(spark, path).join(names.withColumn("bucket", bucket_of(F.col("name"))), ["bucket", "name"])
+
+
+def build(rows: DataFrame, columns: Sequence[str], path: str, key: str = "id", block: int = BLOCK, mode: str = "error") -> None:
+    """Three tables for rows over columns: holders (of each value, by its hash, the keys of the rows that have it), values
+    (hash and value in lower case), and grams (of each run of three letters, the hashes of the values that have it). Mode
+    'append' adds further rows. Rows without key are left out; two values of one hash only make more candidates."""
+    texts = F.array_distinct(F.filter(F.transform(F.array(*[F.lower(F.col(c).cast("string")) for c in columns]), as_text), lambda t: t != ""))
+    each = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.explode(texts).alias("value"))
+    hashed = F.xxhash64("value")
+    _post(each.select(hashed.alias("name"), "id"), f"{path}/holders", BUCKETS, block, mode)
+    values = each.select("value").distinct().select(hashed.alias("name"), "value").withColumn("bucket", bucket_of(F.col("name")))
+    write_dealt(values.repartitionByRange("bucket", "name"), f"{path}/values", "bucket", mode)
+    known = read_dealt(rows.sparkSession, f"{path}/values")
+    _post(known.select(F.explode(grams(F.array("value"))).alias("name"), F.col("name").alias("id")), f"{path}/grams", BUCKETS, block, mode)
+
+
+def values_with(spark: SparkSession, path: str, term: str, most_runs: int = MOST_RUNS) -> DataFrame:
+    """name (hash) of the values that hold a term (in lower case). How frequent its runs are is read from the blocks'
+    numbers alone; the rarest most_runs are intersected. What comes to the driver is one number a run of the term."""
+    known = read_dealt(spark, f"{path}/values")
+    if asked := runs_of(term):
+        where = {r["g"]: r["b"] for r in spark.range(1).select(F.explode(F.array(*map(F.lit, asked))).alias("g")).withColumn("b", bucket_of(F.col("g"))).collect()}
+        of = lambda chosen: read_dealt(spark, f"{path}/grams").where(F.col("bucket").isin(*{where[g] for g in chosen}) & F.col("name").isin(*chosen))
+        held = {r["name"]: r["n"] for r in of(asked).groupBy("name").agg(F.sum("n").alias("n")).collect()}
+        chosen = sorted(asked, key=lambda g: (held.get(g, 0), g))[:most_runs]
+        ids = of(chosen).select(F.col("name").alias("gram"), F.explode("ids").alias("name"))
+        few = ids.groupBy("name").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(chosen)).select("name")
+        known = known.join(few.withColumn("bucket", bucket_of(F.col("name"))), ["bucket", "name"], "left_semi")
+    return known.where(F.contains("value", F.lit(term))).select("name").distinct()
+
+
+def candidates(spark: SparkSession, path: str, terms: Sequence[str]) -> DataFrame | None:
+    """id of the rows that hold every term in one of their values, or None without terms."""
+    per = [values_with(spark, path, t).withColumn("term", F.lit(i)) for i, t in enumerate(dict.fromkeys(t.lower() for t in terms if t))]
     if not per:
         return None
-    asked = sorted({g for r in per for g in r})
-    where = {r["g"]: r["b"] for r in spark.range(1).select(F.explode(F.array(*map(F.lit, asked))).alias("g")).withColumn("b", bucket_of(F.col("g"), buckets)).collect()}
-    of = lambda chosen: read_dealt(spark, path).where(F.col("bucket").isin(*{where[g] for g in chosen}) & F.col("gram").isin(*chosen))
-    held = {r["gram"]: r["n"] for r in of(asked).groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-    chosen = sorted({g for r in per for g in sorted(r, key=lambda g: (held.get(g, 0), g))[:most_runs]})
-    ids = of(chosen).select("gram", F.explode("ids").alias("id"))
-    return ids.groupBy("id").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(chosen)).select("id")
-
-
-def narrowed(rows: DataFrame, path: str, terms: Sequence[str], key: str = "id", buckets: int = BUCKETS) -> DataFrame:
-    """The rows that may hold all terms, by a semi-join with the candidates; all rows if no term bounds anything. What
-    follows must still apply its condition."""
-    found = candidates(rows.sparkSession, path, terms, buckets)
+    chosen = reduce(DataFrame.unionByName, per)
+    held = _of(spark, f"{path}/holders", chosen).select("term", F.explode("ids").alias("id"))
+    return held.groupBy("id").agg(F.countDistinct("term").alias("n")).where(F.col("n") == len(per)).select("id")
+
+
+def narrowed(rows: DataFrame, path: str, terms: Sequence[str], key: str = "id") -> DataFrame:
+    """The rows that may hold all terms, by a semi-join with the candidates; all rows without terms. What follows must
+    still apply its condition."""
+    found = candidates(rows.sparkSession, path, terms)
     return rows if found is None else rows.join(found.withColumnRenamed("id", key), key, "left_semi")
 
 

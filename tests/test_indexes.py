@@ -94,9 +94,8 @@ def test_trigrams_equal_the_scan(spark, tmp_path):
     for q in ("rathaus", "HAUS öpnv", "ärger wind", "%_", "a", "ra", "2025-03 rat", "gibtsnicht", "", "straße 12", "windwind"):
         got = trigrams.search(docs, own, q, path)
         assert rows(got) == rows(sessions.search(docs, own, q)), q
-    assert trigrams.candidates(spark, path, ["ra", "%"]) is None
-    few = trigrams.candidates(spark, path, ["windwind"])
-    assert 0 < few.count() < 300
+    assert trigrams.candidates(spark, path, [""]) is None
+    assert 0 < trigrams.candidates(spark, path, ["windwind"]).count() < 300
     trigrams.build(own, ("meeting_name", "committee"), f"{path}s", "session_id", block=8)
     for q in ("rat", "haus%wind", "wi_d", "", "%", "straße"):
         f = sessions.Filters(search=q)
