@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ratlas.operators.vectors import sparse_query, sparse_vectors, top
 from ratlas.sources.shared import read_dealt, write_dealt
 
-#: Folders of a table, and postings of a block.
-BUCKETS, BLOCK = 64, 256
+#: Folders of a table, postings of a block, and postings that a task gathers at a time.
+BUCKETS, BLOCK, HELD = 64, 256, 1 << 20
 #: Slack of comparisons with a bound: sums in another order differ in their last bits.
 SLACK = 1e-9
 
@@ -28,31 +28,57 @@ def bucket_of(term: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(term, F.lit(buckets)).cast("int")
 
 
-def _blocks(size: int):
+def _as_blocks(term: np.ndarray, ids: pa.Array, weight: np.ndarray, size: int) -> pa.RecordBatch:
+    """Postings in the order of their terms, cut into blocks of size at most."""
+    first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+    inside = np.arange(len(term)) - np.repeat(first, np.diff(np.concatenate([first, [len(term)]])))
+    start = np.flatnonzero(inside % size == 0)
+    offsets = pa.array(np.concatenate([start, [len(term)]]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (ids, pa.array(weight))]
+    return pa.RecordBatch.from_arrays([pa.array(term[start]), pa.array(np.maximum.reduceat(weight, start)), pa.array(np.diff(offsets.to_numpy()).astype(np.int32)), *lists], names=["term", "most", "n", "ids", "weights"])
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of all lists in a row, and the size of each."""
+    return lists.flatten(), np.diff(lists.offsets.to_numpy())
+
+
+def _gather(size: int):
+    """Sparse vectors -> blocks of the postings of HELD vectors' terms at a time, each term's by falling weight."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # rows that may go on with the next batch's
-
-        def cut(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
-            term = table.column("term").to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
-            inside = np.arange(len(term)) - np.repeat(first, np.diff(np.concatenate([first, [len(term)]])))
-            start = np.flatnonzero(inside % size == 0)
-            full = len(start) if last else len(start) - 1  # the last block may grow
-            ends = np.concatenate([start[1:], [len(term)]]).astype(np.int32)
-            offsets = pa.array(np.concatenate([start[:full], ends[full - 1 : full]]).astype(np.int32) if full else np.zeros(1, np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, table.column(c).combine_chunks()) for c in ("id", "weight")]
-            weight = table.column("weight").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(term[start[:full]]), pa.array(weight[start[:full]]), pa.array(np.diff(offsets.to_numpy()).astype(np.int32)), *lists], names=["term", "most", "n", "ids", "weights"])
-            yield table.slice(int(start[full])) if not last else table.slice(len(term))
+        held: list[tuple] = []
+
+        def blocks() -> pa.RecordBatch:
+            term, weight, ids = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), pa.concat_arrays([x[2] for x in held])
+            held.clear()
+            order = np.lexsort((-weight, term))
+            return _as_blocks(term[order], ids.take(pa.array(order)), weight[order], size)
 
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([held, table]) if held is not None else table
-            if len(table):
-                out, held = cut(table, False)
-                yield out
-        if held is not None and len(held):
-            yield next(cut(held, True))
+            indices, counts = _flat(batch.column("indices"))
+            values, _ = _flat(batch.column("values"))
+            held.append((indices.to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False), batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))))
+            if sum(len(x[0]) for x in held) >= HELD:
+                yield blocks()
+        if sum(len(x[0]) for x in held):
+            yield blocks()
+
+    return run
+
+
+def _merge(size: int):
+    """Small blocks in the order of their terms and largest weights -> full blocks. Postings are put in order by weight for
+    as many rows as a batch has; between batches a term starts a new block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, counts = _flat(batch.column("ids"))
+                weight = _flat(batch.column("weights"))[0].to_numpy(zero_copy_only=False)
+                term = np.repeat(batch.column("term").to_numpy(), counts)
+                order = np.lexsort((-weight, term))
+                yield _as_blocks(term[order], ids.take(pa.array(order)), weight[order], size)
 
     return run
 
@@ -61,15 +87,17 @@ def write(sparse: DataFrame, path: str, key: str = "id", buckets: int = BUCKETS,
     """Postings of sparse vectors (key, sparse: struct of indices and values) as a table of blocks: bucket (a folder each),
     term, most (largest weight), n, ids, weights (in falling order).
 
-    Postings are dealt by range of term and weight, so a term of all documents spreads over many tasks, and each task cuts
-    its blocks as rows pass by. Mode 'append' adds blocks of further documents. Rows without key or vector have none.
+    Tasks gather the postings of their own vectors to blocks first, so that blocks travel and not postings. Blocks are
+    dealt by range of term and weight, so a term of all documents spreads over many tasks, which fill them up as rows pass
+    by. Mode 'append' adds blocks of further documents. Rows without key or vector have none.
     """
     kind = dict(sparse.dtypes)[key]
-    rows = sparse.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.inline(F.arrays_zip("sparse.indices", "sparse.values")).alias("term", "weight"))
-    rows = rows.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", F.col("weight").cast("double").alias("weight"), "id")
-    order = ["bucket", "term", F.col("weight").desc(), "id"]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = dealt.select("term", "weight", "id").mapInArrow(_blocks(block), f"term bigint, most double, n int, ids array<{kind}>, weights array<double>")
+    schema = f"term bigint, most double, n int, ids array<{kind}>, weights array<double>"
+    rows = sparse.where(F.col(key).isNotNull() & F.col("sparse").isNotNull()).select(F.col(key).alias("id"), "sparse.indices", F.col("sparse.values").cast("array<double>").alias("values"))
+    small = rows.mapInArrow(_gather(block), schema).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    order = ["bucket", "term", F.col("most").desc()]
+    dealt = small.repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = dealt.select("term", "ids", "weights").mapInArrow(_merge(block), schema)
     write_dealt(blocks.withColumn("bucket", bucket_of(F.col("term"), buckets)), path, "bucket", mode)
 
 

@@ -78,13 +78,29 @@ def term_scores(docs: DataFrame, query: Sequence[str], key: str = "id", text: st
     return df.select(key, F.explode(F.array(sum(parts[1:], parts[0]))).alias("score")).where("score > 0")
 
 
+def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashed words of each text -> its distinct hashes in order, and their weights."""
+    for batch in batches:
+        lists = batch.column(1)
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        size = np.diff(offsets)
+        row = np.repeat(np.arange(len(size)), size)
+        flat = flat[offsets[0] : offsets[-1]] if len(offsets) else flat
+        order = np.lexsort((flat, row))
+        flat, row = flat[order], row[order]
+        first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (row[1:] != row[:-1])])) if len(flat) else np.zeros(0, np.int64)
+        tf = np.diff(np.concatenate([first, [len(flat)]])).astype("f8")
+        rest = K1 * (1 - B + B * size[row[first]].astype("f8") / MEAN_LENGTH)
+        stops = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=len(size)))]).astype(np.int32)
+        pairs = [pa.ListArray.from_arrays(pa.array(stops), pa.array(x)) for x in (flat[first].astype(np.int64), tf * (K1 + 1) / (tf + rest))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(pairs, names=["indices", "values"])], names=[batch.schema.names[0], "sparse"])
+
+
 def sparse_vectors(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """key and the weights of a text's terms as sorted arrays of hashed indices and values."""
-    df = docs.select(key, tokens(F.col(text)).alias("t")).withColumn("n", F.size("t"))
-    terms = df.select(key, "n", F.explode("t").alias("term")).groupBy(key, "n", "term").count()
-    w = F.col("count") * (K1 + 1) / (F.col("count") + K1 * (1 - B + B * F.col("n") / MEAN_LENGTH))
-    pairs = F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("i"), w.alias("v"))))
-    return terms.groupBy(key).agg(pairs.alias("p")).select(key, F.struct(F.col("p.i").alias("indices"), F.col("p.v").alias("values")).alias("sparse"))
+    """key and the weights of a text's terms as sorted arrays of hashed indices and values; texts without terms have no row.
+    A text's words are counted where it lies, so nothing is shuffled."""
+    words = docs.select(key, F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("t")).where(F.size("t") > 0)
+    return words.mapInArrow(_weights, f"{key} {dict(docs.dtypes)[key]}, sparse struct<indices:array<bigint>,values:array<double>>")
 
 
 def ranked(scored: DataFrame, k: int, key: str = "id") -> DataFrame:

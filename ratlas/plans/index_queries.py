@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ratlas.functions import dates, urls
 from ratlas.operators import postings, sessions, trigrams, vectors
 from ratlas.operators.vector_cells import Cells
 from ratlas.plans import tables as t
-from ratlas.plans.queries import ORACLE, TERMS, TODAY, VECTOR, _texts, _vectors, query
-from ratlas.plans.tables import load
-from ratlas.sources import shared
+from ratlas.plans.queries import ORACLE, TERMS, TODAY, VECTOR, _portal_page, _texts, _vectors, query
+from ratlas.plans.tables import SESSIONS_SQL, load
+from ratlas.sources import named_files, shared, sqlite, table_functions
 from ratlas.sources.keyed import KeyedTable
 
 
@@ -92,3 +94,42 @@ def replace_children_committed(spark, sf_dir):
     refreshed = load(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_orderkey").alias("session_id"))
     table.apply(rows.where("session_id % 5 = 0 AND number <= 2").withColumn("status", F.lit("neu")), refreshed)
     return table.read()
+
+
+_STORED = "session_id string, date string, committee string, year int, place bigint"
+
+
+@query(f"WITH {SESSIONS_SQL} SELECT session_id, date, committee, year, NULL::BIGINT AS place FROM sessions WHERE committee LIKE '1-%' AND year >= 1995 AND session_id <> '7'")
+def sqlite_sessions(spark, sf_dir):
+    """Sessions written to a store of SQLite files and read back, with conditions that run inside the files and a column
+    that they lack."""
+    path = f"{shared.folder(spark, 'sqlite')}/index"
+    sqlite.write(t.sessions(spark, sf_dir).select("session_id", "date", "committee", "year"), path, "sessions")
+    out = sqlite.read(spark, path, "sessions", _STORED, 20_000)
+    none = [sqlite.read(spark, f"{path}/{x}", table, _STORED) for x, table in (("gone", "sessions"), ("", "gone"))]
+    return out.unionByName(none[0]).unionByName(none[1]).where("committee LIKE '1-%' AND year >= 1995 AND session_id <> '7'")
+
+
+@query("SELECT 'agenda/' || CASE WHEN s_suppkey % 10 = 0 THEN 'ten.' || row_number() OVER (PARTITION BY s_suppkey % 10 = 0 ORDER BY sha1(s_name || '|' || s_nationkey)) - 1 || '.txt' ELSE s_suppkey || '.txt' END AS name, sha1(s_name || '|' || s_nationkey) AS sha1 FROM supplier")
+def document_bytes(spark, sf_dir):
+    """Contents written as named files and read back; names that meet are numbered and none is replaced. Numbers follow the
+    commit, so here they are put in the order of the contents."""
+    root = shared.folder(spark, "files")
+    k = F.col("s_suppkey").cast("string")
+    name = F.concat(F.lit("agenda/"), F.when(F.col("s_suppkey") % 10 == 0, "ten").otherwise(k), F.lit(".txt"))
+    named_files.write(load(spark, sf_dir, "supplier").select(name.alias("name"), F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string")).alias("content")), root)
+    back = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", "(agenda/.*)$", 1).alias("name"), F.sha1("content").alias("sha1"))
+    ten = F.startswith("name", F.lit("agenda/ten"))
+    place = F.row_number().over(Window.partitionBy(ten).orderBy("sha1")) - 1
+    return back.where(~ten).unionByName(back.where(ten).withColumn("name", F.concat(F.lit("agenda/ten."), place.cast("string"), F.lit(".txt"))))
+
+
+@query(ORACLE["page_rows"])
+def page_rows_lateral(spark, sf_dir):
+    table_functions.register(spark)
+    pages = load(spark, sf_dir, "pages").select("page_id", _portal_page().alias("html"))
+    df = spark.sql("SELECT p.page_id, r.* FROM {pages} p, LATERAL month_rows(p.html, 2025, 10) r", pages=pages)
+    day = F.transform("day_texts", lambda x: dates.day_value(x, F.col("year"), F.col("month")))
+    url = urls.absolute("https://x.example/", F.col("href"))
+    df = df.withColumn("date", F.get(F.filter(day, lambda d: d.isNotNull()), F.lit(0)).cast("string")).where("date IS NOT NULL")
+    return df.select("page_id", urls.session_id(url).alias("session_id"), "committee", "meeting_name", "date", "start_time", "location")

@@ -38,7 +38,7 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def write_dealt(df: DataFrame, path: str, by: str, mode: str = "error") -> None:
     """A Parquet table with a folder for each value of a column, and its schema, so that it can be read without rows."""
-    df.write.mode(mode).partitionBy(by).parquet(path)
+    df.write.mode(mode).option("compression", "zstd").partitionBy(by).parquet(path)
     fs, where = path_of(df.sparkSession, f"{path}/_schema.json")  # readers of Parquet pass over such names
     out = fs.create(where, True)
     out.write(df.schema.json().encode())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ratlas.operators import index, postings, sessions, trigrams, vector_index, vectors
 from ratlas.operators.vector_cells import NO_CELL, Cells
+from ratlas.sources import named_files, sqlite, table_functions
 from ratlas.sources.keyed import Conflict, KeyedTable
 from ratlas.streaming import landing
 
@@ -209,3 +210,75 @@ def test_stream_follows_the_batch(spark, tmp_path):
     for n in (0, 1, 1, 2, 3, 3):  # batches that run again count once
         put(spark.createDataFrame([(str(n % 2), f"v{n}", str(n)), (str(n % 2), "alt", "")], schema), n)
     assert sorted(rows(table.read().select("id", "v"))) == [("0", "v2"), ("1", "v3")]
+
+
+def test_sparse_vectors_give_the_scores_of_texts(spark):
+    docs = spark.createDataFrame([(1, "Rat der rat stadt"), (2, None), (3, "; - a"), (4, "stadt " * 300)], "id bigint, text string")
+    got = {r.id: dict(zip(r.sparse.indices, r.sparse["values"], strict=True)) for r in vectors.sparse_vectors(docs).collect()}
+    assert sorted(got) == [1, 4]
+    for term in ("rat", "stadt", "der"):
+        h = spark.range(1).select(F.xxhash64(F.lit(term))).first()[0]
+        assert {r.id: r.score for r in vectors.term_scores(docs, [term]).collect()} == {i: x[h] for i, x in got.items() if h in x}
+
+
+def test_sqlite_store(spark, tmp_path):
+    schema = "k bigint, t string, d double, b boolean, x binary, i int"
+    rows_ = [(i, None if i % 7 == 0 else f"t{i % 5}ä%_", i / 4, i % 2 == 0, bytes([i % 256]), i) for i in range(500)] + [(None,) * 6]
+    df = spark.createDataFrame(rows_, schema).repartition(3)
+    path = f"file://{tmp_path}/store"
+    sqlite.write(df, path, "r")
+    got = sqlite.read(spark, path, "r", schema, rows=40)
+    key = lambda x: sorted(map(str, x))
+    assert key(rows(got)) == key(rows_) and len(list((tmp_path / "store").glob("*.sqlite"))) == 3
+    for where in ("k = 7", "k > 10 AND k <= 20", "t = 't1ä%_'", "t LIKE 't1%'", "t LIKE '%_' AND k < 9", "t IS NULL", "t IS NOT NULL AND b", "NOT b", "d >= 100.5", "k IN (1, 2, 999)", "k <=> NULL", "t <> 't2ä%_'", "NOT (t LIKE 't1%')", "contains(t, 'ä')", "endswith(t, '%_')", "i BETWEEN 3 AND 5 OR k = 8", "x = X'05'", "k % 50 = 3"):
+        assert key(rows(got.where(where))) == key(rows(df.where(where))), where
+    scan = plan(got.where("k = 7 AND t LIKE 't%'").select("t"))
+    assert "BatchScan ratlas_sqlite" in scan and "Filter (" not in scan  # all conditions run inside the files
+    assert "Filter (" in plan(got.where("k % 50 = 3"))
+    wider = sqlite.read(spark, path, "r", "k bigint, new string, t int")
+    assert wider.where("new IS NULL AND t IS NULL").count() == 501  # a column that is missing, and texts read as numbers
+    assert sqlite.read(spark, path, "none", schema).count() == sqlite.read(spark, f"{path}/none", "r", schema).count() == 0
+    (tmp_path / "store/broken.sqlite").write_bytes(b"no database" * 100)
+    assert sqlite.read(spark, path, "r", schema).count() == 501
+    with pytest.raises(Exception, match="FileExistsError"):
+        sqlite.write(df, path, "r")
+    sqlite.write(df.where("k < 3"), path, "r", "overwrite")
+    assert key(rows(sqlite.read(spark, path, "r", schema))) == key(rows_[:3]) and sorted(p.name for p in tmp_path.iterdir()) == ["store"]
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    @F.udf("string")
+    def dies(k):
+        if k == 57:
+            raise ValueError("broken row")
+        return str(k)
+
+    df = spark.range(100).repartition(4).select(F.concat(F.lit("a/"), F.col("id").cast("string"), F.lit(".txt")).alias("name"), dies("id").alias("content"))
+    for put in (lambda: named_files.write(df, f"file://{tmp_path}/f"), lambda: sqlite.write(df, f"file://{tmp_path}/s", "r")):
+        with pytest.raises(Exception, match="broken row"):
+            put()
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_named_files_never_replace(spark, tmp_path):
+    put = lambda *x: named_files.write(spark.createDataFrame(list(x), "name string, content binary"), f"file://{tmp_path}")
+    put(("a/b.tar.gz", b"1"), ("c", b"2"), (".x", None), ("a.b/c", b"3"))
+    put(("a/b.tar.gz", b"4"), ("c", b"5"), ("a.b/c", b"6"))
+    put(("c", b"7"))
+    got = {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*") if p.is_file()}
+    assert got == {"a/b.tar.gz": b"1", "a/b.tar.1.gz": b"4", "c": b"2", "c.1": b"5", "c.2": b"7", ".x": b"", "a.b/c": b"3", "a.b/c.1": b"6"}
+    for bad in ("../x", "/x", "", None, "a//b"):
+        with pytest.raises(Exception, match="no name below the folder"):
+            put((bad, b""))
+    assert len([p for p in tmp_path.rglob("*") if p.is_file()]) == 8 and not list(tmp_path.glob("_staging*"))
+
+
+def test_table_functions(spark):
+    table_functions.register(spark)
+    page = "<table class='Tagesordnung'><tr><td>1</td><td>Haushalt</td><td>vertagt</td><td><a href='getfile.asp?id=4'>Vorlage</a></td></tr><tr><td>2</td><td>Ende</td></tr></table>"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "<p>leer")], "page_id int, html string")
+    got = spark.sql("SELECT p.page_id, a.number, a.text, a.status, a.documents, a.first_href FROM {p} p, LATERAL agenda_rows(p.html) a", p=pages)
+    assert sorted(rows(got)) == [(1, "1", "Haushalt", "vertagt", 1, "getfile.asp?id=4"), (1, "2", "Ende", None, 0, None)]
+    assert rows(spark.sql("SELECT d.href, d.title FROM {p} p, LATERAL document_links(p.html) d", p=pages)) == [("getfile.asp?id=4", "Vorlage")]
+    with pytest.raises(Exception, match="argument 1 must be string"):
+        spark.sql("SELECT * FROM agenda_rows(1)").collect()
