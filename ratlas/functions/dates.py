@@ -8,22 +8,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The forms of a day on the portal's pages: d.m.yyyy, d.m. before something else than a year, and d or d.
+_N = r"(\d{1,2})"
+FULL, SHORT, DAY = rf"\b{_N}\.{_N}\.(\d{{2,4}})\b", rf"\b{_N}\.{_N}\.(?!\d)", rf"\b{_N}\.?\b"
+
+
 def day_value(text: Column, year: Column, month: Column) -> Column:
     """The date that a day cell names: d.m.yyyy (or yy: 20yy), else d.m. in the page's year, else a day of its month.
 
     A full date that doesn't exist gives null; it is not read again as a day.
     """
     t = F.btrim(F.regexp_replace(text, r"(?U)\s+", " "))
-    full, short, day = r"\b(\d{1,2})\.(\d{1,2})\.(\d{2,4})\b", r"\b(\d{1,2})\.(\d{1,2})\.(?!\d)", r"\b(\d{1,2})\.?\b"
     part = lambda p, i: F.regexp_extract(t, p, i)
-    y = part(full, 3)
+    y = part(FULL, 3)
     y = F.when(F.length(y) == 2, F.concat(F.lit("20"), y)).otherwise(F.lpad(y, 4, "0"))
     date = lambda d, m, y: F.to_date(F.try_to_timestamp(F.concat_ws("-", F.lpad(y, 4, "0"), F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")))
     ys, ms = year.cast("string"), month.cast("string")
     return (
-        F.when(F.rlike(t, F.lit(full)), date(part(full, 1), part(full, 2), y))
-        .when(F.rlike(t, F.lit(short)), date(part(short, 1), part(short, 2), ys))
-        .when(F.rlike(t, F.lit(day)), date(part(day, 1), ms, ys))
+        F.when(F.rlike(t, F.lit(FULL)), date(part(FULL, 1), part(FULL, 2), y))
+        .when(F.rlike(t, F.lit(SHORT)), date(part(SHORT, 1), part(SHORT, 2), ys))
+        .when(F.rlike(t, F.lit(DAY)), date(part(DAY, 1), ms, ys))
     )
 
 

@@ -42,6 +42,7 @@ def problems() -> Column:
     blank = lambda c: F.btrim(as_text(F.col(c))) == ""
     names = F.sort_array(unknown_placeholders(as_text(F.col("prompt_text"))))
     bad_scope = (F.size("scopes") == 0) | (F.size(F.array_except("scopes", F.array(*[F.lit(s) for s in SCOPES]))) > 0)
+    # fixed values: the messages
     tests = [
         (blank("id"), F.lit("id is required")), (blank("label"), F.lit("label is required")), (F.coalesce(bad_scope, F.lit(True)), F.lit(f"scope must be one of {', '.join(sorted(SCOPES))}")),
         (blank("prompt_text"), F.lit("prompt_text is required")), (~F.coalesce(F.col("visibility"), F.lit("private")).isin(*VISIBILITIES), F.lit(f"visibility must be one of {', '.join(sorted(VISIBILITIES))}")),
