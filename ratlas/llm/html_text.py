@@ -45,6 +45,16 @@ MARKS = frozenset(
     contentinfo complementary toolbar widget masthead pagination pager skip""".split()
 )
 WEAK = frozenset("side share sharing social reply replies respond search".split())
+#: Words of structure, which a mark may be made with; and those of a page's frame, which make header a mark.
+NEUTRAL = frozenset(
+    """list lists item items section sections box boxes slot slots wrapper wrap area areas block blocks user users site page main article
+    articles post posts container inner outer content body group row panel bar links link button buttons form top bottom left right
+    global primary secondary thread text title""".split()
+)
+FRAME = frozenset("site page main global top primary wrapper wrap container inner outer area bar box block row section".split())
+
+#: Share of stop words from which short blocks, taken together, are running text.
+STOPS_OF_TEXT = 0.1
 
 _STOP = re.compile(r">|=\s*[\"']")
 _NAME = re.compile(r"[a-z][a-z0-9:-]*", re.I)
@@ -75,7 +85,6 @@ class Block:
     bad_place: bool
     weak_place: bool
     heading: bool
-    listed: bool
     label: str = "open"
     #: what decided: links, stop words, length, place, outside, neighbours
     rule: str = ""
@@ -85,20 +94,22 @@ def _words(names: str) -> list[set[str]]:
     return [words for w in names.lower().split() if (words := set(re.split(r"[^a-z]+", w)) - {""})]
 
 
-def _place(rest: str) -> tuple[bool, bool]:
-    """Whether an element's attributes hide it or mark it as no part of the article, and whether they may. A class, id or
-    role is a mark as a whole, or made of marks alone: has-sidebar isn't one, cookie-notice is."""
-    bad = weak = False
+def _place(rest: str) -> tuple[bool, bool, bool]:
+    """Whether an element's attributes hide it or mark it as no part of the article, whether they may, and whether they make
+    it a page's header. A class, id or role is a mark if it is made of marks and words of structure, with one mark at
+    least: user-comments and ad-slot are marks; has-sidebar, with-footer, no-menu and main-content aren't."""
+    bad = weak = header = False
     for name, *values in _ATTRIBUTE.findall(rest):
         name, value = name.lower(), next(filter(None, values), "")
         if name in ("class", "id", "role"):
             for words in _words(value):
-                bad |= words <= MARKS
-                weak |= words <= MARKS | WEAK
+                bad |= words <= MARKS | NEUTRAL and not words.isdisjoint(MARKS)
+                weak |= words <= MARKS | WEAK | NEUTRAL and not words.isdisjoint(MARKS | WEAK)
+                header |= words <= FRAME | {"header"} and "header" in words
             bad |= name == "role" and value.lower() == "search"
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             bad = True
-    return bad, weak
+    return bad, weak, header
 
 
 class _Scanner:
@@ -168,20 +179,20 @@ class _Page:
         self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.linked: list[str] = []
-        self.stack: list[tuple[str, bool, bool, int]] = []  # tag, bad, weak, number of the article
+        self.stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, bad, weak, header, number of the article
         self.open_tags: dict[str, int] = {}
-        self.bad = self.weak = self.sections = 0
+        self.bad = self.weak = self.headers = self.sections = 0
         self.weak_outside = {0: 0}  # weak elements around an article don't count in it
         self.link = False
 
     def flush(self) -> None:
         text = " ".join(html.unescape("".join(self.parts)).split())
         if text:
-            section = self.stack[-1][3] if self.stack else 0
+            section = self.stack[-1][-1] if self.stack else 0
             heading = any(self.open_tags.get(h) for h in HEADINGS)
-            bad = self.bad > 0 or self.open_tags.get("header", 0) > 0 and not (section and heading)
+            bad = self.bad > 0 or self.headers > 0 and not (section and heading)
             links = len(" ".join(html.unescape("".join(self.linked)).split()))
-            self.blocks.append(Block(text, links, section, bad, self.weak > self.weak_outside[section], heading, self.open_tags.get("li", 0) > 0))
+            self.blocks.append(Block(text, links, section, bad, self.weak > self.weak_outside[section], heading))
         self.parts.clear()
         self.linked.clear()
 
@@ -191,10 +202,11 @@ class _Page:
             self.linked.append(text)
 
     def _pop(self) -> str:
-        tag, bad, weak, _ = self.stack.pop()
+        tag, bad, weak, header, _ = self.stack.pop()
         self.open_tags[tag] -= 1
         self.bad -= bad
         self.weak -= weak
+        self.headers -= header
         return tag
 
     def open(self, tag: str, rest: str, spared: bool) -> None:
@@ -210,17 +222,18 @@ class _Page:
                 self._pop()
         if tag in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and self.stack and self.stack[-1][0] == tag:
             self._pop()
-        bad, weak = (False, False) if spared or tag in ("html", "body") else _place(rest)
-        bad = bad or tag in BOILERPLATE
-        section = self.stack[-1][3] if self.stack else 0
+        bad, weak, header = (False, False, False) if spared or tag in ("html", "body") else _place(rest)
+        bad, header = bad or tag in BOILERPLATE, header or tag == "header"
+        section = self.stack[-1][-1] if self.stack else 0
         if tag in CONTENT and not bad:
             self.sections += 1
             section = self.sections
             self.weak_outside[section] = self.weak + weak
-        self.stack.append((tag, bad, weak, section))
+        self.stack.append((tag, bad, weak, header, section))
         self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         self.bad += bad
         self.weak += weak
+        self.headers += header
 
     def close(self, tag: str) -> None:
         self.flush()
@@ -297,7 +310,7 @@ def _density(b: Block, rules: Rules) -> tuple[str, str]:
     """Label and rule by links, stop words and length alone; an article leaves open what other places would lose."""
     n = len(b.text)
     if b.link_chars > rules.link_high * n:
-        return ("open", "") if b.section and not b.listed else ("bad", "links")
+        return ("open", "") if b.section else ("bad", "links")
     if n < rules.short or b.heading:
         return "open", ""
     words = _LETTERS.findall(b.text.lower())
@@ -331,8 +344,16 @@ def first_pass(blocks: list[Block], rules: Rules) -> None:
 def second_pass(blocks: list[Block]) -> None:
     """Open blocks take the label of the nearest decided block before and after them, inside their own article if they
     have one: both good or both bad decides; if they differ, the nearer one, at equal distance good. An article without
-    any decided block is good as a whole; outside of articles a page without one gives nothing. Headings outside of
-    articles go with what follows them."""
+    any decided block is good as a whole. A page without articles on which no block is decided but by its place or links is
+    a page of short blocks: those in no bad place are good if, taken together, they have the stop words of running text.
+    Headings outside of articles go with what follows them."""
+    if not any(b.section or b.label == "good" for b in blocks):
+        short = [b for b in blocks if b.label == "open"]
+        said = _LETTERS.findall(" ".join(b.text for b in short if not b.heading).lower())
+        if sum(w in STOP_WORDS for w in said) > STOPS_OF_TEXT * len(said):
+            for b in short:
+                b.label, b.rule = "good", "stop words"
+            return
     before: list[tuple[int, str] | None] = []
     after: list[tuple[int, str] | None] = [None] * len(blocks)
 

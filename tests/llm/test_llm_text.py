@@ -203,6 +203,36 @@ def test_html_loses_no_article_text(page):
     assert html_text.main_text(page.format(body)) == body
 
 
+SENTENCE = "The council has decided that the bridge over the river will be open for all of the people by the end of this year."
+
+
+@pytest.mark.parametrize("name", ["user-comments", "comment-list", "ad-slot", "advertisement-box", "promo-box", "related-articles", "gdpr-cookie-notice-wrapper", "share-buttons", "article-footer", "nav-links"])
+def test_html_marks_with_words_of_structure(name):
+    text = f"<a href=/x>Share this page</a>" if name == "share-buttons" else f"<p>{SENTENCE * 3}</p>"
+    page = f"<article><p>{SENTENCE * 2}</p><div class='{name}'>{text}</div><p>{SENTENCE}</p></article>"
+    assert html_text.main_text(page) == " ".join([SENTENCE * 2, SENTENCE])
+    assert html_text.main_text(page.replace(name, f"wide {name} x-1")) == html_text.main_text(page)
+
+
+@pytest.mark.parametrize("name", ["site-header", "main-nav", "comments-section", "page-footer"])
+def test_html_marks_without_article(name):
+    assert html_text.main_text(f"<div class='{name}'><p>{SENTENCE * 3}</p></div><div class='main-content'><p>{SENTENCE * 2}</p></div>") == SENTENCE * 2
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "with-comments", "no-ads", "is-menu-open", "main-content", "article-header", "post-body", "content"])
+def test_html_names_that_mark_nothing(name):
+    assert html_text.main_text(f"<article class='{name}'><div class='{name}'><h1>Bridge</h1><p>{SENTENCE * 2}</p></div></article>") == f"Bridge {SENTENCE * 2}"
+
+
+def test_html_keeps_linked_items_and_short_pages():
+    items = "".join(f"<li><a href=/{i}>Source number {i}</a></li>" for i in range(3))
+    assert html_text.main_text(f"<article><p>{SENTENCE * 2}</p><ul>{items}</ul><p>{SENTENCE * 2}</p></article>") == f"{SENTENCE * 2} Source number 0 Source number 1 Source number 2 {SENTENCE * 2}"
+    short = ["The bridge is open.", "It was built by the city for all of us.", "He was the first to walk on it."]
+    menu = "<ul class=menu><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul>"
+    assert html_text.main_text(menu + "".join(f"<p>{x}</p>" for x in short) + "<div class=site-footer><p>Written by the team of the site.</p></div>") == " ".join(short)
+    assert html_text.main_text(menu + "<p>Login</p><p>Imprint</p><p>Contact 2025</p>") == ""
+
+
 def test_html_without_article_in_another_language():
     body = " ".join(PROSE[3:] * 4)
     menu = "".join(f"<li><a href=/{i}>Strona {i}</a></li>" for i in range(9))
