@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ratlas.functions import text, urls
@@ -86,9 +86,14 @@ def coverage(current: DataFrame, indexed: DataFrame | None, key: str) -> DataFra
     c = current.select(key).where(F.col(key).isNotNull()).distinct().withColumn("c", F.lit(1))
     i = (indexed if indexed is not None else current.limit(0)).select(key).where(F.col(key).isNotNull()).distinct().withColumn("i", F.lit(1))
     n = c.join(i, key, "full").agg(F.count("c").alias("current"), F.count("i").alias("indexed"), F.count_if(F.col("c").isNotNull() & F.col("i").isNotNull()).alias("matched"))
+    return with_coverage(n, F.lit(indexed is None))
+
+
+def with_coverage(n: DataFrame, no_index: Column) -> DataFrame:
+    """A row of current, indexed and matched with missing, orphaned, coverage_percent and status."""
     n = n.withColumn("missing", F.col("current") - F.col("matched")).withColumn("orphaned", F.col("indexed") - F.col("matched"))
     n = n.withColumn("coverage_percent", F.when(F.col("current") == 0, 100.0).otherwise(F.bround(F.col("matched") * 100.0 / F.col("current"), 1).cast("double")))
-    status = F.when(F.lit(indexed is None), "missing_index").when((F.col("missing") > 0) | (F.col("orphaned") > 0), "needs_update").otherwise("ok")
+    status = F.when(no_index, "missing_index").when((F.col("missing") > 0) | (F.col("orphaned") > 0), "needs_update").otherwise("ok")
     return n.withColumn("status", status)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ratlas.functions import dates, urls
 from ratlas.operators import postings, sessions, trigrams, vectors
+from ratlas.operators.bitmaps import Coverage
 from ratlas.operators.vector_cells import Cells
 from ratlas.plans import tables as t
 from ratlas.plans.queries import ORACLE, TERMS, TODAY, VECTOR, _portal_page, _texts, _vectors, query
@@ -133,3 +134,15 @@ def page_rows_lateral(spark, sf_dir):
     url = urls.absolute("https://x.example/", F.col("href"))
     df = df.withColumn("date", F.get(F.filter(day, lambda d: d.isNotNull()), F.lit(0)).cast("string")).where("date IS NOT NULL")
     return df.select("page_id", urls.session_id(url).alias("session_id"), "committee", "meeting_name", "date", "start_time", "location")
+
+
+@query(ORACLE["coverage_status"])
+def coverage_status_bitmaps(spark, sf_dir):
+    """The row of coverage_status from bitmaps that three batches have left, one of them twice."""
+    status = Coverage(spark, f"{shared.folder(spark, 'bitmaps')}/ids")
+    d, n = load(spark, sf_dir, "documents").select("doc_id"), load(spark, sf_dir, "labels").select("doc_id")
+    for batch in (0, 1, 2, 1):
+        part = F.pmod("doc_id", F.lit(3)) == batch
+        status.add("current", d.where(part), "doc_id", batch)
+        status.add("indexed", n.where(part), "doc_id", batch)
+    return status.coverage()

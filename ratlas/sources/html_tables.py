@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -165,14 +165,17 @@ _DETAIL = pa.struct([("items", pa.list_(pa.struct([("number", _STR), ("text", _S
 _DOCS_SQL = "array<struct<href:string,title:string>>"
 
 
-def overview_sessions(pages: DataFrame, base: str) -> DataFrame:
-    """pages (page_id, year, month, html) -> sessions in page order; rows without a readable date are left out."""
+def overview_sessions(pages: DataFrame, base: str, keep: Sequence[str] = ()) -> DataFrame:
+    """pages (page_id, year, month, html) -> sessions in page order; rows without a readable date are left out. keep: further
+    columns of pages that their sessions have too."""
     row = "struct<committee:string,meeting_name:string,href:string,day_texts:array<string>,start_time:string,location:string>"
-    df = pages.select("page_id", "year", "month", "html").mapInArrow(_parsed("rows", _OVERVIEW, overview_rows), f"page_id {dict(pages.dtypes)['page_id']}, year int, month int, rows array<{row}>")
-    df = df.select("page_id", "year", "month", F.posexplode("rows").alias("place", "r")).withColumn("detail_url", urls.absolute(base, F.col("r.href")))
+    kinds = dict(pages.dtypes)
+    more = "".join(f", {c} {kinds[c]}" for c in keep)
+    df = pages.select("page_id", "year", "month", *keep, "html").mapInArrow(_parsed("rows", _OVERVIEW, overview_rows), f"page_id {kinds['page_id']}, year int, month int{more}, rows array<{row}>")
+    df = df.select("page_id", "year", "month", *keep, F.posexplode("rows").alias("place", "r")).withColumn("detail_url", urls.absolute(base, F.col("r.href")))
     days = F.transform("r.day_texts", lambda t: dates.day_value(t, F.col("year"), F.col("month")))
     df = df.withColumn("day", F.get(F.filter(days, lambda d: d.isNotNull()), F.lit(0))).where("day IS NOT NULL")
-    return df.select("page_id", "place", "r.committee", "r.meeting_name", urls.session_id(F.col("detail_url")).alias("session_id"), F.col("day").cast("string").alias("date"), "r.start_time", "detail_url", "r.location")
+    return df.select("page_id", "place", "r.committee", "r.meeting_name", urls.session_id(F.col("detail_url")).alias("session_id"), F.col("day").cast("string").alias("date"), "r.start_time", "detail_url", "r.location", *keep)
 
 
 def session_details(pages: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ratlas.operators import index, postings, sessions, trigrams, vector_index, vectors
+from ratlas.operators.bitmaps import Coverage
 from ratlas.operators.vector_cells import NO_CELL, Cells
 from ratlas.sources import named_files, sqlite, table_functions
 from ratlas.sources.keyed import Conflict, KeyedTable
@@ -282,3 +283,24 @@ def test_table_functions(spark):
     assert rows(spark.sql("SELECT d.href, d.title FROM {p} p, LATERAL document_links(p.html) d", p=pages)) == [("getfile.asp?id=4", "Vorlage")]
     with pytest.raises(Exception, match="argument 1 must be string"):
         spark.sql("SELECT * FROM agenda_rows(1)").collect()
+
+
+def test_coverage_by_bitmaps(spark, tmp_path):
+    rnd, status = random.Random(6), Coverage(spark, f"file://{tmp_path}/b")
+    ids = lambda x: spark.createDataFrame([(i,) for i in x], "id bigint")
+    assert status.coverage().first().status == "missing_index"
+    current, indexed = [], []
+    for batch in range(3):
+        new = [rnd.choice((rnd.randrange(-40_000, 120_000), rnd.randrange(2**62))) for _ in range(200)]
+        current += new
+        indexed += [*rnd.sample(new, 120), rnd.randrange(10**6)]
+        for side, x in (("current", [*new, None, new[0]]), ("indexed", indexed[-121:])):
+            for _ in range(2):  # a batch that comes again counts once
+                status.add(side, ids(x), "id", batch)
+        assert tuple(status.coverage().first()) == tuple(index.coverage(ids(current), ids(indexed), "id").first())
+    read = {f for f in status.bits().inputFiles()}
+    assert all("/side=" in f for f in read) and len({f.rsplit("/", 1)[0] for f in read}) == 6
+    status.replace("indexed", ids(current), "id", 3)
+    assert status.coverage().first().status == "ok" and status.coverage().first().coverage_percent == 100.0
+    with pytest.raises(ValueError):
+        status.add("other", ids(current), "id", 0)
