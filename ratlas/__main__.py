@@ -1,4 +1,4 @@
-"""python -m ratlas build|list|show|search|export|coverage: the index from the command line."""
+"""python -m ratlas build|online|vectors|coverage|list|show|search|export: the index from the command line."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ratlas import schemas
-from ratlas.operators import index, sessions
-from ratlas.sources import folders, sinks
+from ratlas.functions import dates
+from ratlas.operators import index, sessions, vector_index, vectors
+from ratlas.sources import folders, html_tables, sinks
 
+VECTORS = "id bigint, dense array<float>, sparse struct<indices:array<bigint>,values:array<double>>"
 TABLES = {"sessions": schemas.SESSIONS, "agenda_items": schemas.AGENDA_ITEMS, "documents": schemas.DOCUMENTS}
 
 
@@ -31,6 +33,29 @@ def build(spark: SparkSession, raw: str, root: str, target: str, refresh_existin
         index.replace_children(before, rows.withColumn("id", F.col("id") + last), take).write.parquet(f"{target}/{name}")
 
 
+def online(spark: SparkSession, pages: str, root: str, target: str, base: str) -> None:
+    """The sessions at root with those of month pages (page_id, year, month, html) in their place, written to target; of
+    pages that show one session the first counts."""
+    found = sessions.first_seen(html_tables.overview_sessions(spark.read.parquet(pages), base), "page_id", "place")
+    y, m = dates.year_month(F.col("date"))
+    rows = schemas.conform(found.withColumns({"year": y, "month": m}), schemas.SESSIONS)
+    index.upsert(folders.read_or_empty(spark, f"{root}/sessions", schemas.SESSIONS), rows, "session_id").write.parquet(f"{target}/sessions")
+
+
+def build_vectors(spark: SparkSession, root: str, stored: str, target: str, limit: int | None = None) -> None:
+    """The vectors at stored after a build over the documents at root, written to target. The stand-in embedder hashes the
+    words of title, type and agenda item."""
+    s, _, documents = read(spark, root)
+    known = vector_index.documents_for_index(documents, s)
+    said = known.select("id", F.concat_ws(" ", "title", "document_type", "agenda_item").alias("text"))
+
+    def vectorize(new):
+        return vectors.pair_vectors(new.select("id", vectors.hashing_embedder()("text").alias("dense")), vectors.sparse_vectors(new.withColumn("text", F.concat(F.col("text"), F.lit(" dokument")))))
+
+    old = folders.read_or_empty(spark, stored, VECTORS)
+    vector_index.build(said, old, vectorize, limit).write.parquet(target)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="ratlas", description=__doc__)
     p.add_argument("--index", required=True)
@@ -40,6 +65,14 @@ def main(argv: list[str] | None = None) -> int:
     b.add_argument("--target", required=True)
     b.add_argument("--refresh-existing", action="store_true")
     b.add_argument("--only-refresh", action="store_true")
+    o = sub.add_parser("online")
+    for name in ("--pages", "--target", "--base"):
+        o.add_argument(name, required=True)
+    v = sub.add_parser("vectors")
+    v.add_argument("--stored", required=True)
+    v.add_argument("--target", required=True)
+    v.add_argument("--limit", type=int)
+    sub.add_parser("coverage").add_argument("--stored", required=True)
     one = sub.add_parser("list")
     one.add_argument("--committee", default="")
     one.add_argument("--limit", type=int, default=30)
@@ -57,8 +90,16 @@ def main(argv: list[str] | None = None) -> int:
     if a.what == "build":
         build(spark, a.raw, a.index, a.target, a.refresh_existing, a.only_refresh)
         return 0
+    if a.what == "online":
+        online(spark, a.pages, a.index, a.target, a.base)
+        return 0
+    if a.what == "vectors":
+        build_vectors(spark, a.index, a.stored, a.target, a.limit)
+        return 0
     s, agenda, documents = read(spark, a.index)
-    if a.what == "list":
+    if a.what == "coverage":
+        index.coverage(documents, folders.read_or_empty(spark, a.stored, VECTORS), "id").show(truncate=False)
+    elif a.what == "list":
         sessions.index_list(s, a.committee, a.limit).select("session_id", "date", "committee", "meeting_name").show(a.limit, False)
     elif a.what == "show":
         found = s.where(F.col("session_id") == a.session_id)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ratlas import schemas
@@ -85,6 +85,23 @@ def search(documents: DataFrame, sessions: DataFrame, query: str, limit: int = M
     return df.orderBy(*order).limit(max(1, min(limit, MOST_RESULTS)))
 
 
+def references(sessions: DataFrame) -> DataFrame:
+    """Sessions as they are fetched: a committee without name is that of the meeting, and the other way round, else
+    'Sitzung'."""
+    committee, meeting = filled(F.col("committee")), filled(F.col("meeting_name"))
+    return sessions.withColumns({"committee": F.coalesce(committee, meeting, F.lit("Sitzung")), "meeting_name": F.coalesce(meeting, committee, F.lit("Sitzung"))})
+
+
+def reference(sessions: DataFrame, session_id: str) -> Row:
+    """One session as it is fetched. LookupError tells of an id that isn't there, and of a session without detail_url."""
+    found = references(sessions.where(F.col("session_id") == session_id)).limit(1).collect()
+    if not found:
+        raise LookupError(f"session {session_id!r} is not in the index")
+    if not found[0]["detail_url"]:
+        raise LookupError(f"session {session_id!r} has no detail_url")
+    return found[0]
+
+
 def index_list(sessions: DataFrame, committee: str = "", limit: int = 30) -> DataFrame:
     """Sessions of committees whose name holds a text, the latest first, committees in order without case."""
     df = sessions.where(F.lower("committee").like(f"%{committee.lower()}%")) if committee else sessions

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratlas.functions import dates, jsonx, text, urls
-from ratlas.operators import artifacts, index, jobs, sessions, status, vector_index, vectors
+from ratlas.operators import artifacts, index, jobs, messages, sessions, status, vector_index, vectors
 from ratlas.plans import tables as t
 from ratlas.plans.queries import BOTH, query
 from ratlas.plans.tables import AGENDA_SQL, DOCUMENTS_SQL, SESSIONS_SQL, load
@@ -305,3 +305,38 @@ def export_profile(spark, sf_dir):
 
     out = sessions.export_profile("Nur Protokolle", t.documents(spark, sf_dir), t.sessions(spark, sf_dir), t.agenda(spark, sf_dir), dt.date(1997, 5, 6))
     return out.select("id", "date")
+
+
+@query(f"{_SESSIONS}, x AS (SELECT session_id, detail_url, CASE year % 3 WHEN 0 THEN '' WHEN 1 THEN committee END AS c, CASE WHEN month % 2 = 0 THEN meeting_name ELSE '' END AS m FROM sessions) SELECT session_id, detail_url, coalesce(nullif(c, ''), nullif(m, ''), 'Sitzung') AS committee, coalesce(nullif(m, ''), nullif(c, ''), 'Sitzung') AS meeting_name FROM x")
+def session_references(spark, sf_dir):
+    m = F.col("year") % 3
+    s = t.sessions(spark, sf_dir).withColumns({"committee": F.when(m == 0, "").when(m == 1, F.col("committee")), "meeting_name": F.when(F.col("month") % 2 == 0, F.col("meeting_name")).otherwise("")})
+    return sessions.references(s).select("session_id", "detail_url", "committee", "meeting_name")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderpriority || ' ' || o_orderstatus AS c, 'Frage ' || o_orderkey AS p, o_orderkey % 3 AS m FROM orders),
+n AS (SELECT *, chr(10) || chr(10) AS nn FROM o)
+SELECT o_orderkey, '## Analysegrundlage' || nn || c || nn || '## Analyseauftrag' || nn || p AS plain,
+  'Du analysierst kommunalpolitische Dokumente. Antworte auf Deutsch.' || nn || '## Analysegrundlage' || nn || c || CASE m WHEN 0 THEN '' ELSE nn || '### PDF: a.pdf' || nn || CASE m WHEN 1 THEN 'Text' ELSE '[Text nicht extrahierbar]' END END || nn || '## Analyseauftrag' || nn || p AS with_text,
+  CASE m WHEN 1 THEN '[{"type":"text","text":"## Analysegrundlage\\n\\n' || c || '"},{"type":"document","source":{"type":"base64","media_type":"application/pdf","data":"' || to_base64(encode(c)) || '"}},{"type":"text","text":"## Analyseauftrag\\n\\n' || p || '"}]'
+         WHEN 2 THEN '[{"type":"text","text":"## Analysegrundlage\\n\\n' || c || '"},{"type":"text","text":"[PDF nicht lesbar: a.pdf]"},{"type":"text","text":"## Analyseauftrag\\n\\n' || p || '"}]' END AS blocks FROM n""")
+def provider_messages(spark, sf_dir):
+    m, context, prompt = F.col("o_orderkey") % 3, F.concat_ws(" ", "o_orderpriority", "o_orderstatus"), F.concat(F.lit("Frage "), F.col("o_orderkey").cast("string"))
+    pdf = F.struct(F.lit("a.pdf").alias("name"), F.when(m == 1, "Text").alias("text"), F.when(m == 1, context).cast("binary").alias("content"))
+    pdfs = F.when(m > 0, F.array(pdf)).otherwise(F.slice(F.array(pdf), 1, 0))
+    return load(spark, sf_dir, "orders").select("o_orderkey", messages.user_message("codex", prompt, context).alias("plain"), messages.user_message("ollama", prompt, messages.with_pdf_text(context, pdfs)).alias("with_text"), messages.content_blocks("claude", prompt, context, pdfs).alias("blocks"))
+
+
+@query(f"{_DOCS} SELECT id, CASE WHEN id % 4 = 0 THEN 'protokoll' WHEN coalesce(CASE WHEN id % 3 > 0 THEN document_type END, '') <> '' THEN document_type WHEN contains(lower(coalesce(title, '') || ' ' || coalesce(category, '')), 'protokoll') THEN 'protokoll' ELSE 'sonstiges' END AS document_type FROM docs")
+def backfilled_types(spark, sf_dir):
+    """Blank types are inferred, the older name is replaced, others stay."""
+    i = F.col("id")
+    d = t.documents(spark, sf_dir).withColumn("document_type", F.when(i % 4 == 0, " Niederschrift").when(i % 3 > 0, F.col("document_type"))).drop("local_path")
+    return index.backfill_types(d).select("id", "document_type")
+
+
+@query("SELECT doc_id, sha256(replace(coalesce(text, ''), chr(10) || '## Prompt', ' ') || chr(10) || 'Ende') AS kept FROM documents")
+def hint_removed(spark, sf_dir):
+    body = F.replace(text.as_text(F.col("text")), F.lit("\n## Prompt"), F.lit(" "))
+    whole = F.concat(body, F.lit("\nEnde\n## Prompt-Hinweis\n"), text.as_text(F.col("text")))
+    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(text.without_hint(whole), 256).alias("kept"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ratlas import schemas
 from ratlas.functions import dates, text
@@ -27,6 +30,21 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return schemas.conform(spark.read.parquet(path), schema)
 
 
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet table that must be there: FileNotFoundError if it is missing, ValueError if its files can't be read as one
+    or lack a column of the schema. Only footers are read for that."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        raise FileNotFoundError(f"no index at {path}")
+    try:
+        df = spark.read.option("mergeSchema", True).parquet(path)
+    except (PySparkException, Py4JJavaError) as e:
+        raise ValueError(f"no readable index at {path}") from e
+    if lost := [f.name for f in StructType.fromDDL(schema) if f.name not in df.columns]:
+        raise ValueError(f"the index at {path} lacks {', '.join(lost)}")
+    return schemas.conform(df, schema)
+
+
 def raw_files(spark: SparkSession, root: str) -> DataFrame:
     """folder, name, text of the marker files below root, for folders of the form date-committee-id."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{" + ",".join(MARKERS) + "}").format("binaryFile").load(root)

@@ -1,9 +1,10 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ratlas import __main__ as cli
 from ratlas.functions import paths
-from ratlas.operators import analysis
-from ratlas.sources import sinks
+from ratlas.operators import analysis, messages, sessions
+from ratlas.sources import folders, sinks
 
 
 def one(spark, column):
@@ -84,7 +85,49 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["--index", at("two"), "show", "7"]) == 0 and "Haushalt" in capsys.readouterr().out
     assert cli.main(["--index", at("two"), "show", "8"]) == 1 and cli.main(["--index", at("two"), "list"]) == 0
     assert cli.main(["--index", at("two"), "export", "--out", at("out")]) == 0
+    assert cli.main(["--index", at("two"), "coverage", "--stored", at("none")]) == 0 and "needs_update" in capsys.readouterr().out
+    assert cli.main(["--index", at("two"), "vectors", "--stored", at("none"), "--target", at("v1"), "--limit", "1"]) == 0
+    assert spark.read.parquet(at("v1")).count() == 1
+    assert cli.main(["--index", at("two"), "vectors", "--stored", at("v1"), "--target", at("v2")]) == 0
+    assert cli.main(["--index", at("two"), "coverage", "--stored", at("v2")]) == 0 and "|100.0" in capsys.readouterr().out
+    page = "<table id=smc_page_si0040_contenttable1><tr><td><span class=weekday>9.</span><td class=silink><a class=smc-link-normal href='si0057.asp?__ksinr=77'>Hafenrunde</a></table>"
+    spark.createDataFrame([(1, 2020, 3, page), (2, 2020, 4, page)], "page_id bigint, year int, month int, html string").write.parquet(at("pages"))
+    assert cli.main(["--index", at("two"), "online", "--pages", at("pages"), "--target", at("three"), "--base", "https://x.example/"]) == 0
+    assert {r.session_id: r.date for r in spark.read.parquet(at("three/sessions")).collect()}["77"] == "2020-03-09"
     assert '"top_title":"Haushalt"' in spark.read.text(at("out")).first()[0]
     summary = sinks.agenda_summaries(tables[0], tables[1], "t").first().value
     assert '"agenda_items":[{"number":"Ö 1","title":"Haushalt"' in summary
     assert '"documents":[{"url":"u"' in sinks.manifests(tables[0].withColumn("retrieved_at", F.lit("t")), tables[2]).first().value
+
+
+def test_providers_by_name():
+    ask = lambda prompt, context: "a"
+    assert messages.provider("codex", {"codex": ask}) is ask and set(messages.PROVIDER_LABELS) == set(analysis.PROVIDERS)
+    for name, what in (("none", "no provider"), ("neu", "unknown provider 'neu'"), ("ollama", "not set up")):
+        with pytest.raises(ValueError, match=what):
+            messages.provider(name, {"codex": ask})
+
+
+def test_contexts_are_cut_for_the_provider(spark):
+    df = spark.createDataFrame([("x" * 30_000, None)], "c string, p string")
+    row = df.select(messages.user_message("ollama", F.col("p"), F.col("c")).alias("a"), messages.user_message("codex", F.col("p"), F.col("c")).alias("b")).first()
+    assert row.a.count("x") == 24_000 and row.b.count("x") == 30_000 and row.b.endswith("## Analyseauftrag\n\n")
+
+
+def test_lookup_of_a_session(spark, tmp_path):
+    schema = "session_id string, committee string, meeting_name string, detail_url string"
+    df = spark.createDataFrame([("k4", "", "Hafenrunde", "u"), ("k5", "", None, "u"), ("k6", "Beirat", "", "")], schema)
+    assert tuple(sessions.reference(df, "k4"))[:3] == ("k4", "Hafenrunde", "Hafenrunde") and sessions.reference(df, "k5").committee == "Sitzung"
+    for key, what in (("k7", "not in the index"), ("k6", "no detail_url")):
+        with pytest.raises(LookupError, match=what):
+            sessions.reference(df, key)
+    with pytest.raises(FileNotFoundError):
+        folders.stored(spark, f"file://{tmp_path}/none", schema)
+    (tmp_path / "broken.parquet").write_bytes(b"no table")
+    with pytest.raises(ValueError, match="no readable index"):
+        folders.stored(spark, f"file://{tmp_path}/broken.parquet", schema)
+    df.drop("detail_url").write.parquet(f"file://{tmp_path}/part")
+    with pytest.raises(ValueError, match="lacks detail_url"):
+        folders.stored(spark, f"file://{tmp_path}/part", schema)
+    df.write.parquet(f"file://{tmp_path}/whole")
+    assert folders.stored(spark, f"file://{tmp_path}/whole", schema).count() == 3
