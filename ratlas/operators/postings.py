@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratlas.operators.vectors import sparse_query, sparse_vectors, top
+from ratlas.operators.vectors import list_slices, sparse_query, sparse_vectors, top
 from ratlas.sources.shared import read_dealt, write_dealt
 
 #: Folders of a table, postings of a block, and postings that a task gathers at a time.
-BUCKETS, BLOCK, HELD = 64, 256, 1 << 20
+BUCKETS, BLOCK, HELD = 64, 256, 1 << 19
 #: Slack of comparisons with a bound: sums in another order differ in their last bits.
 SLACK = 1e-9
 
@@ -55,7 +55,7 @@ def _gather(size: int):
             order = np.lexsort((-weight, term))
             return _as_blocks(term[order], ids.take(pa.array(order)), weight[order], size)
 
-        for batch in batches:
+        for batch in list_slices(batches, 1, HELD // 4):
             indices, counts = _flat(batch.column("indices"))
             values, _ = _flat(batch.column("values"))
             held.append((indices.to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False), batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))))
@@ -72,7 +72,7 @@ def _merge(size: int):
     as many rows as a batch has; between batches a term starts a new block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in list_slices(batches, 1, HELD):
             if batch.num_rows:
                 ids, counts = _flat(batch.column("ids"))
                 weight = _flat(batch.column("weights"))[0].to_numpy(zero_copy_only=False)

@@ -78,9 +78,23 @@ def term_scores(docs: DataFrame, query: Sequence[str], key: str = "id", text: st
     return df.select(key, F.explode(F.array(sum(parts[1:], parts[0]))).alias("score")).where("score > 0")
 
 
+def list_slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut by rows so that the lists of a column hold some `most` values at once; one longer list stands alone."""
+    for batch in batches:
+        offsets, start = batch.column(column).offsets.to_numpy(), 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(offsets, offsets[start] + most, "right")) - 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
+#: Words that are counted at once.
+WORDS = 1 << 18
+
+
 def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashed words of each text -> its distinct hashes in order, and their weights."""
-    for batch in batches:
+    for batch in list_slices(batches, 1, WORDS):
         lists = batch.column(1)
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
         size = np.diff(offsets)
