@@ -34,19 +34,30 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(kind: str, page_id: object, url: str | None, payload: bytes, payload_digest: str, refers_to: object = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
-    """One record as a gzip member: a response with its payload, or a revisit with the response's headers alone."""
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{payload_digest}:{url}").urn
+def record_id(page_id: object, url: str | None, payload_digest: str) -> str:
+    """A record's name, the same whenever and wherever it is written."""
+    return f"<{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{payload_digest}:{url}').urn}>"
+
+
+def _uri(url: str) -> str:
+    return url.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(kind: str, page_id: object, url: str | None, payload: bytes, payload_digest: str, refers_to: object = None, refers_url: str | None = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
+    """One record as a gzip member: a response with its payload, or a revisit with the response's headers alone, which names
+    the response (its page and url are given) by its record, address and date."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
-    fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response")]
+    fields = [("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id, url, payload_digest)), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response")]
     if url is not None:
-        fields.append(("WARC-Target-URI", url.replace("\r", "%0D").replace("\n", "%0A")))
+        fields.append(("WARC-Target-URI", _uri(url)))
     fields += [("WARC-Block-Digest", f"sha1:{digest(block)}"), ("WARC-Payload-Digest", f"sha1:{payload_digest}"), (LENGTH_FIELD, str(len(payload)))]
     if page_id is not None:
         fields.append((PAGE_FIELD, str(page_id)))
     if kind == "revisit":
-        fields += [("WARC-Profile", REVISIT_PROFILE), (REFERS_FIELD, str(refers_to))]
+        fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(refers_to, refers_url, payload_digest)), ("WARC-Refers-To-Date", date), (REFERS_FIELD, str(refers_to))]
+        if refers_url is not None:
+            fields.append(("WARC-Refers-To-Target-URI", _uri(refers_url)))
     fields.append(("Content-Length", str(len(block))))
     head = VERSION + b"\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "surrogatepass") + b"\r\n"
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -145,7 +156,7 @@ def _write(folder: str, roll_bytes: int):
                 payload = (row["html"] or "").encode("utf-8", "surrogatepass")
                 own = digest(payload)
                 again = row["keeper"] is not None and row["keeper"] != row["page_id"]
-                data = record("revisit" if again else "response", row["page_id"], row["url"], payload, own, row["keeper"] if again else None)
+                data = record("revisit" if again else "response", row["page_id"], row["url"], payload, own, row["keeper"] if again else None, row["keeper_url"] if again else None)
                 out.write(data)
                 size += len(data)
                 n += 1
@@ -170,8 +181,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, roll_byt
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("__sha"), F.octet_length(payload).alias("__len"))
-    twice = keyed.where(F.col("__len") >= least_bytes).groupBy("__sha", "__len").agg(F.max("page_id").alias("keeper"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    rows = keyed.join(twice, ["__sha", "__len"], "left").select("page_id", "url", "html", F.when(F.col("page_id").isNotNull(), F.col("keeper")).alias("keeper"))
+    twice = keyed.where(F.col("__len") >= least_bytes).groupBy("__sha", "__len").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("__k"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    rows = keyed.join(twice, ["__sha", "__len"], "left").select("page_id", "url", "html", F.when(F.col("page_id").isNotNull(), F.col("__k.page_id")).alias("keeper"), F.col("__k.url").alias("keeper_url"))
     manifest = rows.mapInArrow(_write(f"{folder}/archives", roll_bytes), "path string, bytes bigint, records bigint")
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/archives")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)

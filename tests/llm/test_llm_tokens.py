@@ -206,6 +206,12 @@ def test_warc_round_trip(spark, tmp_path):
         again = keeper not in (None, i) and i is not None
         assert (r.record_type, r.refers_to) == (("revisit", keeper) if again else ("response", None))
         assert r.payload == (b"" if again else data)
+    fields = [f for p in (tmp_path / "w/archives").glob("*.gz") for f, _ in warc.read_records(p.open("rb"))]
+    named = {f["warc-record-id"]: f for f in fields}
+    for f in (x for x in fields if x["warc-type"] == "revisit"):  # names the response by record, address and date
+        to = named[f["warc-refers-to"]]
+        assert to["warc-type"] == "response" and to["warc-payload-digest"] == f["warc-payload-digest"]
+        assert f["warc-refers-to-date"] == to["warc-date"] and f.get("warc-refers-to-target-uri") == to.get("warc-target-uri")
     least = warc.write_archives(pages, f"file://{tmp_path}/v", least_bytes=5)
     assert {r.page_id for r in warc.read_archives(least, payload=False).where("record_type = 'revisit'").collect()} == {1, 3}
     assert warc.archive_table(pages.limit(0)).count() == 0
