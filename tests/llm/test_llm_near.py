@@ -155,3 +155,10 @@ def test_block_pairs_meet_once(spark):
                 if a == b or x.side != y.side:
                     seen[frozenset((x.id, y.id))] += 1
     assert len(seen) == 2 * 25 * 24 // 2 and set(seen.values()) == {1}
+
+
+def test_near_vectors_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1), (3, [1.0, 0.0], 1), (4, [0.0, 1.0], 2), (4, [0.0, 1.0], 2)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), cosine=0.93)
+    out = got.collect()
+    assert len(out) == len(rows) and {r.component_id for r in out if r.vec_id == 2} == {1} and all(r.kept == (r.vec_id == r.component_id) for r in out)

@@ -53,3 +53,34 @@ def test_query(spark, name):
     names = [c[0] for c in result.description]
     assert sorted(names) == cols
     assert Counter(map(tuple, got)) == Counter(tuple(r[names.index(c)] for c in cols) for r in result.fetchall())
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, row int, `a.b` string"
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0 and (name == "pack_sequences" or out.columns == docs.columns)
+
+
+def test_stages_on_repeated_and_broken_rows(spark):
+    rnd = random.Random(7)
+    text = lambda n: " ".join(f"w{rnd.randrange(3000)}" for _ in range(n))
+    long = [text(120) for _ in range(8)]
+    rows = [(i, t, "de", None if i == 3 else f"s{i % 2}", len(t), "k", i, "x") for i, t in enumerate(long)]
+    rows += [rows[0], rows[0], (20, long[0], "de", "s0", 1, "k", 1, None), (None, text(90), None, None, None, None, None, None), (None, None, "de", "s1", None, "k", 0, ""), (21, "", "de", "s1", 0, "k", 0, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, "")
+        if name != "pack_sequences":
+            assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+        seen.append(docs)
+    good, lined, near, mixed, packed = seen
+    assert Counter(r.doc_id for r in good.collect()) == Counter([0, 0, 0, 1, 2, 3, 4, 5, 6, 7, 20, None]) == Counter(r.doc_id for r in lined.collect())
+    assert Counter(r.doc_id for r in near.collect()) == Counter([0, 0, 0, 1, 2, 3, 4, 5, 6, 7, None])
+    assert {r["a.b"] for r in near.collect()} == {"x", None} and {r.key for r in mixed.collect()} <= {"k", None}
+    assert packed.count() >= mixed.count() > 0
