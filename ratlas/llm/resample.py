@@ -125,9 +125,11 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 5, least_words:
     luck = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
     rows = weights(docs, gains, n).select("doc_id", "n_features", "weight", (F.col("weight") + luck).cast("long").alias("score"), (F.col("n_words") >= least_words).alias("able"))
     order = [F.col("able").desc(), F.col("score").desc(), F.col("doc_id")]
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     scratch = Scratch(docs.sparkSession, "resample")
+    rows = scratch.save(rows, "scores")  # else texts would be scanned once more for the bounds of the ranges
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     placed = scratch.save(placed, "placed")  # the upper bits of at are the range, the lower 33 the place in it
+    scratch.drop("scores")
     sizes = sorted((r["part"], r["able"]) for r in placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count_if("able").alias("able")).collect())
     starts, held = [], 0
     for part, able in sizes:
