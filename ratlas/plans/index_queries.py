@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ratlas.functions import dates, urls
-from ratlas.operators import postings, sessions, trigrams, vectors
+from ratlas.operators import postings, retrieval, sessions, trigrams
 from ratlas.operators.bitmaps import Coverage
 from ratlas.operators.vector_cells import Cells
 from ratlas.plans import tables as t
@@ -40,17 +40,13 @@ def cosine_topk_cells(spark, sf_dir):
 
 @query(ORACLE["hybrid_rrf"])
 def hybrid_rrf_indexed(spark, sf_dir):
-    dense = vectors.ranked(_cells(spark, sf_dir).search(VECTOR, 30), 30)
-    sparse = vectors.ranked(postings.search(spark, _posted(spark, sf_dir), TERMS, 30), 30)
-    return vectors.fuse([dense, sparse], 10).withColumn("score", F.round("score", 9))
+    return retrieval.hybrid(_cells(spark, sf_dir), _posted(spark, sf_dir), VECTOR, TERMS).withColumn("score", F.round("score", 9))
 
 
 @query(ORACLE["hybrid_rrf_filtered"])
 def hybrid_rrf_filtered_indexed(spark, sf_dir):
-    dense = vectors.ranked(_cells(spark, sf_dir).search(VECTOR, 30, F.col("label") == 3), 30)
     among = _texts(spark, sf_dir).where("label = 3").select("id")
-    sparse = vectors.ranked(postings.search(spark, _posted(spark, sf_dir), TERMS, 30, among), 30)
-    return vectors.fuse([dense, sparse], 10).withColumn("score", F.round("score", 9))
+    return retrieval.hybrid(_cells(spark, sf_dir), _posted(spark, sf_dir), VECTOR, TERMS, where=F.col("label") == 3, among=among).withColumn("score", F.round("score", 9))
 
 
 @query(ORACLE["search_multi_term"])
