@@ -216,7 +216,25 @@ def text_quality(spark, sf_dir):
     return q.select("doc_id", F.col("q.chars").cast("long").alias("chars"), "q.status", "q.quality")
 
 
-@query()
+_STRIP = "regexp_replace({0}, '^[\\s\\p{{Z}}\\x{{85}}]+|[\\s\\p{{Z}}\\x{{85}}]+$', '', 'g')"
+
+
+def _sections_sql() -> str:
+    """Sections by one pattern each: its label, what follows as far as needed, and the first label that ends it."""
+    one = lambda labels, stops: _STRIP.format(f"regexp_extract(b, '(?is)\\b(?:{'|'.join(labels)})\\b\\s*[:-]?\\s*(.*?)(?:\\b(?:{'|'.join(stops)})\\b|$)', 1)")
+    rows = lambda kind: "[" + ", ".join(f"{{'name': '{name}', 'value': {one(labels, stops)}}}" for name, (labels, stops) in text.SECTIONS[kind].items()) + "]"
+    lines = "regexp_replace(regexp_replace('Beschlussvorschlag: ' || coalesce(text, '') || chr(10) || 'Begruendung: ' || coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g')"
+    body = _STRIP.format(f"regexp_replace({lines}, '\\n{{2,}}', chr(10), 'g')")
+    value = lambda name: f"list_filter(x, lambda y: y.name = '{name}')[1].value"
+    own = ", ".join(f"length({value(n)})::INT AS {n}_chars, sha256({value(n)}) AS {n}_sha256" for n in ("beschlusstext", "begruendung"))
+    return f"""WITH d AS (SELECT doc_id, doc_id % 3 AS m, trim(coalesce(source, '')) <> '' AS titled, {body} AS b FROM documents),
+f AS (SELECT *, list_filter(CASE m WHEN 0 THEN {rows("vorlage")} WHEN 1 THEN {rows("protokoll")} ELSE [] END, lambda y: y.value <> '') AS x FROM d)
+SELECT doc_id, CASE WHEN m = 2 THEN 'unsupported_document_type' WHEN len(x) > 0 OR titled THEN 'ok' ELSE 'no_structured_fields' END AS status,
+  CASE WHEN m = 2 THEN 'failed' WHEN len(x) >= 3 THEN 'high' WHEN len(x) >= 2 THEN 'medium' WHEN len(x) > 0 OR titled OR length(b) >= 120 THEN 'low' ELSE 'failed' END AS quality,
+  coalesce(array_to_string(list_sort(list_transform(x, lambda y: y.name)), ','), '') AS sections, {own} FROM f"""
+
+
+@query(_sections_sql())
 def labelled_sections(spark, sf_dir):
     body = F.concat(F.lit("Beschlussvorschlag: "), text.as_text(F.col("text")), F.lit("\nBegruendung: "), text.as_text(F.col("text")))
     c = text.parse_content(F.when(F.col("doc_id") % 3 == 0, "Beschlussvorlage").when(F.col("doc_id") % 3 == 1, "protokoll").otherwise("brief"), body, F.col("source"))
