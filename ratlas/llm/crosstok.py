@@ -228,7 +228,7 @@ def _score(table):
 
 
 SCORED = ["chunk", "pos", "n_a", "n_b", "n_links", "n_best", "count_sum", "groups"]
-SCORED_TYPES = "chunk bigint, pos bigint, n_a bigint, n_b bigint, n_links bigint, n_best bigint, count_sum bigint, groups string"
+PACKED = "chunk bigint, n bigint, pack binary"
 
 
 #: Of a pack: the columns with four bytes a row; count_sum has eight; then the bytes of all groups.
@@ -321,12 +321,13 @@ def align_corpus(docs: DataFrame, a: str, b: str, chunk_bytes: int = CHUNK_BYTES
     if pairs.count() <= most_pairs:
         table = pairs.orderBy("key").toArrow()
         sent = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("key", "count", "best")))
-        scored = found.select("chunk", "pos", "n_a", "n_b", "links", "groups").mapInArrow(_score(sent), SCORED_TYPES)
+        score = _score(sent)
+        packs = found.select("chunk", "pos", "n_a", "n_b", "links", "groups").mapInArrow(lambda batches: _packs(score(batches)), PACKED)
     else:
         each = found.select("links").distinct().select("links", F.explode("links").alias("key")).join(pairs, "key")
         totals = each.groupBy("links").agg(F.count_if("best").alias("n_best"), F.sum("count").alias("count_sum"))
         scored = found.join(totals, "links").select("chunk", "pos", "n_a", "n_b", F.size("links").cast("long").alias("n_links"), "n_best", "count_sum", "groups")
-    packs = scored.mapInArrow(_packs, "chunk bigint, n bigint, pack binary")
+        packs = scored.mapInArrow(_packs, PACKED)
     texts = rows.where("segments IS NULL").select("chunk", "doc_id", "size", "at")
     schema = f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
     return texts.groupBy("chunk").cogroup(packs.groupBy("chunk")).applyInArrow(_compose, schema)
