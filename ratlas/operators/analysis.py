@@ -52,8 +52,12 @@ def problems(request: Request, sessions: DataFrame, usable: DataFrame) -> list[s
 
 
 def enriched(documents: DataFrame, files: DataFrame) -> DataFrame:
-    """Documents (with resolved_path) with source_available, transfer_mode and excerpt, from files (path, text)."""
-    f = files.select(F.col("path").alias("resolved_path"), F.substring("text", 1, EXCERPT).alias("__text"), F.lit(True).alias("__there"))
+    """Documents (with resolved_path) with source_available, transfer_mode and excerpt, from files (path, text).
+
+    Only texts that are shown travel. They are sorted, not broadcast: Spark can't tell their size before it has made them.
+    """
+    shown = F.when(transfer_mode(F.col("path")) == "text_excerpt", F.substring("text", 1, EXCERPT))
+    f = files.select(F.col("path").alias("resolved_path"), shown.alias("__text"), F.lit(True).alias("__there")).hint("merge")
     df = documents.join(f, "resolved_path", "left").withColumn("source_available", F.coalesce("__there", F.lit(False)))
     mode = F.when(F.col("source_available"), transfer_mode(F.col("resolved_path"))).otherwise("metadata_only")
     return df.withColumn("transfer_mode", mode).withColumn("excerpt", F.when(mode == "text_excerpt", text.strip(as_text(F.col("__text")))).otherwise("")).drop("__text", "__there")
