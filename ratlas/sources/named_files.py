@@ -57,16 +57,21 @@ class Writer(DataSourceArrowWriter):
         return out
 
     def commit(self, messages) -> None:
+        made: set[str] = set()
+        following: dict[str, int] = {}  # the number after those that this commit has seen taken, by name
         for m in sorted((m for m in messages if m is not None), key=lambda m: m.names):
             for i, name in enumerate(m.names):
-                os.makedirs(os.path.dirname(f"{self.root}/{name}"), exist_ok=True)
-                n = 0
+                if (where := os.path.dirname(f"{self.root}/{name}")) not in made:
+                    os.makedirs(where, exist_ok=True)
+                    made.add(where)
+                n = following.get(name, 0)
                 while True:
                     try:
                         os.link(f"{m.folder}/{i}", f"{self.root}/{numbered(name, n)}")  # fails where the name is taken
                         break
                     except FileExistsError:
                         n += 1
+                following[name] = n + 1
         shutil.rmtree(self.staging, ignore_errors=True)
 
     def abort(self, messages) -> None:
