@@ -1,11 +1,12 @@
 """What a job does for its input grows no faster than the input: plans and calls, not times."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from ratlas.operators import analysis
-from ratlas.sources import named_files
+from ratlas.sources import html_tables, named_files
 
 
 def plan(df):
@@ -30,3 +31,26 @@ def test_taken_names_are_tried_once(tmp_path, monkeypatch):
     w.commit([named_files.Contents(f"{w.staging}/t", ["a.txt"] * 50)])
     assert len(tried) == 51  # one more for the name that was there
     assert (tmp_path / "a.1.txt").read_text() == "old" and (tmp_path / "a.50.txt").read_text() == "49" and len(list(tmp_path.iterdir())) == 51
+
+
+def test_detail_pages_are_parsed_once(spark):
+    pages = spark.createDataFrame([("1", "<div class=smc-documents></div>")], "session_id string, html string")
+    assert plan(html_tables.session_details(pages, "https://x.example/")[1]).partition("== Optimized")[0].count("MapInArrow") == 1
+
+
+def test_plain_pages_equal_the_parser():
+    bits = ["<table class='x Tagesordnung'>", "</table>", "<TR>", "</tr>", "<td>", "</td>", '<td CLASS="smc-x y" id=q>', "<br>", "<br/>", "<a href='getfile.asp?id=1&amp;b=2'>", "<a href=x/>", "</a>", "a &amp; b", "x", " ", "&uuml;", "<li>", "</ul>", "<p a=1 a=2 checked>", "</p >", "<", "<!-- c -->", "<script>a<b</script>", "&lt", "<a b=>"]
+    rnd, plain = random.Random(1), 0
+
+    for _ in range(3000):
+        page = "".join(rnd.choice(bits[: rnd.choice([20, len(bits)])]) for _ in range(rnd.randrange(15)))
+        parser = html_tables._Tree()
+        parser.feed(page)
+        parser.close()
+        parser._shut(0)
+        plain += html_tables._Tree().plain(page)
+        shown = [[x if isinstance(x, str) else (x.tag, x.attrs, x.end) for x in items] for items in (html_tables.tree(page).items, parser.items)]
+        assert shown[0] == shown[1], page
+    assert plain > 1000
+    deep = html_tables.tree("<div>" * 20_000 + "x")
+    assert deep.text() == "x" and len(deep.all("div")) == 20_000
