@@ -47,8 +47,9 @@ def scan(files: DataFrame, prompt_root: str = "data/private/analysis_prompts") -
     ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     obj = F.when((ext == ".json") & F.try_parse_json(F.col("content")).isNotNull(), F.col("content"))
     df = df.withColumns({"__obj": obj, "__bad": (ext == ".json") & obj.isNull(), "__md": F.when(ext == ".md", F.col("content")), "__txt": F.when((ext == ".txt") & F.startswith(F.col("path"), F.lit(f"{prompt_root}/")), strip(F.col("content")))})
-    values = {k: F.nullif(filled(F.get_json_object("__obj", f"$.{k}")), F.lit("[]")) for k in (*KEYS, "body_markdown")}
-    df = df.withColumns({f"__{k}": v for k, v in values.items()})
+    names = (*KEYS, "body_markdown")
+    df = df.select("*", F.json_tuple("__obj", *names).alias(*[f"__{k}" for k in names]))  # one reading for all of them
+    df = df.withColumns({f"__{k}": F.nullif(filled(F.col(f"__{k}")), F.lit("[]")) for k in names})
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("path")))
     first = lambda c: F.min_by(c, F.when(filled(F.col(c)).isNotNull(), F.col("path")))
     jobs = df.groupBy("job_id").agg(

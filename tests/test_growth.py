@@ -5,8 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from ratlas.operators import analysis
-from ratlas.sources import html_tables, named_files
+from ratlas.operators import analysis, artifacts, vector_index
+from ratlas.sources import folders, html_tables, named_files
 
 
 def plan(df):
@@ -54,3 +54,24 @@ def test_plain_pages_equal_the_parser():
     assert plain > 1000
     deep = html_tables.tree("<div>" * 20_000 + "x")
     assert deep.text() == "x" and len(deep.all("div")) == 20_000
+
+
+def test_artifacts_are_read_once(spark):
+    files = spark.createDataFrame([("job_1.json", '{"status": "ok"}')], "path string, content string")
+    text = plan(artifacts.scan(files))
+    assert "get_json_object" not in text and "json_tuple" in text
+
+
+def test_payloads_join_sessions_once(spark):
+    d = spark.createDataFrame([(1, "1", "t", "x", "1", "u", "a.pdf")], "id bigint, session_id string, title string, document_type string, agenda_item string, url string, local_path string")
+    s = spark.createDataFrame([("1", "1998-01-01", "Rat", "p")], "session_id string, date string, committee string, session_path string")
+    df = vector_index.payloads(d, s, spark.createDataFrame([("p/a.pdf",)], "path string"))
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join LeftOuter, (session_id") == 2  # for the payload, and for the paths that are looked up
+    assert [tuple(r.payload) for r in df.collect()] == [("1", "t", "x", "1", "u", "p/a.pdf", "1998-01-01", "Rat")]
+
+
+def test_numbers_deal_rows_once(spark):
+    df = folders.numbered(spark.range(1000, numPartitions=7).select((F.col("id") * 37 % 1000).alias("place")), "id bigint, place bigint", "place")
+    assert all(r.id == r.place + 1 for r in df.collect()) and df.count() == 1000
+    assert "row_number" not in plan(df)
