@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -14,6 +13,7 @@ from pyspark.sql.types import StructType
 from ratlas import schemas
 from ratlas.functions import dates, text
 from ratlas.functions.jsonx import member_list
+from ratlas.sources import shared
 
 #: Files that make a folder a session's.
 MARKERS = ("manifest.json", "agenda_summary.json", "session_detail.html")
@@ -81,28 +81,26 @@ def local_index(folders: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return sessions, agenda, documents
 
 
-def _pinned(df: DataFrame) -> DataFrame:
-    """A checkpoint of df in the folder that the cluster names; a local session without one makes its own."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder")
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="ratlas-"))
-    return df.checkpoint()
+def _pinned(df: DataFrame, path: str) -> DataFrame:
+    """df, written once and read from there."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(children: DataFrame, schema: str, *order: str) -> DataFrame:
     """Children with an id by their order, in the columns of a schema; equal rows in any order.
 
-    Ids come from one sort by range, not one task. The ranges are pinned by a checkpoint before they are counted and
-    read again: planned anew, each reading would cut them, or coalesce them, in its own way.
+    Ids come from one sort by range, not one task. Children are written before ranges are cut, as cutting reads them one
+    time more, and ranges before they are counted: planned anew, each reading would cut them in its own way. A row's place
+    in its range is part of what is written, so nothing is dealt again for it.
     """
-    place = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    parts = _pinned(children.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
-    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
-    sums = parts.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(place), F.lit(0)))
-    return schemas.conform(parts.withColumn("__i", inside).join(sums.select("__p", "__before"), "__p").withColumn("id", F.col("__before") + F.col("__i")), schema)
+    where = shared.folder(children.sparkSession, "numbered")
+    once = _pinned(children, f"{where}/children")
+    parts = _pinned(once.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()), f"{where}/ranges")
+    parts = parts.withColumns({"__p": F.shiftright("__m", 33), "__i": F.col("__m") % F.lit(2**33)})  # how Spark makes them
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = parts.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", before.alias("__before"))
+    return schemas.conform(parts.join(F.broadcast(sums), "__p").withColumn("id", F.col("__before") + F.col("__i") + 1), schema)
 
 
 def inventory(files: DataFrame) -> DataFrame:
