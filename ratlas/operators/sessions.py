@@ -252,9 +252,10 @@ def detail_type(documents: DataFrame) -> DataFrame:
     return documents.withColumn("display_type", F.coalesce(*[filled(F.col(c)) for c in ("document_type", "content_type", "category")], F.lit("-")))
 
 
-def source_availability(documents: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
-    """Documents with source_available: whether a listing (path) has their file, at its path or below its session's."""
-    df = documents.join(sessions.select("session_id", "session_path"), "session_id", "left")
+def source_availability(documents: DataFrame, sessions: DataFrame, files: DataFrame, *more: str) -> DataFrame:
+    """Documents with source_available: whether a listing (path) has their file, at its path or below its session's. more:
+    further columns of the sessions, which are joined once."""
+    df = documents.join(sessions.select("session_id", "session_path", *more), "session_id", "left")
     own, below = filled(as_text(F.col("local_path"))), F.concat_ws("/", filled(F.rtrim(as_text(F.col("session_path")), F.lit("/"))), filled(as_text(F.col("local_path"))))
     tried = df.select("id", F.explode(F.array_distinct(F.array(F.replace(own, F.lit("\\"), F.lit("/")), F.replace(below, F.lit("\\"), F.lit("/"))))).alias("path"))
     there = tried.where("path <> ''").join(files.select("path").distinct(), "path", "left_semi").select("id").distinct().withColumn("source_available", F.lit(True))

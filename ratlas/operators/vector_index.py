@@ -22,8 +22,7 @@ def documents_for_index(documents: DataFrame, sessions: DataFrame) -> DataFrame:
 def payloads(documents: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
     """id and a payload of eight fields, null as empty text but for session_id; local_path is the file's path, or empty
     where the listing (path) doesn't have it."""
-    df = source_availability(documents, sessions, files).drop("session_path")
-    df = documents_for_index(df, sessions)
+    df = source_availability(documents.drop("date", "committee", "session_path"), sessions, files, "date", "committee")
     path = F.concat_ws("/", F.nullif(F.rtrim(as_text(F.col("session_path")), F.lit("/")), F.lit("")), F.col("local_path"))
     value = {"session_id": F.col("session_id"), "local_path": F.when(F.col("source_available"), path).otherwise("")}
     return df.select("id", F.struct(*[value.get(c, as_text(F.col(c))).alias(c) for c in PAYLOAD]).alias("payload"))
