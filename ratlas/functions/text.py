@@ -101,12 +101,11 @@ REPORTER = r"(?:[-–—]\s*)?\bBerichterstatt[-\w()/]*:?\s*"
 
 def title_and_reporter(text: Column) -> tuple[Column, Column]:
     """The title before the reporter's mark and the reporter after it (null if there is none)."""
-    flat = collapse(text)
-    found = F.rlike(flat, F.lit(f"(?iu){REPORTER}"))
-    head = F.regexp_extract(flat, f"(?isu)^(.*?){REPORTER}", 1)
-    tail = F.regexp_extract(flat, f"(?isu)^.*?{REPORTER}(.*)$", 1)
-    title = F.when(found, F.regexp_replace(head, r"[ \-–—,:;]+$", "")).otherwise(flat)
-    return title, F.when(found, filled(F.regexp_replace(tail, r"^[ :;\-–—]+", "")))
+    found = lambda t: F.rlike(t, F.lit(f"(?iu){REPORTER}"))
+    head = lambda t: F.regexp_replace(F.regexp_extract(t, f"(?isu)^(.*?){REPORTER}", 1), r"[ \-–—,:;]+$", "")
+    tail = lambda t: F.regexp_replace(F.regexp_extract(t, f"(?isu)^.*?{REPORTER}(.*)$", 1), r"^[ :;\-–—]+", "")
+    title = let(collapse(text), lambda t: F.when(found(t), head(t)).otherwise(t))
+    return title, let(collapse(text), lambda t: F.when(found(t), let(tail(t), filled)))
 
 
 def file_slug(c: Column, most: int | None = None) -> Column:
@@ -115,11 +114,11 @@ def file_slug(c: Column, most: int | None = None) -> Column:
     Beyond `most` characters the slug is cut and ends in six digits of its hash, so that different names stay apart.
     """
     slug = F.regexp_replace(F.regexp_replace(c, r"(?U)[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
-    slug = F.coalesce(filled(slug), F.lit("document"))
+    slug = let(slug, lambda s: F.when(F.length(s) > 0, s).otherwise("document"))
     if most is None:
         return slug
-    cut = F.concat(F.regexp_replace(F.substring(slug, 1, max(1, most - 7)), "-+$", ""), F.lit("-"), F.substring(F.sha1(slug.cast("binary")), 1, 6))
-    return F.when(F.length(slug) > most, cut).otherwise(slug)
+    cut = lambda s: F.concat(F.regexp_replace(F.substring(s, 1, max(1, most - 7)), "-+$", ""), F.lit("-"), F.substring(F.sha1(s.cast("binary")), 1, 6))
+    return let(slug, lambda s: F.when(F.length(s) > most, cut(s)).otherwise(s))
 
 
 @F.pandas_udf(StringType())

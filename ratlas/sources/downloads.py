@@ -104,10 +104,11 @@ def named(documents: DataFrame) -> DataFrame:
     of_item = F.col("agenda_number").isNotNull() | F.col("agenda_title").isNotNull()
     fresh = F.col("old_path").isNull()
     number = F.sum(fresh.cast("int")).over(Window.partitionBy("session_id").orderBy(of_item, "place", "url").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ending = urls.extension(_header("content-type"), _header("content-disposition"), F.col("url"), F.col("title"))
     folder = F.when(of_item, F.concat(F.lit("agenda/"), text.agenda_directory(F.col("agenda_number"), F.coalesce("agenda_title", F.lit(""))))).otherwise("session-documents")
-    new = F.concat(folder, F.lit("/"), text.document_file_name(F.col("title"), F.col("url"), F.col("__n"), ending))
-    return documents.withColumn("__n", number).withColumn("path", F.when(fresh, new).otherwise(F.col("old_path"))).drop("__n")
+    new = F.concat(folder, F.lit("/"), text.document_file_name(F.col("title"), F.col("url"), F.col("__n"), F.col("__end")))
+    ending = urls.extension(_header("content-type"), _header("content-disposition"), F.col("url"), F.col("title"))
+    df = documents.withColumn("__end", ending).withColumn("__n", number)  # headers needn't meet the other documents of a session
+    return df.withColumn("path", F.when(fresh, new).otherwise(F.col("old_path"))).drop("__n", "__end")
 
 
 def entries(stored: DataFrame) -> DataFrame:

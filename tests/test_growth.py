@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from ratlas.functions import text as texts
 from ratlas.operators import analysis, artifacts, trigrams, vector_index
 from ratlas.sources import folders, html_tables, named_files
 
@@ -101,3 +102,10 @@ def test_blocks_of_texts_without_letters_are_empty():
 
     rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([["", None], [], None], pa.list_(pa.string()))], names=["id", "texts"])
     assert sum(b.num_rows for b in trigrams._invert(8)(iter([rows, rows.slice(0, 0)]))) == 0
+
+
+def test_slugs_are_worked_out_once(spark):
+    df = spark.createDataFrame([("Ö 1", "Haushalt - Berichterstatter: X"), (None, ""), ("x" * 300, "y")], "n string, t string")
+    df = df.select(texts.agenda_directory(F.col("n"), F.col("t")).alias("d"))
+    assert [r.d for r in df.collect()][:2] == ["Ö-1-Haushalt", "document"] and len(df.collect()[2].d) <= 120
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 5
