@@ -83,9 +83,10 @@ def coverage(current: DataFrame, indexed: DataFrame | None, key: str) -> DataFra
 
     indexed is None where there is no index: then the status is missing_index.
     """
-    c = current.select(key).where(F.col(key).isNotNull()).distinct().withColumn("c", F.lit(1))
-    i = (indexed if indexed is not None else current.limit(0)).select(key).where(F.col(key).isNotNull()).distinct().withColumn("i", F.lit(1))
-    n = c.join(i, key, "full").agg(F.count("c").alias("current"), F.count("i").alias("indexed"), F.count_if(F.col("c").isNotNull() & F.col("i").isNotNull()).alias("matched"))
+    sides = current.select(key, F.lit(1).alias("c"), F.lit(0).alias("i"))
+    sides = sides.unionAll(indexed.select(key, F.lit(0), F.lit(1))) if indexed is not None else sides
+    each = sides.where(F.col(key).isNotNull()).groupBy(key).agg(F.max("c").alias("c"), F.max("i").alias("i"))  # a task holds one table of keys
+    n = each.agg(F.count_if(F.col("c") == 1).alias("current"), F.count_if(F.col("i") == 1).alias("indexed"), F.count_if(F.col("c") + F.col("i") == 2).alias("matched"))
     return with_coverage(n, F.lit(indexed is None))
 
 

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from ratlas.functions import text as texts
-from ratlas.operators import analysis, artifacts, trigrams, vector_index
+from ratlas.operators import analysis, artifacts, index, trigrams, vector_index
 from ratlas.sources import folders, html_tables, named_files
 
 
@@ -109,3 +109,11 @@ def test_slugs_are_worked_out_once(spark):
     df = df.select(texts.agenda_directory(F.col("n"), F.col("t")).alias("d"))
     assert [r.d for r in df.collect()][:2] == ["Ö-1-Haushalt", "document"] and len(df.collect()[2].d) <= 120
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 5
+
+
+def test_coverage_is_one_grouping(spark):
+    a, b = spark.range(10).selectExpr("nullif(id % 7, 6) AS id"), spark.range(4, 12).selectExpr("id")
+    df = index.coverage(a, b, "id")
+    assert "Join" not in plan(df)
+    assert tuple(df.first())[:5] == (6, 8, 2, 4, 6)
+    assert tuple(index.coverage(a, None, "id").first()[c] for c in ("current", "indexed", "status")) == (6, 0, "missing_index")
