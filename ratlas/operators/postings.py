@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratlas.operators.vectors import list_slices, sparse_query, sparse_vectors, top
+from ratlas.operators.vectors import hashed_words, list_slices, sparse_query, top, weights_of_words
 from ratlas.sources.shared import read_dealt, write_dealt
 
 #: Folders of a table, postings of a block, and postings that a task gathers at a time.
@@ -61,12 +61,23 @@ def _gather(size: int):
             held.append((indices.to_numpy(zero_copy_only=False), values.to_numpy(zero_copy_only=False), batch.column("id").take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))))
             if sum(len(x[0]) for x in held) >= HELD:
                 yield blocks()
+                pa.default_memory_pool().release_unused()
         if sum(len(x[0]) for x in held):
             yield blocks()
 
     return run
 
 
+def _gather_words(size: int):
+    """Hashed words of texts -> what _gather makes of their vectors, in one worker: vectors needn't travel to another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors = (pa.RecordBatch.from_arrays([b.column(0), *b.column(1).flatten()], names=["id", "indices", "values"]) for b in weights_of_words(batches))
+        yield from _gather(size)(vectors)
+
+    return run
+
+
 def _merge(size: int):
     """Small blocks in the order of their terms and largest weights -> full blocks. Postings are put in order by weight for
     as many rows as a batch has; between batches a term starts a new block."""
@@ -83,6 +94,18 @@ def _merge(size: int):
     return run
 
 
+def _schema(df: DataFrame, key: str) -> str:
+    return f"term bigint, most double, n int, ids array<{dict(df.dtypes)[key]}>, weights array<double>"
+
+
+def _write(small: DataFrame, path: str, buckets: int, block: int, mode: str) -> None:
+    """Blocks as tasks gathered them -> a table of full blocks."""
+    order = ["bucket", "term", F.col("most").desc()]
+    dealt = small.withColumn("bucket", bucket_of(F.col("term"), buckets)).repartitionByRange(*order).sortWithinPartitions(*order)
+    blocks = dealt.select("term", "ids", "weights").mapInArrow(_merge(block), small.schema)
+    write_dealt(blocks.withColumn("bucket", bucket_of(F.col("term"), buckets)), path, "bucket", mode)
+
+
 def write(sparse: DataFrame, path: str, key: str = "id", buckets: int = BUCKETS, block: int = BLOCK, mode: str = "error") -> None:
     """Postings of sparse vectors (key, sparse: struct of indices and values) as a table of blocks: bucket (a folder each),
     term, most (largest weight), n, ids, weights (in falling order).
@@ -91,19 +114,14 @@ def write(sparse: DataFrame, path: str, key: str = "id", buckets: int = BUCKETS,
     dealt by range of term and weight, so a term of all documents spreads over many tasks, which fill them up as rows pass
     by. Mode 'append' adds blocks of further documents. Rows without key or vector have none.
     """
-    kind = dict(sparse.dtypes)[key]
-    schema = f"term bigint, most double, n int, ids array<{kind}>, weights array<double>"
     rows = sparse.where(F.col(key).isNotNull() & F.col("sparse").isNotNull()).select(F.col(key).alias("id"), "sparse.indices", F.col("sparse.values").cast("array<double>").alias("values"))
-    small = rows.mapInArrow(_gather(block), schema).withColumn("bucket", bucket_of(F.col("term"), buckets))
-    order = ["bucket", "term", F.col("most").desc()]
-    dealt = small.repartitionByRange(*order).sortWithinPartitions(*order)
-    blocks = dealt.select("term", "ids", "weights").mapInArrow(_merge(block), schema)
-    write_dealt(blocks.withColumn("bucket", bucket_of(F.col("term"), buckets)), path, "bucket", mode)
+    _write(rows.mapInArrow(_gather(block), _schema(sparse, key)), path, buckets, block, mode)
 
 
 def build(docs: DataFrame, path: str, key: str = "id", text: str = "text", buckets: int = BUCKETS, block: int = BLOCK, mode: str = "error") -> None:
-    """Postings of texts, through their sparse vectors."""
-    write(sparse_vectors(docs, key, text), path, key, buckets, block, mode)
+    """Postings of texts, as write makes them of their sparse vectors. Counting words and gathering postings share a worker."""
+    words = hashed_words(docs.where(F.col(key).isNotNull()), key, text)
+    _write(words.mapInArrow(_gather_words(block), _schema(docs, key)), path, buckets, block, mode)
 
 
 def of_terms(spark: SparkSession, path: str, terms: Mapping[str, float] | Sequence[str], buckets: int = BUCKETS) -> tuple[DataFrame, dict[int, float]]:

@@ -7,7 +7,6 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,8 +91,8 @@ def list_slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> It
 WORDS = 1 << 18
 
 
-def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed words of each text -> its distinct hashes in order, and their weights."""
+def weights_of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hashed_words -> each text's distinct hashes in order, and their weights."""
     for batch in list_slices(batches, 1, WORDS):
         lists = batch.column(1)
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
@@ -110,11 +109,15 @@ def _weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(pairs, names=["indices", "values"])], names=[batch.schema.names[0], "sparse"])
 
 
+def hashed_words(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """key and t, the hashes of a text's words, of texts that have some."""
+    return docs.select(key, F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("t")).where(F.size("t") > 0)
+
+
 def sparse_vectors(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """key and the weights of a text's terms as sorted arrays of hashed indices and values; texts without terms have no row.
     A text's words are counted where it lies, so nothing is shuffled."""
-    words = docs.select(key, F.transform(tokens(F.col(text)), lambda t: F.xxhash64(t)).alias("t")).where(F.size("t") > 0)
-    return words.mapInArrow(_weights, f"{key} {dict(docs.dtypes)[key]}, sparse struct<indices:array<bigint>,values:array<double>>")
+    return hashed_words(docs, key, text).mapInArrow(weights_of_words, f"{key} {dict(docs.dtypes)[key]}, sparse struct<indices:array<bigint>,values:array<double>>")
 
 
 def ranked(scored: DataFrame, k: int, key: str = "id") -> DataFrame:
@@ -148,19 +151,17 @@ def pair_vectors(dense: DataFrame, sparse: DataFrame, key: str = "id") -> DataFr
 
 
 def hashing_embedder(size: int = 64):
-    """A stand-in for a model: a pandas function from texts to vectors of unit length, the same everywhere."""
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        import zlib
+    """A stand-in for a model: a function from texts to vectors of unit length, the same everywhere."""
 
-        def one(t: str | None) -> list[float]:
-            v = np.zeros(size)
-            for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
-                v[h % size] += 1 if h >> 16 & 1 else -1
-            n = math.sqrt(v @ v)
-            return (v / n if n else v).tolist()
+    @F.udf("array<float>", useArrow=True)
+    def embed(t: str | None) -> list[float]:
+        import zlib
 
-        return texts.map(one)
+        v = np.zeros(size)
+        for w in (t or "").lower().split():
+            h = zlib.crc32(w.encode())
+            v[h % size] += 1 if h >> 16 & 1 else -1
+        n = math.sqrt(v @ v)
+        return (v / n if n else v).tolist()
 
     return embed

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from ratlas.functions import text as texts
-from ratlas.operators import analysis, artifacts, index, trigrams, vector_index
+from ratlas.operators import analysis, artifacts, index, postings, trigrams, vector_index
 from ratlas.sources import folders, html_tables, named_files
 
 
@@ -117,3 +117,11 @@ def test_coverage_is_one_grouping(spark):
     assert "Join" not in plan(df)
     assert tuple(df.first())[:5] == (6, 8, 2, 4, 6)
     assert tuple(index.coverage(a, None, "id").first()[c] for c in ("current", "indexed", "status")) == (6, 0, "missing_index")
+
+
+def test_texts_become_postings_in_one_worker(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(postings, "write_dealt", lambda df, *a: made.append(df))
+    postings.build(spark.createDataFrame([(1, "Rat der rat"), (2, None), (None, "rat")], "id bigint, text string"), "x")
+    assert plan(made[0]).partition("== Optimized")[0].count("MapInArrow") == 2  # gathered, then filled up
+    assert sorted((tuple(r.ids), r.n) for r in made[0].collect()) == [((1,), 1)] * 2
