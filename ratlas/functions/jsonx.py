@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ratlas.functions.text import as_text, filled, strip
+from ratlas.functions.text import as_text, filled, let, strip
 
 EMPTY = "{}"
 
 
 def response_object(text: Column) -> Column:
     """The JSON object in a model's answer, with or without a fence around it, as text; '{}' for anything else."""
-    t = strip(as_text(text))
-    t = F.when(F.startswith(t, F.lit("```")), strip(F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n?", ""), r"\n?```\s*$", ""))).otherwise(t)
-    is_object = F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull()
-    return F.when(is_object, t).otherwise(EMPTY)
+    fenced = lambda t: strip(F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n?", ""), r"\n?```\s*$", ""))
+    inner = let(strip(as_text(text)), lambda t: F.when(F.startswith(t, F.lit("```")), fenced(t)).otherwise(t))
+    return let(inner, lambda t: F.when(F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull(), t).otherwise(EMPTY))
 
 
 def at(obj: Column, path: str) -> Column:
@@ -23,9 +24,10 @@ def at(obj: Column, path: str) -> Column:
     return filled(F.get_json_object(obj, path))
 
 
-def publication_parts(obj: Column, meeting_name: Column, committee: Column) -> Column:
-    """Struct of title, subtitle, intro, body: fields of the article come before those of the answer."""
-    own = lambda name, inner: F.coalesce(at(obj, f"$.article.{inner}"), at(obj, f"$.{name}"))
+def publication_parts(read: Callable[[str], Column], meeting_name: Column, committee: Column) -> Column:
+    """Struct of title, subtitle, intro, body, by a function from a path to the answer's value there: fields of the article
+    come before those of the answer."""
+    own = lambda name, inner: F.coalesce(filled(read(f"$.article.{inner}")), filled(read(f"$.{name}")))
     title = F.coalesce(own("title", "title"), filled(meeting_name), filled(committee), F.lit("Analyseentwurf"))
     return F.struct(title.alias("title"), as_text(own("subtitle", "subtitle")).alias("subtitle"), as_text(own("intro", "teaser")).alias("intro"), as_text(own("body", "body_markdown")).alias("body"))
 
@@ -33,9 +35,9 @@ def publication_parts(obj: Column, meeting_name: Column, committee: Column) -> C
 SOURCES = "array<struct<title:string,document_type:string,url:string>>"
 
 
-def publication_sources(obj: Column) -> Column:
+def publication_sources(read: Callable[[str], Column]) -> Column:
     """The sources as an array of structs; members that aren't objects are null but keep their place."""
-    raw = F.coalesce(F.get_json_object(obj, "$.sources"), F.get_json_object(obj, "$.article.sources"), F.lit("[]"))
+    raw = F.coalesce(read("$.sources"), read("$.article.sources"))
     members = F.coalesce(F.from_json(raw, "array<string>"), F.expr("cast(array() as array<string>)"))
     return F.transform(members, lambda m: F.when(F.startswith(F.ltrim(m), F.lit("{")), F.from_json(m, "title string, document_type string, url string")))
 
@@ -91,10 +93,9 @@ def normalize_output(df, version: str = "schema_version"):
 
 def text_list(json: Column) -> Column:
     """A JSON value as an array of texts: a list's members, a single value as one; null, empty, false and 0 as none."""
-    j = F.btrim(as_text(json))
-    members = F.from_json(j, "array<string>")
-    one = F.when(j.isin("", "null", "false", "0", '""', "[]", "{}"), F.expr("cast(array() as array<string>)")).otherwise(F.array(j))
-    return F.when(F.startswith(j, F.lit("[")) & members.isNotNull(), members).otherwise(one)
+    none = F.expr("cast(array() as array<string>)")
+    one = lambda j: F.when(j.isin("", "null", "false", "0", '""', "[]", "{}"), none).otherwise(F.array(j))
+    return let(F.btrim(as_text(json)), lambda j: F.coalesce(F.when(F.startswith(j, F.lit("[")), F.from_json(j, "array<string>")), one(j)))
 
 
 def tops_json(tops: Column) -> Column:

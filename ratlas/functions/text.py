@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import cache, reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Document types with the categories and the words that imply them, the earlier type first.
 TYPE_CATEGORIES = {"protokoll": ("pr", "ni"), "bekanntmachung": ("bm", "be", "bek"), "beschlussvorlage": ("bv",), "vorlage": ("vo", "vl")}
@@ -121,17 +120,26 @@ def file_slug(c: Column, most: int | None = None) -> Column:
     return let(slug, lambda s: F.when(F.length(s) > most, cut(s)).otherwise(s))
 
 
-@F.pandas_udf(StringType())
-def _without_accents(c: pd.Series) -> pd.Series:
-    return c.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode("ascii"))
+@cache
+def _ascii_forms() -> str:
+    """What ASCII characters remain of each other character's compatibility decomposition, as a text that str_to_map takes."""
+    left = ((chr(i), unicodedata.normalize("NFKD", chr(i)).encode("ascii", "ignore").decode("ascii")) for i in range(0x80, sys.maxunicode + 1))
+    return "\x02".join(f"{x}\x03{y}" for x, y in left if y)
+
+
+def without_accents(c: Column) -> Column:
+    """The ASCII characters of a text's compatibility decomposition. It decomposes each character by itself, so a table of
+    characters gives the same; texts of ASCII, most of all, are left as they are."""
+    forms = F.str_to_map(F.lit(_ascii_forms()), F.lit("\x02"), F.lit("\x03"))
+    plain = lambda ch: F.when(ch <= "\x7f", ch).otherwise(F.coalesce(F.try_element_at(forms, ch), F.lit("")))
+    return let(c, lambda x: F.when(F.rlike(x, F.lit(r"[^\x00-\x7F]")), F.array_join(F.transform(F.split(x, ""), plain), "")).otherwise(x))
 
 
 def ascii_slug(c: Column, most: int = 30) -> Column:
-    """Umlauts written out, accents dropped, ASCII letters and digits joined by hyphens, cut. Spark has no expression
-    for compatibility decomposition, so that step is a vectorised function."""
+    """Umlauts written out, accents dropped, ASCII letters and digits joined by hyphens, cut."""
     for x, y in (("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue")):
         c = F.replace(c, F.lit(x), F.lit(y))
-    return F.substring(F.regexp_replace(F.regexp_replace(_without_accents(write_out_umlauts(c)), "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""), 1, most)
+    return F.substring(F.regexp_replace(F.regexp_replace(without_accents(write_out_umlauts(c)), "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""), 1, most)
 
 
 def prompt_id_slug(c: Column) -> Column:

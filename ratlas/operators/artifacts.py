@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ratlas.functions import jsonx
 from ratlas.functions.text import as_text, ascii_slug, filled, let, strip
 from ratlas.operators import analysis
-from ratlas.operators.jobs import job_stem, with_publication
+from ratlas.operators.jobs import answer_field, job_stem, with_publication
 
 #: The form of a job's file name; the keys that a JSON artifact lays over its job; folders that stay private.
 JOB = r"(?i)job[_-]([\w.-]+)"
@@ -88,10 +88,9 @@ def raw_outputs(jobs: DataFrame, documents: DataFrame) -> DataFrame:
 def structure() -> list[Column]:
     """topic, open_questions and risks of a row that with_publication has seen: from the answer's JSON, the job's error
     among the risks."""
-    obj = F.col("__obj")
     none = F.expr("cast(array() as array<string>)")
-    first = lambda *names: F.coalesce(*[let(jsonx.text_list(F.get_json_object(obj, f"$.{n}")), lambda x: F.when(F.size(x) > 0, x)) for n in names], none)
-    topic = F.coalesce(jsonx.at(obj, "$.title"), jsonx.at(obj, "$.topic"), filled(F.col("meeting_name")), filled(F.col("committee")), F.lit(""))
+    first = lambda *names: F.coalesce(*[let(jsonx.text_list(answer_field(f"$.{n}")), lambda x: F.when(F.size(x) > 0, x)) for n in names], none)
+    topic = F.coalesce(*[filled(answer_field(f"$.{n}")) for n in ("title", "topic")], filled(F.col("meeting_name")), filled(F.col("committee")), F.lit(""))
     error = F.when(as_text(F.col("error_message")) != "", F.array("error_message")).otherwise(none)
     return [topic.alias("topic"), first("open_questions", "missing_information").alias("open_questions"), F.concat(first("source_notes", "contradictions"), error).alias("risks")]
 
@@ -123,10 +122,11 @@ def fan_out(jobs: DataFrame, documents: DataFrame) -> DataFrame:
     draft = F.to_json(F.struct("job_id", *pub, F.col("__pub.markdown").alias("body_markdown"), F.col("__slug").alias("slug")))
     answer = F.when(as_text(F.col("response")) != "", F.to_json(F.struct("job_id", "response")))
     public = F.when((F.col("purpose") == "journalistic_publication") & (F.col("status") == "done"), draft)
-    parts = [(".article.md", analysis.article()), (".raw.json", F.col("__raw")), (".structured.json", formed), (".ki_response.json", answer), (".publication.json", public), (".prompt.txt", filled(F.col("prompt")))]
-    files = [F.struct(F.concat(F.col("__stem"), F.lit(end)).alias("name"), c.alias("content")) for end, c in parts]
-    files.append(F.struct(F.lit("latest.md").alias("name"), analysis.article().alias("content")))
-    return df.select("job_id", F.explode(F.filter(F.array(*files), lambda x: x["content"].isNotNull())).alias("f")).select("job_id", "f.*")
+    parts = {".article.md": analysis.article(), ".raw.json": F.col("__raw"), ".structured.json": formed, ".ki_response.json": answer, ".publication.json": public, ".prompt.txt": filled(F.col("prompt"))}
+    df = df.select("job_id", "__stem", *[c.alias(f"__{end}") for end, c in parts.items()])
+    files = [F.struct(F.concat(F.col("__stem"), F.lit(end)).alias("name"), F.col(f"`__{end}`").alias("content")) for end in parts]
+    files.append(F.struct(F.lit("latest.md").alias("name"), F.col("`__.article.md`").alias("content")))
+    return df.select("job_id", F.explode(F.array(*files)).alias("f")).select("job_id", "f.*").where("content IS NOT NULL")
 
 
 def current_states(events: DataFrame) -> DataFrame:

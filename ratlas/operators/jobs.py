@@ -12,6 +12,8 @@ from ratlas.functions.text import as_text, ascii_slug, filled
 
 #: Most lines of a log's tail, most ended jobs that are kept.
 TAIL, RETAINED = 500, 50
+#: The fields of an answer's JSON that anything reads.
+FIELDS = ("title", "topic", "subtitle", "intro", "body", "sources", "article", "open_questions", "missing_information", "source_notes", "contradictions")
 SCALARS = ("created_at", "session_id", "scope", "purpose", "model_name", "status", "markdown")
 
 
@@ -71,15 +73,24 @@ def retained(jobs: DataFrame, ended: Column, order: str, most: int = RETAINED) -
     return jobs.where(~ended).unionByName(last)
 
 
+def answer_field(path: str) -> Column:
+    """The value at a path of the answer of a row that with_publication reads; what lies below a field is looked up only
+    where the answer has the field."""
+    name = path.split(".")[1]
+    return F.col(f"__in_{name}") if path == f"$.{name}" else F.when(F.col(f"__in_{name}").isNotNull(), F.get_json_object("__obj", path))
+
+
 def with_publication(responses: DataFrame) -> DataFrame:
-    """responses (response, meeting_name, committee) with __obj, the answer's JSON, and __pub, a struct of title, subtitle,
-    intro, body, markdown and summaries. Both are worked out once, whatever reads them."""
+    """responses (response, meeting_name, committee) with __obj, the answer's JSON, its fields (__in_title, ...), which one
+    reading takes, and __pub, a struct of title, subtitle, intro, body, markdown and summaries. All are worked out once,
+    whatever reads them."""
     obj = F.explode(F.array(jsonx.response_object(F.col("response")))).alias("__obj")  # no condition moves below a generator
-    df = responses.select("*", obj).withColumn("__p", jsonx.publication_parts(F.col("__obj"), F.col("meeting_name"), F.col("committee")))
+    df = responses.select("*", obj).select("*", F.json_tuple("__obj", *FIELDS).alias(*[f"__in_{n}" for n in FIELDS]))
+    df = df.withColumn("__p", jsonx.publication_parts(answer_field, F.col("meeting_name"), F.col("committee")))
     p = F.col("__p")
     short = F.coalesce(filled(p["subtitle"]), F.substring(p["intro"], 1, 240))
     long = F.coalesce(filled(p["intro"]), F.substring(p["body"], 1, 1000))
-    pub = F.struct(*[p[c].alias(c) for c in ("title", "subtitle", "intro", "body")], jsonx.publication_markdown(p, jsonx.publication_sources(F.col("__obj"))).alias("markdown"), short.alias("summary_short"), long.alias("summary_long"))
+    pub = F.struct(*[p[c].alias(c) for c in ("title", "subtitle", "intro", "body")], jsonx.publication_markdown(p, jsonx.publication_sources(answer_field)).alias("markdown"), short.alias("summary_short"), long.alias("summary_long"))
     return df.withColumn("__pub", pub).drop("__p")
 
 

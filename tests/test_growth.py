@@ -2,11 +2,14 @@
 
 import os
 import random
+import sys
+import unicodedata
 
 from pyspark.sql import functions as F
 
 from ratlas.functions import text as texts
 from ratlas.operators import analysis, artifacts, index, postings, trigrams, vector_index
+from ratlas.operators import jobs as job_tables
 from ratlas.sources import folders, html_tables, named_files
 
 
@@ -125,3 +128,26 @@ def test_texts_become_postings_in_one_worker(spark, monkeypatch):
     postings.build(spark.createDataFrame([(1, "Rat der rat"), (2, None), (None, "rat")], "id bigint, text string"), "x")
     assert plan(made[0]).partition("== Optimized")[0].count("MapInArrow") == 2  # gathered, then filled up
     assert sorted((tuple(r.ids), r.n) for r in made[0].collect()) == [((1,), 1)] * 2
+
+
+def test_accents_are_dropped_without_python(spark):
+    every = [chr(i) for i in range(1, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    rows = [("".join(every[i : i + 300]),) for i in range(0, len(every), 300)] + [(None,), ("",), ("abc",)]
+    df = spark.createDataFrame(rows, "t string").select("t", texts.without_accents(F.col("t")).alias("a"))
+    assert "Python" not in plan(df)
+    assert all(r.a == (r.t if r.t is None else unicodedata.normalize("NFKD", r.t).encode("ascii", "ignore").decode()) for r in df.collect())
+
+
+def test_answers_are_read_once(spark):
+    answers = [
+        '{"title": "T", "article": {"title": "A", "teaser": "i", "body_markdown": "b", "sources": [{"title": "q"}, 1]}}', '{"title": "T", "article": "{\\"title\\": \\"A\\"}", "topic": 1.50}', '{"topic": {"a": [1]}, "article": [{"title": "A"}], "open_questions": ["a", "b"], "sources": null}',
+        '{"title": null, "missing_information": "m", "source_notes": [], "contradictions": {"x": true}, "body": "B"}', "[1]", "x", "", None,
+    ]
+    jobs = spark.createDataFrame([(str(i), a, None, "Rat", "") for i, a in enumerate(answers)], "job_id string, response string, meeting_name string, committee string, error_message string")
+    got = {int(r.job_id): r for r in artifacts.structured_outputs(jobs).collect()}
+    assert [got[i].topic for i in range(8)] == ["T", "T", '{"a":[1]}', "Rat", "Rat", "Rat", "Rat", "Rat"]
+    assert [got[i].open_questions for i in (0, 2, 3)] == [[], ["a", "b"], ["m"]] and got[3].risks == ['{"x":true}']
+    df = job_tables.publications(jobs)
+    assert {int(r.job_id): (r.title, r.body) for r in df.collect()} == {0: ("A", "b"), 1: ("T", ""), 2: ("Rat", ""), 3: ("Rat", "B")} | {i: ("Rat", "") for i in range(4, 8)}
+    assert [r.markdown for r in df.where("job_id = 0").collect()] == ["# A\n\ni\n\nb\n\n## Quellen\n\n1. q"]
+    assert artifacts.structured_outputs(jobs)._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 0
