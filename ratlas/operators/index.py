@@ -110,6 +110,6 @@ def match_manifest(documents: DataFrame, entries: DataFrame, by: tuple[str, ...]
     of several entries the first by `place`. by: further keys, as session_id where entries of several manifests meet."""
     keys = [*by, "url", "agenda_item", "title", "category"]
     rest = [c for c in entries.columns if c not in keys]
-    first = entries.groupBy(*keys).agg(F.min_by(F.struct(*rest), "place").alias("entry")).select(*[F.col(k).alias(f"__{k}") for k in keys], "entry")
-    same = F.expr(" AND ".join(f"{k} <=> __{k}" for k in keys))
-    return documents.join(first, same, "left").drop(*[f"__{k}" for k in keys])
+    # structs are equal where their nulls are; by one key, what the grouping dealt needn't be dealt again for the join
+    first = entries.groupBy(F.struct(*keys).alias("__k")).agg(F.min_by(F.struct(*rest), "place").alias("entry"))
+    return documents.join(first, F.struct(*keys) == F.col("__k"), "left").drop("__k")

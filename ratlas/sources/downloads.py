@@ -89,12 +89,16 @@ def planned(documents: DataFrame, entries: DataFrame, heads: DataFrame, files: D
     entries have the keys of a document, session_id, path, etag, last_modified, content_length and place.
     """
     there = files.select(F.col("session_id").alias("__s"), F.col("path").alias("__p")).distinct()
+    said = heads.select(F.col("url").alias("__url"), "headers", urls.header_value(_header("etag")).alias("__tag"), urls.header_value(_header("last-modified")).alias("__stamp"), urls.content_length(_header("content-length")).alias("__length"))
     df = index.match_manifest(documents, entries, by=("session_id",))
-    df = df.join(there, (F.col("session_id") == F.col("__s")) & (F.col("entry.path") == F.col("__p")), "left").withColumn("entry", F.when(F.col("__p").isNotNull(), F.col("entry"))).drop("__s", "__p")
-    df = df.join(heads.select("url", "headers"), "url", "left")
-    tag, stamp = urls.header_value(_header("etag")), urls.header_value(_header("last-modified"))
-    same = urls.unchanged(urls.header_value(F.col("entry.etag")), tag, urls.header_value(F.col("entry.last_modified")), stamp, F.col("entry.content_length"), urls.content_length(_header("content-length")))
-    return df.withColumn("action", F.when(F.col("entry").isNotNull() & same, "reuse").otherwise("fetch"))
+    # what is compared travels as plain columns, so that whole entries and headers travel only where they are asked for
+    df = df.select("*", F.col("entry.path").alias("__path"), *[urls.header_value(F.col(f"entry.{c}")).alias(f"__{c}") for c in ("etag", "last_modified")], F.col("entry.content_length").alias("__size"))
+    df = df.join(said, F.col("url") == F.col("__url"), "left").drop("__url")
+    same = urls.unchanged(*map(F.col, ("__etag", "__tag", "__last_modified", "__stamp", "__size", "__length")))
+    df = df.withColumn("__same", same).drop("__tag", "__stamp", "__length", "__etag", "__last_modified", "__size")
+    df = df.join(there, (F.col("session_id") == F.col("__s")) & (F.col("__path") == F.col("__p")), "left")
+    found = F.col("__p").isNotNull()
+    return df.withColumn("entry", F.when(found, F.col("entry"))).withColumn("action", F.when(found & F.col("__same"), "reuse").otherwise("fetch")).drop("__s", "__p", "__path", "__same")
 
 
 def named(documents: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ratlas.functions import text as texts
 from ratlas.operators import analysis, artifacts, index, postings, trigrams, vector_index
 from ratlas.operators import jobs as job_tables
-from ratlas.sources import folders, html_tables, named_files
+from ratlas.sources import downloads, folders, html_tables, named_files
 
 
 def plan(df):
@@ -151,3 +151,22 @@ def test_answers_are_read_once(spark):
     assert {int(r.job_id): (r.title, r.body) for r in df.collect()} == {0: ("A", "b"), 1: ("T", ""), 2: ("Rat", ""), 3: ("Rat", "B")} | {i: ("Rat", "") for i in range(4, 8)}
     assert [r.markdown for r in df.where("job_id = 0").collect()] == ["# A\n\ni\n\nb\n\n## Quellen\n\n1. q"]
     assert artifacts.structured_outputs(jobs)._jdf.queryExecution().optimizedPlan().toString().count("get_json_object") == 0
+
+
+def test_manifests_are_dealt_once(spark):
+    rows = [("1", f"u{i % 5}", None if i % 2 else "Ö", "t", None) for i in range(20)]
+    d = spark.createDataFrame([*rows, ("1", None, None, "t", None)], "session_id string, url string, agenda_item string, title string, category string")
+    e = spark.createDataFrame([(*r, f"p{i}", "tag", None, 3, i) for i, r in enumerate([*rows, ("1", None, None, "t", None)])], "session_id string, url string, agenda_item string, title string, category string, path string, etag string, last_modified string, content_length bigint, place int")
+    heads = spark.createDataFrame([(f"u{i}", {"etag": "tag" if i else "new"}) for i in range(5)], "url string, headers map<string,string>")
+    files = spark.createDataFrame([("1", f"p{i}") for i in range(3)], "session_id string, path string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = index.match_manifest(d, e, by=("session_id",))
+        assert plan(got).partition("== Optimized")[0].count("Exchange hashpartitioning") == 2
+        assert got.where("url IS NULL").first().entry.path == "p20" and got.count() == 21
+        df = downloads.planned(d, e, heads, files)
+        assert {(r.url, r.agenda_item, r.entry and r.entry.path, r.action) for r in df.collect() if r.entry} == {("u0", "Ö", "p0", "fetch"), ("u1", None, "p1", "reuse"), ("u2", "Ö", "p2", "reuse")}
+        narrow = df.select("url", "action")._jdf.queryExecution().optimizedPlan().toString()
+        assert "entry#" not in narrow.partition("Join LeftOuter")[0]  # nothing but what is compared is dealt further
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
