@@ -224,7 +224,8 @@ def _is_pdf(content_type: Column, path: Column) -> Column:
 
 def pdf_documents(documents: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
     """id, session_id, title, path of PDF documents of known sessions whose file the listing (path) has."""
-    df = source_availability(documents, sessions, files).where("source_available AND session_path IS NOT NULL").where(_is_pdf(F.col("content_type"), F.col("local_path")))
+    pdfs = documents.where(_is_pdf(F.col("content_type"), F.col("local_path")))
+    df = row_availability(pdfs, sessions, files).where("source_available AND session_path IS NOT NULL")
     title = F.coalesce(filled(F.col("title")), F.concat(F.lit("document-"), F.col("id").cast("string"), F.lit(".pdf")))
     return df.select("id", "session_id", title.alias("title"), F.concat_ws("/", F.rtrim("session_path", F.lit("/")), "local_path").alias("path"))
 
@@ -262,6 +263,21 @@ def source_availability(documents: DataFrame, sessions: DataFrame, files: DataFr
     return df.join(there, "id", "left").fillna(False, ["source_available"])
 
 
+def row_availability(documents: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
+    """As source_availability, for each row by its own paths. Rows pass by the listing twice, so documents are made and meet
+    their sessions once, and aren't put together again by their ids."""
+    listed = files.select(F.col("path").alias("__listed")).distinct()
+    spread = F.concat(F.lit("\n"), F.col("id").cast("string"))  # rows without a path shouldn't meet in one task
+
+    def looked_up(df: DataFrame, path: Column, flag: str) -> DataFrame:
+        known = filled(F.replace(as_text(path), F.lit("\\"), F.lit("/")))
+        return df.join(listed, F.coalesce(known, spread) == F.col("__listed"), "left").withColumn(flag, known.isNotNull() & F.col("__listed").isNotNull()).drop("__listed")
+
+    df = looked_up(documents, F.col("local_path"), "__own").join(sessions.select("session_id", "session_path"), "session_id", "left")
+    below = F.concat_ws("/", filled(F.rtrim(as_text(F.col("session_path")), F.lit("/"))), filled(as_text(F.col("local_path"))))
+    return looked_up(df, below, "__below").withColumn("source_available", F.col("__own") | F.col("__below")).drop("__own", "__below")
+
+
 def availability_counts(documents: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
     """session_id, document_count, available_count, missing_count of every session, those without documents too."""
     there = F.col("source_available").cast("long")

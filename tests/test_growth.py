@@ -2,13 +2,14 @@
 
 import os
 import random
+import re
 import sys
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from ratlas.functions import text as texts
-from ratlas.operators import analysis, artifacts, index, postings, trigrams, vector_index
+from ratlas.operators import analysis, artifacts, index, postings, sessions, trigrams, vector_index
 from ratlas.operators import jobs as job_tables
 from ratlas.sources import downloads, folders, html_tables, named_files
 
@@ -170,3 +171,13 @@ def test_manifests_are_dealt_once(spark):
         assert "entry#" not in narrow.partition("Join LeftOuter")[0]  # nothing but what is compared is dealt further
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_availability_makes_documents_once(spark):
+    d = spark.createDataFrame([(1, "1", "t", "application/pdf", "a.pdf"), (1, "1", "t", "application/pdf", "b.pdf"), (2, "2", None, "text/html", "C\\x.PDF"), (3, "1", "t", "application/pdf", ""), (4, "9", "t", "application/pdf", "x/y.pdf"), (5, "1", "", None, "C\\x.PDF"), (6, "1", "t", None, "a.txt")], "id bigint, session_id string, title string, content_type string, local_path string")
+    s = spark.createDataFrame([("1", "p/1/"), ("2", None)], "session_id string, session_path string")
+    files = spark.createDataFrame([("p/1/a.pdf",), ("C/x.PDF",), ("x/y.pdf",), ("p/1/a.txt",), ("",), ("3",)], "path string")
+    df = sessions.pdf_documents(d, s, files)
+    assert len(re.findall(r"Join \w+, \(session_id", df._jdf.queryExecution().optimizedPlan().toString())) == 1
+    assert sorted(map(tuple, df.collect())) == [(1, "1", "t", "p/1/a.pdf"), (5, "1", "document-5.pdf", "p/1/C\\x.PDF")]
+    assert sorted((r.id, r.local_path, r.source_available) for r in sessions.row_availability(d, s, files).collect()) == [(1, "a.pdf", True), (1, "b.pdf", False), (2, "C\\x.PDF", True), (3, "", False), (4, "x/y.pdf", True), (5, "C\\x.PDF", True), (6, "a.txt", True)]
