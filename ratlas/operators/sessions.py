@@ -281,7 +281,7 @@ def row_availability(documents: DataFrame, sessions: DataFrame, files: DataFrame
 def availability_counts(documents: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:
     """session_id, document_count, available_count, missing_count of every session, those without documents too."""
     there = F.col("source_available").cast("long")
-    n = source_availability(documents, sessions, files).groupBy("session_id").agg(F.count("*").alias("document_count"), F.sum(there).alias("available_count"))
+    n = row_availability(documents, sessions, files).groupBy("session_id").agg(F.count("*").alias("document_count"), F.sum(there).alias("available_count"))
     df = sessions.select("session_id").join(n, "session_id", "left").fillna(0, ["document_count", "available_count"])
     return df.withColumn("missing_count", F.col("document_count") - F.col("available_count"))
 
