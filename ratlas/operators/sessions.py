@@ -69,6 +69,11 @@ def committees(sessions: DataFrame) -> DataFrame:
     return sessions.select("committee").where("committee IS NOT NULL AND committee <> ''").distinct().orderBy("committee")
 
 
+def within(columns: Sequence[str], term: str) -> Column:
+    """Whether a column holds a term that is in lower case."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(as_text(F.col(c))), F.lit(term)) for c in columns])
+
+
 def search(documents: DataFrame, sessions: DataFrame, query: str, limit: int = MOST_RESULTS) -> DataFrame:
     """Documents in which every word of the query occurs in at least one of SEARCHED, the latest first.
 
@@ -78,8 +83,7 @@ def search(documents: DataFrame, sessions: DataFrame, query: str, limit: int = M
     s = sessions.select("session_id", "date", "committee", "meeting_name")
     df = documents.join(s, "session_id", "left")
     terms = query.lower().split()
-    within = lambda t: reduce(lambda a, b: a | b, [F.contains(F.lower(as_text(F.col(c))), F.lit(t)) for c in SEARCHED])
-    df = df.where(reduce(lambda a, b: a & b, [within(t) for t in terms]) if terms else F.lit(False))
+    df = df.where(reduce(lambda a, b: a & b, [within(SEARCHED, t) for t in terms]) if terms else F.lit(False))
     df = df.withColumn("display_date", dates.german(F.col("date"))).withColumn("display_type", F.coalesce(*[filled(F.col(c)) for c in ("document_type", "category", "content_type")], F.lit("-")))
     order = [F.col("date").desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in ("committee", "agenda_item", "title", "id")]]
     return df.orderBy(*order).limit(max(1, min(limit, MOST_RESULTS)))

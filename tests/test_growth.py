@@ -101,6 +101,40 @@ def test_postings_of_trigrams_read_rows_once(spark, tmp_path):
     assert {r.id for r in trigrams.candidates(spark, f"file://{tmp_path}/t", ["wind 1"[: i % 6 + 1] + " " * (i // 6) for i in range(6)]).collect()} == {i for i in range(300) if i % 7 == 1 or i % 3 == 0}
 
 
+def test_trigram_blocks_stay_where_rows_lie(spark, tmp_path, monkeypatch):
+    made, write = [], trigrams.write_dealt
+    monkeypatch.setattr(trigrams, "write_dealt", lambda df, *a: (made.append(plan(df).partition("== Optimized")[0]), write(df, *a)))
+    docs = spark.createDataFrame([(i, str(i % 9), f"Wind {i % 5}", "a" if i % 2 else None) for i in range(90)] + [(90, None, "Wind Rat", None), (91, "x", "Wind 3", "rat")], "id bigint, session_id string, title string, document_type string")
+    docs = docs.withColumns({c: F.lit(None).cast("string") for c in ("category", "agenda_item", "local_path", "content_type")})
+    own = spark.createDataFrame([(str(i), f"2025-01-0{i + 1}", "Rat" if i % 3 else "Haus", "Sitzung") for i in range(9)], "session_id string, date string, committee string, meeting_name string")
+    path = f"file://{tmp_path}/t"
+    trigrams.index_documents(docs, own, path)
+    monkeypatch.undo()
+    monkeypatch.setattr(trigrams, "BITS", 2)
+    assert len(made) == 6 and not any("Join" in x for x in made) and [x.count("Exchange") for x in made] == [0, 1, 0] * 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for q in ("rat", "wind 3", "2025-01-0 RAT wind", "haus a", "x rat", "sitz wi ra 2025 5 ind"):
+            want = sorted(map(str, sessions.search(docs, own, q).collect()))
+            few = trigrams.search(docs, own, q, path)
+            with monkeypatch.context() as m:
+                m.setattr(trigrams, "MOST_NAMES", 0)
+                many = trigrams.search(docs, own, q, path)
+            assert sorted(map(str, few.collect())) == sorted(map(str, many.collect())) == want and want, q
+        text = trigrams.narrowed_documents(docs, path, ["Wind", "RAT"])._jdf.queryExecution().optimizedPlan().toString()
+        assert "Contains(lower(coalesce(title" in text and "rat)" not in text  # only what no session holds is asked of documents before they travel
+        assert "bucket" in text and text.count("broadcast") == 2  # the blocks of found values alone are read, and none is dealt again
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_trigrams_take_further_rows(spark, tmp_path):
+    path, rows = f"file://{tmp_path}/t", lambda *x: spark.createDataFrame(x, "id bigint, a string")
+    trigrams.build(rows((1, "Wind 1"), (None, "Wind 2")), ("a",), path)
+    trigrams.build(rows((2, "Wind 1"), (3, "Haus")), ("a",), path, mode="append")
+    assert [sorted(r.id for r in trigrams.candidates(spark, path, [t]).collect()) for t in ("wind", "AUS", "u", "wind 2")] == [[1, 2], [3], [3], []]
+
+
 def test_blocks_of_texts_without_letters_are_empty():
     import pyarrow as pa
 
