@@ -18,6 +18,8 @@ from ratlas.functions.text import as_text, filled
 SEARCHED = ("title", "document_type", "category", "agenda_item", "local_path", "committee", "meeting_name", "session_id", "date")
 MOST_RESULTS = 100
 TYPES = ("protokoll", "bekanntmachung", "beschlussvorlage", "vorlage", "sonstiges")
+#: Parts of a hash: of names below a session's path, and of the first folders of a listing.
+NAME_PARTS, FIRST_PARTS = 64, 1024
 
 
 @dataclass(frozen=True)
@@ -257,14 +259,43 @@ def detail_type(documents: DataFrame) -> DataFrame:
     return documents.withColumn("display_type", F.coalesce(*[filled(F.col(c)) for c in ("document_type", "content_type", "category")], F.lit("-")))
 
 
+def _slashes(path: Column) -> Column:
+    """A path with slashes, null if it is empty."""
+    return filled(F.replace(as_text(path), F.lit("\\"), F.lit("/")))
+
+
+def _listed_names(sessions: DataFrame, files: DataFrame) -> DataFrame:
+    """session_id and what a listing (path) has below the session's path: names by a part of their hash, '' for that path
+    itself. A file's path meets those of sessions cut at as many slashes as these have, so only paths of files travel."""
+    own = _slashes(F.rtrim(as_text(F.col("session_path")), F.lit("/")))
+    known = sessions.select("session_id", own.alias("__below")).where("session_id IS NOT NULL AND __below IS NOT NULL")
+    parts = lambda path: F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) + 1
+    depths = known.agg(F.collect_set(parts(F.col("__below")))).scalar()
+    cut = files.select("path", depths.alias("n")).select("path", F.explode(F.filter("n", lambda n: n <= parts(F.col("path")))).alias("n"))
+    cut = cut.select(F.call_function("substring_index", F.col("path"), F.lit("/"), F.col("n")).alias("__below"), "path").select("__below", F.substr("path", F.length("__below") + 1).alias("__name")).where("__name <> '/'")
+    names = cut.join(known, "__below").select("session_id", F.substr("__name", F.lit(2)).alias("__name")).repartition("session_id")
+    parted = names.groupBy("session_id", _part(F.col("__name"), NAME_PARTS).alias("__part")).agg(F.collect_set("__name").alias("__names"))
+    return parted.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("__part", "__names"))).alias("__listed"))
+
+
+def _part(name: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(name), F.lit(parts)).cast("int")
+
+
 def source_availability(documents: DataFrame, sessions: DataFrame, files: DataFrame, *more: str) -> DataFrame:
     """Documents with source_available: whether a listing (path) has their file, at its path or below its session's. more:
-    further columns of the sessions, which are joined once."""
-    df = documents.join(sessions.select("session_id", "session_path", *more), "session_id", "left")
-    own, below = filled(as_text(F.col("local_path"))), F.concat_ws("/", filled(F.rtrim(as_text(F.col("session_path")), F.lit("/"))), filled(as_text(F.col("local_path"))))
-    tried = df.select("id", F.explode(F.array_distinct(F.array(F.replace(own, F.lit("\\"), F.lit("/")), F.replace(below, F.lit("\\"), F.lit("/"))))).alias("path"))
-    there = tried.where("path <> ''").join(files.select("path").distinct(), "path", "left_semi").select("id").distinct().withColumn("source_available", F.lit(True))
-    return df.join(there, "id", "left").fillna(False, ["source_available"])
+    further columns of the sessions, which are joined once.
+
+    Documents travel to their sessions alone, and the listing is brought there. Only those whose own path begins as a
+    listed one does, by a part of the hash of its first folder, are looked up by it before."""
+    own, top = _slashes(F.col("local_path")), lambda path: _part(F.substring_index(path, "/", 1), FIRST_PARTS)
+    begins = F.coalesce(F.array_contains(files.agg(F.collect_set(top(F.col("path")))).scalar(), top(own)), F.lit(False))
+    listed = files.select(F.col("path").alias("__path")).distinct()
+    looked_up = documents.where(begins).join(listed, own == F.col("__path"), "left").withColumn("__own", F.col("__path").isNotNull()).drop("__path")
+    df = looked_up.unionByName(documents.where(~begins).withColumn("__own", F.lit(False)))
+    df = df.join(sessions.select("session_id", "session_path", *more), "session_id", "left").join(_listed_names(sessions, files), "session_id", "left")
+    below = F.array_contains(F.try_element_at("__listed", _part(as_text(own), NAME_PARTS)), as_text(own))
+    return df.withColumn("source_available", F.col("__own") | F.coalesce(below, F.lit(False))).drop("__own", "__listed")
 
 
 def row_availability(documents: DataFrame, sessions: DataFrame, files: DataFrame) -> DataFrame:

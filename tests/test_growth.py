@@ -76,6 +76,35 @@ def test_payloads_join_sessions_once(spark):
     assert [tuple(r.payload) for r in df.collect()] == [("1", "t", "x", "1", "u", "p/a.pdf", "1998-01-01", "Rat")]
 
 
+def test_listing_is_brought_to_sessions(spark):
+    rnd = random.Random(5)
+    folders_ = [None, "", "p", "p/", "p//", "p/q", "p\\q", "p\\", "/p", "/", "a.pdf", "x/y/z/", "ö/é"]
+    names = [None, "", "a.pdf", "b/a.pdf", "b\\a.pdf", "/a.pdf", "p/a.pdf", "q/a.pdf", "p\\q\\a.pdf", "é.pdf", "x/y/z/a.pdf", *(f"n{i}" for i in range(150))]
+    owns = [(str(i), f, f"d{i}") for i, f in enumerate(folders_)] + [(None, "p", "d"), ("1", "x/y/z", "d")]
+    docs = [(i % 300, rnd.choice([*map(str, range(len(folders_) + 2)), None]), rnd.choice(names), f"t{i}") for i in range(1500)]
+    paths = ["", "/", "p", "p/", "p/q", "a.pdf", "a.pdf", "p/a.pdf", "p/q/a.pdf", "p//a.pdf", "p//b/a.pdf", "/p/a.pdf", "/a.pdf", "x/y/z", "x/y/z/a.pdf", "x/y/z//a.pdf", "ö/é/é.pdf", "p\\q\\a.pdf", None, *(f"p/n{i}" for i in range(0, 150, 2)), *(f"n{i}" for i in range(0, 150, 7))]
+    d = spark.createDataFrame(docs, "id bigint, session_id string, local_path string, title string")
+    s = spark.createDataFrame(owns, "session_id string, session_path string, date string")
+    f = spark.createDataFrame([(x,) for x in paths], "path string")
+
+    def there(local, folder):
+        parts = [x for x in ((folder or "").rstrip("/"), local) if x]
+        return any(x and x.replace("\\", "/") in paths for x in (local, "/".join(parts)))
+
+    want = sorted((i, str(t), there(n, p)) for i, k, n, t in docs for p in [x[1] for x in owns if k is not None and x[0] == k] or [None])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = sessions.source_availability(d, s, f, "date")
+        assert sorted((r.id, r.title, r.source_available) for r in df.collect()) == want and {x[2] for x in want} == {True, False}
+        assert set(df.columns) == {"id", "session_id", "local_path", "title", "session_path", "date", "source_available"}
+        none = sessions.source_availability(d, s, f.limit(0))
+        assert none.where("source_available").count() == 0 and none.count() == len(want)
+        text = vector_index.payloads(d.withColumns({c: F.col("title") for c in ("document_type", "agenda_item", "url")}), s.withColumn("committee", F.col("date")), f)._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Join \w+, \(id#", text)  # documents aren't put together again by their ids
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_numbers_deal_rows_once(spark):
     df = folders.numbered(spark.range(1000, numPartitions=7).select((F.col("id") * 37 % 1000).alias("place")), "id bigint, place bigint", "place")
     assert all(r.id == r.place + 1 for r in df.collect()) and df.count() == 1000
